@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, sharding
+from . import bpe, chat, neardup, packing, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.query,
         "op3_packing": packing.query,
+        "op4_neardup": neardup.query,
         "op6_chat": chat.query,
         "op9_bpe": bpe.query,
+        "op10_topk": topk.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": topk.SQL}
