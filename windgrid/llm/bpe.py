@@ -24,8 +24,13 @@ from pyspark.sql import DataFrame
 
 from .common import ship
 
-WORD_BITS = 256
-CACHE = 200_000
+#: Ranks of a bitmap's word: 256.
+WORD_SHIFT, WORD_MASK = 8, 255
+#: Ranks lie below this.
+MAX_RANK = 1 << 16
+BIT = [1 << k for k in range(1 << WORD_SHIFT)]
+#: Distinct pre-tokens that a worker remembers, of at most 64 characters each.
+CACHE = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,71 +38,71 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Buckets of positions by rank; the lowest rank first, then the leftmost position."""
-
-    def __init__(self) -> None:
-        self.top, self.words, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, bit = divmod(rank, WORD_BITS)
-        self.words[word] = self.words.get(word, 0) | 1 << bit
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        bit = (bits & -bits).bit_length() - 1
-        rank = word * WORD_BITS + bit
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            bits &= bits - 1
-            self.words[word] = bits
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
-
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
+    """Ids of one pre-token.
+
+    buckets holds the positions of a rank (one, or a heap of several), words and
+    top the bitmap of ranks whose bucket isn't empty. The queue's two operations
+    stand in line: they run some twenty times for each distinct pre-token.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     after, before = list(range(1, n + 2)), list(range(-1, n))
-    pair = [-1] * n  # the rank of the pair that starts here, -1 for none
-    get, queue = ranks.get, RankQueue()
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
+    get, bit = ranks.get, BIT
+    pair = [get(piece[i : i + 2]) for i in range(n)]  # the rank of the pair that starts here, None for none
+    pair[-1] = None
+    buckets: dict[int, int | list[int]] = {}
+    words, top = [0] * (MAX_RANK >> WORD_SHIFT), 0
+    new = list(zip(pair, range(n), strict=True))
+    while True:
+        for rank, i in new:
+            if rank is None:
+                continue
+            if rank in buckets:
+                held = buckets[rank]
+                if held.__class__ is int:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+                else:
+                    heapq.heappush(held, i)
+            else:
+                buckets[rank] = i
+                word = rank >> WORD_SHIFT
+                words[word] |= bit[rank & WORD_MASK]
+                top |= bit[word]
+        if not top:
+            break
+        word = (top & -top).bit_length() - 1  # find-first-set, on both levels
+        bits = words[word]
+        rank = (word << WORD_SHIFT) + (bits & -bits).bit_length() - 1
+        i = buckets[rank]
+        if i.__class__ is list and len(held := i) > 1:
+            i = heapq.heappop(held)
+        else:
+            if i.__class__ is list:
+                i = i[0]
+            del buckets[rank]
+            bits &= bits - 1
+            words[word] = bits
+            if not bits:
+                top &= top - 1
         if pair[i] != rank:
-            continue  # stale
+            new = ()  # a stale entry
+            continue
         mid = after[i]
         end = after[mid]
-        after[i], pair[mid] = end, -1
-        pair[i] = -1
+        after[i], pair[mid] = end, None
         if end < n:
             before[end] = i
-            if (rank := get(piece[i : after[end]])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+            pair[i] = right = get(piece[i : after[end]])
+        else:
+            pair[i] = right = None
         if (left := before[i]) >= 0:
-            pair[left] = -1
-            if (rank := get(piece[left:end])) is not None:
-                pair[left] = rank
-                queue.push(rank, left)
+            pair[left] = rank = get(piece[left:end])
+            new = (rank, left), (right, i)
+        else:
+            new = ((right, i),)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -105,33 +110,54 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Cache(dict):
+    """What `make` gives for a pre-token; emptied when full, so that a worker's memory is bounded."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        found = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         import regex
 
         self.ranks = load_ranks(path)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.name_of = {i: str(i) for i in self.bytes_of}
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[list[int], str, bytes]] = {}
-
-    def piece(self, piece: str) -> tuple[list[int], str, bytes]:
-        """Ids, the ids as text, and what they decode to."""
-        found = self.cache.get(piece)
-        if found is None:
-            ids = encode_piece(piece.encode(), self.ranks)
-            found = ids, ",".join(map(str, ids)), self.decode(ids)
-            if len(piece) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[piece] = found
-        return found
+        self.ids = _Cache(lambda piece: encode_piece(piece.encode(), self.ranks))
+        self.known = _Cache(self._known)
+        self.decoded: dict[str, bytes] = {}
+
+    def _known(self, piece: str) -> str:
+        """The ids as decimal text."""
+        return ",".join([self.name_of[i] for i in encode_piece(piece.encode(), self.ranks)])
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.find(text) for i in self.piece(p)[0]]
+        return [i for p in self.find(text) for i in self.ids[p]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
+    def decode_text(self, names: str) -> bytes:
+        """decode() for decimal ids joined by commas."""
+        return b"".join(map(self.by_name.__getitem__, names.split(","))) if names else b""
+
+    @property
+    def by_name(self) -> dict[str, bytes]:
+        if not self.decoded:
+            self.decoded = {self.name_of[i]: b for i, b in self.bytes_of.items()}
+        return self.decoded
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -162,13 +188,14 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
+        known = c.known.__getitem__
         for x in batches:
             n, ids_hex, decoded_hex = [], [], []
             for t in x["text"]:
-                found = [c.cache.get(p) or c.piece(p) for p in c.find(t or "")]
-                n.append(sum([len(f[0]) for f in found]))
-                ids_hex.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
-                decoded_hex.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+                names = ",".join(map(known, c.find(t or "")))
+                n.append(names.count(",") + 1 if names else 0)
+                ids_hex.append(hashlib.sha256(names.encode()).hexdigest())
+                decoded_hex.append(hashlib.sha256(c.decode_text(names)).hexdigest())
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_tokens": n, "ids_sha256": ids_hex, "decoded_sha256": decoded_hex})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
