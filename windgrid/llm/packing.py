@@ -14,8 +14,11 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,43 +30,148 @@ from pyspark.sql import functions as F
 from .common import durable, pieces_of, ship
 
 END_ID = 0
-CACHE = 300_000
+#: Distinct words that a worker remembers.
+CACHE = 1_500_000
+
+
+class WordMerger:
+    """BPE of many short words side by side: a row of ids for each word; every round merges each row's lowest-ranked pair, the leftmost first."""
+
+    WIDTH = 24
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left, right = (np.array([vocab[m[k]] for m in pairs], dtype=np.int64) for k in (0, 1))
+        self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these stand for themselves, the rest follow from 256
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(shown))}
+        suffix = model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.int32)
+        self.last = np.array([vocab[letter[b] + suffix] for b in range(256)], dtype=np.int32)
+        keys, self.bits = left << 32 | right, 18
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, self.NONE, dtype=np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):  # open addressing: the first of those that want a free slot gets it
+            free = np.flatnonzero(self.keys[slot[todo]] == -1)
+            _, first = np.unique(slot[todo[free]], return_index=True)
+            won = todo[free[first]]
+            self.keys[slot[won]], self.ranks[slot[won]] = keys[won], won
+            todo = np.setdiff1d(todo, won)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, NONE where it isn't a merge; a negative id is none."""
+        keys = left.astype(np.int64) << 32 | (right.astype(np.int64) & 0xFFFFFFFF)
+        slot = self._slot(keys)
+        out = np.full(len(keys), self.NONE, dtype=np.int32)
+        open_ = np.flatnonzero((left >= 0) & (right >= 0))
+        while len(open_):
+            held = self.keys[slot[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.ranks[slot[open_[same]]]
+            open_ = open_[~same & (held != -1)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each word has. Words: 1 to WIDTH bytes."""
+        n = np.array([len(w) for w in words], dtype=np.int64)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ends = np.cumsum(n)
+        width = int(n.max())
+        ids = np.full((len(words), width + 1), -1, dtype=np.int32)
+        ids[np.repeat(np.arange(len(words)), n), np.arange(len(raw)) - np.repeat(ends - n, n)] = self.inner[raw]
+        ids[np.arange(len(words)), n - 1] = self.last[raw[ends - 1]]
+        ranks = np.full((len(words), width + 1), self.NONE, dtype=np.int32)
+        ranks[:, :width] = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), width)
+        done_ids, done_rows, rows = [], [], np.arange(len(words))
+        column = np.arange(width + 1)
+        while len(rows):
+            at = ranks.argmin(1)
+            r = ranks[np.arange(len(rows)), at]
+            over = r == self.NONE
+            if over.any():
+                done_ids.append(ids[over])
+                done_rows.append(rows[over])
+                rows, ids, ranks, at, r = rows[~over], ids[~over], ranks[~over], at[~over], r[~over]
+                if not len(rows):
+                    break
+            each = np.arange(len(rows))
+            move = np.minimum(column + (column > at[:, None]), width)
+            ids = np.take_along_axis(ids, move, 1)
+            ids[:, width] = -1
+            ids[each, at] = self.merged[r]
+            ranks = np.take_along_axis(ranks, move, 1)
+            ranks[:, width] = self.NONE
+            ranks[each, at] = self.rank(ids[each, at], ids[each, np.minimum(at + 1, width)])
+            before = at > 0
+            ranks[each[before], at[before] - 1] = self.rank(ids[each[before], at[before] - 1], ids[each[before], at[before]])
+        rows = np.concatenate(done_rows)
+        ids = np.concatenate(done_ids)[np.argsort(rows, kind="stable")]
+        there = ids >= 0
+        return ids[there].astype(np.uint32), there.sum(1)
 
 
 class WordTokenizer:
-    """Ids of many texts. The tokenizer drops white space and never merges across it, so distinct words are encoded once, in a cache of a fixed size."""
+    """Ids of many texts. The tokenizer drops white space and never merges across it, nor from a letter into the punctuation after it,
+    so distinct words are encoded once, in a cache of a fixed size: lower-case words of letters by WordMerger, others by the library."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.cache: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.t.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype=np.uint32)
-        out = [self.cache[w] for w in words]
-        return out
+        self.merger = WordMerger(path)
+        self.empty()
+
+    def empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.size, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, np.cumsum(size) - size + len(self.ids)])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers in the cache of distinct words."""
+        if len(self.number) + len(words) > CACHE:
+            self.empty()
+        new = [w for w in words if w not in self.number]
+        plain, other = [], []
+        for w in new:
+            fast = w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w.lower() == w and len(raw := w.encode()) <= WordMerger.WIDTH
+            plain.append((w, raw)) if fast else other.append(w)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids, size = self.merger.encode([raw for _, raw in part])
+            self._add([w for w, _ in part], size, ids)
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            ids = [e.ids for e in self.t.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.array([len(x) for x in ids], dtype=np.int64), np.fromiter(chain.from_iterable(ids), dtype=np.uint32))
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and where each text's ids end."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"(\pL)([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
+        words = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(words.flatten())
-        index, offsets = coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
-        known = [*self.words(coded.dictionary.to_pylist()), np.array([END_ID], dtype=np.uint32)]
-        size = np.array([len(x) for x in known], dtype=np.int64)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        index = np.insert(index.astype(np.int64), offsets[1:], len(known) - 1)
-        each = size[index]
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        known = np.append(self.numbers(coded.dictionary.to_pylist()), -1)
+        index = known[np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(known) - 1)]
+        each, first, ids = np.append(self.size, 1)[index], np.append(self.first, len(self.ids))[index], np.append(self.ids, np.uint32(END_ID))
         ends = np.cumsum(each)
-        ids = np.concatenate(known)[np.repeat(first[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[offsets[1:] + np.arange(len(texts))]
+        out = ids[np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return out, ends[offsets[1:] + np.arange(len(texts))]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

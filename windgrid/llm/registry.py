@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, neardup, packing, sharding, topk
+from . import bpe, chat, neardup, packing, quality, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_sharding": sharding.query,
         "op3_packing": packing.query,
         "op4_neardup": neardup.query,
+        "op5_quality": quality.query,
+        "op7_toxicity": toxicity.query,
         "op6_chat": chat.query,
         "op9_bpe": bpe.query,
         "op10_topk": topk.query,

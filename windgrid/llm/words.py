@@ -71,10 +71,8 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(full[a : b - width + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for k in range(a, b):
-                short = short * _STEP + words[k]
-            out.append(mix64(np.array([short])))
+            own = words[a:b] * np.array(odd[: b - a], dtype=np.uint64)
+            out.append(mix64(own.sum(keepdims=True) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
