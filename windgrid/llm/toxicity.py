@@ -4,7 +4,7 @@ P(grade <= k) = sigmoid(cut_k - w.x): one weight vector for all ordered cuts.
 x counts the chosen words and word beginnings of a document (sparse). They are
 chosen by their association with the label over a bounded sample of labelled documents, in which
 near-copies count once. The labels are 0/1; grades are 0 for clean documents and,
-among toxic ones, 1 to 3 by how many chosen words they hold (terciles).
+among toxic ones, 1 to 3 by the count of chosen features (terciles).
 A document is rejected if its score w.x reaches the value that parts toxic from
 clean documents of the sample with the least sum of both error rates.
 
@@ -35,6 +35,7 @@ from .words import shingle_sets
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»„“”…–—"
 SAMPLE, FEATURES, GRADES = 4000, 256, 4
+UNIT, LONG = 50, 1000
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -45,7 +46,7 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 #: A word's features: itself, and its first code points where it is longer.
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6)
 
 
 def word_features(found: pa.Array) -> list[pa.Array]:
@@ -58,7 +59,11 @@ def word_features(found: pa.Array) -> list[pa.Array]:
 
 
 def counts(texts: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    """How often each feature of the vocabulary stands in each text."""
+    """How often each feature of the vocabulary stands in each text, and last the number of its words / UNIT.
+
+    The counts of longer texts are scaled down to LONG words: what tells is the
+    rate there, while short texts tell by their count.
+    """
     found, offsets = words(texts)
     n = len(vocabulary)
     out = np.zeros(len(texts) * n, dtype=np.int64)
@@ -68,7 +73,9 @@ def counts(texts: pa.Array, vocabulary: pa.Array) -> np.ndarray:
         code = pc.take(code, pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.searchsorted(offsets, at, side="right") - 1
         out += np.bincount(row * n + code, minlength=len(out))
-    return out.reshape(len(texts), n)
+    size = np.diff(offsets)
+    out = np.column_stack([out.reshape(len(texts), n), size / UNIT])
+    return out * np.minimum(1, LONG / np.maximum(size, 1))[:, None]
 
 
 @dataclass
@@ -79,16 +86,15 @@ class Ordinal:
     reject: float  # the least score w.x of a rejected document
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.minimum(x, 16) @ self.weights
+        return x @ self.weights
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k from 1."""
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - self.scores(x)[:, None], -50, 50)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 0.003, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts of the proportional-odds model, by Adam on the penalised mean log-likelihood."""
-    x = np.minimum(x, 16).astype(np.float64)
     n, k = x.shape
     share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / n, 0.01, 0.99)
     start = np.log(share / (1 - share))
@@ -126,23 +132,29 @@ def _once(texts: pa.Array) -> list[int]:
 
 
 def choose_words(texts: list[str], toxic: np.ndarray, most: int = FEATURES) -> list[str]:
-    """Words whose document frequency departs from independence of the label most, towards toxic."""
+    """Features whose rate among the words of toxic texts exceeds that of clean ones most surely (root of the log-likelihood ratio). A text counts a feature at most 3 times."""
     texts = pa.array(texts, pa.string())
-    keep = _once(texts)
-    n, pos = len(keep), int(sum(toxic[i] for i in keep))
-    if not pos or pos == n:
+    count, docs, total = (Counter(), Counter()), Counter(), [0, 0]
+    for i in _once(texts):
+        found = words(texts.slice(i, 1))[0]
+        own = Counter(f for kind in word_features(found) for f in kind.to_pylist() if f)
+        to = int(toxic[i])
+        total[to] += len(found)
+        for f, c in own.items():
+            count[to][f] += min(c, 3)
+        if to:
+            docs.update(own.keys())
+    if not min(total):
         return []
-    rate = pos / n
-    all_of: Counter = Counter()
-    of_toxic: Counter = Counter()
-    for i in keep:
-        own = {f for kind in word_features(words(texts.slice(i, 1))[0]) for f in kind.to_pylist()} - {"", None}
-        all_of.update(own)
-        if toxic[i]:
-            of_toxic.update(own)
-    score = {w: (c - all_of[w] * rate) ** 2 / (all_of[w] * rate * (1 - rate)) for w, c in of_toxic.items() if c >= 3 and c > all_of[w] * rate}
-    least = max([15.0, *(0.1 * s for s in score.values())])
-    return sorted((w for w, s in score.items() if s >= least), key=lambda w: (-score[w], w))[:most]
+    z = {}
+    for f, n in docs.items():
+        if n >= 3:
+            a, b = count[1][f], count[0][f]
+            e = (a + b) * total[1] / (total[0] + total[1])
+            if a > e:
+                z[f] = np.sqrt(2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0)))
+    least = max([3.0, *(0.2 * x for x in z.values())])
+    return sorted((f for f, x in z.items() if x >= least), key=lambda f: (-z[f], f))[:most]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
@@ -155,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
     if not vocabulary:
         return None
     x = counts(pa.array(rows["text"], pa.string()), pa.array(vocabulary, pa.string()))
-    held = x.sum(1)
+    held = x[:, :-1].sum(1)
     edges = np.quantile(held[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(edges, held, side="left"), 0)
     weights, cuts = fit_ordinal(x, grade, GRADES)
-    return Ordinal(vocabulary, weights, cuts, least_error(np.minimum(x, 16) @ weights, toxic))
+    return Ordinal(vocabulary, weights, cuts, least_error(x @ weights, toxic))
 
 
 def least_error(score: np.ndarray, toxic: np.ndarray) -> float:
