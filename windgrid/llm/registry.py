@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, neardup, packing, quality, sharding, topk, toxicity
+from . import bpe, chat, neardup, packing, quality, sharding, topk, toxicity, winnow
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality": quality.query,
         "op7_toxicity": toxicity.query,
         "op6_chat": chat.query,
+        "op8_winnow": winnow.query,
         "op9_bpe": bpe.query,
         "op10_topk": topk.query,
     }
