@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, neardup, packing, quality, sharding, topk, toxicity, winnow
+from . import bpe, chat, ctw, neardup, packing, quality, sharding, topk, toxicity, winnow
 
 
 def queries() -> dict:
     return {
+        "op1_ctw": ctw.query,
         "op2_sharding": sharding.query,
         "op3_packing": packing.query,
         "op4_neardup": neardup.query,
