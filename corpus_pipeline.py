@@ -1,15 +1,74 @@
-"""The corpus pipeline: toxicity, quality, near-duplicates, packing."""
+"""The corpus pipeline: toxic documents go, poor ones go, one of each group of near-copies stays, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and, but for
+the last, returns rows of docs with their columns as they came. Decisions are
+made where the rows are; only the near-copies' ids are joined back, by doc_id.
+A repeated doc_id is one document from the third stage on; rows without a doc_id
+are never dropped as copies. Columns that clash with an operator's results are
+set aside and come back unchanged. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from windgrid.llm import neardup, packing, quality, toxicity
+
+#: The classifiers' model file and capacity are parameters of these functions; these are the production values.
+TOKENIZER = "word_bpe_49k.json"
+CAPACITY = 2048
+
+
+def _filtered(docs: DataFrame, results: set[str], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """apply(docs), with columns named as results set aside meanwhile."""
+    aside = {c: f"_aside_{c}" for c in docs.columns if c in results}
+    out = apply(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    return _filtered(docs, {"p_grade", "severity", "toxic"}, lambda d: toxicity.score(d, toxicity.fit(d, labels)).where("NOT toxic"))
 
-STAGES: list = []
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    names = {"p_text", "p_site", "p_all", "quality", "keep", "host", "path", "_host", "_path", "_q"}
+    return _filtered(docs, names, lambda d: quality.classify(d, labels).where("keep"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_once", once).where("_once = 1").drop("_once")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), CAPACITY)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("MinHash near-dedup", drop_copies), ("best-fit packing", pack)]
+
+#: Classifiers and packing are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents, each one's rows written as Parquet and read again."""
+    from windgrid.llm.common import durable
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
