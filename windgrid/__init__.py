@@ -1,0 +1 @@
+"""Wind-resource and representative-period statistics as Spark DataFrame functions."""
