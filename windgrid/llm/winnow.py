@@ -81,7 +81,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / F.greatest(union, F.lit(1.0)))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_each: int = 4000) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_each: int = 1000) -> DataFrame:
     """df with next_<column>: the columns of the next row by falling key; after the last row, the first.
 
     Ranges of the key, cut at quantiles, are ordered one by one; the top row of a
@@ -113,14 +113,14 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_eac
 def compare_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, edited (text), print, edited_print (arrays of chosen longs), near_edited, near_next."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("print", fingerprint(F.col("text"), k, w))
-    rows = with_next(rows, "doc_id", ["text", "print"], F.xxhash64("text"))
+    rows = with_next(rows, "doc_id", ["text"], F.xxhash64("text"))
     n = F.length("text")
     half = F.floor(n / 2)
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print")
-    rows = rows.withColumn("edited_print", fingerprint(F.col("edited"), k, w))
-    rows = rows.withColumns({"_own": hashes(F.col("print")), "_edited": hashes(F.col("edited_print")), "_next": hashes(F.col("next_print"))})
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "text", "next_text")
+    # only texts are moved: a third fingerprint is cheaper than shuffling two
+    rows = rows.withColumns({name: fingerprint(F.col(of), k, w) for name, of in (("print", "text"), ("edited_print", "edited"), ("_next_print", "next_text"))})
+    rows = rows.withColumns({"_own": hashes(F.col("print")), "_edited": hashes(F.col("edited_print")), "_next": hashes(F.col("_next_print"))})
     near = {"near_edited": likeness(F.col("_own"), F.col("_edited")), "near_next": likeness(F.col("_own"), F.col("_next"))}
     return rows.select("doc_id", "n_chars", "edited", "print", "edited_print", *[c.alias(a) for a, c in near.items()])
 
