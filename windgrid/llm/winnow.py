@@ -81,6 +81,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / F.greatest(union, F.lit(1.0)))
 
 
+def _halve(bounds: Column, n: int, step: int):
+    """One step of the binary search for the number of bounds under _k."""
+    return lambda low: F.when((low + step <= n) & (F.get(bounds, low + step - 1) < F.col("_k")), low + step).otherwise(low)
+
+
 def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_each: int = 1000) -> DataFrame:
     """df with next_<column>: the columns of the next row by falling key; after the last row, the first.
 
@@ -100,7 +105,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_eac
     step = 1 << max(0, (len(cuts) - 1).bit_length() - 1)
     range_of = F.lit(0)
     while step:  # binary search: the number of cuts under the key
-        range_of = _let(range_of, lambda low, s=step: F.when((low + s <= len(cuts)) & (F.get(bounds, low + s - 1) < F.col("_k")), low + s).otherwise(low))
+        range_of = _let(range_of, _halve(bounds, len(cuts), step))
         step //= 2
     last = F.get(bounds, F.col("_range")) == F.col("_k")
     sent = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("x")), F.struct(((F.col("_range") + 1) % len(cuts)).alias("r"), F.lit(1).alias("x")))
