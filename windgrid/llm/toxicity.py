@@ -19,7 +19,6 @@ others are kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -134,27 +133,30 @@ def _once(texts: pa.Array) -> list[int]:
 def choose_words(texts: list[str], toxic: np.ndarray, most: int = FEATURES) -> list[str]:
     """Features whose rate among the words of toxic texts exceeds that of clean ones most surely (root of the log-likelihood ratio). A text counts a feature at most 3 times."""
     texts = pa.array(texts, pa.string())
-    count, docs, total = (Counter(), Counter()), Counter(), [0, 0]
-    for i in _once(texts):
-        found = words(texts.slice(i, 1))[0]
-        own = Counter(f for kind in word_features(found) for f in kind.to_pylist() if f)
-        to = int(toxic[i])
-        total[to] += len(found)
-        for f, c in own.items():
-            count[to][f] += min(c, 3)
-        if to:
-            docs.update(own.keys())
+    keep = np.array(_once(texts), dtype=np.int64)
+    found, offsets = words(pc.take(texts, pa.array(keep)))
+    label, size = toxic[keep], np.diff(offsets)
+    total = [int(size[~label].sum()), int(size[label].sum())]
     if not min(total):
         return []
-    z = {}
-    for f, n in docs.items():
-        if n >= 3:
-            a, b = count[1][f], count[0][f]
-            e = (a + b) * total[1] / (total[0] + total[1])
-            if a > e:
-                z[f] = np.sqrt(2 * (a * np.log(a / e) + (b * np.log(b / (a + b - e)) if b else 0)))
-    least = max([3.0, *(0.2 * x for x in z.values())])
-    return sorted((f for f, x in z.items() if x >= least), key=lambda f: (-z[f], f))[:most]
+    doc = np.repeat(np.arange(len(keep)), size)
+    score: dict[str, float] = {}
+    for kind in word_features(found):
+        coded = pc.dictionary_encode(pc.fill_null(kind, ""))
+        names = coded.dictionary
+        n = len(names)
+        pair, times = np.unique(doc * n + coded.indices.to_numpy(), return_counts=True)
+        owner, code = np.divmod(pair, n)
+        times, bad = np.minimum(times, 3), label[owner]
+        a, b = np.bincount(code, weights=times * bad, minlength=n), np.bincount(code, weights=times * ~bad, minlength=n)
+        docs = np.bincount(code, weights=bad, minlength=n)
+        e = np.maximum((a + b) * total[1] / sum(total), 1e-9)
+        g = np.sqrt(np.maximum(0, 2 * (a * np.log(np.maximum(a, 1e-9) / e) + b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - e, 1e-9)))))
+        best = np.flatnonzero((docs >= 3) & (a > e))
+        best = best[np.argsort(-g[best], kind="stable")][: 4 * most]
+        score |= {f: float(x) for f, x in zip(pc.take(names, pa.array(best)).to_pylist(), g[best], strict=True) if f}
+    least = max([3.0, *(0.2 * x for x in score.values())])
+    return sorted((f for f, x in score.items() if x >= least), key=lambda f: (-score[f], f))[:most]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
