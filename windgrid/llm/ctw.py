@@ -45,29 +45,42 @@ DEPTH = 5
 END = 0xFF
 CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 60_000
 HALF = np.log(0.5)
-_DOC = np.uint64(0xFFFF)
 
 
 def packed_grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For every byte and end of every text one sorted uint64: five context bytes, the last one uppermost, the byte, and 16 bits of the text's place."""
     n = np.diff(offsets)
     docs = len(n)
-    total = int(n.sum()) + docs * (DEPTH + 1)
-    padded = np.full(total, END, dtype=np.uint8)
-    first = offsets[:-1] + np.arange(docs) * (DEPTH + 1) + DEPTH
-    padded[np.arange(len(raw)) + np.repeat(first - offsets[:-1], n)] = raw
-    doc = np.repeat(np.arange(docs, dtype=np.uint64), n + 1)
-    at = np.arange(len(doc)) + np.repeat((np.arange(docs) + 1) * DEPTH, n + 1)
-    out = doc | padded[at].astype(np.uint64) << np.uint64(16)
-    for back in range(1, DEPTH + 1):
-        out |= padded[at - back].astype(np.uint64) << np.uint64(64 - 8 * back)
+    padded = np.full(int(n.sum()) + docs * (DEPTH + 1), END, dtype=np.uint8)
+    keep = np.ones(len(padded), dtype=bool)
+    begin = offsets[:-1] + np.arange(docs) * (DEPTH + 1)  # each text: DEPTH ends as its first context, its bytes, an end
+    for k in range(DEPTH):
+        keep[begin + k] = False
+    body = keep.copy()
+    body[begin + DEPTH + n] = False
+    padded[body] = raw
+    doc = np.repeat(np.arange(docs, dtype=np.uint16), n + 1)
+    out, done = np.empty(len(doc), dtype=np.uint64), 0
+    for a in range(DEPTH, len(padded), 1 << 20):  # a million places at a time: the temporaries stay small
+        b = min(len(padded), a + (1 << 20))
+        key = padded[a:b].astype(np.uint64) << np.uint64(16)
+        for back in range(1, DEPTH + 1):
+            key |= padded[a - back : b - back].astype(np.uint64) << np.uint64(64 - 8 * back)
+        key = key[keep[a:b]]
+        out[done : done + len(key)] = key | doc[done : done + len(key)]
+        done += len(key)
     out.sort()
     return out
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    new = np.empty(len(keys), dtype=bool)
+    new[0] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -230,7 +243,7 @@ class Chunk:
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct grams, where each begins among all sorted ones, and the text of every one of these."""
         packed = packed_grams(self.raw, self.offsets)
-        doc = (packed & _DOC).astype(np.int64)
+        doc = packed.astype(np.uint16)
         packed >>= np.uint64(16)
         at = _runs(packed)
         return packed[at], at, doc
@@ -262,7 +275,7 @@ def _deal(buckets: int):
                 chunk, rows = Chunk(row), []
                 for kind in (GRAMS, WORDS):
                     keys, at, doc = chunk.of(kind)
-                    counts = np.add.reduceat((~chunk.held)[doc].astype(np.int64), at).astype("<u4")
+                    counts = np.add.reduceat((~chunk.held)[doc], at, dtype=np.uint32).astype("<u4")
                     to = _bucket(keys, kind, buckets)
                     order = np.argsort(to, kind="stable")
                     cuts = np.searchsorted(to[order], np.arange(buckets + 1))
