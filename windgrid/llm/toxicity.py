@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +49,13 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 PREFIXES = (3, 4, 5, 6)
 
 
-def word_features(found: pa.Array) -> list[pa.Array]:
-    """An array a kind of feature, null where a word has none."""
-    out, size = [found], pc.utf8_length(found)
+def word_features(found: pa.Array) -> Iterator[pa.Array]:
+    """An array a kind of feature, null where a word has none; one at a time."""
+    yield found
+    size = pc.utf8_length(found)
     for n in PREFIXES:
         stem = pc.binary_join_element_wise(pc.utf8_slice_codeunits(found, 0, n), "", "*")
-        out.append(pc.if_else(pc.greater(size, n), stem, pa.scalar(None, pa.string())))
-    return out
+        yield pc.if_else(pc.greater(size, n), stem, pa.scalar(None, pa.string()))
 
 
 def counts(texts: pa.Array, vocabulary: pa.Array) -> np.ndarray:
@@ -122,7 +123,8 @@ def _once(texts: pa.Array) -> list[int]:
     """Places of the texts that aren't near-copies of an earlier one: none of four minhashes of their word shingles is shared."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, s in enumerate(shingle_sets(texts)):
+    parts = (shingle_sets(texts.slice(at, 100)) for at in range(0, len(texts), 100))
+    for i, s in enumerate(chain.from_iterable(parts)):
         mine = {(k, int(mix64(s * np.uint64(2 * k + 1) + np.uint64(k)).min())) for k in range(4)} if len(s) else {(-1, 0)}
         if not mine & seen:
             out.append(i)
@@ -140,12 +142,15 @@ def choose_words(texts: list[str], toxic: np.ndarray, most: int = FEATURES) -> l
     if not min(total):
         return []
     doc = np.repeat(np.arange(len(keep)), size)
+    del texts
     score: dict[str, float] = {}
     for kind in word_features(found):
         coded = pc.dictionary_encode(pc.fill_null(kind, ""))
-        names = coded.dictionary
+        del kind
+        names, pair = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         n = len(names)
-        pair, times = np.unique(doc * n + coded.indices.to_numpy(), return_counts=True)
+        pair += doc * n
+        pair, times = np.unique(pair, return_counts=True)
         owner, code = np.divmod(pair, n)
         times, bad = np.minimum(times, 3), label[owner]
         a, b = np.bincount(code, weights=times * bad, minlength=n), np.bincount(code, weights=times * ~bad, minlength=n)
@@ -159,16 +164,12 @@ def choose_words(texts: list[str], toxic: np.ndarray, most: int = FEATURES) -> l
     return sorted((f for f, x in score.items() if x >= least), key=lambda f: (-score[f], f))[:most]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
-    """The model, from at most `sample` labelled documents."""
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id")
-    toxic = rows["toxic"].to_numpy().astype(bool)
-    vocabulary = choose_words(rows["text"].tolist(), toxic) if len(rows) else []
+def fit_sample(texts: list[str], toxic: np.ndarray) -> Ordinal | None:
+    """The model of labelled texts; none without both labels or telling features."""
+    vocabulary = choose_words(texts, toxic) if toxic.any() and not toxic.all() else []
     if not vocabulary:
         return None
-    x = counts(pa.array(rows["text"], pa.string()), pa.array(vocabulary, pa.string()))
+    x = counts(pa.array(texts, pa.string()), pa.array(vocabulary, pa.string()))
     held = x[:, :-1].sum(1)
     edges = np.quantile(held[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + np.searchsorted(edges, held, side="left"), 0)
@@ -176,6 +177,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
     return Ordinal(vocabulary, weights, cuts, least_error(x @ weights, toxic))
 
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
+    """The model, from at most `sample` labelled documents. One task fits it on that bounded sample; the driver gets its numbers alone."""
+    ship(docs.sparkSession)
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        if model := fit_sample(t["text"].to_pylist(), t["label"].to_numpy() > 0):
+            columns = [model.words, model.weights.tolist(), model.cuts.tolist(), model.reject]
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], names=["words", "weights", "cuts", "reject"])
+
+    got = rows.repartition(1).mapInArrow(run, "words array<string>, weights array<double>, cuts array<double>, reject double").collect()
+    return Ordinal(list(got[0]["words"]), np.array(got[0]["weights"]), np.array(got[0]["cuts"]), got[0]["reject"]) if got else None
+
+
 def least_error(score: np.ndarray, toxic: np.ndarray) -> float:
     """The score that parts the labels with the least sum of both classes' error rates, in the middle of its gap."""
     order = np.argsort(score, kind="stable")
