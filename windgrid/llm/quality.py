@@ -15,8 +15,8 @@ documents, by hash of their id; the site statistics cover all documents.
 Nulls: a null text is an empty one; null hosts and paths are groups of their
 own; null labels are ignored. Without labels of both kinds p is 1 for all.
 Repeated rows count as often as they stand. Columns named as the results
-(p_text, p_site, quality, keep) are replaced; others are kept. An empty table
-gives an empty result.
+(p_text, p_site, quality, keep) are replaced; others are kept (but for names that begin with _q_). An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -178,16 +178,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.drop("p_text", "p_site", "quality", "keep")
     columns = docs.columns
     host, path = site(F.col("source"), F.col("lang"))
-    named = docs.withColumns({"_host": host, "_path": path})
+    named = docs.withColumns({"_q_host": host, "_q_path": path})
     model = fit(docs, labels)
-    small = evidence(named.select("text", "_host", "_path"), model).select(F.col("_host").alias("host"), F.col("_path").alias("path"), "p_text")
-    sites = rate_sites(small)
+    small = evidence(named.select("text", "_q_host", "_q_path"), model).select(F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "p_text")
+    sites = rate_sites(small).toDF("_q_site_host", "_q_site_path", "p_site", "_q_all")
     # a host or path may hold a third of all rows: the sites' side is one row each, and Spark may split the documents' side
-    both = evidence(named, model).join(sites, F.col("_host").eqNullSafe(F.col("host")) & F.col("_path").eqNullSafe(F.col("path")))
-    odds = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)) / (1 - F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)))
-    ratio = odds(F.col("p_text")) * odds(F.col("p_site")) / odds(F.col("p_all"))
-    out = both.withColumn("_q", ratio / (1 + ratio))
-    return out.select(*columns, "p_text", "p_site", F.col("_q").alias("quality"), (F.col("_q") >= 0.5).alias("keep"))
+    same = F.col("_q_host").eqNullSafe(F.col("_q_site_host")) & F.col("_q_path").eqNullSafe(F.col("_q_site_path"))
+    clip = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    odds = lambda p: clip(p) / (1 - clip(p))
+    ratio = odds(F.col("p_text")) * odds(F.col("p_site")) / odds(F.col("_q_all"))
+    out = evidence(named, model).join(sites, same).withColumn("_q_posterior", ratio / (1 + ratio))
+    return out.select(*columns, "p_text", "p_site", F.col("_q_posterior").alias("quality"), (F.col("_q_posterior") >= 0.5).alias("keep"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
