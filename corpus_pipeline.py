@@ -40,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = _labels(spark, sf_dir)
-    names = {"p_text", "p_site", "p_all", "quality", "keep", "host", "path", "_host", "_path", "_q"}
+    names = {"p_text", "p_site", "quality", "keep", *(c for c in docs.columns if c.startswith("_q_"))}
     return _filtered(docs, names, lambda d: quality.classify(d, labels).where("keep"))
 
 
