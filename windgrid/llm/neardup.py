@@ -40,12 +40,13 @@ from .words import shingle_sets
 SIDE, BAND, BLOCK, NUM, DEN = 12, 4, 1024, 85, 100
 
 
-def _chunks(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `size` bytes of text (column 1)."""
     size_of = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(size_of) // size, prepend=-1)).tolist()
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def bands(sets: list[np.ndarray]) -> np.ndarray:

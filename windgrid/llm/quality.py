@@ -112,8 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logistic |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(features(b.column(0))), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([pa.array(list(features(part.column(0))), pa.list_(pa.float64())), part.column(1)], names=["x", "label"])
 
     got = rows.mapInArrow(run, "x array<double>, label int").toPandas()
     y = got["label"].to_numpy() > 0
@@ -134,8 +135,8 @@ def evidence(docs: DataFrame, model: Logistic | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.p(features(b.column(place))))], names=[*b.schema.names, "p_text"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("p_text", T.DoubleType())]))

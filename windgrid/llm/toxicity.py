@@ -222,8 +222,8 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(model.words, pa.string())
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 x = counts(batch.column(place), vocabulary)
                 p = model.probabilities(x)
                 more = [pa.array(list(p), pa.list_(pa.float64())), pa.array(p.sum(1)), pa.array(model.scores(x) >= model.reject)]

@@ -18,13 +18,24 @@ _POWERS = np.ones(1, dtype=np.uint64)
 _INVERSE = np.ones(1, dtype=np.uint64)
 
 
+#: Bytes of text that are hashed at a time; a longer text is one piece by itself.
+PIECE = 2 << 20
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse; kept for pieces of the usual size."""
     global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        back = np.uint64(pow(int(_STEP), -1, 1 << 64))
-        _POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _STEP)]))
-        _INVERSE = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, back)]))
-    return _POWERS, _INVERSE
+    if len(_POWERS) >= n:
+        return _POWERS, _INVERSE
+    n = max(n, PIECE + 1)
+    back = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    powers, inverse = (np.full(n, x) for x in (_STEP, back))
+    powers[0] = inverse[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(inverse, out=inverse)
+    if n == PIECE + 1:
+        _POWERS, _INVERSE = powers, inverse
+    return powers, inverse
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +52,15 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z as a-z), and the n + 1 offsets of the texts in them."""
     raw, offsets = buffer(texts)
+    if len(raw) > PIECE and len(offsets) > 2:
+        cuts = [0, *(np.flatnonzero(np.diff((offsets[1:] - 1) // PIECE)) + 1).tolist(), len(offsets) - 1]
+        parts = [_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+        before = np.cumsum([0, *[len(h) for h, _ in parts]])
+        return np.concatenate([h for h, _ in parts]), np.concatenate([[0], *[e[1:] + n for (_, e), n in zip(parts, before[:-1], strict=True)]])
+    return _hashes(raw, offsets)
+
+
+def _hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SPACE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
