@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship  # noqa: F401
+
 #: ASCII white space of the word contract: 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,31 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_KEPT: set[str] = set()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. The application's tables go when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/windgrid/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/windgrid/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if folder not in _KEPT:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _KEPT.add(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once an application."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="windgrid-")) / "windgrid_package.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in package.rglob("*.py"):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(to))
-    _SHIPPED.add(context.applicationId)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; F.lower would also change other letters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
