@@ -110,10 +110,10 @@ def fill_nearest(raster: DataFrame, value: str) -> DataFrame:
         best = ring.join(known, ["i", "j"]).groupBy("_i", "_j").agg(F.min(F.struct(d2.alias("d2"), "i", "j", F.col(value).alias("v"))).alias("b"))
         last = radius >= size
         best = best if last else best.where(F.col("b.d2") <= radius * radius)
-        part = best.select(F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("b.v").alias(value))
+        part = best.select(F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("b.v").alias(value)).persist()  # read by the result and by what is left to do
         done = done.unionByName(part)
-        todo = todo.join(part, ["i", "j"], "left_anti")
-        if last or not todo.take(1):
+        todo = todo.join(part, ["i", "j"], "left_anti").persist()
+        if last or todo.isEmpty():
             return done
         radius *= 2
 

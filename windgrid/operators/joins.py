@@ -41,28 +41,33 @@ def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, node_key: l
     within a cell's width look in cells four times as wide, and so on. With max_dist, a point whose nearest
     node lies further away fails the query.
     """
-    spark, todo, found, width = points.sparkSession, points.select(point_id, "x", "y"), None, cell
-    span = nodes.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    reach = points.crossJoin(nodes.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")))
-    far = reach.agg(F.max(F.greatest(F.abs(F.col("x") - F.col("a")), F.abs(F.col("x") - F.col("b"))) + F.greatest(F.abs(F.col("y") - F.col("c")), F.abs(F.col("y") - F.col("d"))))).first()[0] or 0.0
+    todo, found, width = points.select(point_id, "x", "y"), None, cell
+    box = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    out_x, out_y = (F.greatest(F.abs(F.col(v) - F.col(f"{v}0")), F.abs(F.col(v) - F.col(f"{v}1"))) for v in ("x", "y"))
+    far = points.crossJoin(box).agg(F.max(out_x + out_y)).first()[0] or 0.0  # no node is further from any point
     at = lambda v, w: F.floor(F.col(v) / F.lit(w)).cast("long")
+    around = F.array(*map(F.lit, (-1, 0, 1)))
     while True:
         sites = nodes.select(*node_key, F.col("x").alias("_x"), F.col("y").alias("_y"), at("x", width).alias("_cx"), at("y", width).alias("_cy"))
-        probes = todo.withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+        probes = todo.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
         probes = probes.withColumn("_cx", at("x", width) + F.col("_dx")).withColumn("_cy", at("y", width) + F.col("_dy"))
         d2 = (F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2
         best = probes.join(sites, ["_cx", "_cy"]).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), *node_key)).alias("b"))
-        last = width > far + span[0] if span[1] else True
+        last = width > far
         sure = best if last else best.where(F.col("b.d2") <= width * width)
         part = sure.select(point_id, *[F.col(f"b.{k}").alias(k) for k in node_key], F.sqrt("b.d2").alias("dist"))
+        if not last:
+            part = part.persist()  # read by the result and by what is left to do
         found = part if found is None else found.unionByName(part)
         if last:
             break
-        todo, width = todo.join(part, point_id, "left_anti"), width * 4
+        todo = todo.join(part, point_id, "left_anti").persist()
+        if todo.isEmpty():
+            break
+        width *= 4
     if max_dist is not None:
         ok = F.assert_true(F.col("dist") <= max_dist, F.concat(F.lit("nearest node too far from point "), F.col(point_id).cast("string")))
         found = found.where(ok.isNull())
-    del spark
     return found
 
 
