@@ -469,3 +469,22 @@ def test_pipeline_is_its_stages(spark, docs, rows, sf):
     want = Counter({i: 1 for i, (_, c) in comps.items() if i == c}) + Counter(x[0] for x in kept if x[0] is None)
     out = corpus_pipeline.run(spark, sf).where("piece = 0").select("doc_id").collect()
     assert Counter(r["doc_id"] for r in out) == want
+
+
+@pytest.mark.parametrize("name", ["op6_chat", "op10_topk"])
+def test_queries_equal_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tests.conftest import DATA
+    from windgrid.llm import registry
+
+    sf = DATA / "sf0.001"
+    if not sf.exists():
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for p in sf.glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    cursor = c.execute(registry.oracle_sql()[name])
+    names = sorted(d[0] for d in cursor.description)
+    place = {d[0]: k for k, d in enumerate(cursor.description)}
+    want = sorted(tuple(r[place[n]] for n in names) for r in cursor.fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in registry.queries()[name](spark, str(sf)).collect()) == want
