@@ -30,7 +30,7 @@ WORD_SHIFT, WORD_MASK = 8, 255
 MAX_RANK = 1 << 16
 BIT = [1 << k for k in range(1 << WORD_SHIFT)]
 #: Distinct pre-tokens that a worker remembers, of at most 64 characters each.
-CACHE = 1_000_000
+CACHE = 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
