@@ -84,7 +84,7 @@ def shard_groups(df: DataFrame, key: str, size: str, order: list[str], shards: i
     counts = out.groupBy("shard", "_part").count()
     counts = counts.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     slot = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*order)) - 1
-    out = out.withColumn("_slot", slot).join(F.broadcast(counts), ["shard", "_part"])  # shards * buckets rows, under 1/1000 of the rows
+    out = out.withColumn("_slot", slot).join(counts, ["shard", "_part"])
     return out.withColumn("slot", (F.col("_slot") + F.col("_before")).cast("long")).drop("_slot", "_before", "_part")
 
 
