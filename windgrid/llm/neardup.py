@@ -38,6 +38,8 @@ from .graph import components
 from .words import shingle_sets
 
 SIDE, BAND, BLOCK, NUM, DEN = 12, 4, 1024, 85, 100
+#: Rows of a partition that are linked at a time.
+LOCAL = 20_000
 
 
 def _chunks(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -85,31 +87,17 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _first_of_keys(x: pd.DataFrame, keys: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key its least rep."""
+def _first_of_keys(keys: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and each one's least rep."""
     order = np.lexsort((reps, keys))
     keys, reps = keys[order], reps[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], reps[first]
 
 
-def _local_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, rep): the first rep of every table key here; rows (null, rep, to): a rep and the first one of a key they share."""
-    rows = [x for x in batches if len(x)]
-    if not rows:
-        return
-    x = pd.concat(rows, ignore_index=True)
-    known_keys, known_reps = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    links = [np.zeros((0, 2), np.int64)]
-    reps = x["rep"].to_numpy()
-    n = [len(a) for a in x["left"]]
-    left = np.zeros((len(x), SIDE), np.uint64)
-    right = np.zeros((len(x), SIDE), np.uint64)
-    for out, column in ((left, "left"), (right, "right")):
-        for i, b in enumerate(x[column]):  # (band, hash) pairs flattened
-            b = np.asarray(b, dtype=np.int64)
-            out[i, b[0::2]] = b[1::2].view(np.uint64)
-    del n
+def _links_of(reps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table keys of these reps, the least rep of each, and pairs of a rep and the least one of a key it has. A band of 0 is none."""
+    all_keys, all_reps, links = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros((0, 2), np.int64)
     for a in range(SIDE):
         for b in range(SIDE):
             there = np.flatnonzero((left[:, a] != 0) & (right[:, b] != 0))
@@ -117,14 +105,40 @@ def _local_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             keys = mix64(mix64(left[there, a] + np.uint64(a + 1)) ^ (right[there, b] * np.uint64(2 * b + 3)))
             own = reps[there]
-            first_keys, first_reps = _first_of_keys(x, keys, own)
+            first_keys, first_reps = _first_of_keys(keys, own)
             to = first_reps[np.searchsorted(first_keys, keys)]
-            pairs = np.column_stack([own, to])[own != to]
-            links.append(np.unique(pairs, axis=0))
-            known_keys, known_reps = np.concatenate([known_keys, first_keys]), np.concatenate([known_reps, first_reps])
-        links = [np.unique(np.concatenate(links), axis=0)]
-    pairs = links[0]
-    yield pd.DataFrame({"key": pd.array([*known_keys.view(np.int64), *[None] * len(pairs)], dtype="Int64"), "rep": np.concatenate([known_reps, pairs[:, 0]]), "to": pd.array([*[None] * len(known_reps), *pairs[:, 1]], dtype="Int64")})
+            links = np.unique(np.concatenate([links, np.column_stack([own, to])[own != to]]), axis=0)
+            all_keys.append(first_keys)
+            all_reps.append(first_reps)
+    return np.concatenate(all_keys), np.concatenate(all_reps), links
+
+
+def _local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every LOCAL rows: rows (key, rep), the first rep of every table key; rows (null, rep, to), a rep and the first one of a key they share."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        reps = t["rep"].to_numpy()
+        sides = []
+        for name in ("left", "right"):  # (band, hash) pairs, flattened
+            lists = t[name].combine_chunks()
+            flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()) // 2
+            side = np.zeros((len(reps), SIDE), np.uint64)
+            side[np.repeat(np.arange(len(reps)), n), flat[0::2]] = flat[1::2].view(np.uint64)
+            sides.append(side)
+        keys, firsts, links = _links_of(reps, *sides)
+        no_keys, no_to = pa.nulls(len(links), pa.int64()), pa.nulls(len(keys), pa.int64())
+        columns = [[pa.array(keys.view(np.int64)), no_keys], [pa.array(firsts), pa.array(links[:, 0])], [no_to, pa.array(links[:, 1])]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["key", "rep", "to"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= LOCAL:
+            yield flush(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield flush(held)
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
@@ -136,7 +150,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     flat = lambda own, less: F.flatten(F.transform(F.filter("b", own), lambda s: F.array(s["band"].cast("long") - less, s["hash"])))
     met = met.select("rep", flat(lambda s: s["band"] < SIDE, 0).alias("left"), flat(lambda s: s["band"] >= SIDE, SIDE).alias("right"))
     met = met.where((F.size("left") > 0) & (F.size("right") > 0))
-    local = durable(met.mapInPandas(_local_links, "key long, rep long, to long"))
+    local = durable(met.mapInArrow(_local_links, "key long, rep long, to long"))
     keys = local.where("key IS NOT NULL").select("key", "rep").distinct()
     first = keys.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     across = keys.join(first, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
@@ -152,14 +166,6 @@ def forest(sets: list[np.ndarray], rows: range, columns: range, num: int = NUM,
     new = np.cumsum(count > 1) - 1
     code, owner = new[code[keep]], owner[keep]
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     r0, r1, c0, c1 = rows.start, rows.stop, columns.start, columns.stop
     common = np.zeros((r1 - r0, c1 - c0), dtype=np.float32)
     order = np.argsort(code, kind="stable")
@@ -172,12 +178,15 @@ def forest(sets: list[np.ndarray], rows: range, columns: range, num: int = NUM,
         common += m[r0:r1] @ m[c0:c1].T
     common = common.astype(np.int64)
     union = size[r0:r1, None] + size[None, c0:c1] - common
-    out = []
-    for i, j in zip(*(k.tolist() for k in np.nonzero((den * common >= num * union) & (common > 0))), strict=True):
-        a, b = root(i + r0), root(j + c0)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((i + r0, j + c0))
+    linked = (den * common >= num * union) & (common > 0)
+    part, out = np.arange(len(sets)), []  # part: which tree of the forest a set is in
+    for i in range(r0, r1):
+        near = np.flatnonzero(linked[i - r0]) + c0
+        other = near[part[near] != part[i]]
+        if len(other):
+            joined, first = np.unique(part[other], return_index=True)
+            out += [(i, j) for j in other[first].tolist()]
+            part[np.isin(part, joined)] = part[i]
     return out
 
 
