@@ -31,7 +31,7 @@ from .common import durable, pieces_of, ship
 
 END_ID = 0
 #: Distinct words that a worker remembers.
-CACHE = 300_000
+CACHE = 900_000
 
 
 class WordMerger:
@@ -194,8 +194,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: boo
         for batch in batches:
             docs, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(size) // (2 << 20), prepend=-1)).tolist()
-            for at, to in zip(cuts, [*cuts[1:], len(docs)], strict=True):  # about 2 MB of text at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // (4 << 20), prepend=-1)).tolist()
+            for at, to in zip(cuts, [*cuts[1:], len(docs)], strict=True):  # about 4 MB of text at a time
                 ids, ends = t.texts(texts.slice(at, to - at))
                 rows, begin = [], 0
                 for doc, end in zip(docs[at:to], ends.tolist(), strict=True):
