@@ -3,16 +3,19 @@
 The shape k solves  sum(w x^k ln x) / sum(w x^k) - 1/k - sum(w ln x) / sum(w) = 0
 in [0.1, 50]; the left side rises with k. Speeds are scaled by their largest, so
 x^k stays within range. Without a root the unweighted fit stands in. Rows are first
-summed by distinct speed, map-side, so a group's one task solves over its distinct
-speeds and not over its rows.
+summed by distinct speed, map-side, so a group is solved over its distinct speeds and
+not over its rows; the groups of a batch are solved side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..deploy import ship
 from ..functions import binning as B
@@ -21,33 +24,49 @@ from ..functions import physics as P
 LOW, HIGH, HIGH_UNWEIGHTED = 0.1, 50.0, 5000.0
 
 
-def solve(x: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
-    """(k, A), NaN for fewer than two speeds or equal ones. Only positive, finite speeds and weights count. n: how many rows a speed stands for."""
-    n = np.ones_like(w) if n is None else n
+def solve_many(x: np.ndarray, w: np.ndarray, n: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """k and A of many groups side by side; size: how many entries each has, one after another. n: how many rows an entry stands for.
+
+    NaN for fewer than two speeds or equal ones. Only positive, finite speeds and weights count.
+    """
+    group = np.repeat(np.arange(len(size)), size)
     m = np.isfinite(x) & (x > 0) & np.isfinite(w) & (w > 0)
-    x, w, n = x[m], w[m], n[m]
-    if x.size < 2 or np.allclose(x, x[0]):
-        return np.nan, np.nan
-    top = x.max()
-    y = x / top
-    ly = np.log(y)
-
-    def gap(k: float, v: np.ndarray) -> float:
-        p = v * y**k
-        return float((p * ly).sum() / p.sum() - 1 / k - (v * ly).sum() / v.sum())
-
-    def root(v: np.ndarray, high: float) -> float:
-        low = LOW
-        for _ in range(80):
-            mid = (low + high) / 2
-            low, high = (mid, high) if gap(mid, v) < 0 else (low, mid)
-        return (low + high) / 2
-
-    high = HIGH
-    if gap(LOW, w) * gap(HIGH, w) > 0:  # no root in the bracket: the unweighted fit
-        w, high = n, HIGH_UNWEIGHTED
-    k = root(w, high)
-    return k, float(top * ((w * y**k).sum() / w.sum()) ** (1 / k))
+    x, w, n, group = x[m], w[m], n[m], group[m]
+    k, a = np.full(len(size), np.nan), np.full(len(size), np.nan)
+    if not len(x):
+        return k, a
+    each, first, at, count = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    spread = np.maximum.reduceat(np.abs(x - x[first][at]), first)
+    fits = (count >= 2) & (spread > 1e-8 + 1e-5 * x[first])
+    keep = fits[at]
+    if not keep.any():
+        return k, a
+    x, w, n, each, count = x[keep], w[keep], n[keep], each[fits], count[fits]
+    first = np.cumsum(count) - count
+    total = lambda v: np.add.reduceat(v, first)
+    top = np.maximum.reduceat(x, first)
+    y = np.log(x / np.repeat(top, count))
+
+    def gap(k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        p = v * np.exp(y * np.repeat(k, count))
+        return total(p * y) / total(p) - 1 / k - total(v * y) / total(v)
+
+    low, high = np.full(len(each), LOW), np.full(len(each), HIGH)
+    bare = gap(low, w) * gap(high, w) > 0  # no root in the bracket: the unweighted fit
+    w, high = np.where(np.repeat(bare, count), n, w), np.where(bare, HIGH_UNWEIGHTED, high)
+    for _ in range(80):
+        mid = (low + high) / 2
+        below = gap(mid, w) < 0
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    k[each] = mid = (low + high) / 2
+    a[each] = top * (total(w * np.exp(y * np.repeat(mid, count))) / total(w)) ** (1 / mid)
+    return k, a
+
+
+def solve(x: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """(k, A) of one group."""
+    k, a = solve_many(np.asarray(x, dtype=float), np.asarray(w, dtype=float), np.ones(len(x)), np.array([len(x)]))
+    return float(k[0]), float(a[0])
 
 
 def distinct_speeds(df: DataFrame, by: list[str], speed: str, weight: str | None) -> DataFrame:
@@ -58,15 +77,19 @@ def distinct_speeds(df: DataFrame, by: list[str], speed: str, weight: str | None
 def fit(df: DataFrame, by: list[str], speed: str = "ws", weight: str | None = None) -> DataFrame:
     """by, k, a (null where there is no fit)."""
     ship(df.sparkSession)
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in by] + ["k double", "a double"])
-
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        k, a = solve(x["_x"].to_numpy(dtype=float), x["_w"].to_numpy(dtype=float), x["_n"].to_numpy(dtype=float))
-        return pd.DataFrame([[*key, k, a]], columns=[*by, "k", "a"])
-
-    out = distinct_speeds(df, by, speed, weight).groupBy(*by).applyInPandas(run, schema)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("k", "a")})
+    lists = [F.collect_list(c).alias(c) for c in ("_x", "_w", "_n")]
+    grouped = distinct_speeds(df, by, speed, weight).groupBy(*by).agg(*lists)
+    keys = df.select(*by).schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, w, n = (b.column(c) for c in ("_x", "_w", "_n"))
+                k, a = solve_many(*(c.flatten().to_numpy() for c in (x, w, n)), np.diff(x.offsets.to_numpy()))
+                found = [pa.array(v, from_pandas=True) for v in (k, a)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], *found], names=[*by, "k", "a"])
+
+    return grouped.mapInArrow(run, T.StructType([*keys, T.StructField("k", T.DoubleType()), T.StructField("a", T.DoubleType())]))
 
 
 def fit_moments(df: DataFrame, by: list[str], speed: str = "ws") -> DataFrame:
