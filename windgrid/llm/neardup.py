@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, pieces_of, ship
+from .common import durable, mix64, pieces_of, release, ship
 from .graph import components
 from .words import shingle_sets
 
@@ -48,7 +48,7 @@ def _chunks(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBat
     cuts = np.flatnonzero(np.diff(np.cumsum(size_of) // size, prepend=-1)).tolist()
     for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def bands(sets: list[np.ndarray]) -> np.ndarray:

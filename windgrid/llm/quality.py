@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, ship
+from .common import durable, release, ship
 from .words import SPACE, buffer, word_hashes
 
 SAMPLE = 6000
@@ -138,6 +138,7 @@ def evidence(docs: DataFrame, model: Logistic | None) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.p(features(b.column(place))))], names=[*b.schema.names, "p_text"])
+            release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("p_text", T.DoubleType())]))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, ship
+from .common import mix64, release, ship
 from .words import shingle_sets
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»„“”…–—"
@@ -228,6 +228,7 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
                 p = model.probabilities(x)
                 more = [pa.array(list(p), pa.list_(pa.float64())), pa.array(p.sum(1)), pa.array(model.scores(x) >= model.reject)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "p_grade", "severity", "toxic"])
+            release()
 
     return docs.mapInArrow(run, schema)
 
