@@ -31,7 +31,7 @@ from .common import durable, pieces_of, release, ship
 
 END_ID = 0
 #: Distinct words that a worker remembers.
-CACHE = 300_000
+CACHE = 400_000
 
 
 class WordMerger:
@@ -150,8 +150,9 @@ class WordTokenizer:
         for w in new:
             fast = w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w.lower() == w and len(raw := w.encode()) <= WordMerger.WIDTH
             plain.append((w, raw)) if fast else other.append(w)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
+        plain.sort(key=lambda p: len(p[1]))  # words of one length share a narrow matrix
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
             ids, size = self.merger.encode([raw for _, raw in part])
             self._add([w for w, _ in part], size, ids)
         for at in range(0, len(other), 20_000):
@@ -194,8 +195,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: boo
         for batch in batches:
             docs, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(size) // (2 << 20), prepend=-1)).tolist()
-            for at, to in zip(cuts, [*cuts[1:], len(docs)], strict=True):  # about 2 MB of text at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // (4 << 20), prepend=-1)).tolist()
+            for at, to in zip(cuts, [*cuts[1:], len(docs)], strict=True):  # about 4 MB of text at a time
                 ids, ends = t.texts(texts.slice(at, to - at))
                 rows, begin = [], 0
                 for doc, end in zip(docs[at:to], ends.tolist(), strict=True):
@@ -204,7 +205,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: boo
                         rows.append((doc, k, p - begin, len(part), zlib.crc32(part.astype("<u4").tobytes())) + ((part.astype(np.int32),) if with_ids else ()))
                     begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                release()
+            release()
 
     names = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, names)
