@@ -5,7 +5,8 @@ the last, returns rows of docs with their columns as they came. Decisions are
 made where the rows are; only the near-copies' ids are joined back, by doc_id.
 A repeated doc_id is one document from the third stage on; rows without a doc_id
 are never dropped as copies. Columns that clash with an operator's results are
-set aside and come back unchanged. Empty tables pass through.
+set aside and come back unchanged. Empty tables pass through. Near-copies are
+linked from a shingle Jaccard index of 0.80 on; op4_neardup's threshold is 0.85.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from windgrid.llm import neardup, packing, quality, toxicity
 #: The classifiers' model file and capacity are parameters of these functions; these are the production values.
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
+#: Near-copies: a Jaccard index of 80 / 100 at least, met by bands of 3 minhashes.
+ALIKE, BAND = (80, 100), 3
 
 
 def _filtered(docs: DataFrame, results: set[str], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -45,7 +48,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, *ALIKE, BAND).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_once", once).where("_once = 1").drop("_once")
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -471,6 +471,22 @@ def test_pipeline_is_its_stages(spark, docs, rows, sf):
     assert Counter(r["doc_id"] for r in out) == want
 
 
+def test_pipeline_drops_copies_from_eighty_percent(spark, tmp_path):
+    """Pairs of 0.80 to 0.85, which op4_neardup keeps apart, lose their copy; those just under 0.80 stay."""
+    rng = random.Random(11)
+    pairs, alike = [], {}
+    for i in range(60):  # a tail of n other words in place of the last ones: 100 shingles in common of 100 + 2 n
+        n = (10, 11, 12, 13)[i % 4]
+        w = [f"w{i}x{rng.randint(0, 10**9)}" for _ in range(104 + n)]
+        other = w[:104] + [f"v{i}x{rng.randint(0, 10**9)}" for _ in range(n)]
+        pairs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+        alike[i] = 100 / (100 + 2 * n)
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()}
+    assert left == {2 * i for i in alike} | {2 * i + 1 for i, j in alike.items() if j < 0.8}
+    assert neardup.near_duplicates(docs).where("kept").count() == 120
+
+
 @pytest.mark.parametrize("name", ["op6_chat", "op10_topk"])
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

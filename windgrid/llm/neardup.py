@@ -4,7 +4,8 @@ A document's set holds its distinct shingles of five words. Two collections of
 SIDE bands, each of BAND minhashes, give a document SIDE * SIDE table keys, one
 for every pair of a left and a right band: 144 tables from 96 minhashes. A pair
 at the threshold 0.85 meets in some table with probability 0.9997, and one more
-closely alike still more surely.
+closely alike still more surely. Threshold and BAND are parameters: at 0.80 a pair
+meets with 0.996 by bands of 4 and with 0.9996 by bands of 3.
 
 Equal sets are one representative. Bands that only one representative has are
 dropped first (they can't meet). Each partition links the representatives of a
@@ -51,20 +52,20 @@ def _chunks(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[pa.RecordBat
         release()
 
 
-def bands(sets: list[np.ndarray]) -> np.ndarray:
-    """For each non-empty set 2 * SIDE band hashes, the left collection first."""
+def bands(sets: list[np.ndarray], each: int = BAND) -> np.ndarray:
+    """For each non-empty set 2 * SIDE hashes of bands of `each` minhashes, the left collection first."""
     rng = np.random.default_rng(7)
     flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
     out = np.zeros((len(sets), 2 * SIDE), dtype=np.uint64)
     for band in range(2 * SIDE):
-        for _ in range(BAND):
+        for _ in range(each):
             a, b = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
             least = np.minimum.reduceat((flat ^ b) * (a | np.uint64(1)), at)
             out[:, band] = mix64(out[:, band] * np.uint64(31) + least)
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, each: int = BAND) -> DataFrame:
     """doc_id, n_shingles, digest (of the set, binary), bands (array of 2 * SIDE longs; null for an empty set)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -75,7 +76,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for part in _chunks(batch):
                 sets = shingle_sets(part.column(1))
                 full = [s for s in sets if len(s)]
-                found = iter(bands(full).view(np.int64)) if full else iter(())
+                found = iter(bands(full, each).view(np.int64)) if full else iter(())
                 rows = [
                     part.column(0).to_pylist(),
                     [len(s) for s in sets],
@@ -190,18 +191,22 @@ def forest(sets: list[np.ndarray], rows: range, columns: range, num: int = NUM,
     return out
 
 
-def _compare(x: pd.DataFrame) -> pd.DataFrame:
-    """The links within each cluster of this group, or between the two blocks of a large cluster."""
-    out = [np.zeros((0, 2), np.int64)]
-    for _, c in x.sort_values(["cluster", "side", "rep"], kind="stable").groupby("cluster", sort=False):
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in c["shingles"]]
-        reps, left = c["rep"].to_numpy(), int((c["side"] == 0).sum())
-        two = left < len(c)
-        pairs = forest(sets, range(left), range(left, len(c)) if two else range(left))
-        if pairs:
-            out.append(reps[np.array(pairs)])
-    both = np.concatenate(out)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+def _compare(num: int, den: int):
+    """The links within each cluster of a group, or between the two blocks of a large cluster."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        for _, c in x.sort_values(["cluster", "side", "rep"], kind="stable").groupby("cluster", sort=False):
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in c["shingles"]]
+            reps, left = c["rep"].to_numpy(), int((c["side"] == 0).sum())
+            two = left < len(c)
+            pairs = forest(sets, range(left), range(left, len(c)) if two else range(left), num, den)
+            if pairs:
+                out.append(reps[np.array(pairs)])
+        both = np.concatenate(out)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +216,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), found], names=["rep", "cluster", "n", "shingles"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, each: int = BAND) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
+
+    Links are pairs with a Jaccard index of num / den at least; `each`: minhashes of a band.
+    """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = durable(sketches(docs))
+    sketch = durable(sketches(docs, each))
     ids = sketch.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     reps = durable(ids)
     edges = candidate_edges(reps)
@@ -233,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     large = large.select(F.concat_ws(":", F.lit("large"), "cluster", low, high).alias("task"), "cluster", F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "rep", "shingles")
-    links = small.unionByName(large).groupBy("task").applyInPandas(_compare, "a long, b long")
+    links = small.unionByName(large).groupBy("task").applyInPandas(_compare(num, den), "a long, b long")
     found = durable(components(links))
     known = reps.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     known = known.select("digest", F.coalesce("component", "rep").alias("component"))
