@@ -378,6 +378,21 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), "vec_id", "v", F.lit(True)).count() == 0
 
 
+def test_top_k_query_leaves_out_what_is_not_finite(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    vectors = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(120, 4)).astype(np.float32))]
+    bad = [[float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [float("-inf"), 1.0, 1.0, 1.0], [None, 1.0, 1.0, 1.0], None]
+    rows = vectors + [(1000 + 25 * i, x) for i, x in enumerate(bad)]  # candidates, and every other one a query
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in topk.query(spark, str(tmp_path)).collect()}
+    whole = {i: np.floor(256 * np.array(x)) for i, x in vectors}
+    expected = set()
+    for q in range(0, 120, 50):
+        best = sorted((-int(whole[q] @ y), i) for i, y in whole.items() if i != q)[:5]
+        expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert got == expected
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(9)
     rows = []

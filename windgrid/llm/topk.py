@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, pieces_of, ship
@@ -53,6 +53,11 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int, least: float) -> np.ndarra
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def finite(vector_col: str) -> Column:
+    """Whether a vector is there and holds neither nulls nor NaN nor infinities."""
+    return F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row with is_query, the k highest inner products with all other rows.
 
@@ -61,8 +66,7 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) ->
     spark = df.sparkSession
     ship(spark)
     vector = F.transform(vector_col, lambda x: x.cast("double"))
-    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    raw = df.where(fine).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    raw = df.where(F.col(id_col).isNotNull() & finite(vector_col)).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     raw = raw.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     top, count, dim = raw.agg(F.max("n2"), F.count("*"), F.max(F.size("v"))).first()
     answer = "query_id long, rank int, vec_id long, score double"
@@ -154,7 +158,9 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) ->
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
+    # floor makes longs of NaN and infinities, so they are looked for before it
+    floored = F.when(finite("embedding"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", floored.alias("v"))
     return top_k(vectors, "vec_id", "v", F.col("vec_id") % 50 == 0).withColumn("score", F.col("score").cast("long"))
 
 
