@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, selection, spectra, timeline, weibull
+from windgrid.plans.catalogue import QUERIES
 from windgrid.sources import config, files, modellog, wps, wrg
 from windgrid.streaming import windows
 
@@ -210,6 +212,30 @@ def test_selection(record):
     assert selection.random_blocks(blocks, 5, 1) == selection.random_blocks(blocks, 5, 1)
 
 
+@pytest.fixture
+def candidates(monkeypatch):
+    """Queries search 600 made-up blocks, so that a screen of 250 leaves some out."""
+    rng = np.random.default_rng(12)
+    a = rng.dirichlet(np.full(257, 0.1), 600).T
+    made = {length: (selection.Blocks(730_000 + np.arange(600), length), a, a.mean(1)) for length in (1, 2, 3, 5)}
+    monkeypatch.setattr(selection, "design_matrix", lambda rows, length: made[length])
+    return made
+
+
+def searched(spark, name, found):
+    """Whether a query returns these blocks with these weights."""
+    blocks, chosen, w = found
+    got = sorted((r["start"].toordinal(), r["weight"]) for r in QUERIES[name](spark, str(DATA / "sf0.001")).collect())
+    return got == sorted((int(blocks.start[j]), round(float(x), 5)) for j, x in zip(chosen, w, strict=True))
+
+
+def test_final_selection_is_the_whole_search(spark, candidates):
+    blocks, a, t = candidates[1]
+    chosen, w, d = selection.select_weighted(blocks, a, t, 40, 6 / 40, refine=True, screen=250)
+    assert d < selection.select_weighted(blocks, a, t, 40, 6 / 40, refine=False, screen=40)[2]
+    assert searched(spark, "sel15_final_selection", (blocks, chosen, w))
+
+
 def test_additive_selectors(record):
     blocks, target = selection.additive_statistics(record, 3, 6)
     whole = {g: target[g][None] for g in target}

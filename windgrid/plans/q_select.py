@@ -143,5 +143,5 @@ def _(i):
 def _(i):
     """Forty single days, a weight of at most 6/40."""
     blocks, a, t = S.design_matrix(i.forcing_v, 1)
-    chosen, w, _ = S.select_weighted(blocks, a, t, 40, 6 / 40, refine=False, screen=40)
+    chosen, w, _ = S.select_weighted(blocks, a, t, 40, 6 / 40)
     return _table(i, blocks, zip(chosen, w, strict=True))
