@@ -81,13 +81,13 @@ def _(i):
 
 
 def _points(i):
-    return S.point_statistics(i.forcing_v.withColumn("pixel", c("pixel") % 8), 2, 20)
+    return S.point_statistics(i.forcing_v, 2, 20)
 
 
 @query("sel8_supervised")
 def _(i):
     blocks, target = _points(i)
-    chosen, _ = S.select_additive(blocks, {g: target[g] for g in ("sws", "scf", "n")}, 7, S.supervised_cost, restarts=3)
+    chosen, _ = S.select_additive(blocks, {g: target[g] for g in ("sws", "scf", "n")}, 7, S.supervised_cost, restarts=6)
     return _table(i, blocks, _even(chosen))
 
 
