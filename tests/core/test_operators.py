@@ -236,6 +236,21 @@ def test_final_selection_is_the_whole_search(spark, candidates):
     assert searched(spark, "sel15_final_selection", (blocks, chosen, w))
 
 
+def test_smaller_selections_are_whole_searches(spark, candidates, monkeypatch):
+    blocks, a, t = candidates[2]
+    chosen, w, _ = selection.select_weighted(blocks, a, t, 6, screen=250)
+    assert searched(spark, "sel3_greedy_swap", (blocks, chosen, w))
+    best, d = selection.anneal(blocks, a, t, chosen, 0.5, moves=4000, seed=0)
+    assert searched(spark, "sel5_anneal", (blocks, best, [1 / 6] * 6))
+    blocks, a, t = candidates[1]
+    chosen, w, _ = selection.select_weighted(blocks, a, t, 8, weighted=False, screen=250)
+    assert searched(spark, "sel4_equal_weights", (blocks, chosen, w))
+    asked = []
+    monkeypatch.setattr(selection, "select_weighted", lambda b, a, t, k, high, **more: asked.append((b.length, k, round(high * k, 6), more)) or ([], np.ones(k) / k, 0.0))
+    assert QUERIES["sel13_sweeps"](spark, str(DATA / "sf0.001")).count() == 16
+    assert asked == [(length, k, bound, {}) for length, k in ((1, 40), (2, 22), (3, 15), (5, 9)) for bound in (1.5, 3.0, 6.0, 20.0)]
+
+
 def test_supervised_queries_take_all_points_and_restarts(spark, monkeypatch):
     """Every point of forcing_v reaches the search, and the best of six starts comes back, which is a later one than the third here."""
     rng, taken = np.random.default_rng(3), []

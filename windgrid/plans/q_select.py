@@ -47,21 +47,22 @@ def _(i):
 @query("sel3_greedy_swap")
 def _(i):
     blocks, a, t = S.design_matrix(i.forcing_v, 2)
-    chosen, w, _ = S.select_weighted(blocks, a, t, 6, screen=60)
+    chosen, w, _ = S.select_weighted(blocks, a, t, 6)
     return _table(i, blocks, zip(chosen, w, strict=True))
 
 
 @query("sel4_equal_weights")
 def _(i):
     blocks, a, t = S.design_matrix(i.forcing_v, 1)
-    chosen, w, _ = S.select_weighted(blocks, a, t, 8, weighted=False, screen=100)
+    chosen, w, _ = S.select_weighted(blocks, a, t, 8, weighted=False)
     return _table(i, blocks, zip(chosen, w, strict=True))
 
 
 @query("sel5_anneal")
 def _(i):
     blocks, a, t = S.design_matrix(i.forcing_v, 2)
-    best, d = S.anneal(blocks, a, t, S.random_blocks(blocks, 6, 1), 0.5, moves=400, seed=0)
+    greedy, _, _ = S.select_weighted(blocks, a, t, 6)
+    best, d = S.anneal(blocks, a, t, greedy, 3 / 6, seed=0)
     return _table(i, blocks, _even(best)).withColumn("distance", F.lit(round(d, 6)))
 
 
@@ -126,15 +127,15 @@ def _(i):
 
 @query("sel13_sweeps")
 def _(i):
-    """Distance by geometry at a fixed budget of day equivalents."""
+    """Distance by geometry at a fixed budget of day equivalents, and by the bound of the weights."""
     rows = []
-    for length in (1, 2, 3):
-        k = int(10 // (length + C.SPINUP_DAYS))
+    for length in (1, 2, 3, 5):
+        k = int(50 // (length + C.SPINUP_DAYS))
         if k < 4:
             continue
         blocks, a, t = S.design_matrix(i.forcing_v, length)
-        for bound in (3.0, 6.0):
-            _, w, d = S.select_weighted(blocks, a, t, k, bound / k, refine=False, screen=40)
+        for bound in (1.5, 3.0, 6.0, 20.0):
+            _, w, d = S.select_weighted(blocks, a, t, k, bound / k)
             rows.append((length, k, bound, round(d, 6), round(float(1 / (w**2).sum()), 6)))
     return i.spark.createDataFrame(rows, "days int, blocks int, bound double, distance double, ess double")
 
