@@ -142,6 +142,17 @@ def test_packing_rounds(spark):
     assert same.select("sequence_id").distinct().count() == 500
 
 
+def test_packing_finds_the_few_bins_that_meet(spark):
+    """Few small bins among many over half full ones, in many groups: each meets the one that has room for it, or others like it."""
+    lengths = [1500] * 2000 + [1400] * 5 + [600] * 5
+    items = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    out = packing.pack(items, local_items=50, group_bins=50).toPandas()
+    fills = out.groupby("sequence_id").length.sum()
+    assert sorted(out.id) == list(range(2010)) and len(fills) == 2005 and fills.max() == 2000
+    out = out.sort_values(["sequence_id", "offset"])
+    assert ((out.groupby("sequence_id").length.cumsum() - out.length) == out.offset).all()
+
+
 def brute_components(pairs: list[tuple]) -> dict:
     sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for i, t in pairs}
     parent = {i: i for i in sets}

@@ -4,8 +4,11 @@ Documents become token pieces of at most `capacity` ids. Each partition packs it
 pieces best-fit (longest first, into the open bin with the least room that
 suffices) and emits nearly full bins. Underfull bins are items of the next round:
 fewer, larger groups best-fit them again, and so on up the tree until one group
-holds what is left, or a round that could not be one group merges nothing. A group
-never holds more than `group_bins` bins on average, so no task grows with the input.
+holds what is left. Two bins over half full never meet, so of those only as many
+come along as there are others, the emptiest (each of the others meets one of them
+if it meets any); the rest is emitted. A group has at most one bin of half or less,
+so few are left after a round. A group never holds more than `group_bins` bins on
+average, so no task grows with the input.
 
 Nulls: a null text is an empty one, whose only token is the closing id 0. A row
 with a null doc_id is packed as any other. Repeated rows are packed once each.
@@ -265,27 +268,27 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, local_items: in
     rows = items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "_fill": F.col("length")})
     done, level = None, 0
     rows = durable(rows)
-    bins, total = rows.count(), 1
+    bins = rows.count()
     each = local_items
     while True:
         groups = pieces_of(bins, each)
         key = F.pmod(F.xxhash64(*([c for c in columns] if level == 0 else ["sequence_id"]), F.lit(level)), F.lit(groups)).cast("long")
 
         out = durable(rows.withColumn("_group", key).groupBy("_group").applyInPandas(_round(level, capacity), schema))
-        full = out["_fill"] >= capacity - slack
         if groups == 1:
-            left = 0
-        else:
-            rows = out.where(~full)
-            left = rows.where("offset = 0").count()
-        part = out if left == 0 else out.where(full)
-        done = part if done is None else done.unionByName(part)
-        if left == 0:
+            done = out if done is None else done.unionByName(out)
             break
-        if level and groups > 1 and left > 0.99 * bins:  # what is left doesn't fit together
-            done = done.unionByName(rows)
+        under = out.where((F.col("_fill") < capacity - slack) & (F.col("offset") == 0)).select("sequence_id", "_fill").distinct()
+        roomy = F.col("_fill") * 2 <= capacity
+        few = under.where(roomy).count()
+        more = under.where(~roomy).orderBy("_fill", "sequence_id").limit(few)
+        open_bins = durable(under.where(roomy).unionByName(more).select("sequence_id"))
+        part = out.join(open_bins, "sequence_id", "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if not few:
             break
-        bins, each, level = left, group_bins, level + 1
+        rows = out.join(open_bins, "sequence_id", "left_semi").select(out.columns)
+        bins, each, level = open_bins.count(), group_bins, level + 1
     return done.select(*columns, "sequence_id", "offset")
 
 
