@@ -2,9 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and, but for
 the last, returns rows of docs with their columns as they came. Decisions are
-made where the rows are; only the near-copies' ids are joined back, by doc_id.
-A repeated doc_id is one document from the third stage on; rows without a doc_id
-are never dropped as copies. Columns that clash with an operator's results are
+made where the rows are; only the near-copies' ids are joined back, by a number
+of the row. Rows that share a doc_id but not a text are documents of their own,
+and so are rows without a doc_id; of a group of near-copies the row with the
+least doc_id stays (one without only if all are). Texts without words are no
+copies, but a repeated row with a doc_id is one document. Columns that clash with an operator's results are
 set aside and come back unchanged. Empty tables pass through. Near-copies are
 linked from a shingle Jaccard index of 0.80 on; op4_neardup's threshold is 0.85.
 """
@@ -13,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windgrid.llm import neardup, packing, quality, toxicity
+from windgrid.llm.common import durable
 
 #: The classifiers' model file and capacity are parameters of these functions; these are the production values.
 TOKENIZER = "word_bpe_49k.json"
@@ -48,10 +51,18 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, *ALIKE, BAND).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_once", once).where("_once = 1").drop("_once")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return _filtered(docs, {"_row"}, _first_of_copies)
+
+
+def _first_of_copies(docs: DataFrame) -> DataFrame:
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), *ALIKE, BAND).withColumnRenamed("doc_id", "_row").drop("kept")
+    found = found.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("hash")), "_row")
+    bare = F.col("n_shingles") == 0
+    group = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")), F.when(bare, F.col("doc_id")), F.when(bare, F.col("hash"))]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    kept = found.groupBy(*[g.alias(f"g{k}") for k, g in enumerate(group)]).agg(first.alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +80,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents, each one's rows written as Parquet and read again."""
-    from windgrid.llm.common import durable
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))

@@ -513,6 +513,17 @@ def test_pipeline_drops_copies_from_eighty_percent(spark, tmp_path):
     assert neardup.near_duplicates(docs).where("kept").count() == 120
 
 
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    """Rows that share an id are judged by their texts, and so are rows without one."""
+    rng = random.Random(13)
+    a, b, d, e = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " end"), (None, d), (None, d), (None, a), (None, e), (5, e), (6, None), (6, None), (6, ""), (7, ""), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _row int")
+    out = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    assert out.dtypes == docs.dtypes and out.exceptAll(docs).count() == 0
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, a), (2, b), (None, d), (5, e), (6, None), (6, ""), (7, ""), (None, ""), (None, "")])
+
+
 @pytest.mark.parametrize("name", ["op6_chat", "op10_topk"])
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
