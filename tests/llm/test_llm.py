@@ -285,6 +285,30 @@ def test_ctw_tables(docs, rows, empty):
     assert ctw.score(empty, F.lit(False)).count() == 0
 
 
+def test_ctw_in_many_pieces(docs, rows, empty):
+    """Small chunks, a text of several pieces, a split of every context and merges in levels change nothing; nor does one context in a third of all text."""
+    spark = docs.sparkSession
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    hot = [(k, "ab" * 40 + str(k)) for k in range(60)] + [(100, "one" * 400 + " " + prose(random.Random(3), 300)), (101, None)]
+    for df in (docs.select("doc_id", "text"), spark.createDataFrame(hot, "doc_id long, text string")):
+        key = ["doc_id", "n_bytes", "score"]
+        one = ctw.score(df, held).toPandas().sort_values(key, ignore_index=True)
+        many = ctw.score(df, held, chunk_bytes=700, task_grams=500, splits=3).toPandas().sort_values(key, ignore_index=True)
+        assert len(one) == df.count()
+        assert one.drop(columns=["score", "base_score"]).equals(many.drop(columns=["score", "base_score"]))
+        assert np.allclose(one.score, many.score, rtol=1e-6) and np.allclose(one.base_score, many.base_score)
+    assert ctw.score(empty, F.lit(False), splits=2).count() == 0
+    out = ctw.score(spark.createDataFrame(hot, "doc_id long, text string"), F.lit(True)).toPandas()  # nothing to learn from: 1/2 a decision
+    assert np.allclose(out.score, -(out.n_bytes + 1) * 8 * np.log10(2)) and (out.train_tokens == 0).all()
+
+
+def test_ctw_cuts():
+    raw = lambda t: np.frombuffer(t, np.uint8)
+    assert ctw._cuts(raw(b"aa bb cc dd"), 4) == [0, 3, 6, 9]
+    assert ctw._cuts(raw(b"aaaaaaaaaaaa bb"), 4) == [0, 13]
+    assert ctw._cuts(raw(b"a aaaaaaaaaa "), 4) == [0, 2] and ctw._cuts(raw(b""), 4) == [0] and ctw._cuts(raw(b"a" * 50), 4) == [0]
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     odd = ["<s>", r"<\s>", r"<\\/s>[\INST]", "<<s>", None, "", "a\nb", "\\", "<", "[/INST", "</s", said, "😀é"]
