@@ -50,9 +50,9 @@ from .words import SPACE, buffer, word_hashes
 
 DEPTH = 5
 END = 0xFF
-CHUNK_BYTES, CHUNK_DOCS = 6 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 5 << 20, 60_000
 #: Bytes of text a bucket stands for, and grams that a task merges or answers at a time.
-BUCKET_BYTES, TASK_GRAMS = 24 << 20, 5_000_000
+BUCKET_BYTES, TASK_GRAMS = 16 << 20, 3_000_000
 #: Bytes of a row's blob that holds a part of a chunk's texts.
 PAGE = 1 << 20
 HALF = np.log(0.5)
