@@ -169,8 +169,8 @@ def test_spectra_of_a_wave(spark):
     assert {r["f"]: r["share"] for r in spectra.high_share(df, "f", "v").collect()} == pytest.approx({"low": 0, "high": 1}, abs=1e-9)
 
 
-def test_nests():
-    d = nests.design(39_000.0, 40_800.0)
+def test_nests(spark):
+    d = nests.design(spark.createDataFrame([(1, 39_000.0, 40_800.0, 0.0, 0.0)], "box int, width double, height double, x double, y double"), "box").toPandas().sort_values("domain", ignore_index=True)
     assert len(d) == 5 and (d.gap_cells[1:] >= 15).all()
     assert ((d.nx[1:] % 3 == 0) & (d.ny[1:] % 3 == 0)).all()
     assert d.x1.iloc[4] - d.x0.iloc[4] >= 39_000 + 2 * nests.MARGIN
@@ -241,7 +241,9 @@ def test_smaller_selections_are_whole_searches(spark, candidates, monkeypatch):
     chosen, w, _ = selection.select_weighted(blocks, a, t, 6, screen=250)
     assert searched(spark, "sel3_greedy_swap", (blocks, chosen, w))
     best, d = selection.anneal(blocks, a, t, chosen, 0.5, moves=4000, seed=0)
-    assert searched(spark, "sel5_anneal", (blocks, best, [1 / 6] * 6))
+    w = selection.Fitter(a, t, 0.5)(best)[0]
+    assert searched(spark, "sel5_anneal", (blocks, best, w / w.sum()))
+    assert d <= selection.Fitter(a, t, 0.5)(chosen)[1]
     blocks, a, t = candidates[1]
     chosen, w, _ = selection.select_weighted(blocks, a, t, 8, weighted=False, screen=250)
     assert searched(spark, "sel4_equal_weights", (blocks, chosen, w))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import durable
+from .quantiles import literals
+
 
 def _along(axis: str) -> Window:
     """Rows along an axis: of one j for axis i, of one i for axis j."""
@@ -64,7 +67,7 @@ def boundary(value: str) -> Column:
 def terrain_statistics(raster: DataFrame, value: str, dx: float = 1.0) -> DataFrame:
     """One row: slope quantiles (m per km), lag-1 correlation of differences, plateau share, sd (population) and range."""
     s = slope(raster, value, dx).select((F.col("slope") * 1000).alias("s"))
-    s = s.agg(F.percentile("s", F.lit(0.5)).alias("slope_p50"), F.percentile("s", F.lit(0.99)).alias("slope_p99"), F.max("s").alias("slope_max"))
+    s = s.agg(*literals(s, F.col("s"), {"slope_p50": 0.5, "slope_p99": 0.99}), F.max("s").alias("slope_max"))
     d = difference_pairs(raster, value).agg(F.corr("a", "b").alias("diff_lag1"))
     p = neighbours(raster, value).agg(F.avg(plateau(value).cast("double")).alias("plateau_share"))
     v = raster.agg(F.stddev_pop(value).alias("sd"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
@@ -96,26 +99,43 @@ def to_grid(points: DataFrame, value: str, res: float, x: str = "x", y: str = "y
 
 
 def fill_nearest(raster: DataFrame, value: str) -> DataFrame:
-    """Nulls take the value of the nearest cell that has one (ties: smaller i, then j). Rings of cells are searched outwards by equi-joins."""
-    todo, known = raster.where(F.col(value).isNull()).select("i", "j"), raster.where(F.col(value).isNotNull())
-    done, radius = known.select("i", "j", value), 1
-    size = raster.agg(F.max("i") - F.min("i") + F.max("j") - F.min("j")).first()[0] or 0
-    if not known.take(1):
+    """Nulls take the value of the nearest cell that has one (ties: smaller i, then j).
+
+    First every row's nearest cell along i, by a window over the row; then each gap looks along j in its
+    column, at rows up to a distance that grows until no nearer cell can be further out.
+    """
+    todo, known = raster.where(F.col(value).isNull()).select("i", "j"), raster.where(F.col(value).isNotNull()).select("i", "j", value)
+    rows = known.agg(F.min("j").alias("j0"), F.max("j").alias("j1"))
+    if rows.first()["j0"] is None:
         return raster
+    # the columns that hold gaps, over the rows that hold values
+    spine = todo.select("i").distinct().crossJoin(rows).select("i", F.explode(F.sequence("j0", "j1")).alias("j"))  # one row of rows
+    asked = spine.join(known, ["i", "j"], "left_anti").select("i", "j", F.lit(None).cast(dict(known.dtypes)[value]).alias("v"), F.lit(True).alias("asks"))
+    every = known.select("i", "j", F.col(value).alias("v"), F.lit(False).alias("asks")).unionByName(asked)
+    line = Window.partitionBy("j").orderBy("i")
+    here = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
+    every = every.withColumns({"left": F.last(here, True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first(here, True).over(line.rowsBetween(0, Window.unboundedFollowing))})
+    nearer = F.when(F.col("right").isNull() | (F.col("i") - F.col("left.i") <= F.col("right.i") - F.col("i")), F.col("left")).otherwise(F.col("right"))
+    along = every.where("asks").select("i", "j", nearer.alias("n")).where("n IS NOT NULL").select("i", "j", F.col("n.i").alias("ni"), F.col("n.v").alias("v"))
+    along = along.unionByName(known.join(todo.select("i").distinct(), "i", "left_semi").select("i", "j", F.col("i").alias("ni"), F.col(value).alias("v")))
+    along = durable(along)
+    span = raster.agg(F.max("j") - F.min("j")).first()[0]
+    done, radius = known, 1
     while True:
-        steps = F.sequence(F.lit(-radius), F.lit(radius))
-        ring = todo.withColumn("_di", F.explode(steps)).withColumn("_dj", F.explode(steps))
-        ring = ring.select(F.col("i").alias("_i"), F.col("j").alias("_j"), (F.col("i") + F.col("_di")).alias("i"), (F.col("j") + F.col("_dj")).alias("j"))
-        d2 = (F.col("i") - F.col("_i")) ** 2 + (F.col("j") - F.col("_j")) ** 2
-        best = ring.join(known, ["i", "j"]).groupBy("_i", "_j").agg(F.min(F.struct(d2.alias("d2"), "i", "j", F.col(value).alias("v"))).alias("b"))
-        last = radius >= size
-        best = best if last else best.where(F.col("b.d2") <= radius * radius)
-        part = best.select(F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("b.v").alias(value)).persist()  # read by the result and by what is left to do
+        probes = todo.select("i", F.col("j").alias("_j"), F.explode(F.sequence(F.col("j") - radius, F.col("j") + radius)).alias("j"))
+        d2 = (F.col("i") - F.col("ni")) ** 2 + (F.col("j") - F.col("_j")) ** 2
+        best = probes.join(along, ["i", "j"]).groupBy("i", "_j").agg(F.min(F.struct(d2.alias("d2"), "ni", "j", "v")).alias("b"))
+        last = radius >= span
+        sure = best if last else best.where(F.col("b.d2") <= radius * radius)
+        part = sure.select("i", F.col("_j").alias("j"), F.col("b.v").alias(value))
+        part = part if last else durable(part)
         done = done.unionByName(part)
-        todo = todo.join(part, ["i", "j"], "left_anti").persist()
-        if last or todo.isEmpty():
+        if last:
+            return done
+        todo = durable(todo.join(part, ["i", "j"], "left_anti"))
+        if todo.isEmpty():
             return done
-        radius *= 2
+        radius *= 4
 
 
 def crop_centre(raster: DataFrame, ni: int, nj: int, size: int) -> DataFrame:
@@ -145,9 +165,9 @@ def tiles_touching(tile: DataFrame, cells: DataFrame, tile_size: float, cell_siz
 
 
 def gradient_p99(raster: DataFrame, value: str, dx: float = 1.0) -> DataFrame:
-    return slope(raster, value, dx).agg(F.percentile("slope", F.lit(0.99)).alias("p99"))
+    return raster.sparkSession.range(1).select(*literals(slope(raster, value, dx), F.col("slope"), {"p99": 0.99}))
 
 
 def robust_limits(df: DataFrame, value: str) -> DataFrame:
     """p1 and p99, nulls left out."""
-    return df.agg(F.percentile(value, F.lit(0.01)).alias("p1"), F.percentile(value, F.lit(0.99)).alias("p99"))
+    return df.sparkSession.range(1).select(*literals(df, F.col(value), {"p1": 0.01, "p99": 0.99}))

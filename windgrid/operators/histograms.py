@@ -48,9 +48,8 @@ def histograms(binned: DataFrame, by: list[str]) -> DataFrame:
     return cells.select(*by, F.inline(each)).groupBy(*by, "grp", "bin").agg(F.sum("v").alias("value"))
 
 
-def normalised(hist: DataFrame, binned: DataFrame, by: list[str]) -> DataFrame:
-    """Groups that sum to 1 (an empty one stays 0), scalars as means."""
-    n = binned.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+def shares(hist: DataFrame, n: DataFrame, by: list[str]) -> DataFrame:
+    """by, grp, bin, value: groups that sum to 1 (an empty one stays 0), scalars as means. n: by, _n, the rows behind each."""
     total = F.sum("value").over(Window.partitionBy(*by, "grp"))
     share = hist.withColumn("_t", total)
     share = share.join(n, by) if by else share.crossJoin(n)  # one row
@@ -58,6 +57,11 @@ def normalised(hist: DataFrame, binned: DataFrame, by: list[str]) -> DataFrame:
     return share.select(*by, "grp", "bin", value.alias("value"))
 
 
+def normalised(hist: DataFrame, binned: DataFrame, by: list[str]) -> DataFrame:
+    """shares() of a histogram of `binned`."""
+    return shares(hist, binned.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+
+
 def dense(hist: DataFrame, keys: DataFrame) -> DataFrame:
     """Every bin of every row of keys, 0 where it has no rows. keys: one row a group; it decides the size."""
     by = keys.columns
@@ -82,7 +86,8 @@ def total_variation(p: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
 def report(sample: DataFrame, reference: DataFrame) -> DataFrame:
     """metric, value: the twelve metrics of a sample's histograms against the reference's. Both: grp, bin, value."""
 
-    sample, reference = sample.persist(), reference.persist()  # at most 257 rows each, read three times
+    # at most 257 rows each, read three times: taken to the driver as they are
+    sample, reference = (h.sparkSession.createDataFrame(h.collect(), h.schema) for h in (sample.select("grp", "bin", "value"), reference.select("grp", "bin", "value")))
 
     def folded(h: DataFrame) -> DataFrame:
         """Each bin once for every metric that it counts in."""

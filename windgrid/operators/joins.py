@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import durable
+
 
 def block_members(days: DataFrame, day: str, length: int) -> DataFrame:
     """days with `start`: each day once for every block of `length` days that it may belong to."""
@@ -17,8 +19,8 @@ def weights_by_day(steps: DataFrame, manifest: DataFrame, time: str = "time") ->
     """steps on a run's calendar day, with run and weight: the run's weight shared by its steps."""
     runs = manifest.select("run", F.col("sample_start").alias("_day"), F.col("weight").alias("_w"))
     both = steps.withColumn("_day", F.to_date(time)).join(runs, "_day")
-    n = F.count(F.lit(1)).over(Window.partitionBy("run"))
-    return both.withColumn("weight", F.col("_w") / n).drop("_day", "_w")
+    n = both.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
+    return both.join(n, "run").withColumn("weight", F.col("_w") / F.col("_n")).drop("_day", "_w", "_n")
 
 
 def unmatched_steps(steps: DataFrame, manifest: DataFrame, time: str = "time") -> DataFrame:
@@ -57,11 +59,11 @@ def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, node_key: l
         sure = best if last else best.where(F.col("b.d2") <= width * width)
         part = sure.select(point_id, *[F.col(f"b.{k}").alias(k) for k in node_key], F.sqrt("b.d2").alias("dist"))
         if not last:
-            part = part.persist()  # read by the result and by what is left to do
+            part = durable(part)  # read by the result and by what is left to do
         found = part if found is None else found.unionByName(part)
         if last:
             break
-        todo = todo.join(part, point_id, "left_anti").persist()
+        todo = durable(todo.join(part, point_id, "left_anti"))
         if todo.isEmpty():
             break
         width *= 4

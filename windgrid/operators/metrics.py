@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
+from ..functions.special import gamma_fn
+from .quantiles import literals
+from .weibull import MOMENTS_POWER
 
 
 def point_statistics(df: DataFrame, by: list[str]) -> DataFrame:
@@ -22,7 +25,7 @@ def level_and_pattern(sample: DataFrame, full: DataFrame, key: str, value: str)
     return x.agg(
         F.avg("e").alias("mean_error"),
         F.max(F.abs("e")).alias("max_error"),
-        F.percentile(F.abs("e"), F.lit(0.95)).alias("p95_error"),
+        *literals(x, F.abs("e"), {"p95_error": 0.95}),
         F.corr("ps", "pf").alias("r"),
         (100 * F.sqrt(F.avg((F.col("ps") - F.col("pf")) ** 2))).alias("pattern_rms"),
     )
@@ -74,7 +77,7 @@ def crosstab(df: DataFrame, row: Column, column: Column) -> DataFrame:
 def field_difference(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row: bias, rms, 99th percentile and largest absolute difference, on common cells."""
     d = a.select("i", "j", F.col(value).alias("a")).join(b.select("i", "j", F.col(value).alias("b")), ["i", "j"]).select((F.col("a") - F.col("b")).alias("d"))
-    return d.agg(F.avg("d").alias("bias"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rms"), F.percentile(F.abs("d"), F.lit(0.99)).alias("p99"), F.max(F.abs("d")).alias("largest"))
+    return d.agg(F.avg("d").alias("bias"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rms"), *literals(d, F.abs("d"), {"p99": 0.99}), F.max(F.abs("d")).alias("largest"))
 
 
 def wasserstein(sub: DataFrame, whole: DataFrame, keys: list[str], of: str, value: str) -> DataFrame:
@@ -94,6 +97,52 @@ def wasserstein(sub: DataFrame, whole: DataFrame, keys: list[str], of: str, valu
     return steps.groupBy(*keys, of).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("distance"))
 
 
+def random_draws(rows: DataFrame, length: int, blocks: int, draws: int = 40) -> DataFrame:
+    """draw, day: `draws` random samples of `blocks` blocks of `length` successive recorded days; a day in two blocks is in once.
+
+    A draw takes the days with the least hashes of (draw, day) as starts. Only days are ordered, not observations.
+    """
+    day = rows.select(F.to_date("time").alias("day")).distinct()
+    placed = day.withColumn("at", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
+    starts = placed.where(F.col("at") < placed.count() - length).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    key = F.md5(F.concat_ws(":", "draw", "day").cast("binary"))
+    taken = starts.withColumn("_n", F.row_number().over(Window.partitionBy("draw").orderBy(key))).where(F.col("_n") <= blocks)
+    at = taken.select("draw", F.explode(F.sequence(F.col("at"), F.col("at") + length - 1)).alias("at"))
+    return at.distinct().join(placed, "at").select("draw", "day")
+
+
+def draw_bias(rows: DataFrame, drawn: DataFrame, sector: Column, sectors: int) -> DataFrame:
+    """draw, rows, and the draw's errors against the whole record: percent of mean speed (ws), mean cube (energy), Weibull scale
+    and shape by moments (a, k), and of sectors' shares the mean error in percentage points (freq_mae) and for shares of
+    energy the mean and largest (energy_mae, energy_max).
+
+    Observations are summed by day and sector once; draws add days.
+    """
+    ws, cube = F.col("ws"), P.cube(F.col("ws"))
+    sums = ["n", "s1", "s2", "s3"]
+    days = rows.groupBy(F.to_date("time").alias("day"), sector.alias("sector")).agg(F.count(F.lit(1)).alias("n"), F.sum(ws).alias("s1"), F.sum(ws * ws).alias("s2"), F.sum(cube).alias("s3"))
+    add = lambda d, by: d.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+    whole = add(days, ["sector"])
+    each = add(drawn.join(days, "day"), ["draw", "sector"])
+    every = each.select("draw").distinct().withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(sectors - 1))))
+    own, all_ = Window.partitionBy("draw"), whole.select("sector", *[F.col(c).alias(f"all_{c}") for c in sums])
+    both = every.join(each, ["draw", "sector"], "left").join(all_, "sector", "left").na.fill(0).na.fill(0.0)
+    share = lambda c: F.abs(P.ratio(F.col(c), F.sum(c).over(own)) - P.ratio(F.col(f"all_{c}"), F.sum(f"all_{c}").over(own)))
+    both = both.withColumns({"_f": share("n"), "_e": share("s3")})
+    total = both.groupBy("draw").agg(
+        *[F.sum(c).alias(c) for c in (*sums, *[f"all_{c}" for c in sums])], (100 * F.avg("_f")).alias("freq_mae"), (100 * F.avg("_e")).alias("energy_mae"), (100 * F.max("_e")).alias("energy_max")
+    )
+
+    def level(p: str) -> dict[str, Column]:
+        n, m = F.col(f"{p}n"), F.col(f"{p}s1") / F.col(f"{p}n")
+        k = F.pow(F.sqrt(F.col(f"{p}s2") / n - m * m) / m, F.lit(MOMENTS_POWER))
+        return {"ws": m, "energy": F.col(f"{p}s3") / n, "a": m / gamma_fn(1 + 1 / k), "k": k}
+
+    part, full = level(""), level("all_")
+    errors = [(100 * (part[c] / full[c] - 1)).alias(c) for c in part]
+    return total.select("draw", F.col("n").cast("long").alias("rows"), *errors, "freq_mae", "energy_mae", "energy_max")
+
+
 def exclusive_cost(log: DataFrame) -> DataFrame:
     """domain, steps, inclusive, exclusive, share, per_step: a domain's time holds its child's (the next domain). log: domain, elapsed."""
     incl = log.groupBy("domain").agg(F.count(F.lit(1)).cast("long").alias("steps"), F.sum("elapsed").alias("inclusive"))

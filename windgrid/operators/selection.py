@@ -1,6 +1,7 @@
 """Choice of representative day blocks with weights.
 
-Spark builds the blocks' additive statistics; what reaches the driver is one row a
+Spark builds the blocks' additive statistics: observations are summed by day once, and
+days are added into the blocks that hold them. What reaches the driver is one row a
 block (some thousands, whatever the number of observations). The searches run there
 in numpy: each is a forward pass and swaps over one cost, which is evaluated for all
 admissible candidates at once.
@@ -48,18 +49,19 @@ class Blocks:
 # ---- features
 
 
-def block_rows(rows: DataFrame, length: int, least_per_day: int = 6) -> DataFrame:
-    """rows once for each valid block (start) that holds their day."""
-    valid = T.contiguous_blocks(rows, length, least_per_day).select("start")
-    day = F.to_date("time")
-    return rows.withColumn("start", F.explode(F.sequence(F.date_sub(day, length - 1), day))).join(valid, "start", "left_semi")
+def add_days(days: DataFrame, valid: DataFrame, length: int, keys: list[str], values: list[str]) -> DataFrame:
+    """start, keys, values: sums by day (day, keys, values) added into every valid block (start) of `length` days that holds the day."""
+    start = F.explode(F.sequence(F.date_sub("day", length - 1), F.col("day")))
+    own = days.withColumn("start", start).join(valid.select("start"), "start", "left_semi")
+    return own.groupBy("start", *keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def features(rows: DataFrame, length: int, least_per_day: int = 6) -> DataFrame:
     """start, grp, bin, value: normalised histograms of every block, scalars over the whole record's."""
-    binned = H.with_bins(rows)
-    own = block_rows(binned, length, least_per_day)
-    hist = H.normalised(H.histograms(own, ["start"]), own, ["start"])
+    binned = H.with_bins(rows).withColumn("day", F.to_date("time"))
+    valid = T.contiguous_blocks(rows, length, least_per_day)
+    hist = add_days(H.histograms(binned, ["day"]), valid, length, ["grp", "bin"], ["value"])
+    hist = H.shares(hist, valid.select("start", F.col("rows").alias("_n")), ["start"])
     ref = H.normalised(H.histograms(binned, []), binned, []).where("grp = 'scalar'").select("grp", "bin", F.col("value").alias("_ref"))
     both = hist.join(F.broadcast(ref), ["grp", "bin"], "left")  # three rows
     return both.select("start", "grp", "bin", F.when(F.col("grp") == "scalar", F.col("value") / F.col("_ref")).otherwise(F.col("value")).alias("value"))
@@ -182,25 +184,28 @@ def forward_and_swap(k: int, candidates: Callable, cost: Callable, refine: bool
 
 
 def anneal(blocks: Blocks, a: np.ndarray, t: np.ndarray, chosen: list[int], high: float, moves: int = 4000, seed: int = 0) -> tuple[list[int], float]:
-    """Exchanges at random, accepted by the Metropolis rule as the temperature falls from 5 % to 0.01 % of the first distance."""
+    """The best set met by Metropolis exchanges of one block for another, and its distance.
+
+    All proposals are drawn beforehand. The temperature falls by a constant factor a move, from 5 % to
+    0.01 % of the first distance; a proposal is taken if its rise stays under the temperature times an
+    exponential draw, which is the Metropolis rule.
+    """
     fit, rng = Fitter(a, t, high), np.random.default_rng(seed)
-    current, best = list(chosen), list(chosen)
-    now = least = fit(current)[1]
-    hot, cold = 0.05 * least, 1e-4 * least
-    for move in range(moves):
-        temperature = hot * (cold / hot) ** (move / moves) if hot else 0.0
-        place = int(rng.integers(len(current)))
-        j = int(rng.integers(len(blocks.start)))
-        rest = current[:place] + current[place + 1 :]
-        if not blocks.free(rest)[j]:
+    members = np.array(chosen)
+    now = fit(members.tolist())[1]
+    least, best = now, members.copy()
+    bars = now * np.geomspace(0.05, 1e-4, moves, endpoint=False) * rng.exponential(size=moves)
+    proposals = np.column_stack([rng.integers(len(members), size=moves), rng.integers(len(blocks.start), size=moves)])
+    for (place, comes), bar in zip(proposals.tolist(), bars.tolist(), strict=True):
+        others = np.delete(members, place)
+        if len(others) and np.abs(blocks.start[others] - blocks.start[comes]).min() < blocks.length:
             continue
-        trial = [*rest, j]
-        d = fit(trial)[1]
-        if d < now or rng.random() < np.exp(-(d - now) / max(temperature, 1e-12)):
-            current, now = trial, d
-            if d < least:
-                best, least = list(trial), d
-    return best, least
+        d = fit([*others.tolist(), comes])[1]
+        if d - now <= bar:
+            members, now = np.append(others, comes), d
+            if now < least:
+                least, best = now, members.copy()
+    return best.tolist(), least
 
 
 def random_blocks(blocks: Blocks, k: int, seed: int) -> list[int]:
@@ -219,21 +224,22 @@ def random_blocks(blocks: Blocks, k: int, seed: int) -> list[int]:
 
 def additive_statistics(rows: DataFrame, length: int, least_per_day: int = 20) -> tuple[Blocks, np.ndarray]:
     """Blocks with stats freq, energy, month, hour, ws, ws3, cf, n (a row a block), and the whole record's sums under "target"."""
-    binned = H.with_bins(rows).withColumn("h6", B.hour6(F.col("time")))
+    binned = H.with_bins(rows).withColumns({"h6": B.hour6(F.col("time")), "day": F.to_date("time")})
+    cells = binned.groupBy("day", "sect", "spd", "month0", "h6").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in ("ws", "ws3", "cf")])
     flat = F.col("sect") * 6 + F.col("spd")
-    parts = [("freq", flat, F.lit(1.0)), ("energy", flat, F.col("ws3")), ("month", F.col("month0"), F.lit(1.0)), ("hour", F.col("h6"), F.lit(1.0))]
-    parts += [(c, F.lit(0), F.col(c)) for c in ("ws", "ws3", "cf")] + [("n", F.lit(0), F.lit(1.0))]
-    each = F.array(*[F.struct(F.lit(g).alias("g"), b.cast("int").alias("b"), v.cast("double").alias("v")) for g, b, v in parts])
-    own = block_rows(binned, length, least_per_day)
-    sums = lambda d, by: d.select(*by, F.inline(each)).groupBy(*by, "g", "b").agg(F.sum("v").alias("v"))
-    got = sums(own, ["start"]).groupBy("start").agg(F.collect_list(F.struct("g", "b", "v")).alias("f")).orderBy("start").collect()
+    parts = [("freq", flat, "n"), ("energy", flat, "ws3"), ("month", F.col("month0"), "n"), ("hour", F.col("h6"), "n")]
+    parts += [(c, F.lit(0), c) for c in ("ws", "ws3", "cf", "n")]
+    each = F.array(*[F.struct(F.lit(g).alias("g"), b.cast("int").alias("b"), F.col(v).cast("double").alias("v")) for g, b, v in parts])
+    days = cells.select("day", F.inline(each)).groupBy("day", "g", "b").agg(F.sum("v").alias("v"))
+    own = add_days(days, T.contiguous_blocks(rows, length, least_per_day), length, ["g", "b"], ["v"])
+    got = own.groupBy("start").agg(F.collect_list(F.struct("g", "b", "v")).alias("f")).orderBy("start").collect()
     sizes = {"freq": 72, "energy": 72, "month": 12, "hour": 4, "ws": 1, "ws3": 1, "cf": 1, "n": 1}
     blocks = Blocks(np.array([r["start"].toordinal() for r in got]), length, {g: np.zeros((len(got), n)) for g, n in sizes.items()})
     for k, row in enumerate(got):
         for g, b, v in row["f"]:
             blocks.stats[g][k, b] = v
     target = {g: np.zeros(n) for g, n in sizes.items()}
-    for row in sums(binned, []).collect():
+    for row in days.groupBy("g", "b").agg(F.sum("v").alias("v")).collect():
         target[row["g"]][row["b"]] = row["v"]
     return blocks, target
 
@@ -293,31 +299,35 @@ def select_additive(blocks: Blocks, target: dict, k: int, cost: Callable, refine
     return best
 
 
-def point_statistics(rows: DataFrame, length: int, least_per_day: int, sectors: int = B.SELECTION_SECTORS) -> tuple[Blocks, dict]:
-    """Blocks with stats of every point (pixel): sws, scf, n, rose, rose_e; and the whole record's."""
-    pixels = [r[0] for r in rows.select("pixel").distinct().orderBy("pixel").collect()]  # the site's grid points
-    place = {p: k for k, p in enumerate(pixels)}
-    binned = rows.withColumns({"sect": B.sector_left(F.col("wd"), sectors), "ws3": P.cube(F.col("ws")), "cf": P.power_curve(F.col("ws"))})
-    sums = [F.sum("ws").alias("sws"), F.sum("cf").alias("scf"), F.count(F.lit(1)).alias("n"), F.sum("ws3").alias("e")]
-    own = block_rows(binned, length, least_per_day).groupBy("start", "pixel", "sect").agg(*sums)
-    starts = {r[0]: k for k, r in enumerate(own.select("start").distinct().orderBy("start").collect())}
+def point_statistics(rows: DataFrame, length: int, least_per_day: int, sectors: int = B.SELECTION_SECTORS, most_numbers: int = 500_000_000) -> tuple[Blocks, dict]:
+    """Blocks with stats of every point (pixel): sws, scf, n, rose, rose_e; and the whole record's.
+
+    The search's matrices are on the driver: blocks x points x (2 + 2 x sectors) numbers, an error beyond
+    `most_numbers`. A field's points are thinned before (the cube's strided scan), not here.
+    """
+    pixels = np.array([r[0] for r in rows.select("pixel").distinct().orderBy("pixel").limit(most_numbers).collect()])
+    binned = rows.withColumns({"day": F.to_date("time"), "sect": B.sector_left(F.col("wd"), sectors), "ws3": P.cube(F.col("ws")), "cf": P.power_curve(F.col("ws"))})
+    names = ["sws", "scf", "n", "e"]
+    days = binned.groupBy("day", "pixel", "sect").agg(F.sum("ws").alias("sws"), F.sum("cf").alias("scf"), F.count(F.lit(1)).cast("double").alias("n"), F.sum("ws3").alias("e"))
+    valid = T.contiguous_blocks(rows, length, least_per_day)
+    days_of = np.array(sorted(r["start"] for r in valid.select("start").collect()))
     size = {"sws": len(pixels), "scf": len(pixels), "n": 1, "rose": len(pixels) * sectors, "rose_e": len(pixels) * sectors}
-    stats = {g: np.zeros((len(starts), n)) for g, n in size.items()}
-    target = {g: np.zeros(n) for g, n in size.items()}
-
-    def add(to: dict, where: tuple, r) -> None:
-        p = place[r["pixel"]]
-        to["sws"][(*where, p)] += r["sws"]
-        to["scf"][(*where, p)] += r["scf"]
-        to["n"][(*where, 0)] += r["n"] / len(pixels)
-        to["rose"][(*where, p * sectors + r["sect"])] += r["n"]
-        to["rose_e"][(*where, p * sectors + r["sect"])] += r["e"]
-
-    for r in own.toLocalIterator():
-        add(stats, (starts[r["start"]],), r)
-    for r in binned.groupBy("pixel", "sect").agg(*sums).toLocalIterator():
-        add(target, (), r)
-    return Blocks(np.array([d.toordinal() for d in starts]), length, stats), target
+    if len(days_of) * sum(size.values()) > most_numbers:
+        raise ValueError(f"{len(days_of)} blocks of {len(pixels)} points are more than {most_numbers} numbers: thin the points first")
+
+    def dense(sums: DataFrame, at: np.ndarray | None, n: int) -> dict[str, np.ndarray]:
+        """sums (start, where at is given; pixel, sect, names) as matrices of a row a block."""
+        got = sums.toArrow()
+        row = np.searchsorted(at, np.array(got["start"].to_pylist())) if at is not None else np.zeros(got.num_rows, int)
+        p, sect = np.searchsorted(pixels, got["pixel"].to_numpy()), got["sect"].to_numpy()
+        v = {c: got[c].to_numpy() for c in names}
+        of = lambda place, width, values: np.bincount(row * width + place, weights=values, minlength=n * width).reshape(n, width)
+        flat, wide = p * sectors + sect, len(pixels) * sectors
+        return {"sws": of(p, len(pixels), v["sws"]), "scf": of(p, len(pixels), v["scf"]), "n": of(0 * p, 1, v["n"]) / max(1, len(pixels)), "rose": of(flat, wide, v["n"]), "rose_e": of(flat, wide, v["e"])}
+
+    stats = dense(add_days(days, valid, length, ["pixel", "sect"], names), days_of, len(days_of))
+    whole = dense(days.groupBy("pixel", "sect").agg(*[F.sum(c).alias(c) for c in names]), None, 1)
+    return Blocks(np.array([d.toordinal() for d in days_of]), length, stats), {g: x[0] for g, x in whole.items()}
 
 
 def hold_out(blocks: Blocks, target: dict, k: int, seed: int = 7) -> dict[str, float]:

@@ -1,70 +1,88 @@
-"""Spatial spectra of rasters: a group's field is one matrix, so numpy's FFT runs on it in a grouped pandas function."""
+"""Spatial spectra of rasters: a group's field is one matrix, so numpy's FFT runs on it in a grouped pandas function.
+
+One routine takes a field to its waves (a radius and a power each) and adds the powers
+up by ranges of the radius; band shares, the high share and the radial spectrum differ
+in the radius, the window and the ranges.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..deploy import ship
 
-# Fixed values that define results: radii in units of the Nyquist wavenumber.
-BANDS = ((0.0, 0.1), (0.1, 0.25), (0.25, 0.5), (0.5, 2.0))
+# Fixed values that define results: limits of radii in units of the Nyquist wavenumber.
+BAND_LIMITS = (0.0, 0.1, 0.25, 0.5, 2.0)
+HIGH = 0.5
+RADIAL_BINS = 40
 
 
 def field(x: pd.DataFrame, value: str) -> np.ndarray:
-    """A dense [j, i] matrix; cells that are missing hold NaN."""
-    i, j = x["i"].to_numpy() - x["i"].min(), x["j"].to_numpy() - x["j"].min()
-    out = np.full((j.max() + 1, i.max() + 1), np.nan)
-    out[j, i] = x[value].to_numpy()
-    return out
+    """A dense [j, i] matrix without gaps."""
+    cells = x.pivot(index="j", columns="i", values=value)
+    cells = cells.reindex(index=range(cells.index.min(), cells.index.max() + 1), columns=range(cells.columns.min(), cells.columns.max() + 1))
+    if not np.isfinite(cells.to_numpy(dtype=float)).all():
+        raise ValueError("fill gaps before a spectrum (grid.fill_nearest)")
+    return cells.to_numpy(dtype=float)
 
 
-def _power(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not np.isfinite(a).all():
-        raise ValueError("fill gaps before a spectrum (grid.fill_nearest)")
-    p = np.abs(np.fft.fftshift(np.fft.fft2(a - a.mean()))) ** 2
-    y, x = np.mgrid[: a.shape[0], : a.shape[1]]
-    r = np.hypot(*((axis - n / 2) / (n / 2) for axis, n in ((y, a.shape[0]), (x, a.shape[1]))))
-    return p, r
+def relative_numbers(n: int) -> np.ndarray:
+    """An axis's wave numbers over the Nyquist one. On an odd axis they are counted from half a wave off, as positions from the middle are."""
+    return (np.fft.fftfreq(n, 1 / n) - n % 2 / 2) / (n / 2)
 
 
-def band_shares(df: DataFrame, by: str, value: str) -> DataFrame:
-    """by, band, share: percent of the spatial variance in each band of wavenumbers."""
+def power_by_radius(a: np.ndarray, numbers: Callable[[int], np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Power and number of the waves in each range [limits[k], limits[k + 1]) of the radius, and the power of all."""
+    power = np.abs(np.fft.fft2(a)) ** 2
+    y, x = (numbers(n) for n in a.shape)
+    at = np.searchsorted(limits, np.sqrt(y[:, None] ** 2 + x[None, :] ** 2), side="right").ravel()
+    total = np.bincount(at, weights=power.ravel(), minlength=len(limits) + 1)
+    return total[1:-1], np.bincount(at, minlength=len(limits) + 1)[1:-1], power.sum()
+
+
+def _by_group(df: DataFrame, by: str, value: str, columns: str, rows: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
+    names = [by, *[c.split()[0] for c in columns.split(", ")]]
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        p, r = _power(field(x, value))
-        total = p.sum()
-        return pd.DataFrame([(key[0], k, 100 * p[(r >= a) & (r < b)].sum() / total if total else 0.0) for k, (a, b) in enumerate(BANDS)], columns=[by, "band", "share"])
+        return pd.DataFrame([(key[0], *r) for r in rows(field(x, value))], columns=names)
 
     ship(df.sparkSession)
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {dict(df.dtypes)[by]}, band int, share double")
+    return df.select(by, "i", "j", value).groupBy(by).applyInPandas(run, f"`{by}` {dict(df.dtypes)[by]}, {columns}")
+
+
+def band_shares(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, band, share: percent of the spatial variance in each band of wavenumbers."""
+
+    def rows(a: np.ndarray) -> list[tuple]:
+        power, _, whole = power_by_radius(a - a.mean(), relative_numbers, np.array(BAND_LIMITS))
+        return [(k, 100 * p / whole if whole else 0.0) for k, p in enumerate(power)]
+
+    return _by_group(df, by, value, "band int, share double", rows)
 
 
-def high_share(df: DataFrame, by: str, value: str, least: float = 0.5) -> DataFrame:
+def high_share(df: DataFrame, by: str, value: str, least: float = HIGH) -> DataFrame:
     """by, share: the part of the variance beyond a radius."""
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        p, r = _power(field(x, value))
-        return pd.DataFrame([(key[0], p[r > least].sum() / p.sum() if p.sum() else 0.0)], columns=[by, "share"])
+    def rows(a: np.ndarray) -> list[tuple]:
+        power, _, whole = power_by_radius(a - a.mean(), relative_numbers, np.array([np.nextafter(least, np.inf), np.inf]))
+        return [(power[0] / whole if whole else 0.0,)]
 
-    ship(df.sparkSession)
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {dict(df.dtypes)[by]}, share double")
+    return _by_group(df, by, value, "share double", rows)
 
 
-def radial_spectrum(df: DataFrame, by: str, value: str, dx: float = 1.0, bins: int = 40) -> DataFrame:
+def radial_spectrum(df: DataFrame, by: str, value: str, dx: float = 1.0, bins: int = RADIAL_BINS) -> DataFrame:
     """by, k, power: mean power in logarithmic bins of wavenumber, of the square crop under a Hann window; bins without waves are left out."""
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        a = field(x, value)
+    def rows(a: np.ndarray) -> list[tuple]:
         n = min(a.shape)
-        a = (a - a.mean())[:n, :n] * np.outer(np.hanning(n), np.hanning(n))
-        p = np.abs(np.fft.fft2(a)) ** 2
-        f = np.fft.fftfreq(n, dx)
-        edges = np.geomspace(1 / (n * dx), 0.5 / dx, bins)
-        at = np.digitize(np.hypot(f[:, None], f[None, :]).ravel(), edges)
-        total, count = np.bincount(at, weights=p.ravel(), minlength=bins + 1), np.bincount(at, minlength=bins + 1)
-        return pd.DataFrame([(key[0], edges[k - 1], total[k] / count[k]) for k in range(1, bins) if count[k]], columns=[by, "k", "power"])
+        taper = np.sin(np.pi * np.arange(n) / max(1, n - 1)) ** 2  # the Hann window
+        square = (a - a.mean())[:n, :n] * taper[:, None] * taper
+        limits = np.geomspace(1 / (n * dx), 0.5 / dx, bins)
+        power, waves, _ = power_by_radius(square, lambda m: np.fft.fftfreq(m, dx), limits)
+        return [(k, p / w) for k, p, w in zip(limits, power, waves, strict=False) if w]
 
-    ship(df.sparkSession)
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {dict(df.dtypes)[by]}, k double, power double")
+    return _by_group(df, by, value, "k double, power double", rows)

@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 from ..deploy import ship
 from ..functions import binning as B
 from ..functions import physics as P
+from ..functions.special import gamma_fn
 
+# Fixed value that defines results: the power of the method of moments.
+MOMENTS_POWER = -1.086
 LOW, HIGH, HIGH_UNWEIGHTED = 0.1, 50.0, 5000.0
 
 
@@ -70,16 +73,16 @@ def solve(x: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 
 def distinct_speeds(df: DataFrame, by: list[str], speed: str, weight: str | None) -> DataFrame:
+    """by, _x, _w, _n: each group's distinct speeds with their weight and rows."""
     w = F.col(weight) if weight else F.lit(1.0)
     return df.groupBy(*by, F.col(speed).alias("_x")).agg(F.sum(w.cast("double")).alias("_w"), F.count(F.lit(1)).cast("double").alias("_n"))
 
 
-def fit(df: DataFrame, by: list[str], speed: str = "ws", weight: str | None = None) -> DataFrame:
-    """by, k, a (null where there is no fit)."""
-    ship(df.sparkSession)
-    lists = [F.collect_list(c).alias(c) for c in ("_x", "_w", "_n")]
-    grouped = distinct_speeds(df, by, speed, weight).groupBy(*by).agg(*lists)
-    keys = df.select(*by).schema.fields
+def fit_speeds(speeds: DataFrame, by: list[str]) -> DataFrame:
+    """by, k, a (null where there is no fit) of distinct speeds."""
+    ship(speeds.sparkSession)
+    grouped = speeds.groupBy(*by).agg(*[F.collect_list(c).alias(c) for c in ("_x", "_w", "_n")])
+    keys = speeds.select(*by).schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,11 +95,14 @@ def fit(df: DataFrame, by: list[str], speed: str = "ws", weight: str | None = No
     return grouped.mapInArrow(run, T.StructType([*keys, T.StructField("k", T.DoubleType()), T.StructField("a", T.DoubleType())]))
 
 
+def fit(df: DataFrame, by: list[str], speed: str = "ws", weight: str | None = None) -> DataFrame:
+    """by, k, a (null where there is no fit)."""
+    return fit_speeds(distinct_speeds(df, by, speed, weight), by)
+
+
 def fit_moments(df: DataFrame, by: list[str], speed: str = "ws") -> DataFrame:
     """k = (sd / mean)^-1.086, A = mean / Gamma(1 + 1/k); sd of the population."""
-    from ..functions.special import gamma_fn
-
-    s = df.groupBy(*by).agg(F.avg(speed).alias("_m"), F.stddev_pop(speed).alias("_s")).withColumn("k", F.pow(F.try_divide("_s", "_m"), F.lit(-1.086)))
+    s = df.groupBy(*by).agg(F.avg(speed).alias("_m"), F.stddev_pop(speed).alias("_s")).withColumn("k", F.pow(F.try_divide("_s", "_m"), F.lit(MOMENTS_POWER)))
     s = s.withColumn("k", F.when((F.col("_s") > 0) & (F.col("_m") > 0), F.col("k")))
     return s.select(*by, "k", (F.col("_m") / gamma_fn(1 + 1 / F.col("k"))).alias("a"))
 
@@ -110,10 +116,12 @@ def resource_grid(df: DataFrame, by: list[str], weight: str | None = None, rotor
     n = round(360 / width)
     w = F.col(weight) if weight else F.lit(1.0)
     rows = df.select(*by, F.col("ws").alias("_ws"), w.cast("double").alias("_wt"), B.sector_right(F.col("wd"), width).alias("_sector"))
-    whole = fit(rows, by, "_ws", "_wt")
-    mean = rows.groupBy(*by).agg(F.sum("_wt").alias("_total"), (F.sum(F.col("_ws") * F.col("_wt")) / F.sum("_wt")).alias("_mean"))
-    per = fit(rows.where("_sector IS NOT NULL"), [*by, "_sector"], "_ws", "_wt")
-    share = rows.where("_sector IS NOT NULL").groupBy(*by, "_sector").agg(F.sum("_wt").alias("_sw"))
+    cells = distinct_speeds(rows, [*by, "_sector"], "_ws", "_wt")  # one pass over the rows; all else adds these up
+    sums = [F.sum("_w").alias("_w"), F.sum("_n").alias("_n")]
+    whole = fit_speeds(cells.groupBy(*by, "_x").agg(*sums), by)
+    mean = cells.groupBy(*by).agg(F.sum("_w").alias("_total"), (F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_mean"))
+    per = fit_speeds(cells.where("_sector IS NOT NULL"), [*by, "_sector"])
+    share = cells.where("_sector IS NOT NULL").groupBy(*by, "_sector").agg(F.sum("_w").alias("_sw"))
     per = share.join(per, [*by, "_sector"], "left").join(mean, by)
     got = per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_sector", F.struct((F.col("_sw") / F.col("_total") * 1000).alias("freq"), (F.col("a") * 10).alias("a"), (F.col("k") * 100).alias("k"))))).alias("_m"))
     empty = F.struct(F.lit(0.0).alias("freq"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("k"))

@@ -13,6 +13,7 @@ from ..operators import grid as G
 from ..operators import histograms as H
 from ..operators import metrics as M
 from ..operators import weibull as WB
+from ..operators.quantiles import literals
 from ..sources import modellog, wrg
 from .q_expr import SECTOR12, SECTOR16, SPEED6, STAB, cf
 from .registry import count, query, r
@@ -132,7 +133,7 @@ def _(i):
 
 @query("agg12_describe", "SELECT count(ws) AS n, round(avg(ws), 6) AS mean, round(stddev_samp(ws), 6) AS sd, min(ws) AS lowest, quantile_cont(ws, 0.25) AS q25, quantile_cont(ws, 0.5) AS q50, quantile_cont(ws, 0.75) AS q75, max(ws) AS highest FROM obs_v")
 def _(i):
-    q = [F.percentile("ws", F.lit(p)).alias(f"q{round(p * 100)}") for p in (0.25, 0.5, 0.75)]
+    q = literals(i.obs_v, c("ws"), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return i.obs_v.agg(F.count("ws").alias("n"), r(F.avg("ws")).alias("mean"), r(F.stddev_samp("ws")).alias("sd"), F.min("ws").alias("lowest"), *q, F.max("ws").alias("highest"))
 
 
@@ -233,14 +234,35 @@ def _(i):
     return level.crossJoin(roses[0].join(roses[1], "sector").agg(r(F.avg(gap)).alias("sector_mae"), r(F.max(gap)).alias("sector_max")))
 
 
-@query("agg22_random_draws")
-def _(i):
-    """Mean metrics over ten random halves of the days: each (draw, day) is drawn by hash."""
-    days = i.forcing_v.withColumn("day", F.to_date("time")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    part = days.where(F.pmod(F.xxhash64("draw", "day"), F.lit(2)) == 0)
-    full = i.forcing_v.agg(F.avg("ws").alias("f"))
-    each = part.groupBy("draw").agg(F.avg("ws").alias("m")).crossJoin(full)
-    return each.agg(count().alias("draws"), F.avg(F.abs(100 * (c("m") / c("f") - 1))).alias("mean_error"))
+DRAWS = f"""WITH o AS (SELECT CAST(time AS DATE) AS day, ws, {SECTOR12} AS sector FROM forcing_v),
+    placed AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT day FROM o)),
+    geometry AS (SELECT * FROM (VALUES (3, 10), (5, 6)) g(length, blocks)),
+    starts AS (SELECT length, blocks, draw, pos, row_number() OVER (PARTITION BY length, draw ORDER BY md5(draw || ':' || day)) AS k
+               FROM placed, geometry, (SELECT unnest(range(0, 40)) AS draw) WHERE pos < (SELECT count(*) FROM placed) - length),
+    drawn AS (SELECT DISTINCT length, draw, day FROM (SELECT length, draw, unnest(range(pos, pos + length)) AS pos FROM starts WHERE k <= blocks) JOIN placed USING (pos)),
+    part AS (SELECT length, draw, sector, ws FROM drawn JOIN o USING (day)),
+    f AS (SELECT avg(ws) AS m, avg(ws ** 3) AS e, power(stddev_pop(ws) / avg(ws), -1.086::DOUBLE) AS k FROM o),
+    p AS (SELECT length, draw, count(*) AS n, avg(ws) AS m, avg(ws ** 3) AS e, power(stddev_pop(ws) / avg(ws), -1.086::DOUBLE) AS k FROM part GROUP BY 1, 2),
+    fs AS (SELECT sector, count(*) / sum(count(*)) OVER () AS q, sum(ws ** 3) / sum(sum(ws ** 3)) OVER () AS qe FROM o GROUP BY 1),
+    ps AS (SELECT length, draw, sector, count(*) AS c, sum(ws ** 3) AS e FROM part GROUP BY 1, 2, 3),
+    gap AS (SELECT p.length, p.draw, avg(abs(coalesce(ps.c, 0) / p.n - q)) AS fm, avg(abs(coalesce(ps.e, 0) / (p.e * p.n) - qe)) AS em, max(abs(coalesce(ps.e, 0) / (p.e * p.n) - qe)) AS ex
+            FROM p CROSS JOIN fs LEFT JOIN ps ON ps.length = p.length AND ps.draw = p.draw AND ps.sector = fs.sector GROUP BY 1, 2)
+    SELECT CAST(length AS INT) AS length, count(*) AS draws, round(avg(n / 24.0::DOUBLE), 6) AS days, round(avg(abs(100 * (p.m / f.m - 1))), 6) AS ws, round(avg(abs(100 * (p.e / f.e - 1))), 6) AS energy,
+        round(avg(abs(100 * (p.m / gamma(1 + 1 / p.k) / (f.m / gamma(1 + 1 / f.k)) - 1))), 6) AS a, round(avg(abs(100 * (p.k / f.k - 1))), 6) AS k,
+        round(avg(100 * fm), 6) AS freq_mae, round(avg(100 * em), 6) AS energy_mae, round(avg(100 * ex), 6) AS energy_max
+    FROM p JOIN gap USING (length, draw), f GROUP BY 1"""
+
+
+@query("agg22_random_draws", DRAWS)
+def _(i):
+    """Mean errors over forty draws of ten 3-day blocks, and of six 5-day ones."""
+    out = None
+    for length, blocks in ((3, 10), (5, 6)):
+        bias = M.draw_bias(i.forcing_v, M.random_draws(i.forcing_v, length, blocks), B.sector_left(c("wd")), 12)
+        errors = [r(F.avg(F.abs(e))).alias(e) for e in ("ws", "energy", "a", "k", "freq_mae", "energy_mae", "energy_max")]
+        part = bias.agg(count().alias("draws"), r(F.avg(c("rows") / 24)).alias("days"), *errors).select(F.lit(length).alias("length"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("agg23_wrg_mean_speed", """WITH p AS (SELECT regexp_split_to_array(trim(line), '\\s+') AS t FROM wrg_text_v), q AS (SELECT CASE WHEN t[1] = 'GridPoint' THEN t[2:] ELSE t END AS t FROM p), s AS (SELECT CAST(t[1] AS INT) AS x, CAST(t[2] AS INT) AS y, t[5]::DOUBLE AS a, t[6]::DOUBLE AS k, t FROM q WHERE len(t) >= 14)
@@ -362,7 +384,7 @@ def _(i):
 def _(i):
     p = P.power_curve(c("ws"))
     e = i.forcing_v.groupBy("pixel").agg((100 * (F.avg(F.when(F.year("time") == 1997, p)) / F.avg(p) - 1)).alias("e"), F.avg("wd").alias("z"))
-    return e.agg(*[r(F.percentile("e", F.lit(q))).alias(n) for q, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))], r(F.corr(F.abs("e"), c("z"))).alias("r"))
+    return e.agg(*[r(q).alias(n) for q, n in zip(literals(e, c("e"), {"p5": 0.05, "p50": 0.5, "p95": 0.95}), ("p5", "p50", "p95"), strict=True)], r(F.corr(F.abs("e"), c("z"))).alias("r"))
 
 
 @query("agg36_domain_report", "SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(hgt) AS lowest, max(hgt) AS highest, round(avg(hgt), 6) AS mean, round(100 * avg((lu = 17)::INT), 6) AS water FROM raster_v")

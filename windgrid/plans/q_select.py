@@ -63,7 +63,8 @@ def _(i):
     blocks, a, t = S.design_matrix(i.forcing_v, 2)
     greedy, _, _ = S.select_weighted(blocks, a, t, 6)
     best, d = S.anneal(blocks, a, t, greedy, 3 / 6, seed=0)
-    return _table(i, blocks, _even(best)).withColumn("distance", F.lit(round(d, 6)))
+    w, _ = S.Fitter(a, t, 3 / 6)(best)
+    return _table(i, blocks, zip(best, w / w.sum(), strict=True)).withColumn("distance", F.lit(round(d, 6)))
 
 
 @query("sel6_greedy_v1")
