@@ -116,7 +116,6 @@ def test_packing(docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = packing.pack_documents(docs, path).toPandas()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     expected = Counter()
     for r in rows:
         ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -131,6 +130,34 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_word_tokenizer_equals_the_plain_call():
+    """Default flags: every letter before punctuation, special strings in any case and place, random Unicode."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, mine = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    rng = random.Random(11)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}. a{c}!? {c}b " for c in every[k : k + 500]) for k in range(0, 0x30000, 500)]
+    odd = ["İ.", "İ", "क़.", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "a", "Z", ".", "'s", "'RE", " ", "\n", "\x85", "\u0301", "é", "Σ", "ς.", "ß", "ﬁ", "12", "한", "的", "<|", "|>", "\x00"]
+    texts += ["".join(rng.choices(odd, k=rng.randint(0, 12))) for _ in range(3000)] + ["".join(rng.choices(every[: rng.choice([256, 1500, 0x3000, len(every)])], k=rng.randint(0, 20))) for _ in range(3000)]
+    texts += ["", None, "x" * 100_000, "<|endoftext|>" * 50, "a<|endoftext|>B"]
+    for tokens, flag in ((mine, False), (packing.WordTokenizer(path, special_as_text=True), True)):
+        t.encode_special_tokens = flag
+        ids, ends = tokens.texts(pa.array(texts))
+        for text, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
+            assert ids[a:b].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 0], repr(text)[:200]
+    assert 49407 in mine.texts(pa.array(["a<|endoftext|>"]))[0] and [x.tolist() for x in mine.texts(pa.array([], pa.string()))] == [[], []]
+
+
+def test_packing_clashing_columns_and_repeated_rows(spark):
+    items = spark.createDataFrame([(1, 900, 5, "x")] * 700 + [(2, 100, 6, "y")] * 50, "id int, length long, sequence_id int, offset string")
+    out = packing.pack(items, local_items=50, group_bins=50)
+    assert out.columns == ["id", "length", "sequence_id", "offset"]
+    out = out.toPandas()
+    assert len(out) == 750 and out.groupby("sequence_id").length.sum().max() <= 2048 and out.sequence_id.nunique() <= 1.02 * 350 + 2
+
+
 def test_packing_rounds(spark):
     """Groups far smaller than the table: the tree merges their underfull bins."""
     rng = random.Random(1)
@@ -181,12 +208,27 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_large_cluster(spark, monkeypatch):
-    """A cluster of several blocks gives the components that all pairs give."""
+def test_near_duplicates_unite_a_repeated_id(spark):
+    """A doc_id with two texts is one document: it links what either is linked with, and has one component."""
+    rng = random.Random(4)
+    a, b, d = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, b), (5, a), (5, b), (5, ""), (5, None), (7, d), (8, None), (9, ""), (9, d + " more"), (9, d + " more")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    got = {(r["doc_id"], r["component_id"]) for r in out}
+    assert got == {(1, 1), (2, 1), (5, 1), (7, 7), (8, 8), (9, 7)}
+
+
+@pytest.mark.parametrize("center", [True, False])
+def test_near_duplicates_large_cluster(spark, monkeypatch, center):
+    """A cluster of several blocks gives the components that all pairs give; also where members are linked through one text only."""
     rng = random.Random(3)
     base = prose(rng, 150)
-    pairs = [(i, edited(rng, base, rng.choice([0.0, 0.004, 0.01, 0.02]))) for i in range(160)] + [(1000 + i, prose(rng, 40)) for i in range(20)]
+    shares = [0.0, 0.004, 0.01, 0.02] if center else [0.012, 0.02, 0.03]
+    pairs = [(i, edited(rng, base, rng.choice(shares))) for i in range(160)] + [(1000 + i, prose(rng, 40)) for i in range(20)]
+    pairs += [(2000 + i, edited(rng, base, 0.01) + " " + prose(rng, 10 * i)) for i in range(12)]
     monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "HUBS", 2)
     out = neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).toPandas()
     expected = brute_components(pairs)
     assert {int(x.doc_id): (x.n_shingles, int(x.component_id)) for x in out.itertuples()} == expected
@@ -361,33 +403,82 @@ def test_bpe_documents(docs, rows, empty, tiktoken_encoding):
     assert bpe.digest_documents(empty, path, pattern).count() == 0
 
 
-def test_winnowing(docs, rows, empty):
+def brute_print(spark, texts: list[str]) -> list[list[tuple[int, int]]]:
+    """Winnowing in plain Python: the rolling recurrence over the tokens' hashes, and the rightmost least of each window."""
+    split = [re.findall(r"(?<!\S)\S{1,24}(?!\S)|\S", t, re.ASCII) for t in texts]
+    distinct = sorted({w for s in split for w in s})
+    hashed = spark.createDataFrame([(w,) for w in distinct] or [("",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    known, mask = {r["w"]: r["h"] & (1 << 64) - 1 for r in hashed}, (1 << 64) - 1
+    rot = lambda x, n: (x << n | x >> 64 - n) & mask
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    short = {tuple(s) for s in split if 0 < len(s) < winnow.K}
+    whole = {}
+    for s in short:
+        lits = F.array(*[F.xxhash64(F.lit(w)) for w in s])
+        whole[s] = spark.range(1).select(F.xxhash64(lits)).first()[0]
+    out = []
+    for s in split:
+        if len(s) < winnow.K:
+            out.append([(whole[tuple(s)], 0)] if s else [])
+            continue
+        h, state = [], 0
+        for i, w in enumerate(s):
+            state = rot(state, 1) ^ known[w] ^ (rot(known[s[i - winnow.K]], winnow.K) if i >= winnow.K else 0)
+            if i >= winnow.K - 1:
+                h.append(signed(state))
+        at = []
+        for j in range(max(1, len(h) - winnow.W + 1)):
+            window = h[j : j + winnow.W]
+            p = j + max(k for k, x in enumerate(window) if x == min(window))
+            if p not in at:
+                at.append(p)
+        out.append([(h[p], p) for p in at])
+    return out
+
+
+def test_winnowing(spark, docs, rows, empty):
+    """Every row's neighbour, edited text, both fingerprints and likenesses against plain Python."""
     out = winnow.compare_edits(docs).toPandas()
-    assert len(out) == len(rows)
-    texts = [(r[0], r[1] or "") for r in rows]
-    unique = {i: t for i, t in texts if i is not None}
-    order = sorted(unique, reverse=True)
-    by = {int(x.doc_id): x for x in out[out.doc_id.notna()].itertuples()}
-    for k, i in enumerate(order[:-1]):
-        if i == rows[20][0] or order[k + 1] == rows[20][0]:
-            continue  # a repeated id
-        t, n = unique[i], unique[order[k + 1]]
-        h = len(t) // 2
-        assert by[i].n_chars == len(t) and by[i].edited == t[: len(t) - h] + n[:h]
-    assert out.groupby("doc_id").print.apply(lambda p: len({tuple(x) for x in p})).max() == 1
-    assert ((0 <= out.near_edited) & (out.near_edited <= 1) & (0 <= out.near_next) & (out.near_next <= 1)).all()
+    low = lambda i: -(1 << 63) if i is None else i
+    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").distinct().select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-low(r[0]), tie[r[1]]))
+    following = [*order[1:], order[0]]
+    edited_texts = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(order, following, strict=True)]
+    prints, edited_prints = brute_print(spark, [t for _, t in order]), brute_print(spark, edited_texts)
+
+    def like(a: list, b: list) -> float:
+        a, b = ({h for h, _ in x} for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        following_print = prints[(k + 1) % len(order)]
+        want[i, len(t), edited_texts[k], tuple(prints[k]), tuple(edited_prints[k]), round(like(prints[k], edited_prints[k]), 9), round(like(prints[k], following_print), 9)] += 1
+    flat = lambda p: tuple((x["hash"], x["position"]) for x in p)
+    got = Counter((None if pd.isna(x.doc_id) else int(x.doc_id), x.n_chars, x.edited, flat(x.print), flat(x.edited_print), round(x.near_edited, 9), round(x.near_next, 9)) for x in out.itertuples())
+    assert got == want
     assert winnow.compare_edits(empty).count() == 0
 
 
+def test_next_row_over_many_ranges(spark):
+    """Ids far apart, beyond what a double holds, and repeated ones; ranges of a few rows."""
+    rng = random.Random(12)
+    ids = [rng.choice([0, 1 << 62, -(1 << 60)]) + rng.randint(0, 50) for _ in range(300)] + [5] * 40 + [None, None]
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id long, v int")
+    out = winnow.with_next(df, "id", ["v"], F.col("v"), rows_each=7).collect()
+    low = lambda i: -(1 << 63) if i is None else i
+    order = sorted(range(len(ids)), key=lambda k: (-low(ids[k]), k))
+    assert {r["v"]: r["next_v"] for r in out} == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def test_winnowing_rule(spark):
     """Minimum of each window, the rightmost of ties, with its position."""
     rng = random.Random(8)
     texts = [" ".join(rng.choices("a b c d".split(), k=rng.randint(0, 60))) for _ in range(30)] + ["a " * 50, "q" * 100]
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     g = winnow.grams(F.coalesce("t", F.lit("")))
-    for r in df.select("t", winnow.positions(g).alias("gp"), F.transform(g, lambda x: F.shiftright(x, winnow.POSITION_BITS)).alias("gh"), winnow.positions(winnow.fingerprint(F.col("t"))).alias("p")).collect():
+    for r in df.select("t", g.alias("gh"), winnow.positions(winnow.fingerprint(F.col("t"))).alias("p")).collect():
         h, want = r["gh"], []
-        assert r["gp"] == list(range(len(h)))
         for j in range(max(1, len(h) - winnow.W + 1) if h else 0):
             window = h[j : j + winnow.W]
             at = j + max(k for k, x in enumerate(window) if x == min(window))
@@ -411,6 +502,25 @@ def test_top_k(spark):
             expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert {tuple(r) for r in out.itertuples(index=False)} == expected
     assert topk.top_k(df.limit(0), "vec_id", "v", F.lit(True)).count() == 0
+    huge = df.select("vec_id", "v").unionByName(spark.createDataFrame([(1000, [1e200] * 8)], "vec_id long, v array<double>"))  # its squared norm overflows
+    assert {tuple(r) for r in topk.top_k(huge, "vec_id", "v", F.col("vec_id") % 50 == 0).collect()} == expected
+
+
+def test_top_k_opens_few_annuli_where_vectors_have_structure(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8)) * 100
+    tight = [(i, (centres[i % 20] / np.linalg.norm(centres[i % 20]) * 100 + rng.normal(size=8) * 0.5).tolist()) for i in range(4000)]
+    loose = [(i, rng.normal(size=64).tolist()) for i in range(1000)]
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "TASK_BLOCKS", 2)
+    for rows, most in ((tight, 0.4), (loose, 1.01)):
+        index = topk.Index(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v", F.col("vec_id") % 50 == 0)
+        assert 0 < index.opened_share(5) < most
+        m = np.array([r[1] for r in rows])
+        scores = m[::50] @ m.T
+        scores[np.arange(len(scores)), np.arange(0, len(rows), 50)] = -np.inf
+        want = {(50 * q, k + 1, int(j)) for q, s in enumerate(scores) for k, j in enumerate(np.lexsort((np.arange(len(s)), -s))[:5])}
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in index.top_k(5).collect()} == want
 
 
 def test_top_k_query_leaves_out_what_is_not_finite(spark, tmp_path):
@@ -498,6 +608,171 @@ def sf(tmp_path_factory, docs, labels):
     return folder
 
 
+def test_sharding_query_is_the_heap_rule(spark, sf, rows):
+    """Loads of all shards equal those of the plain heap over groups of equal texts; slots are gapless; copies stay together."""
+    import heapq
+
+    out = sharding.query(spark, sf).toPandas()
+    size = Counter()
+    for r in rows:
+        size[r[1] or ""] += len((r[1] or "").encode()) + 1
+    heap = [(0, s) for s in range(16)]
+    for n in sorted(size.values(), reverse=True):
+        at, s = heap[0]
+        heapq.heapreplace(heap, (at + n, s))
+    assert Counter(out.groupby("shard")["size"].sum().to_dict()) == Counter({s: at for at, s in heap if at})
+    assert Counter(zip([None if pd.isna(x) else int(x) for x in out.doc_id], out["size"], out.text_crc32, strict=True)) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard").slot)
+    assert (out.groupby("text_crc32").shard.nunique() == 1).all() and (out.law == "bytes").all() and out.grown_shard.isna().all()
+
+
+def test_sharding_clashing_columns_and_hot_rows(spark):
+    df = spark.createDataFrame([("a", 5, 1, "x", 2)] * 300 + [("b", 5, 1, "x", 2), ("c", 900, 1, None, 2)], "key string, size long, shard int, slot string, part int")
+    out = sharding.shard_groups(df, "key", "size", ["key"], 3)
+    assert out.columns == ["key", "size", "part", "shard", "slot"]
+    out = out.toPandas()
+    assert out.groupby("key").shard.nunique().max() == 1 and out.shard.nunique() == 3 and sorted(out[out.key == "a"].slot) == list(range(300))
+
+
+def brute_posteriors(p, host, path) -> tuple[np.ndarray, np.ndarray]:
+    """Site posteriors and qualities in plain numpy: moments of groups for the prior's strength, shrinking to host and to all."""
+    p = np.asarray(p)
+
+    def strength(groups: list[np.ndarray], base: list[float]) -> float:
+        n = np.array([len(g) for g in groups], float)
+        if len(groups) < 2:
+            return 50.0
+        within = max(sum(((g - g.mean()) ** 2).sum() for g in groups) / n.sum(), 1e-6)
+        between = sum(len(g) * (g.mean() - b) ** 2 for g, b in zip(groups, base, strict=True))
+        spread = (between - len(groups) * within) / max(n.sum() - (n**2).sum() / n.sum(), 1.0)
+        return min(1000.0, max(5.0, within / max(spread, 1e-9)))
+
+    overall = p.mean()
+    of = lambda keys: {k: p[[x == k for x in keys]] for k in dict.fromkeys(keys)}
+    hosts, paths = of(host), of(list(zip(host, path, strict=True)))
+    k = strength(list(hosts.values()), [overall] * len(hosts))
+    p_host = {h: (g.sum() + k * overall) / (len(g) + k) for h, g in hosts.items()}
+    k = strength(list(paths.values()), [p_host[h] for h, _ in paths])
+    p_path = {hp: (g.sum() + k * p_host[hp[0]]) / (len(g) + k) for hp, g in paths.items()}
+    site = np.array([p_path[hp] for hp in zip(host, path, strict=True)])
+    odds = lambda x: np.clip(x, 1e-9, 1 - 1e-9) / (1 - np.clip(x, 1e-9, 1 - 1e-9))
+    ratio = odds(p) * odds(site) / odds(np.array(overall))
+    return site, ratio / (1 + ratio)
+
+
+def test_quality_equals_plain_numpy(spark):
+    rng = random.Random(21)
+    places = [("a.org/x/1", "en"), ("http://a.org/y?q", "en"), ("https://b.net/x", "de"), ("b.net", "de"), ("b.net", "fr"), (None, "en"), ("solo", None)]
+    rows = []
+    for i in range(500):
+        k = rng.choices(range(len(places)), weights=[150, 40, 60, 30, 3, 20, 1])[0]
+        poor = rng.random() < (0.7 if k == 0 else 0.1)
+        t = prose(rng, rng.randint(5, 60))
+        rows.append((i, " ".join(w + "%$#" for w in t.split(" ")) if poor else t, *places[k], int(not poor)))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] % 4 == 0], "doc_id long, quality int")
+    out = quality.classify(docs, labels).toPandas().sort_values("doc_id")
+    host, path = [], []
+    for s, lang in zip([r[2] for r in rows], [r[3] for r in rows], strict=True):
+        parts = re.split("[/?#]", re.sub("^[a-z]+://", "", s), maxsplit=2) if s is not None else [None]
+        host.append(parts[0])
+        path.append(parts[1] if len(parts) > 1 else lang)
+    model = quality.fit(docs, labels)
+    p = model.p(quality.features(pa.array([r[1] for r in rows])))
+    assert np.allclose(out.p_text, p, atol=1e-9)
+    site, posterior = brute_posteriors(p, host, path)
+    assert np.allclose(out.p_site, site, atol=1e-9) and np.allclose(out.quality, posterior, atol=1e-9) and (out.keep == (posterior >= 0.5)).all()
+    bare = quality.classify(docs, labels, with_text=False)
+    assert bare.columns == ["doc_id", "source", "lang", "p_text", "p_site", "quality", "keep"] and np.allclose(bare.toPandas().sort_values("doc_id").quality, posterior, atol=1e-9)
+
+
+def test_logistic_is_at_its_optimum():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) * [1, 3, 0.2, 1]
+    y = (x @ [1, -0.3, 2, 0] + rng.logistic(size=300) > 0.2).astype(float)
+    m = quality.fit_logistic(x, y)
+    z = np.column_stack([(x - m.mean) / m.scale, np.ones(300)])
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (z @ w)).sum() + 0.15 * (w[:-1] ** 2).sum() + 5e-7 * w[-1] ** 2
+    assert all(loss(m.weights) <= loss(m.weights + d) for d in rng.normal(size=(200, 5)) * 0.01)
+
+
+def test_ordinal_likelihood_and_probabilities(spark):
+    """Graded labels: the fit is near the best penalised likelihood, and a document's probabilities are those of its counts in plain Python."""
+    rng = random.Random(31)
+    bad = ["vileword", "nastything", "grimstuff"]
+    rows = []
+    for i in range(900):
+        t = prose(rng, rng.randint(20, 60)).split(" ")
+        grade = rng.choice([0, 0, 0, 1, 2, 3])
+        for _ in range(max(0, grade + rng.choice([-1, 0, 0, 1, 2]))):
+            t.insert(rng.randint(0, len(t)), rng.choice(bad))
+        rows.append((i, " ".join(t), grade))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert len(model.cuts) == 3 and (np.diff(model.cuts) > 0).all()
+    out = toxicity.score(docs, model).toPandas().sort_values("doc_id")
+    place = {w: k for k, w in enumerate(model.words)}
+    x = np.zeros((len(rows), len(model.words) + 1))
+    for k, r in enumerate(rows):
+        found = [w.strip(toxicity.PUNCTUATION) for w in r[1].lower().split()]
+        for w in found:
+            for f in [w, *[w[:n] + "*" for n in toxicity.PREFIXES if len(w) > n]]:
+                if f in place:
+                    x[k, place[f]] += 1
+        x[k, -1] = len(found) / toxicity.UNIT
+    p = 1 / (1 + np.exp(model.cuts[None, :] - (x @ model.weights)[:, None]))
+    assert np.allclose(np.stack(out.p_grade), p, atol=1e-9) and np.allclose(out.severity, p.sum(1)) and (out.toxic == (x @ model.weights >= model.reject)).all()
+    grade = np.array([r[2] for r in rows])
+    assert np.corrcoef(out.severity, grade)[0, 1] > 0.7
+
+    def loss(w, cuts):
+        edge = np.concatenate([[-1e9], cuts, [1e9]])
+        s = x @ w
+        mass = [1 / (1 + np.exp(np.clip(s - edge[grade + d], -40, 40))) for d in (1, 0)]
+        return -np.log(np.maximum(mass[0] - mass[1], 1e-12)).mean() + 0.003 * (w**2).sum() / 2 / np.sqrt(len(x))
+
+    best, step = loss(model.weights, model.cuts), np.random.default_rng(1)
+    for _ in range(200):
+        assert loss(model.weights + step.normal(size=len(model.weights)) * 0.02, model.cuts + step.normal(size=3) * 0.02) > best - 1e-4
+    two = toxicity.fit(docs, spark.createDataFrame([(r[0], int(r[2] > 0)) for r in rows], "doc_id long, toxic int"))
+    assert len(two.cuts) == 1
+
+
+def test_queries_of_documents(spark, sf, rows):
+    """The registered queries over a small folder, on the same rows that the operators are tested with."""
+    from tokenizers import Tokenizer
+
+    words_of = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(words_of)
+    want = Counter()
+    for r in rows:
+        ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want.update((r[0], k, zlib.crc32(ids[k * 2048 : (k + 1) * 2048].tobytes())) for k in range(-(-len(ids) // 2048)))
+    none = lambda x: None if x is None else int(x)
+    assert Counter((none(r["doc_id"]), r["piece"], r["ids_crc32"]) for r in packing.query(spark, sf).collect()) == want
+    near = {none(r["doc_id"]): (r["n_shingles"], none(r["component_id"])) for r in neardup.query(spark, sf).collect()}
+    comps = brute_components([(r[0], r[1]) for r in rows if r[0] is not None])
+    assert {k: v for k, v in near.items() if k is not None} == comps
+    out = ctw.query(spark, sf).toPandas()
+    assert len(out) == len(rows) and (out.held_out == out.doc_id.map(lambda i: pd.isna(i) or zlib.crc32(str(int(i)).encode()) % 7 == 2)).all()
+    assert (out.bits_per_byte > 0).all() and (out.n_known <= out.n_tokens).all()
+    pieces = bpe.query(spark, sf).collect()
+    assert Counter(r["decoded_sha256"] for r in pieces) == Counter(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+    edits = winnow.query(spark, sf).collect()
+    assert len(edits) == len(rows) and len({r["fingerprint"] for r in edits}) >= len({r[1] for r in rows if r[1] and r[1].split()})
+    for module, columns in ((quality, {"p_text", "p_site", "quality", "keep"}), (toxicity, {"severity", "toxic", "p_grade"})):
+        got = module.query(spark, sf)
+        assert set(got.columns) == {"doc_id", *columns} and Counter(r["doc_id"] for r in got.collect()) == Counter(r[0] for r in rows)
+
+
+def test_queries_of_empty_tables(spark, tmp_path, empty, labels):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (ctw, sharding, packing, neardup, quality, toxicity, winnow, bpe):
+        assert module.query(spark, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, docs, empty, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for table in (docs, empty):
@@ -548,7 +823,7 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, a), (2, b), (None, d), (5, e), (6, None), (6, ""), (7, ""), (None, ""), (None, "")])
 
 
-@pytest.mark.parametrize("name", ["op6_chat", "op10_topk"])
+@pytest.mark.parametrize("name", ["op4_neardup", "op6_chat", "op10_topk"])
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from tests.conftest import DATA

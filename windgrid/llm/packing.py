@@ -10,14 +10,23 @@ if it meets any); the rest is emitted. A group has at most one bin of half or le
 so few are left after a round. A group never holds more than `group_bins` bins on
 average, so no task grows with the input.
 
+Ids are those of the library's plain call: special tokens' strings in a text become
+their ids, unless they are to be text.
+
 Nulls: a null text is an empty one, whose only token is the closing id 0. A row
-with a null doc_id is packed as any other. Repeated rows are packed once each.
-An empty table gives an empty result. Other columns are ignored.
+with a null doc_id is packed as any other. Repeated rows are packed once each; a
+row repeated more often than a group has items is dealt to groups by its place in the
+table, so that it makes no hot group. Ties: of items of one size the first in its group goes first, of bins with
+equal room the latest. Texts of any length are read whole. An empty table gives an
+empty result. Columns of items named as the results (sequence_id, offset) are
+replaced, names that begin with _p_ are reserved, others are kept.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -33,8 +42,13 @@ from pyspark.sql import functions as F
 from .common import durable, pieces_of, release, ship
 
 END_ID = 0
-#: Distinct words that a worker remembers.
-CACHE = 400_000
+#: Distinct words that a worker remembers, and their characters.
+CACHE, CACHE_CHARACTERS = 400_000, 16_000_000
+#: Lower-case letters that no normalisation parts or joins with punctuation: Latin, Greek and Cyrillic ones.
+LETTER = r"a-z\x{df}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}\x{391}-\x{3a1}\x{3a3}-\x{3f5}\x{400}-\x{481}\x{48a}-\x{52f}"
+
+
+ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 class WordMerger:
@@ -125,33 +139,38 @@ class WordMerger:
 
 class WordTokenizer:
     """Ids of many texts. The tokenizer drops white space and never merges across it, nor from a letter into the punctuation after it,
-    so distinct words are encoded once, in a cache of a fixed size: lower-case words of letters by WordMerger, others by the library."""
+    so distinct words are encoded once, in a cache of a fixed size: lower-case words of letters by WordMerger, others by the library.
+    A text that holds a special token's string, in whatever case, goes to the library whole."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.t.encode_special_tokens = special_as_text
+        special = [t.content for t in self.t.get_added_tokens_decoder().values()]
+        self.special = "|".join(re.escape(s.translate(ASCII_LOWER)) for s in special if s and not special_as_text)
         self.merger = WordMerger(path)
         self.empty()
 
     def empty(self) -> None:
         self.number: dict[str, int] = {}
+        self.characters = 0
         self.size, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.characters += sum(map(len, words))
         self.first = np.concatenate([self.first, np.cumsum(size) - size + len(self.ids)])
         self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The numbers in the cache of distinct words."""
-        if len(self.number) + len(words) > CACHE:
+        if len(self.number) + len(words) > CACHE or self.characters > CACHE_CHARACTERS:
             self.empty()
         new = [w for w in words if w not in self.number]
         plain, other = [], []
         for w in new:
-            fast = w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w.lower() == w and len(raw := w.encode()) <= WordMerger.WIDTH
+            fast = w.isalpha() and (w.isascii() or (max(w) < "\u0530" and unicodedata.is_normalized("NFC", w))) and w.lower() == w and len(raw := w.encode()) <= WordMerger.WIDTH
             plain.append((w, raw)) if fast else other.append(w)
         plain.sort(key=lambda p: len(p[1]))  # words of one length share a narrow matrix
         for at in range(0, len(plain), 5_000):
@@ -166,7 +185,23 @@ class WordTokenizer:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and where each text's ids end."""
-        texts = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"(\pL)([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
+        whole = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(whole)
+        if not self.special:
+            return self._by_word(lower)
+        by_library = pc.match_substring_regex(lower, self.special)
+        ids, ends = self._by_word(pc.if_else(by_library, "", lower))
+        at = np.flatnonzero(by_library.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return ids, ends
+        found = [np.array(self.t.encode(whole[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in at]
+        parts = np.split(ids, ends[at] - 1)  # before the END_ID of each of these texts
+        more = np.zeros(len(ends), np.int64)
+        more[at] = [len(f) for f in found]
+        return np.concatenate([x for pair in zip(parts, [*found, ids[:0]], strict=True) for x in pair]), ends + np.cumsum(more)
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.replace_substring_regex(texts, rf"([{LETTER}])([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
         words = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(words.flatten())
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
@@ -178,23 +213,27 @@ class WordTokenizer:
         return out, ends[offsets[1:] + np.arange(len(texts))]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple, WordTokenizer] = {}
+
 
+def tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
+    key = path, special_as_text
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = WordTokenizer(*key)
+    return _TOKENIZERS[key]
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
 
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, on request, ids (array of int) of each piece.
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, on request, ids (array of int) of each piece."""
+    special_as_text: whether special tokens' strings are ordinary text.
+    """
     ship(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = tokenizer(path, special_as_text)
         for batch in batches:
             docs, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -246,16 +285,16 @@ def _round(level: int, capacity: int):
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.reset_index(drop=True)
         if level == 0:
-            item, fills = np.arange(len(x)), x["_fill"].to_numpy()
+            item, fills = np.arange(len(x)), x["_p_fill"].to_numpy()
         else:
             _, first, item = np.unique(x["sequence_id"].to_numpy(), return_index=True, return_inverse=True)
-            fills = x["_fill"].to_numpy()[first]
+            fills = x["_p_fill"].to_numpy()[first]
         bins, places, n = best_fit(fills, capacity)
         fill = np.bincount(bins, weights=fills, minlength=n).astype(np.int64)
-        x["sequence_id"] = (np.int64(level) << 56) + (x["_group"].to_numpy() << 28) + bins[item]
+        x["sequence_id"] = (np.int64(level) << 56) + (x["_p_group"].to_numpy() << 28) + bins[item]
         x["offset"] = x["offset"] + places[item]
-        x["_fill"] = fill[bins[item]]
-        return x.drop(columns="_group")
+        x["_p_fill"] = fill[bins[item]]
+        return x.drop(columns="_p_group")
 
     return run
 
@@ -263,25 +302,29 @@ def _round(level: int, capacity: int):
 def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, local_items: int = 25_000, group_bins: int = 100_000) -> DataFrame:
     """items (with a long column length, at most capacity) with sequence_id (long) and offset (long, gapless from 0)."""
     ship(items.sparkSession)
+    items = items.drop("sequence_id", "offset")
     columns = items.columns
-    schema = ", ".join([f"`{c}` {t}" for c, t in items.dtypes] + ["sequence_id long", "offset long", "_fill long"])
-    rows = items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "_fill": F.col("length")})
+    schema = ", ".join([f"`{c}` {t}" for c, t in items.dtypes] + ["sequence_id long", "offset long", "_p_fill long"])
+    rows = items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "_p_fill": F.col("length"), "_p_key": F.xxhash64(*columns), "_p_row": F.monotonically_increasing_id()})
     done, level = None, 0
     rows = durable(rows)
     bins = rows.count()
     each = local_items
+    # rows that are repeated more often than a group has items are dealt by their place in the table, others by what they hold
+    often = rows.groupBy("_p_key").count().where(F.col("count") > local_items).select("_p_key", F.lit(True).alias("_p_often"))
+    rows = rows.join(often, "_p_key", "left")
+    first = F.when(F.col("_p_often"), F.xxhash64("_p_row", F.lit(level))).otherwise(F.xxhash64(*columns, F.lit(level)))
     while True:
         groups = pieces_of(bins, each)
-        key = F.pmod(F.xxhash64(*([c for c in columns] if level == 0 else ["sequence_id"]), F.lit(level)), F.lit(groups)).cast("long")
-
-        out = durable(rows.withColumn("_group", key).groupBy("_group").applyInPandas(_round(level, capacity), schema))
+        key = F.pmod(first if level == 0 else F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)).cast("long")
+        out = durable(rows.withColumn("_p_group", key).drop("_p_row", "_p_key", "_p_often").groupBy("_p_group").applyInPandas(_round(level, capacity), schema))
         if groups == 1:
             done = out if done is None else done.unionByName(out)
             break
-        under = out.where((F.col("_fill") < capacity - slack) & (F.col("offset") == 0)).select("sequence_id", "_fill").distinct()
-        roomy = F.col("_fill") * 2 <= capacity
+        under = out.where((F.col("_p_fill") < capacity - slack) & (F.col("offset") == 0)).select("sequence_id", "_p_fill").distinct()
+        roomy = F.col("_p_fill") * 2 <= capacity
         few = under.where(roomy).count()
-        more = under.where(~roomy).orderBy("_fill", "sequence_id").limit(few)
+        more = under.where(~roomy).orderBy("_p_fill", "sequence_id").limit(few)
         open_bins = durable(under.where(roomy).unionByName(more).select("sequence_id"))
         part = out.join(open_bins, "sequence_id", "left_anti")
         done = part if done is None else done.unionByName(part)
