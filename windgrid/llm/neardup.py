@@ -12,26 +12,36 @@ dropped first (they can't meet). Each partition links the representatives of a
 key to its first one and passes on one row a key, so a key that a third of all
 rows share costs a row a partition. Linked representatives form candidate
 clusters; within a cluster all pairs are compared on their full sets, in blocks
-of at most BLOCK by BLOCK as a product of 0/1 matrices. A block returns a
-spanning forest of its links, never all pairs. Components of those links are
-the result.
+of at most BLOCK sets and about LOAD shingles, as a product of 0/1 matrices. A
+block returns a spanning forest of its links, never all pairs. Components of
+those links are the result.
+
+A cluster of several blocks is first compared within its blocks, each of which
+also gets the HUBS sets of the cluster whose bands are the most frequent ones. What
+that connects is a tree, and sets of one tree need no further comparison: blocks
+are then cut by tree, those of one tree never meet each other, and others only
+if the sizes of their sets allow a link. So a cluster that is mostly one group
+costs its size times what isn't connected to it; only a cluster whose sets are not
+alike at all costs the square, in blocks over all executors.
 
 Nulls: a null text has no set; a null doc_id is left out of the comparison and
 is returned as its own component. An empty text or one without words links with
-nothing. Repeated rows of a doc_id: the longest set (ties: any) stands for the id, one row
-returned for each. Other columns are ignored. An empty table gives an empty
-result.
+nothing. Repeated doc_ids: every row is returned with its own n_shingles; the rows
+of a doc_id are one document, linked with whatever any of its texts is linked
+with, in one component. Ties: the smallest doc_id names the component. Long texts
+are read whole. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, mix64, pieces_of, release, ship
@@ -39,6 +49,8 @@ from .graph import components
 from .words import shingle_sets
 
 SIDE, BAND, BLOCK, NUM, DEN = 12, 4, 1024, 85, 100
+#: Shingles of a block's sets, about; sets of a cluster that meet all of its blocks.
+LOAD, HUBS = 2_000_000, 16
 #: Rows of a partition that are linked at a time.
 LOCAL = 20_000
 
@@ -70,8 +82,6 @@ def sketches(docs: DataFrame, each: int = BAND) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for part in _chunks(batch):
                 sets = shingle_sets(part.column(1))
@@ -80,7 +90,7 @@ def sketches(docs: DataFrame, each: int = BAND) -> DataFrame:
                 rows = [
                     part.column(0).to_pylist(),
                     [len(s) for s in sets],
-                    [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    [_digest(s) for s in sets],
                     [next(found) if len(s) else None for s in sets],
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
@@ -142,10 +152,14 @@ def _local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """reps: rep, bands. Edges a, b between representatives that meet in a table, enough to connect all that meet."""
+def table_bands(reps: DataFrame) -> DataFrame:
+    """rep, band, hash."""
     band = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    band = durable(band.withColumn("hash", F.when(F.col("hash") == 0, F.lit(1)).otherwise(F.col("hash"))))
+    return durable(band.withColumn("hash", F.when(F.col("hash") == 0, F.lit(1)).otherwise(F.col("hash"))))
+
+
+def candidate_edges(band: DataFrame) -> DataFrame:
+    """Edges a, b between representatives that meet in a table, enough to connect all that meet. band: of table_bands."""
     shared = band.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = band.join(shared, ["band", "hash"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("band", "hash"))).alias("b"))
     flat = lambda own, less: F.flatten(F.transform(F.filter("b", own), lambda s: F.array(s["band"].cast("long") - less, s["hash"])))
@@ -210,10 +224,96 @@ def _compare(num: int, den: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows whose text has the representative's digest; once each."""
+    seen: set[int] = set()
     for batch in batches:
         for part in _chunks(batch):
-            found = pa.array([s.tobytes() for s in shingle_sets(part.column(1))], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), found], names=["rep", "cluster", "n", "shingles"])
+            rows = []
+            for rep, cluster, digest, own in zip(part["rep"].to_pylist(), part["cluster"].to_pylist(), part["digest"].to_pylist(), shingle_sets(part["text"]), strict=True):
+                if rep not in seen and _digest(own) == digest:
+                    seen.add(rep)
+                    rows.append((rep, cluster, len(own), own.tobytes()))
+            schema = pa.schema([("rep", pa.int64()), ("cluster", pa.int64()), ("size", pa.int64()), ("shingles", pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _pieces(n, load):
+    """Into how many blocks n sets with `load` shingles are cut."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(n / (BLOCK * 0.9)), F.ceil(load / LOAD))
+
+
+LINKS = "a long, b long"
+
+
+def _links_within(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of clusters of one block each. sets: rep, cluster, size, shingles."""
+    total = sets.agg(F.count("*").alias("n"), F.sum("size").alias("load")).first()
+    tasks = max(pieces_of(total["n"], 256), pieces_of(total["load"], LOAD // 2))
+    rows = sets.select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("task"), "cluster", F.lit(0).alias("side"), "rep", "shingles")
+    return rows.groupBy("task").applyInPandas(_compare(num, den), LINKS)
+
+
+def _links_across(sets: DataFrame, band: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of clusters of many blocks, enough to connect what is linked. sets: rep, cluster, size, shingles, pieces."""
+    # blocks at random, each with the cluster's hubs
+    blocked = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("pieces")))
+    own = band.join(sets.select("rep", "cluster"), "rep")
+    weight = own.join(own.groupBy("cluster", "band", "hash").agg(F.count("*").alias("n")), ["cluster", "band", "hash"]).groupBy("cluster", "rep").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "rep"))
+    hubs = weight.withColumn("place", place).where(F.col("place") <= HUBS).select("rep")
+    visits = blocked.join(hubs, "rep").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).where("to <> block")
+    rows = blocked.unionByName(visits.drop("block").withColumnRenamed("to", "block"))
+    rows = rows.select("cluster", "block", F.lit(0).alias("side"), "rep", "shingles")
+    near = durable(rows.groupBy("cluster", "block").applyInPandas(_compare(num, den), LINKS))
+    # what they connect are trees; blocks of a large tree don't meet each other
+    tree = durable(components(near)).select(F.col("node").alias("rep"), F.col("component").alias("tree"))
+    step = float(np.log(den / num) * 1.0001)  # sizes of linked sets differ by one step at most
+    known = sets.select("rep", "cluster", "size").join(tree, "rep", "left").withColumns({"tree": F.coalesce("tree", "rep"), "step": F.floor(F.log(F.col("size").cast("double")) / step)})
+    large = known.groupBy("tree").agg(F.count("*").alias("n"), F.sum("size").alias("load")).where(_pieces(F.col("n"), F.col("load")) > 1).select("tree", F.lit(True).alias("large"))
+    known = known.join(large, "tree", "left").withColumn("part", F.when(F.col("large"), F.col("tree")).otherwise(F.lit(-1).cast("long")))
+    by = ["cluster", "part", "step"]
+    groups = known.groupBy(*by).agg(_pieces(F.count("*"), F.sum("size")).alias("pieces"))
+    known = durable(known.join(groups, by).select("rep", F.concat_ws(":", *by, F.pmod(F.xxhash64("rep"), F.col("pieces"))).alias("block")))
+    blocks = groups.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("k")).select(*by, F.concat_ws(":", *by, "k").alias("block"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    apart = (F.col("a.part") != F.col("b.part")) | (F.col("a.part") == -1)
+    meet = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.abs(F.col("a.step") - F.col("b.step")) <= 1) & (F.col("a.block") <= F.col("b.block")) & apart)
+    meet = meet.select(F.col("a.cluster").alias("cluster"), F.col("a.block").alias("low"), F.col("b.block").alias("high"))
+    sides = F.array(F.struct(F.col("low").alias("block"), F.lit(0).alias("side")), F.struct(F.col("high").alias("block"), F.lit(1).alias("side")))
+    sides = F.when(F.col("low") == F.col("high"), F.slice(sides, 1, 1)).otherwise(sides)
+    tasks = meet.select("cluster", F.concat_ws("|", "low", "high").alias("task"), F.inline(sides))
+    rows = sets.select("rep", "shingles").join(known, "rep").join(tasks, "block").select("task", "cluster", "side", "rep", "shingles")
+    return near.unionByName(rows.groupBy("task").applyInPandas(_compare(num, den), LINKS))
+
+
+#: Bits of the filter that keeps texts without a candidate out of the shuffle: 4 MB, whatever the number of documents.
+SLOTS = 1 << 25
+
+
+def _likely(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is one of the members', and a few others (a Bloom filter of one hash); all, where members are many."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+    bits = members.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    both = docs.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_bucket")  # at most 1,024 rows of 4 KB
+    return both.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0).select(*docs.columns)
+
+
+def confirmed_links(docs: DataFrame, reps: DataFrame, band: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
+    """Links a, b between representatives of candidate clusters (node, component), enough to connect all that are linked."""
+    members = reps.select("rep", "doc_id", "digest", "size").join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    members = durable(members)
+    pieces = members.groupBy("cluster").agg(_pieces(F.count("*"), F.sum("size")).alias("pieces"))
+    texts = _likely(docs, members).join(members.drop("size"), "doc_id").select("rep", "text", "cluster", "digest")
+    sets = durable(texts.mapInArrow(_sets, "rep long, cluster long, size long, shingles binary").join(pieces, "cluster"))
+    links = _links_within(sets.where("pieces = 1"), num, den)
+    across = sets.where("pieces > 1")
+    return links if across.isEmpty() else links.unionByName(_links_across(across, band, num, den))
 
 
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, each: int = BAND) -> DataFrame:
@@ -224,34 +324,42 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, each: int =
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = durable(sketches(docs, each))
-    ids = sketch.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = durable(ids)
-    edges = candidate_edges(reps)
-    clusters = durable(components(edges))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n")
-    sets = docs.join(members, "doc_id").select("doc_id", "text", "cluster", "n").mapInArrow(_sets, "rep long, cluster long, n long, shingles binary")
-    # a repeated doc_id has several texts; the representative's is any one with its set
-    sets = durable(sets)
-    small = sets.where(F.col("n") <= BLOCK)
-    few = pieces_of(small.count(), 256)
-    small = small.select(F.pmod(F.xxhash64("cluster"), F.lit(few)).cast("string").alias("task"), "cluster", F.lit(0).alias("side"), "rep", "shingles")
-    blocks = F.ceil(F.col("n") / (BLOCK * 0.9))
-    large = sets.where(F.col("n") > BLOCK).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    large = large.select(F.concat_ws(":", F.lit("large"), "cluster", low, high).alias("task"), "cluster", F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "rep", "shingles")
-    links = small.unionByName(large).groupBy("task").applyInPandas(_compare(num, den), "a long, b long")
-    found = durable(components(links))
-    known = reps.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select("digest", F.coalesce("component", "rep").alias("component"))
-    whole = sketch.where("doc_id IS NOT NULL AND n_shingles > 0").join(known, "digest").select("doc_id", "n_shingles", "component")
-    bare = sketch.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    out = whole.unionByName(bare).withColumnRenamed("component", "component_id")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    full, bare = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    reps = sketch.where(full).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    reps = durable(reps.withColumn("rep", F.monotonically_increasing_id()))  # written, so that a representative keeps its number
+    band = table_bands(reps)
+    links = confirmed_links(docs, reps, band, durable(components(candidate_edges(band))), num, den)
+    # the texts of a repeated doc_id are linked by it
+    several = sketch.where(full).groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    several = sketch.where(full).select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(reps.select("digest", "rep"), "digest")
+    shared = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("first")), "doc_id").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    found = components(links.unionByName(shared)).select(F.col("node").alias("rep"), "component")
+    known = durable(reps.select("digest", "rep", "doc_id").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = known.join(least, "component").select("digest", "component_id")
+    whole = sketch.where(full).join(known, "digest").select("doc_id", "n_shingles", "component_id")
+    alone = sketch.where(bare).select("doc_id", "n_shingles")
+    beside = whole.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(beside, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return whole.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(least) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.SQL, "op10_topk": topk.SQL}
+    return {"op4_neardup": neardup.SQL, "op6_chat": chat.SQL, "op10_topk": topk.SQL}
