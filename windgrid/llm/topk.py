@@ -1,22 +1,28 @@
 """Exact top-k inner products with a pivot-distance index.
 
-Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, and
-queries a 0: then |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the largest inner products
-are the nearest vectors and the triangle inequality bounds scores. Every vector
-is keyed by its nearest pivot and its distance to it; the distances of a pivot
-are cut into annuli. A query sorts the annuli by their bound: the first ones give
-it a threshold (its k-th best score so far), and of the rest only those are opened
-whose bound reaches the threshold. So results are exact.
+|q - x|^2 = |q|^2 + |x|^2 - 2 q.x, so an inner product is bounded by the largest norm
+and the least distance that are possible, and the triangle inequality bounds
+distances. Every vector is keyed by its nearest pivot and its distance to it; the
+distances of a pivot are cut into annuli, and an annulus also knows its largest norm
+and the span of its vectors' distances to every other pivot: the widest gap between a
+query's distance and a span is the least distance to any of them.
+A query sorts the annuli by their bound: the first ones give it a threshold (its k-th
+best score so far), and of the rest only those are opened whose bound reaches the
+threshold. So results are exact, whatever the bounds can save: on vectors without
+structure in many dimensions all distances are alike and nearly all annuli are opened
+(opened_share() tells).
 
 Pivots are a bounded sample (at most 64 vectors, by hash of the id), the catalogue
-of annuli has at most pivots * rings rows; both go to the driver. All rows are
-indexed. An annulus is stored in blocks of about 2,048 vectors, so many equal
-vectors are many blocks. Queries meet blocks as matrices.
-
-Left out: vectors that are null, or hold null or non-finite components. Shorter
-vectors are filled up with zeros. Rows that repeat a query's id are not its
-candidates; a repeated query id is asked once. An empty table gives an empty
-result. Other columns are ignored.
+of annuli has at most pivots * rings rows and pivots^2 * rings spans; these go to the
+driver. All rows are indexed. An annulus is stored in blocks of about 2,048 vectors,
+dealt to tasks a few at a time, so many equal vectors are many blocks and many tasks.
+Queries meet blocks as matrices.
+
+Left out: vectors that are null, or hold null or non-finite components, or whose
+squared norm overflows. Shorter vectors are filled up with zeros. Ties go to the
+smaller id. Rows that repeat a query's id are not its candidates; a repeated query id
+is asked once, with its least vector; other repeated ids are candidates as often as
+they stand. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +37,14 @@ from pyspark.sql import functions as F
 from .common import durable, pieces_of, ship
 
 RINGS, BLOCK, QUERY_BLOCK = 16, 2048, 256
+#: Blocks of an annulus that meet their queries in one task.
+TASK_BLOCKS = 8
 
 
 def _matrix(blobs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype="<f8").reshape(-1, dim)
 
 
-def _lift(v: np.ndarray, n2: np.ndarray, top: float) -> np.ndarray:
-    return np.column_stack([v, np.sqrt(np.maximum(0, top - n2))])
-
-
 def _to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in pivots], axis=1)
 
@@ -58,66 +62,83 @@ def finite(vector_col: str) -> Column:
     return F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row with is_query, the k highest inner products with all other rows.
-
-    df: vectors are arrays of numbers. is_query: a condition on id_col.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    vector = F.transform(vector_col, lambda x: x.cast("double"))
-    raw = df.where(F.col(id_col).isNotNull() & finite(vector_col)).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    raw = raw.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    top, count, dim = raw.agg(F.max("n2"), F.count("*"), F.max(F.size("v"))).first()
-    answer = "query_id long, rank int, vec_id long, score double"
-    if not count or not dim:
-        return spark.createDataFrame([], answer)
-    filled = lambda v: np.pad(np.asarray(v, dtype=np.float64), (0, dim - len(v)))
-    n_pivots = max(1, min(64, int(count**0.5) // 16))
-    sample = raw.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()
-    pivots = np.array([filled(r["v"]) for r in sample])
-    pivots = _lift(pivots, (pivots**2).sum(1), top)
-
-    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            if len(x):
-                v = np.stack([filled(a) for a in x["v"]])
-                d = _to_pivots(_lift(v, x["n2"].to_numpy(), top), pivots)
-                near = d.argmin(1)
-                yield pd.DataFrame({"id": x["id"], "v": [a.astype("<f8").tobytes() for a in v], "asks": x["asks"], "pivot": near, "dist": d[np.arange(len(d)), near]})
-
-    keyed = durable(raw.mapInPandas(key, "id long, v binary, asks boolean, pivot int, dist double"))
-    at = [i / RINGS for i in range(1, RINGS)]
-    cuts = keyed.groupBy("pivot").agg(F.percentile_approx("dist", at, 1000).alias("cuts"))
-    keyed = keyed.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("dist")))).drop("cuts")
-    catalogue = keyed.groupBy("pivot", "ring").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")).toPandas()
-    catalogue = catalogue.sort_values(["pivot", "ring"], ignore_index=True)
-    catalogue["annulus"], catalogue["blocks"] = np.arange(len(catalogue)), -(-catalogue["n"] // BLOCK)
-    known = F.broadcast(spark.createDataFrame(catalogue[["pivot", "ring", "annulus", "blocks"]]))  # at most pivots * rings rows
-    placed = keyed.join(known, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-
-    def bundle(x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"annulus": x["annulus"][:1], "ids": [x["id"].to_numpy().astype("<i8").tobytes()], "vs": [b"".join(x["v"])]})
-
-    blocks = durable(placed.groupBy("annulus", "block").applyInPandas(bundle, "annulus long, ids binary, vs binary"))
-    asked = keyed.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    n_asked = keyed.where("asks").count()
-    asked = durable(asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(pieces_of(n_asked, QUERY_BLOCK)))))
-    pivot_of, low, high, size = (catalogue[c].to_numpy() for c in ("pivot", "low", "high", "n"))
-
-    def bounds(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each annulus for each query: the most that a score can be; whether the query opens it first."""
-        n2 = (v**2).sum(1)
-        d = _to_pivots(np.column_stack([v, np.zeros(len(v))]), pivots)[:, pivot_of]
-        gap = np.maximum(0, np.maximum(d - high, low - d)) * (1 - 1e-9)
-        most = (n2[:, None] + top - gap**2) / 2 + 1e-9 * (n2[:, None] + top)
-        order = np.argsort(-most, axis=1, kind="stable")
-        before = np.cumsum(size[order], axis=1) - size[order]
-        first = np.zeros(most.shape, dtype=bool)
-        np.put_along_axis(first, order, before < 8 * k, axis=1)
-        return most, first
-
-    def visits(with_least: bool):
+class Index:
+    """The index over a table: see the module. df: vectors are arrays of numbers; is_query: a condition on id_col."""
+
+    def __init__(self, df: DataFrame, id_col: str, vector_col: str, is_query) -> None:
+        self.spark = df.sparkSession
+        ship(self.spark)
+        vector = F.transform(vector_col, lambda x: x.cast("double"))
+        raw = df.where(F.col(id_col).isNotNull() & finite(vector_col)).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+        raw = raw.where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) < float("inf"))
+        self.count, self.dim = raw.agg(F.count("*"), F.max(F.size("v"))).first()
+        if self.count and self.dim:
+            self._build(raw)
+
+    def _build(self, raw: DataFrame) -> None:
+        spark, dim = self.spark, self.dim
+        filled = lambda v: np.pad(np.asarray(v, dtype=np.float64), (0, dim - len(v)))
+        n_pivots = max(1, min(64, int(self.count**0.5) // 8))
+        sample = raw.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()
+        pivots = np.array([filled(r["v"]) for r in sample])
+
+        def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                if len(x):
+                    v = np.stack([filled(a) for a in x["v"]])
+                    d = _to_pivots(v, pivots)
+                    near = d.argmin(1)
+                    yield pd.DataFrame({"id": x["id"], "row": x["row"], "v": [a.astype("<f8").tobytes() for a in v], "asks": x["asks"], "pivot": near, "dist": d[np.arange(len(d)), near]})
+
+        keyed = durable(raw.withColumn("row", F.monotonically_increasing_id()).mapInPandas(key, "id long, row long, v binary, asks boolean, pivot int, dist double"))
+        at = [i / RINGS for i in range(1, RINGS)]
+        cuts = keyed.groupBy("pivot").agg(F.percentile_approx("dist", at, 1000).alias("cuts"))
+        keyed = keyed.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("dist")))).drop("cuts")
+        catalogue = keyed.groupBy("pivot", "ring").agg(F.count("*").alias("n")).toPandas()
+        catalogue = catalogue.sort_values(["pivot", "ring"], ignore_index=True)
+        catalogue["annulus"], catalogue["blocks"] = np.arange(len(catalogue)), -(-catalogue["n"] // BLOCK)
+        known = F.broadcast(spark.createDataFrame(catalogue[["pivot", "ring", "annulus", "blocks"]]))  # at most pivots * rings rows
+        placed = keyed.join(known, ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+
+        def bundle(x: pd.DataFrame) -> pd.DataFrame:
+            v = _matrix(x["v"], dim)
+            d = _to_pivots(v, pivots)
+            return pd.DataFrame({
+                "annulus": x["annulus"][:1], "task": x["block"][:1] // TASK_BLOCKS, "ids": [x["id"].to_numpy().astype("<i8").tobytes()], "vs": [b"".join(x["v"])],
+                "n": [len(x)], "top": [(v**2).sum(1).max()], "low": [d.min(0)], "high": [d.max(0)],
+            })
+
+        self.blocks = durable(placed.groupBy("annulus", "block").applyInPandas(bundle, "annulus long, task long, ids binary, vs binary, n long, top double, low array<double>, high array<double>"))
+        spans = self.blocks.select("annulus", F.posexplode(F.arrays_zip("low", "high")).alias("p", "s")).groupBy("annulus", "p")
+        spans = spans.agg(F.min("s.low").alias("low"), F.max("s.high").alias("high")).orderBy("annulus", "p").toPandas()  # at most pivots^2 * rings rows
+        self.low, self.high = (spans[c].to_numpy().reshape(len(catalogue), len(pivots)) for c in ("low", "high"))
+        self.top = self.blocks.groupBy("annulus").agg(F.max("top").alias("top")).orderBy("annulus").toPandas()["top"].to_numpy()
+        self.size, self.tasks = catalogue["n"].to_numpy(), -(-catalogue["blocks"].to_numpy() // TASK_BLOCKS)
+        self.pivots = pivots
+        self.n_asked = keyed.where("asks").count()
+        asked = keyed.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+        self.asked = durable(asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(pieces_of(self.n_asked, QUERY_BLOCK)))))
+
+    def _visits(self, k: int, with_least: bool):
+        """Of a group of queries, those that open an annulus, a row each of its tasks."""
+        dim, pivots, top, low, high, size, tasks = self.dim, self.pivots, self.top, self.low, self.high, self.size, self.tasks
+
+        def bounds(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of each annulus for each query: the most that a score can be; whether the query opens it first."""
+            n2 = (v**2).sum(1)
+            d = _to_pivots(v, pivots)
+            gap = np.zeros((len(v), len(size)))
+            for p in range(len(pivots)):
+                np.maximum(gap, np.maximum(d[:, p, None] - high[None, :, p], low[None, :, p] - d[:, p, None]), out=gap)
+            gap *= 1 - 1e-9
+            both = n2[:, None] + top[None, :]
+            most = (both - gap**2) / 2 + 1e-9 * both
+            order = np.argsort(-most, axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]
+            first = np.zeros(most.shape, dtype=bool)
+            np.put_along_axis(first, order, before < 8 * k, axis=1)
+            return most, first
+
         def run(x: pd.DataFrame) -> pd.DataFrame:
             ids, v = x["id"].to_numpy(), _matrix(x["v"], dim)
             most, first = bounds(v)
@@ -126,33 +147,62 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) ->
             rows = []
             for a in np.flatnonzero(opens.any(0)).tolist():
                 q = np.flatnonzero(opens[:, a])
-                rows.append((a, ids[q].astype("<i8").tobytes(), v[q].tobytes(), least[q].astype("<f8").tobytes()))
-            return pd.DataFrame(rows, columns=["annulus", "qids", "qs", "leasts"])
+                rows += [(a, t, ids[q].astype("<i8").tobytes(), v[q].tobytes(), least[q].astype("<f8").tobytes(), len(q)) for t in range(tasks[a])]
+            return pd.DataFrame(rows, columns=["annulus", "task", "qids", "qs", "leasts", "asking"])
 
         return run
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for ids, vs, qids, qs, leasts in zip(x["ids"], x["vs"], x["qids"], x["qs"], x["leasts"], strict=True):
-                ids, qids, leasts = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8"), np.frombuffer(leasts, "<f8")
-                s = np.frombuffer(qs, "<f8").reshape(-1, dim) @ np.frombuffer(vs, "<f8").reshape(-1, dim).T
-                s[qids[:, None] == ids[None, :]] = -np.inf
-                out = [(i, best(row, ids, k, max(least, -1e300))) for i, (row, least) in enumerate(zip(s, leasts, strict=True))]
-                q = np.repeat([i for i, _ in out], [len(at) for _, at in out]).astype(int)
-                at = np.concatenate([at for _, at in out]).astype(int)
-                yield pd.DataFrame({"query_id": qids[q], "vec_id": ids[at], "score": s[q, at]})
-
-    def opened(queries: DataFrame, with_least: bool) -> DataFrame:
-        to = queries.groupBy("group").applyInPandas(visits(with_least), "annulus long, qids binary, qs binary, leasts binary")
-        pairs = blocks.join(to, "annulus").select("ids", "vs", "qids", "qs", "leasts")
-        return pairs.mapInPandas(score, "query_id long, vec_id long, score double")
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    first = durable(opened(asked, False).withColumn("rank", rank).where(F.col("rank") <= k))
-    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    rest = opened(asked.join(least, "id", "left"), True)
-    both = first.drop("rank").unionByName(rest)
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def _opened(self, queries: DataFrame, k: int, with_least: bool) -> DataFrame:
+        """Blocks beside the queries that open them."""
+        to = queries.groupBy("group").applyInPandas(self._visits(k, with_least), "annulus long, task long, qids binary, qs binary, leasts binary, asking long")
+        return self.blocks.drop("top", "low", "high").join(to, ["annulus", "task"])
+
+    def _scored(self, opened: DataFrame, k: int) -> DataFrame:
+        dim = self.dim
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                for ids, vs, qids, qs, leasts in zip(x["ids"], x["vs"], x["qids"], x["qs"], x["leasts"], strict=True):
+                    ids, qids, leasts = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8"), np.frombuffer(leasts, "<f8")
+                    s = np.frombuffer(qs, "<f8").reshape(-1, dim) @ np.frombuffer(vs, "<f8").reshape(-1, dim).T
+                    s[qids[:, None] == ids[None, :]] = -np.inf
+                    out = [(i, best(row, ids, k, max(least, -1e300))) for i, (row, least) in enumerate(zip(s, leasts, strict=True))]
+                    q = np.repeat([i for i, _ in out], [len(at) for _, at in out]).astype(int)
+                    at = np.concatenate([at for _, at in out]).astype(int)
+                    yield pd.DataFrame({"query_id": qids[q], "vec_id": ids[at], "score": s[q, at]})
+
+        return opened.select("ids", "vs", "qids", "qs", "leasts").mapInPandas(score, "query_id long, vec_id long, score double")
+
+    def _rounds(self, k: int) -> tuple[DataFrame, DataFrame]:
+        """The best of the annuli that queries open first, and the queries with their thresholds."""
+        first = durable(self._scored(self._opened(self.asked, k, False), k).withColumn("rank", _rank()).where(F.col("rank") <= k))
+        least = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        return first, self.asked.join(least, "id", "left")
+
+    def top_k(self, k: int = 5) -> DataFrame:
+        """query_id, rank (from 1), vec_id, score."""
+        if not self.count or not self.dim:
+            return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        first, asked = self._rounds(k)
+        both = first.drop("rank").unionByName(self._scored(self._opened(asked, k, True), k))
+        return both.withColumn("rank", _rank()).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def opened_share(self, k: int = 5) -> float:
+        """The share of all pairs of a query and a row that top_k looks at."""
+        if not self.count or not self.dim or not self.n_asked:
+            return 0.0
+        _, asked = self._rounds(k)
+        pairs = [self._opened(q, k, with_least).agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0 for q, with_least in ((self.asked, False), (asked, True))]
+        return sum(pairs) / (self.count * self.asked.count())
+
+
+def _rank() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+
+def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row with is_query, the k highest inner products with all other rows."""
+    return Index(df, id_col, vector_col, is_query).top_k(k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
