@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import ship  # noqa: F401
+from ..scratch import durable  # noqa: F401
 
 #: ASCII white space of the word contract: 0x20 and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,33 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="windgrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-_KEPT: set[str] = set()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors. The application's tables go when it ends."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/windgrid/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if folder not in _KEPT:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-        _KEPT.add(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

@@ -14,8 +14,10 @@ documents, by hash of their id; the site statistics cover all documents.
 
 Nulls: a null text is an empty one; null hosts and paths are groups of their
 own; null labels are ignored. Without labels of both kinds p is 1 for all.
-Repeated rows count as often as they stand. Columns named as the results
-(p_text, p_site, quality, keep) are replaced; others are kept (but for names that begin with _q_). An empty table gives an
+Repeated rows count as often as they stand; in the sample a repeated doc_id stands
+once, with its greatest text and the least of its labels. Ties: a quality of exactly a half is kept. Long texts
+are read whole. Columns named as the results (p_text, p_site, quality, keep) are
+replaced; others are kept (but for names that begin with _q_). An empty table gives an
 empty result.
 """
 
@@ -108,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logistic |
     ship(docs.sparkSession)
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").cast("int").alias("label"))
+    rows = rows.select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,22 +128,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logistic |
     return fit_logistic(x[order], y[order].astype(float))
 
 
-def evidence(docs: DataFrame, model: Logistic | None) -> DataFrame:
-    """docs with p_text, the classifier's probability of good quality."""
+def evidence(docs: DataFrame, model: Logistic | None, with_text: bool = True) -> DataFrame:
+    """docs with p_text, the classifier's probability of good quality; without the text, if it isn't wanted."""
+    docs = docs.drop("p_text")
     if model is None:
-        return docs.withColumn("p_text", F.lit(1.0))
+        return (docs if with_text else docs.drop("text")).withColumn("p_text", F.lit(1.0))
     ship(docs.sparkSession)
-    docs = docs.drop("p_text")
-    place = docs.columns.index("text")
+    docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
+    place, out = len(docs.columns) - 1, len(docs.columns) - (not with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.p(features(b.column(place))))], names=[*b.schema.names, "p_text"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:out], pa.array(model.p(features(b.column(place))))], names=[*b.schema.names[:out], "p_text"])
             release()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("p_text", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:out], T.StructField("p_text", T.DoubleType())]))
 
 
 def site(source: Column, lang: Column) -> tuple[Column, Column]:
@@ -150,7 +154,7 @@ def site(source: Column, lang: Column) -> tuple[Column, Column]:
     return F.lower(parts[0]), F.coalesce(F.when(F.size(parts) > 1, parts[1]), lang)
 
 
-def _strength(groups: DataFrame, mean: str, base) -> float:
+def _strength(groups: DataFrame, base) -> float:
     """The prior's weight in documents: within-group against between-group variance, by moments. groups: n, sum_p, sum_v and the mean they shrink to."""
     between = (F.col("sum_p") - F.col("n") * base) ** 2 / F.col("n")
     r = groups.agg(F.sum(between).alias("ss"), F.sum("sum_v").alias("within"), F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2")).first()
@@ -168,33 +172,32 @@ def rate_sites(scored: DataFrame) -> DataFrame:
     overall = (total[1] or 0.0) / max(1, total[0] or 0)
     own = F.col("sum_pp") - F.col("sum_p") * F.col("sum_p") / F.col("n")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("sum_p").alias("sum_p"), F.sum("sum_pp").alias("sum_pp")).withColumn("sum_v", own)
-    k = _strength(hosts, "", F.lit(overall))
+    k = _strength(hosts, F.lit(overall))
     hosts = hosts.select("host", ((F.col("sum_p") + k * overall) / (F.col("n") + k)).alias("p_host"))
     paths = paths.withColumn("sum_v", own).join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    k = _strength(paths, "", F.col("p_host"))
+    k = _strength(paths, F.col("p_host"))
     return paths.select("host", "path", ((F.col("sum_p") + k * F.col("p_host")) / (F.col("n") + k)).alias("p_site"), F.lit(overall).alias("p_all"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with p_text, p_site, quality (posterior probability) and keep (quality of a half or more)."""
+def classify(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
+    """docs (without the text, if it isn't wanted) with p_text, p_site, quality (posterior probability) and keep (quality of a half or more)."""
     docs = docs.drop("p_text", "p_site", "quality", "keep")
-    columns = docs.columns
+    columns = [c for c in docs.columns if with_text or c != "text"]
     host, path = site(F.col("source"), F.col("lang"))
     named = docs.withColumns({"_q_host": host, "_q_path": path})
-    model = fit(docs, labels)
-    small = evidence(named.select("text", "_q_host", "_q_path"), model).select(F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "p_text")
-    sites = rate_sites(small).toDF("_q_site_host", "_q_site_path", "p_site", "_q_all")
+    scored = durable(evidence(named, fit(docs, labels), with_text))  # texts are scored once; the sites' sums and the decisions read this
+    sites = rate_sites(scored.select(F.col("_q_host").alias("host"), F.col("_q_path").alias("path"), "p_text")).toDF("_q_site_host", "_q_site_path", "p_site", "_q_all")
     # a host or path may hold a third of all rows: the sites' side is one row each, and Spark may split the documents' side
     same = F.col("_q_host").eqNullSafe(F.col("_q_site_host")) & F.col("_q_path").eqNullSafe(F.col("_q_site_path"))
     clip = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = lambda p: clip(p) / (1 - clip(p))
     ratio = odds(F.col("p_text")) * odds(F.col("p_site")) / odds(F.col("_q_all"))
-    out = evidence(named, model).join(sites, same).withColumn("_q_posterior", ratio / (1 + ratio))
+    out = scored.join(sites, same).withColumn("_q_posterior", ratio / (1 + ratio))
     return out.select(*columns, "p_text", "p_site", F.col("_q_posterior").alias("quality"), (F.col("_q_posterior") >= 0.5).alias("keep"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"), with_text=False)
     return out.select("doc_id", "p_text", "p_site", "quality", "keep")
