@@ -3,8 +3,9 @@
 P(grade <= k) = sigmoid(cut_k - w.x): one weight vector for all ordered cuts.
 x counts the chosen words and word beginnings of a document (sparse). They are
 chosen by their association with the label over a bounded sample of labelled documents, in which
-near-copies count once. The labels are 0/1; grades are 0 for clean documents and,
-among toxic ones, 1 to 3 by the count of chosen features (terciles).
+near-copies count once. Grades are the labels' own: 0 is clean, and each greater label
+that the sample holds is a grade of severity, in order. (Labels of 0 and 1 alone have two grades and
+one cut; no grades are made up of the features that are to predict them.)
 A document is rejected if its score w.x reaches the value that parts toxic from
 clean documents of the sample with the least sum of both error rates.
 
@@ -13,7 +14,8 @@ documents are scored on their whole texts, inside one pass without a shuffle.
 
 Nulls: a null text is an empty one; labels that are null are ignored. Without
 labels of both kinds nothing is rejected (severity 0). Repeated rows are scored
-alike. Columns named as the results (severity, toxic, p_grade) are replaced;
+alike; in the sample a repeated doc_id stands once, with its greatest text and label. Ties: a score that
+equals the least rejected one is rejected. Columns named as the results (severity, toxic, p_grade) are replaced;
 others are kept. An empty table gives an empty result.
 """
 
@@ -34,7 +36,8 @@ from .common import mix64, release, ship
 from .words import shingle_sets
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»„“”…–—"
-SAMPLE, FEATURES, GRADES = 4000, 256, 4
+SAMPLE, FEATURES = 4000, 256
+#: Words in a unit of length; words to which the counts of longer texts are scaled down (a parameter of fit: all words are counted whatever it is).
 UNIT, LONG = 50, 1000
 
 
@@ -58,10 +61,10 @@ def word_features(found: pa.Array) -> Iterator[pa.Array]:
         yield pc.if_else(pc.greater(size, n), stem, pa.scalar(None, pa.string()))
 
 
-def counts(texts: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+def counts(texts: pa.Array, vocabulary: pa.Array, long: int = LONG) -> np.ndarray:
     """How often each feature of the vocabulary stands in each text, and last the number of its words / UNIT.
 
-    The counts of longer texts are scaled down to LONG words: what tells is the
+    The counts of texts of more than `long` words are scaled down to as many: what tells is the
     rate there, while short texts tell by their count.
     """
     found, offsets = words(texts)
@@ -75,7 +78,7 @@ def counts(texts: pa.Array, vocabulary: pa.Array) -> np.ndarray:
         out += np.bincount(row * n + code, minlength=len(out))
     size = np.diff(offsets)
     out = np.column_stack([out.reshape(len(texts), n), size / UNIT])
-    return out * np.minimum(1, LONG / np.maximum(size, 1))[:, None]
+    return out * np.minimum(1, long / np.maximum(size, 1))[:, None]
 
 
 @dataclass
@@ -84,6 +87,7 @@ class Ordinal:
     weights: np.ndarray
     cuts: np.ndarray  # ascending
     reject: float  # the least score w.x of a rejected document
+    long: int = LONG
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights
@@ -164,37 +168,38 @@ def choose_words(texts: list[str], toxic: np.ndarray, most: int = FEATURES) -> l
     return sorted((f for f, x in score.items() if x >= least), key=lambda f: (-score[f], f))[:most]
 
 
-def fit_sample(texts: list[str], toxic: np.ndarray) -> Ordinal | None:
-    """The model of labelled texts; none without both labels or telling features."""
+def fit_sample(texts: list[str], label: np.ndarray, long: int = LONG) -> Ordinal | None:
+    """The model of labelled texts; none without clean and toxic ones or telling features."""
+    toxic = label > 0
     vocabulary = choose_words(texts, toxic) if toxic.any() and not toxic.all() else []
     if not vocabulary:
         return None
-    x = counts(pa.array(texts, pa.string()), pa.array(vocabulary, pa.string()))
-    held = x[:, :-1].sum(1)
-    edges = np.quantile(held[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + np.searchsorted(edges, held, side="left"), 0)
-    weights, cuts = fit_ordinal(x, grade, GRADES)
-    return Ordinal(vocabulary, weights, cuts, least_error(x @ weights, toxic))
+    x = counts(pa.array(texts, pa.string()), pa.array(vocabulary, pa.string()), long)
+    severe = np.unique(label[toxic])
+    grade = np.where(toxic, 1 + np.searchsorted(severe, label), 0)
+    weights, cuts = fit_ordinal(x, grade, 1 + len(severe))
+    return Ordinal(vocabulary, weights, cuts, least_error(x @ weights, toxic), long)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, long: int = LONG) -> Ordinal | None:
     """The model, from at most `sample` labelled documents. One task fits it on that bounded sample; the driver gets its numbers alone."""
     ship(docs.sparkSession)
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not sum(b.num_rows for b in held):
             return
         t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        if model := fit_sample(t["text"].to_pylist(), t["label"].to_numpy() > 0):
+        if model := fit_sample(t["text"].to_pylist(), t["label"].to_numpy(), long):
             columns = [model.words, model.weights.tolist(), model.cuts.tolist(), model.reject]
             yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], names=["words", "weights", "cuts", "reject"])
 
     got = rows.repartition(1).mapInArrow(run, "words array<string>, weights array<double>, cuts array<double>, reject double").collect()
-    return Ordinal(list(got[0]["words"]), np.array(got[0]["weights"]), np.array(got[0]["cuts"]), got[0]["reject"]) if got else None
+    return Ordinal(list(got[0]["words"]), np.array(got[0]["weights"]), np.array(got[0]["cuts"]), got[0]["reject"], long) if got else None
 
 
 def least_error(score: np.ndarray, toxic: np.ndarray) -> float:
@@ -224,7 +229,7 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                x = counts(batch.column(place), vocabulary)
+                x = counts(batch.column(place), vocabulary, model.long)
                 p = model.probabilities(x)
                 more = [pa.array(list(p), pa.list_(pa.float64())), pa.array(p.sum(1)), pa.array(model.scores(x) >= model.reject)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "p_grade", "severity", "toxic"])
@@ -238,4 +243,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", "severity", "toxic", *[F.col("p_grade")[k].alias(f"p_grade_{k + 1}") for k in range(GRADES - 1)])
+    return out.select("doc_id", "severity", "toxic", "p_grade")
