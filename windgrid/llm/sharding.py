@@ -7,8 +7,13 @@ sqrt(2 * total size) distinct sizes, whatever the number of groups. A size with
 many groups is placed by the closed form of the same heap order. Groups then
 find their shard by their rank within their size, rows by a join on the key.
 
-Nulls: a null text is an empty one. Repeated rows each get a slot of their own.
-An empty table gives an empty result. Other columns are ignored.
+Nulls: a null text is an empty one; rows without a doc_id are documents like others.
+Repeated rows each get a slot of their own, and are numbered in parts by their place
+in the table, so that a row repeated often is no hot group. Ties: equal groups are
+ranked by their key, equal loads go to the lower shard. Long texts are read whole. An
+empty table gives an empty result. Columns named as the results (shard, slot) are
+replaced, names that begin with _s_ are reserved, others are kept. The driver holds a
+row for each distinct size and its places in `shards` numbers.
 """
 
 from __future__ import annotations
@@ -64,28 +69,29 @@ def _many(load: np.ndarray, size: int, n: int) -> np.ndarray:
 def shard_groups(df: DataFrame, key: str, size: str, order: list[str], shards: int = 16) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 within a shard). Rows with equal keys share a shard."""
     spark = df.sparkSession
-    rows = durable(df)
+    df = df.drop("shard", "slot")
+    rows = durable(df.withColumn("_s_row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
     buckets = pieces_of(rows.count(), 20_000)
-    groups = rows.groupBy(key).agg(F.sum(size).alias("_size"))
-    groups = durable(groups.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-    sizes = groups.groupBy("_size").count().toPandas().sort_values("_size", ascending=False)
-    took = place([(int(s), int(n)) for s, n in zip(sizes["_size"], sizes["count"], strict=True)], shards)
+    groups = rows.groupBy(key).agg(F.sum(size).alias("_s_size"))
+    groups = durable(groups.withColumn("_s_part", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    sizes = groups.groupBy("_s_size").count().toPandas().sort_values("_s_size", ascending=False)
+    took = place([(int(s), int(n)) for s, n in zip(sizes["_s_size"], sizes["count"], strict=True)], shards)
     plan = spark.createDataFrame(
-        pd.DataFrame({"_size": sizes["_size"].astype("int64"), "_ends": [np.cumsum(x).tolist() for x in took]}), "_size long, _ends array<long>"
+        pd.DataFrame({"_s_size": sizes["_s_size"].astype("int64"), "_s_ends": [np.cumsum(x).tolist() for x in took]}), "_s_size long, _s_ends array<long>"
     )
-    counts = groups.groupBy("_size", "_part").count()
-    before = Window.partitionBy("_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_size", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_size", "_part").orderBy(key)) - 1
-    placed = groups.withColumn("_rank", rank).join(counts, ["_size", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before")).join(plan, "_size")
-    placed = placed.select(key, F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))).cast("int").alias("shard"))
-    out = durable(rows.join(placed, key).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = out.groupBy("shard", "_part").count()
-    counts = counts.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    slot = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*order)) - 1
-    out = out.withColumn("_slot", slot).join(counts, ["shard", "_part"])
-    return out.withColumn("slot", (F.col("_slot") + F.col("_before")).cast("long")).drop("_slot", "_before", "_part")
+    counts = groups.groupBy("_s_size", "_s_part").count()
+    before = Window.partitionBy("_s_size").orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_s_size", "_s_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_s_before"))
+    rank = F.row_number().over(Window.partitionBy("_s_size", "_s_part").orderBy(key)) - 1
+    placed = groups.withColumn("_s_rank", rank).join(counts, ["_s_size", "_s_part"]).withColumn("_s_rank", F.col("_s_rank") + F.col("_s_before")).join(plan, "_s_size")
+    placed = placed.select(key, F.size(F.filter("_s_ends", lambda end: end <= F.col("_s_rank"))).cast("int").alias("shard"))
+    out = durable(rows.join(placed, key).withColumn("_s_part", F.pmod(F.xxhash64("_s_row"), F.lit(buckets)).cast("int")).drop("_s_row"))
+    before = Window.partitionBy("shard").orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = out.groupBy("shard", "_s_part").count()
+    counts = counts.select("shard", "_s_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_s_before"))
+    slot = F.row_number().over(Window.partitionBy("shard", "_s_part").orderBy(*order)) - 1
+    out = out.withColumn("_s_slot", slot).join(counts, ["shard", "_s_part"])
+    return out.withColumn("slot", (F.col("_s_slot") + F.col("_s_before")).cast("long")).select(*df.columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
