@@ -49,3 +49,17 @@ def block_lines(lines: DataFrame, marker: str, order: str = "n", column: str = "
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     named = F.when(F.col(column).rlike(marker), F.regexp_extract(column, marker, 1))
     return lines.withColumn("block", F.last(named, ignorenulls=True).over(w))
+
+
+def to_fetch(want: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """key, reason: what isn't there yet ("missing") or is there without content ("empty"). have: key, bytes."""
+    held = have.groupBy(key).agg(F.max("bytes").alias("_bytes"))
+    both = want.select(key).join(held, key, "left")
+    return both.where("_bytes IS NULL OR _bytes <= 0").select(key, F.when(F.col("_bytes").isNull(), "missing").otherwise("empty").alias("reason"))
+
+
+def fetch_log(attempts: DataFrame, key: str) -> DataFrame:
+    """key, tries, failures, last: a row for each thing that was tried; last is its latest outcome ("ok" or the failure). attempts: key, at, bytes, error."""
+    failed = F.col("error").isNotNull() | (F.coalesce("bytes", F.lit(0)) <= 0)
+    outcome = F.when(F.col("error").isNotNull(), F.col("error")).when(failed, "empty").otherwise("ok")
+    return attempts.groupBy(key).agg(F.count(F.lit(1)).alias("tries"), F.count_if(failed).alias("failures"), F.max_by(outcome, "at").alias("last"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import campaign as OC
-from ..sources import files, modellog, wps, wrg
+from ..sources import config, files, modellog, namelist, netcdf, wps, wrg
 from ..streaming import windows as SW
 from .q_aggs import LOG
 from .registry import count, query, r
@@ -41,6 +43,11 @@ def _(i):
     return wps.parse(_wps_files(i), None, (31.6, -105.8)).select("field", "i", "j", r(c("value")).alias("value"))
 
 
+@query("src2_records", "SELECT f || ':1998-01-01_00' AS name, CAST(k AS INT) AS record, CAST(CASE k WHEN 0 THEN 4 WHEN 1 THEN 156 WHEN 2 THEN 28 WHEN 3 THEN 4 ELSE 40 * rows * 4 END AS BIGINT) AS bytes FROM (SELECT max(j) + 1 AS rows FROM raster_v), (VALUES ('HGT'), ('LU')) f(f), (VALUES (0), (1), (2), (3), (4)) k(k)")
+def _(i):
+    return wps.record_lengths(_wps_files(i)).select(F.substring("path", 2, 100).alias("name"), "record", "bytes")
+
+
 @query("src3_failures_counted", "SELECT 3 AS files, CAST(1 AS BIGINT) AS failed")
 def _(i):
     cut = _wps_files(i).where("path LIKE '/HGT%'").select(F.lit("/cut:1998-01-01_00").alias("path"), F.expr("substring(content, 1, 500)").alias("content"))
@@ -71,20 +78,51 @@ def _(i):
     return files.parse_csv(text, files.MANIFEST).select("run", "sample_start", "days", "weight")
 
 
-@query("src9_cube_layout", "SELECT height, pixel, min(time) AS begin, max(time) AS \"end\", count(*) AS n FROM (SELECT time, pixel, unnest([80, 100, 120, 160])::INT AS height FROM obs_v) GROUP BY 1, 2")
+def _cube(i) -> str:
+    """A cube of four heights, written to the shared folder."""
+    to = scratch.path(i.spark)
+    files.write_cube(i.obs_v.withColumn("height", F.explode(F.array(*map(F.lit, (80, 100, 120, 160))))), to)
+    return to
+
+
+@query("src8_npz", "SELECT event_type AS name, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INT) AS place, round(ws::FLOAT::DOUBLE, 6) AS ws, round(wd::FLOAT::DOUBLE, 6) AS wd FROM obs_v")
 def _(i):
-    cube = i.obs_v.withColumn("height", F.explode(F.array(*map(F.lit, (80, 100, 120, 160)))))
-    return cube.groupBy("height", "pixel").agg(F.min("time").alias("begin"), F.max("time").alias("end"), count().alias("n"))
+    """A file of arrays for each event type, read back as 32-bit floats."""
+    made = files.npz_contents(i.obs_v, "event_type", "event_id", ["ws", "wd"])
+    rows = files.parse_npz(made, ["ws", "wd"]).select(c("path").alias("name"), F.posexplode(F.arrays_zip("ws", "wd")).alias("place", "v"))
+    return rows.select("name", "place", r(c("v.ws").cast("double")).alias("ws"), r(c("v.wd").cast("double")).alias("wd"))
 
 
-@query("src10_every_24th_pixel", "SELECT event_id, pixel FROM obs_v WHERE pixel % 24 = 0")
+@query("src9_cube_layout", "SELECT height, pixel, min(time) AS begin, max(time) AS \"end\", count(*) AS n, round(sum(ws), 6) AS ws FROM (SELECT time, pixel, ws, unnest([80, 100, 120, 160])::INT AS height FROM obs_v) GROUP BY 1, 2")
 def _(i):
-    return i.obs_v.where("pixel % 24 = 0").select("event_id", "pixel")
+    """Written by height and lane, read back whole."""
+    return files.read_cube(i.spark, _cube(i)).groupBy("height", "pixel").agg(F.min("time").alias("begin"), F.max("time").alias("end"), count().alias("n"), r(F.sum("ws")).alias("ws"))
 
 
-@query("src11_raster_rows", "SELECT i, j, hgt, lu FROM raster_v")
+@query("src10_every_24th_pixel", "SELECT event_id, pixel, time FROM obs_v WHERE pixel % 24 = 0")
 def _(i):
-    return i.raster_v
+    """The cube's lane 0 at one height: partition pruning reads its folder alone."""
+    return files.read_cube(i.spark, _cube(i), [100], 0).select("event_id", "pixel", "time")
+
+
+@query("src11_netcdf", "SELECT v AS variable, i, j, CASE v WHEN 'HGT_M' THEN round(hgt, 6) ELSE lu::DOUBLE END AS value, '100.0' AS dx FROM raster_v, (VALUES ('HGT_M'), ('LU_INDEX')) v(v)")
+def _(i):
+    """The raster as a netCDF classic file, its variables and an attribute read back."""
+    from ..deploy import ship
+
+    ship(i.spark)
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        grids = {}
+        for name, column, dtype in (("HGT_M", "hgt", ">f8"), ("LU_INDEX", "lu", ">i4")):
+            values = np.zeros((x["j"].max() + 1, x["i"].max() + 1), dtype)
+            values[x["j"], x["i"]] = x[column]
+            grids[name] = (["south_north", "west_east"], values)
+        return pd.DataFrame({"path": ["/geo.nc"], "content": [netcdf.encode(grids, {"TITLE": "raster", "DX": 100.0})]})
+
+    made = i.raster_v.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "path string, content binary")
+    dx = netcdf.attributes(made).where("name = 'DX'").select("path", c("value").alias("dx"))
+    return netcdf.parse(made, ["HGT_M", "LU_INDEX"]).join(dx, "path").select("variable", "i", "j", r(c("value")).alias("value"), "dx")
 
 
 WRG = """WITH p AS (SELECT regexp_split_to_array(trim(line), '\\s+') AS t FROM wrg_text_v), q AS (SELECT CASE WHEN t[1] = 'GridPoint' THEN t[2:] ELSE t END AS t FROM p), s AS (SELECT t FROM q WHERE len(t) >= 14),
@@ -111,9 +149,14 @@ def _(i):
     return wrg.parse(i.wrg_text_v).groupBy(wrg.no_data(c("elev"), c("a"), c("k")).alias("no_data")).agg(count().alias("cells"))
 
 
-@query("src14_weight_column", "SELECT time, round(sum(weight), 6) AS weight FROM forcing_v GROUP BY 1")
+@query("src14_weight_vector", "SELECT time, round(sum(weight), 6) AS weight FROM forcing_v GROUP BY 1")
 def _(i):
-    return i.forcing_v.groupBy("time").agg(r(F.sum("weight")).alias("weight"))
+    """A vector file a month, read back and aligned to the times again by place."""
+    steps = i.forcing_v.groupBy("time").agg(F.sum("weight").alias("weight")).withColumn("month", F.date_format("time", "yyyy-MM"))
+    back = files.parse_npy(files.npy_contents(steps, "month", "time", "weight"))
+    place = F.row_number().over(Window.partitionBy("month").orderBy("time")) - 1
+    times = steps.select("time", c("month").alias("path"), place.alias("place"))
+    return back.join(times, ["path", "place"]).select("time", r(c("value")).alias("weight"))
 
 
 @query("src15_model_log", f"WITH {LOG} SELECT time, domain, elapsed FROM log")
@@ -129,6 +172,33 @@ def _(i):
     return i.supplier.select(a.alias("lat"), b.alias("lon"), c("s_suppkey").alias("id"))
 
 
+NAMELIST = r"""WITH t AS (SELECT run, chr(10) AS nl, chr(39) AS q, strftime(sample_start, '%Y-%m-%d_00:00:00') AS s FROM manifest_v)
+    SELECT run, '&share' || nl || ' start_date = ' || q || s || q || ', ' || q || s || q || ',' || nl || ' interval_seconds = 10800,' || nl || '/' || nl
+        || '&domains' || nl || ' max_dom = 2,' || nl || ' dx = 900.0, 300.0,' || nl || ' run = ' || q || run || q || ',' || nl || ' nested = .false., .true.,' || nl || '/' || nl AS text FROM t"""
+
+
+@query("src20_namelist", NAMELIST)
+def _(i):
+    begin = namelist.stamp(c("sample_start").cast("timestamp"), 2)
+    quoted = F.concat(F.lit("'"), "run", F.lit("'"))
+    groups = {"share": {"start_date": begin, "interval_seconds": 10800}, "domains": {"max_dom": 2, "dx": [900.0, 300.0], "run": quoted, "nested": [False, True]}}
+    return i.manifest_v.select("run", namelist.text(groups).alias("text"))
+
+
+SETTINGS = """SELECT s_suppkey AS site, 'ROOT' AS key, '/case/' || s_nationkey || ' # a' AS value FROM supplier
+    UNION ALL SELECT s_suppkey, 'RANKS', CASE WHEN s_suppkey % 10 = 0 THEN '104' ELSE CAST(s_suppkey % 7 AS VARCHAR) END FROM supplier
+    UNION ALL SELECT s_suppkey, 'NAME', 'b' FROM supplier"""
+
+
+@query("src21_settings", SETTINGS)
+def _(i):
+    """Lines with comments, quotes, exports and a repeated key; every tenth site's environment sets RANKS."""
+    own = F.array(F.lit("# settings"), F.concat(F.lit('export ROOT="/case/'), "s_nationkey", F.lit(' # a"')), F.concat(F.lit("RANKS="), c("s_suppkey") % 7, F.lit(" # cores")), F.lit("no value"), F.lit("NAME='a'"), F.lit(" NAME = b "))
+    lines = i.supplier.select(c("s_suppkey").alias("site"), "s_nationkey", F.posexplode(own).alias("n", "line"))
+    env = i.supplier.where("s_suppkey % 10 = 0").select(c("s_suppkey").alias("site"), F.lit("RANKS").alias("key"), F.lit("104").alias("value"))
+    return config.settings(lines, env)
+
+
 @query("src22_table_rewrite", "SELECT CAST(s_suppkey AS INT) AS n, CASE WHEN s_suppkey = 7 THEN '7, 0.09' ELSE concat(s_suppkey, ', ', s_nationkey) END AS line FROM supplier WHERE s_suppkey > 0")
 def _(i):
     """In block 'B' exactly one line begins with 7; it gets a new value."""
@@ -147,9 +217,21 @@ def _(i):
     return i.supplier.select("s_suppkey", files.sound_raster(c("s_nationkey") % 3, extent, extent, c("s_suppkey") % 4).alias("ok"))
 
 
-@query("src24_to_fetch", "SELECT point_id FROM points_v WHERE point_id NOT IN (SELECT point_id FROM points_v WHERE x > 20)")
+@query("src24_to_fetch", "SELECT point_id, CASE WHEN x <= 20 THEN 'missing' ELSE 'empty' END AS reason FROM points_v WHERE x <= 20 OR floor(y) % 4 = 0")
+def _(i):
+    """What has no file, or a file without content."""
+    have = i.points_v.where("x > 20").select("point_id", F.when(F.floor("y") % 4 == 0, 0).otherwise(F.floor(c("y") * 1000)).alias("bytes"))
+    return OC.to_fetch(i.points_v, have, "point_id")
+
+
+FETCHES = """SELECT s_nationkey AS tile, count(*) AS tries, CAST(count_if(s_suppkey % 3 = 0 OR s_suppkey % 5 = 0) AS BIGINT) AS failures,
+    arg_max(CASE WHEN s_suppkey % 3 = 0 THEN 'timeout' WHEN s_suppkey % 5 = 0 THEN 'empty' ELSE 'ok' END, s_suppkey) AS last FROM supplier GROUP BY 1"""
+
+
+@query("src24_fetch_log", FETCHES)
 def _(i):
-    return i.points_v.select("point_id").join(i.points_v.where("x > 20").select("point_id"), "point_id", "left_anti")
+    attempts = i.supplier.select(c("s_nationkey").alias("tile"), c("s_suppkey").alias("at"), F.when(c("s_suppkey") % 5 != 0, 100).alias("bytes"), F.when(c("s_suppkey") % 3 == 0, "timeout").alias("error"))
+    return OC.fetch_log(attempts, "tile").withColumns({"tries": c("tries").cast("long"), "failures": c("failures").cast("long")})
 
 
 @query("src25_layered_fallback", "SELECT i, j, coalesce(CASE WHEN lu > 30 THEN hgt END, CASE WHEN lu > 10 THEN lu::DOUBLE END, 0.0) AS value, CASE WHEN lu > 30 THEN 'fine' WHEN lu > 10 THEN 'coarse' ELSE 'none' END AS source FROM raster_v")

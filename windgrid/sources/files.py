@@ -38,22 +38,77 @@ def write_csv(df: DataFrame, path: str, digits: int = 4) -> None:
     fixed_decimals(df, digits).write.csv(path, header=True)
 
 
-def write_cube(df: DataFrame, path: str) -> None:
-    """time, pixel, height, ...: partitioned by height, clustered by pixel, so one pixel's history is one range of row groups."""
-    df.repartitionByRange("height", "pixel").sortWithinPartitions("height", "pixel", "time").write.partitionBy("height").parquet(path)
+#: Every so many pixels are a lane of the cube: a scan of every LANES-th pixel reads one lane.
+LANES = 24
 
 
-def read_npz(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
-    """A row a file: path and each variable as an array of float."""
-    schema = "path string, " + ", ".join(f"`{v}` array<float>" for v in variables)
+def write_cube(df: DataFrame, path: str, lanes: int = LANES) -> None:
+    """time, pixel, height, ...: a folder a height and lane (pixel modulo `lanes`), rows ordered by pixel and time, so a
+    strided scan reads its folders alone and one pixel's history is one range of row groups."""
+    laid = df.withColumn("lane", F.pmod(F.col("pixel"), F.lit(lanes)).cast("int"))
+    laid.repartitionByRange("height", "lane", "pixel").sortWithinPartitions("height", "lane", "pixel", "time").write.partitionBy("height", "lane").parquet(path)
+
+
+def read_cube(spark: SparkSession, path: str, heights: list[int] | None = None, lane: int | None = None) -> DataFrame:
+    """A cube's rows; with heights or a lane, only those folders."""
+    cube = spark.read.parquet(path)
+    if heights is not None:
+        cube = cube.where(F.col("height").isin(heights))
+    if lane is not None:
+        cube = cube.where(F.col("lane") == lane)
+    return cube.drop("lane")
+
+
+def _with_numpy(files: DataFrame, schema: str, open_) -> DataFrame:
+    """files (path, content) to rows: open_(path, file) gives a frame each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for p, content in zip(x["path"], x["content"], strict=True):
-                with np.load(io.BytesIO(content)) as z:
-                    yield pd.DataFrame([{"path": p} | {v: z[v].astype(np.float32).ravel() for v in variables}])
+                yield open_(p, io.BytesIO(content))
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def parse_npz(files: DataFrame, variables: list[str]) -> DataFrame:
+    """files (path, content) to a row a file: path and each variable as an array of float."""
+
+    def open_(path: str, file) -> pd.DataFrame:
+        with np.load(file) as z:
+            return pd.DataFrame([{"path": path} | {v: z[v].astype(np.float32).ravel() for v in variables}])
+
+    return _with_numpy(files, "path string, " + ", ".join(f"`{v}` array<float>" for v in variables), open_)
+
+
+def read_npz(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
+    return parse_npz(spark.read.format("binaryFile").load(path), variables)
+
+
+def _blobs(df: DataFrame, name: str, order: str, save) -> DataFrame:
+    """path, content: the rows of each `name`, in order, saved as one file's content."""
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        save(out, x.sort_values(order, kind="stable"))
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    return df.groupBy(name).applyInPandas(run, "path string, content binary")
+
+
+def npz_contents(df: DataFrame, name: str, order: str, variables: list[str]) -> DataFrame:
+    """path, content: a file of arrays for each `name`; its rows must fit into a worker."""
+    return _blobs(df.select(name, order, *variables), name, order, lambda out, x: np.savez(out, **{v: x[v].to_numpy(dtype=float) for v in variables}))
+
+
+def npy_contents(df: DataFrame, name: str, order: str, value: str) -> DataFrame:
+    """path, content: the value as one vector for each `name`, aligned to the order."""
+    return _blobs(df.select(name, order, value), name, order, lambda out, x: np.save(out, x[value].to_numpy(dtype=float)))
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+def parse_npy(files: DataFrame) -> DataFrame:
+    """path, place (from 0), value of each number of a vector's file. files: path, content."""
+    rows = _with_numpy(files, "path string, v array<double>", lambda path, file: pd.DataFrame({"path": [path], "v": [np.load(file).astype(float).ravel()]}))
+    return rows.select("path", F.posexplode("v").alias("place", "value"))
 
 
 def time_of_name(name: Column) -> Column:

@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed pattern: both dialects, with and without the step in brackets.
-LINE = r"Timing for main(?: \(dt=\s*[0-9.]+\))?: time (\S+) on domain\s+(\d+):\s+([0-9.]+) elapsed"
+# Fixed words of a timing line; the step in brackets stands before the colon in the newer dialect only.
+HEAD, BEFORE_DOMAIN, LAST = "Timing for main", "on domain", "elapsed"
 
 
 def parse(lines: DataFrame, column: str = "line") -> DataFrame:
-    """time (TIMESTAMP_NTZ), domain, elapsed; other lines and malformed stamps are left out."""
-    part = lambda k: F.regexp_extract(column, LINE, k)
-    out = lines.where(F.col(column).rlike(LINE)).select(part(1).alias("_t"), part(2).cast("int").alias("domain"), part(3).cast("double").alias("elapsed"))
-    stamp = F.when(F.col("_t").rlike(r"^\d{4}-\d{2}-\d{2}_\d{2}:\d{2}:\d{2}$"), F.replace("_t", F.lit("_"), F.lit(" ")))
-    return out.select(F.expr("1").alias("_"), stamp.alias("_t"), "domain", "elapsed").select(F.try_to_timestamp("_t").cast("timestamp_ntz").alias("time"), "domain", "elapsed").where("time IS NOT NULL")
+    """time (TIMESTAMP_NTZ), domain, elapsed; other lines and malformed stamps are left out.
+
+    A line is cut at colons before white space into its head, its stamp and domain, and its seconds, and these into words.
+    """
+    at = F.locate(HEAD, F.col(column))
+    parts = F.split(F.substring(F.col(column), at, F.length(column)), r":\s+")
+    told = lines.where(at > 0).select(parts.alias("p")).where(F.size("p") >= 3)
+    words = lambda k: F.split(F.trim(F.col("p")[k]), r"\s+")
+    told = told.select(F.trim(F.substring(F.col("p")[0], len(HEAD) + 1, 1000)).alias("step"), words(1).alias("m"), words(2).alias("t"))
+    step = F.col("step")  # nothing, or the step in brackets
+    shaped = ((step == "") | (step.startswith("(dt=") & step.endswith(")"))) & (F.size("m") == 5) & (F.get("m", F.lit(0)) == "time")
+    shaped &= (F.concat_ws(" ", F.get("m", F.lit(2)), F.get("m", F.lit(3))) == BEFORE_DOMAIN) & (F.get("t", F.lit(1)) == LAST)
+    stamp = F.try_to_timestamp(F.regexp_replace(F.get("m", F.lit(1)), "^(.{10})_", "$1 "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    found = told.where(shaped).select(stamp.alias("time"), F.get("m", F.lit(4)).try_cast("int").alias("domain"), F.get("t", F.lit(0)).try_cast("double").alias("elapsed"))
+    return found.where("time IS NOT NULL AND domain IS NOT NULL AND elapsed IS NOT NULL")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
