@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, selection, spectra, timeline, weibull
+from windgrid import scratch
+from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, quantiles, selection, spectra, timeline, weibull
 from windgrid.plans.catalogue import QUERIES
-from windgrid.sources import config, files, modellog, wps, wrg
+from windgrid.sources import config, files, modellog, netcdf, wps, wrg
 from windgrid.streaming import windows
 
 
@@ -87,6 +90,116 @@ def test_wrg_round_trip(spark, dialect):
     assert tuple(wrg.header(noise).first()) == (3, 1, 100.0, 200.0, 100.0)
 
 
+def test_wps_reads_only_what_is_wanted(tmp_path):
+    """Of two large fields, a point of the second costs headers, record lengths and one number."""
+    a = np.arange(250_000, dtype=np.float32).reshape(500, 500)
+    data = wps.encode("2001-01-01_00", "TT", 100.0, a) + wps.encode("2001-01-01_00", "UU", 1.0, a * 2, 10.0, 20.0, 0.1, 0.1)
+    (tmp_path / "f").write_bytes(data)
+    with open(tmp_path / "f", "rb") as f:
+        file = wps.Ranges(f, len(data))
+        (field,) = wps.fields(file, {"UU"})
+        i, j, value = wps.cells(file, field, (12.2, 23.1))
+        assert (i[0], j[0], value[0]) == (31, 22, 2 * a[22, 31]) and file.read_bytes < 1000 < len(data) / 1000
+    with pytest.raises(ValueError, match="cut short"):
+        list(wps.records(wps.Ranges(io.BytesIO(data[:-3]), len(data) - 3)))
+
+
+def test_netcdf_round_trip(spark):
+    grids = {"HGT_M": (["y", "x"], np.arange(12, dtype=">f4").reshape(3, 4)), "LU": (["y", "x"], np.arange(12, dtype=">i4").reshape(3, 4)), "t": (["x"], np.arange(4, dtype=">f8"))}
+    data = netcdf.encode(grids, {"TITLE": "abc", "DX": 300.0})
+    head = netcdf.Header(data)
+    assert head.dims == {"y": 3, "x": 4} and head.attributes == {"TITLE": "abc", "DX": [300.0]}
+    assert all((head.values(k) == v).all() for k, (_, v) in grids.items())
+    df = spark.createDataFrame([("a", data), ("cut", data[:50]), ("hdf", b"\x89HDF....")], "path string, content binary")
+    rows = netcdf.parse(df, ["HGT_M", "t"]).collect()
+    assert sum(r["error"] is not None for r in rows) == 2
+    assert {(r["j"], r["i"]): r["value"] for r in rows if r["variable"] == "HGT_M"} == {(k // 4, k % 4): k for k in range(12)}
+    assert sorted(r["value"] for r in rows if r["variable"] == "t") == [0, 1, 2, 3]
+
+
+def test_netcdf_records():
+    """Two variables along an unlimited dimension lie in turns."""
+    text = lambda s: struct.pack(">i", len(s)) + s + b"\0" * (-len(s) % 4)
+    head = b"CDF\x02" + struct.pack(">iii", 2, 10, 2) + text(b"Time") + struct.pack(">i", 0) + text(b"x") + struct.pack(">i", 3) + struct.pack(">ii", 0, 0) + struct.pack(">ii", 11, 2)
+    size = len(head) + sum(len(text(n)) + 4 + 8 + 8 + 4 + 4 + 8 for n in (b"a", b"b"))
+    for k, n in enumerate((b"a", b"b")):
+        head += text(n) + struct.pack(">iii", 2, 0, 1) + struct.pack(">ii", 0, 0) + struct.pack(">iiq", 3, 8, size + 8 * k)
+    values = [[1, 2, 3], [10, 20, 30], [4, 5, 6], [40, 50, 60]]
+    data = head + b"".join(struct.pack(">hhhxx", *v) for v in values)
+    h = netcdf.Header(data)
+    assert h.values("a").tolist() == [[1, 2, 3], [4, 5, 6]] and h.values("b").tolist() == [[10, 20, 30], [40, 50, 60]]
+
+
+def test_cube_scans_one_lane(spark, tmp_path):
+    rows = [(dt.datetime(2001, 1, 1, h), p, z, float(p + h)) for h in range(3) for p in range(60) for z in (80, 100)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, pixel int, height int, ws double")
+    files.write_cube(df, f"{tmp_path}/cube")
+    lane = files.read_cube(spark, f"{tmp_path}/cube", [100], 0)
+    assert sorted({r["pixel"] for r in lane.collect()}) == [0, 24, 48] and lane.count() == 9
+    plan = lane._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "lane" in plan.split("PartitionFilters: [")[-1].split("]")[0]
+    assert files.read_cube(spark, f"{tmp_path}/cube").select("time", "pixel", "height", "ws").exceptAll(df.select("time", "pixel", "height", "ws")).count() == 0
+
+
+def test_vectors_and_arrays_round_trip(spark):
+    df = spark.createDataFrame([("m1", k, k / 7, -k / 3) for k in range(20)] + [("m2", 0, 5.0, 6.0)], "name string, at int, a double, b double")
+    back = files.parse_npy(files.npy_contents(df, "name", "at", "a")).collect()
+    assert {(r["path"], r["place"]): r["value"] for r in back} == {("m1", k): k / 7 for k in range(20)} | {("m2", 0): 5.0}
+    z = {r["path"]: r for r in files.parse_npz(files.npz_contents(df, "name", "at", ["a", "b"]), ["b", "a"]).collect()}
+    assert np.allclose(z["m1"]["b"], [-k / 3 for k in range(20)]) and list(z["m2"]["a"]) == [5.0]
+
+
+def test_settings_and_fetches(spark):
+    lines = spark.createDataFrame([(1, 0, "export A='x # y' # z"), (1, 1, "B=2"), (1, 2, "B = 3 # c"), (1, 3, "#C=1"), (1, 4, "noise"), (2, 0, "A="), (2, 1, 'D="open')], "site int, n int, line string")
+    found = config.settings(lines, spark.createDataFrame([(1, "B", "env")], "site int, key string, value string"))
+    assert {(r["site"], r["key"]): r["value"] for r in found.collect()} == {(1, "A"): "x # y", (1, "B"): "env", (2, "A"): "", (2, "D"): "open"}
+    assert {tuple(r) for r in config.missing(found, ["A", "B"]).collect()} == {(2, "A"), (2, "B")}
+    have = spark.createDataFrame([(1, 10), (2, 0), (2, None)], "k int, bytes int")
+    assert {tuple(r) for r in campaign.to_fetch(spark.range(1, 4).select(F.col("id").cast("int").alias("k")), have, "k").collect()} == {(2, "empty"), (3, "missing")}
+
+
+def test_quantiles_narrow_ranges(spark):
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=3000), np.repeat([1.0, 5.0], 1500), np.concatenate([rng.exponential(size=2900), [1e9] * 100]), np.array([3.0]), np.array([-1e308, 1e308, 0.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+        for few in (50, 100_000):
+            assert quantiles.quantiles(df, F.col("v"), [0.0, 0.01, 0.5, 0.95, 1.0], few) == pytest.approx(np.quantile(x, [0, 0.01, 0.5, 0.95, 1]).tolist(), rel=1e-12)
+    assert quantiles.quantiles(df.limit(0), F.col("v"), [0.5]) == [None]
+
+
+def test_fill_nearest_equals_brute_force(spark):
+    rng = random.Random(5)
+    cells = {(i, j): (rng.random() if rng.random() < 0.12 and not 8 <= i <= 15 else None) for i in range(20) for j in range(24)}
+    out = {(r["i"], r["j"]): r["v"] for r in grid.fill_nearest(spark.createDataFrame([(i, j, v) for (i, j), v in cells.items()], "i int, j int, v double"), "v").collect()}
+    known = [(i, j, v) for (i, j), v in cells.items() if v is not None]
+    assert out == {(a, b): min(((a - i) ** 2 + (b - j) ** 2, i, j, v) for i, j, v in known)[3] for a, b in cells}
+
+
+def test_random_draws(record):
+    drawn = metrics.random_draws(record, 3, 5, 7).toPandas()
+    assert drawn.groupby("draw").day.nunique().between(5, 15).all() and not drawn.duplicated().any() and drawn.draw.nunique() == 7
+    whole = record.select(F.to_date("time").alias("day")).distinct().withColumn("draw", F.lit(0))
+    bias = metrics.draw_bias(record, whole, F.floor(F.col("wd") / 30).cast("int"), 12).first()
+    assert all(abs(bias[c]) < 1e-9 for c in ("ws", "energy", "a", "k", "freq_mae", "energy_mae", "energy_max"))
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    class Context:
+        def __init__(self, master):
+            self.master, self.getCheckpointDir = master, lambda: None
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), self
+
+        def get(self, *_):
+            return None
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            scratch.shared_dir(Session(master))
+
+
 def test_wps_files(spark, tmp_path):
     a = np.arange(12, dtype=np.float32).reshape(3, 4)
     data = wps.encode("2001-01-01_00", "TT", 100.0, a, 10.0, 250.0, 1.0, 1.0) + wps.encode("2001-01-01_00", "UU", 1.0, a * 2, 10.0, 250.0, 1.0, 1.0)
