@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from windgrid import scratch
 from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, quantiles, selection, spectra, timeline, weibull
+from windgrid.plans import q_select
 from windgrid.plans.catalogue import QUERIES
 from windgrid.sources import config, files, modellog, netcdf, wps, wrg
 from windgrid.streaming import windows
@@ -360,10 +361,33 @@ def test_smaller_selections_are_whole_searches(spark, candidates, monkeypatch):
     blocks, a, t = candidates[1]
     chosen, w, _ = selection.select_weighted(blocks, a, t, 8, weighted=False, screen=250)
     assert searched(spark, "sel4_equal_weights", (blocks, chosen, w))
-    asked = []
-    monkeypatch.setattr(selection, "select_weighted", lambda b, a, t, k, high, **more: asked.append((b.length, k, round(high * k, 6), more)) or ([], np.ones(k) / k, 0.0))
-    assert QUERIES["sel13_sweeps"](spark, str(DATA / "sf0.001")).count() == 16
-    assert asked == [(length, k, bound, {}) for length, k in ((1, 40), (2, 22), (3, 15), (5, 9)) for bound in (1.5, 3.0, 6.0, 20.0)]
+
+
+def test_sweeps_are_whole_searches(spark, candidates, monkeypatch):
+    asked = [(length, k, bound, fitted) for _, _, length, k, bound, _, fitted in q_select.SWEEPS]
+    geometry = [(length, k, 3.0, fitted) for length, k in ((1, 40), (2, 20), (3, 14), (5, 8), (1, 60), (2, 30), (3, 20)) for fitted in (False, True)]
+    cost = [(length, k, 6.0, True) for length, k in ((1, 40), (2, 22), (3, 15), (5, 9), (1, 33), (2, 20), (3, 14), (5, 9))]
+    assert asked == [(1, 40, bound, True) for bound in (1.5, 3.0, 6.0, 20.0)] + [(1, 40, 3.0, True)] * 3 + geometry + cost
+    monkeypatch.setattr(q_select, "SWEEPS", [s for s in q_select.SWEEPS if s[3] < 15])
+    got = {(r["sweep"], r["label"], r["days"]): r for r in QUERIES["sel13_sweeps"](spark, str(DATA / "sf0.001")).collect()}
+    assert len(got) == len(q_select.SWEEPS)
+    blocks, a, t = candidates[5]
+    chosen, w, d = selection.select_weighted(blocks, a, t, 9, 6 / 9)
+    r = got["cost", "6 h", 5]
+    assert (r["distance"], r["ess"]) == (round(d, 6), round(float(1 / (w**2).sum()), 6))
+    base = candidates[1][1]
+    assert np.allclose((selection.reweighted(base, {"dir_stab": 4.0}) ** 2).sum() - (base**2).sum(), 3 * (base[144:204] ** 2).sum())
+
+
+def test_candidates_are_evaluated_side_by_side():
+    """The closed form of all options equals the search of each, whether weights lie on bounds or not."""
+    rng = np.random.default_rng(4)
+    a = rng.dirichlet(np.full(257, 0.1), 80).T
+    for high, weighted in ((0.08, True), (0.3, True), (2.0, True), (0.3, False)):
+        fit = selection.Fitter(a, a[:, :5].mean(1), high, weighted)
+        for rest in ([], [3], [0, 1, 7, 30, 31], list(range(20))):
+            options = [j for j in range(80) if j not in rest]
+            assert np.allclose(fit.with_each(rest, options), [fit([*rest, j])[1] for j in options], atol=1e-8)
 
 
 def test_supervised_queries_take_all_points_and_restarts(spark, monkeypatch):

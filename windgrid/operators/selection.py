@@ -9,13 +9,15 @@ admissible candidates at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions import binning as B
 from ..functions import physics as P
 from . import histograms as H
@@ -77,54 +79,69 @@ def _places() -> dict[str, int]:
     return dict(zip(H.GROUPS, np.cumsum([0, *H.SIZES[:-1]]).tolist(), strict=True))
 
 
+def target(rows: DataFrame) -> np.ndarray:
+    """The feature vector of a whole record, scaled by its groups' weights; scalars are 1."""
+    place, weight = _places(), dict(zip(H.GROUPS, H.WEIGHTS, strict=True))
+    binned = H.with_bins(rows)
+    t = np.zeros(sum(H.SIZES))
+    for row in H.normalised(H.histograms(binned, []), binned, []).collect():
+        t[place[row["grp"]] + row["bin"]] = np.sqrt(weight[row["grp"]]) * (1.0 if row["grp"] == "scalar" else row["value"])
+    return t
+
+
 def design_matrix(rows: DataFrame, length: int, least_per_day: int = 6) -> tuple[Blocks, np.ndarray, np.ndarray]:
     """Blocks, the matrix A (257 by blocks) and the target of the whole record."""
-    place, n = _places(), sum(H.SIZES)
-    at = F.element_at(F.create_map(*[F.lit(x) for g, p in place.items() for x in (g, p)]), F.col("grp")) + F.col("bin")
+    at = F.element_at(F.create_map(*[F.lit(x) for g, p in _places().items() for x in (g, p)]), F.col("grp")) + F.col("bin")
     got = scaled(features(rows, length, least_per_day)).groupBy("start").agg(F.collect_list(F.struct(at.alias("p"), "value")).alias("f")).orderBy("start").collect()
-    a = np.zeros((n, len(got)))
+    a = np.zeros((sum(H.SIZES), len(got)))
     for k, row in enumerate(got):
         for p, v in row["f"]:
             a[p, k] = v
-    binned = H.with_bins(rows)
-    t = np.zeros(n)
-    weight = dict(zip(H.GROUPS, H.WEIGHTS, strict=True))
-    for row in H.normalised(H.histograms(binned, []), binned, []).collect():
-        t[place[row["grp"]] + row["bin"]] = np.sqrt(weight[row["grp"]]) * (1.0 if row["grp"] == "scalar" else row["value"])
     start = np.array([row["start"].toordinal() for row in got])
-    return Blocks(start, length), a, t
+    return Blocks(start, length), a, target(rows)
+
+
+def reweighted(x: np.ndarray, groups: dict[str, float]) -> np.ndarray:
+    """Features (a matrix's rows or a vector) with other weights for these groups."""
+    factor = np.concatenate([np.full(n, np.sqrt(groups.get(g, w) / w)) for g, n, w in zip(H.GROUPS, H.SIZES, H.WEIGHTS, strict=True)])
+    return x * (factor[:, None] if x.ndim == 2 else factor)
 
 
 # ---- bounded least squares
 
 
-def bounded_ls(gram: np.ndarray, rhs: np.ndarray, high: float, rounds: int = 500) -> np.ndarray:
-    """Minimises w'Gw / 2 - r'w over 0 <= w <= high by an active set."""
+def bounded_ls(gram: np.ndarray, rhs: np.ndarray, high: float, rounds: int = 500, start: np.ndarray | None = None) -> np.ndarray:
+    """Minimises w'Gw / 2 - r'w over 0 <= w <= high by an active set. A start near the minimum saves most rounds."""
     n = len(rhs)
-    w = np.full(n, min(high, 1.0 / max(n, 1)))
-    free = np.ones(n, dtype=bool)
+    w = np.full(n, min(high, 1.0 / max(n, 1))) if start is None else start.copy()
+    free = np.ones(n, dtype=bool) if start is None else (w > 0) & (w < high)
+    if start is not None and not free.any():
+        free[:] = True
+    least = 1e-10 * max(1.0, np.abs(rhs).max(initial=0.0))
     for _ in range(rounds):
         if free.any():
-            fixed = ~free
-            target = w.copy()
-            g = gram[np.ix_(free, free)]
-            target[free] = np.linalg.lstsq(g, rhs[free] - gram[np.ix_(free, fixed)] @ w[fixed], rcond=None)[0]
-            step = target - w
-            with np.errstate(divide="ignore", invalid="ignore"):
-                room = np.where(step > 0, (high - w) / step, np.where(step < 0, -w / step, np.inf))
-            room[fixed] = np.inf
-            if room.min() < 1 - 1e-14:  # stop where the first bound is met
+            at = np.flatnonzero(free)
+            g, r = gram[np.ix_(at, at)], rhs[at] - gram[np.ix_(at, np.flatnonzero(~free))] @ w[~free]
+            try:
+                target = np.linalg.solve(g, r)
+            except np.linalg.LinAlgError:
+                target = np.linalg.lstsq(g, r, rcond=None)[0]
+            if target.min() >= 0 and target.max() <= high:
+                w[at] = target
+            else:  # stop where the first bound is met
+                step = target - w[at]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    room = np.where(step > 0, (high - w[at]) / step, np.where(step < 0, -w[at] / step, np.inf))
                 k = int(room.argmin())
-                w = w + max(0.0, room[k]) * step
-                w[k] = high if step[k] > 0 else 0.0
-                free[k] = False
+                w[at] += max(0.0, room[k]) * step
+                w[at[k]] = high if step[k] > 0 else 0.0
+                free[at[k]] = False
                 continue
-            w = target
         pull = rhs - gram @ w  # positive: wants to grow
         wrong = np.where(free, 0, np.where(w <= 0, pull, -pull))
         k = int(wrong.argmax())
-        if wrong[k] <= 1e-10 * max(1.0, np.abs(rhs).max()):
-            return np.clip(w, 0, high)
+        if wrong[k] <= least:
+            break
         free[k] = True
     return np.clip(w, 0, high)
 
@@ -137,11 +154,48 @@ class Fitter:
         self.gram, self.rhs = a.T @ a, a.T @ t
         self.tt = float(t @ t)
 
-    def __call__(self, index: list[int]) -> tuple[np.ndarray, float]:
+    def __call__(self, index: list[int], start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """Weights and distance; start: weights from which to search."""
         g, r = self.gram[np.ix_(index, index)], self.rhs[index]
-        w = bounded_ls(g + SUM_WEIGHT**2, r + SUM_WEIGHT**2, self.high) if self.weighted else np.full(len(index), 1 / len(index))
+        w = bounded_ls(g + SUM_WEIGHT**2, r + SUM_WEIGHT**2, self.high, start=start) if self.weighted else np.full(len(index), 1 / len(index))
         return w, float(np.sqrt(max(0.0, w @ g @ w - 2 * r @ w + self.tt)))
 
+    def with_each(self, rest: list[int], options: list[int]) -> np.ndarray:
+        """The distance of `rest` with each option.
+
+        All options are first solved side by side as if the weights of `rest` that lie on a bound stayed there and the others stayed off
+        it; where that holds and no bound pulls (the conditions of the minimum) it is the solution, the rest is searched one by one.
+        """
+        options, n = np.asarray(options, dtype=int), len(rest)
+        if not len(options):
+            return np.zeros(0)
+        g = self.gram[np.ix_(rest, rest)]
+        gj, gjj, rj = self.gram[np.ix_(rest, options)], self.gram[options, options], self.rhs[options]
+        if not self.weighted:
+            square = (g.sum() + 2 * gj.sum(0) + gjj) / (n + 1) ** 2 - 2 * (self.rhs[rest].sum() + rj) / (n + 1) + self.tt
+            return np.sqrt(np.maximum(0.0, square))
+        more = SUM_WEIGHT**2
+        w = self(rest)[0] if n else np.zeros(0)
+        free = (w > 0) & (w < self.high)
+        at, bound = np.flatnonzero(free), np.flatnonzero(~free)
+        shift = np.linalg.lstsq(g[np.ix_(at, at)] + more, gj[at] + more, rcond=None)[0] if len(at) else np.zeros((0, len(options)))
+        curve = gjj + more - ((gj[at] + more) * shift).sum(0)
+        pull = rj + more - w @ (gj + more) if n else rj + more
+        mine = np.where(pull > 0, pull / np.maximum(curve, 1e-300), 0.0)
+        each = np.repeat(w[:, None], len(options), axis=1)
+        each[at] -= shift * mine
+        least = 1e-10 * max(1.0, np.abs(self.rhs[rest]).max(initial=0.0) + more)
+        drawn = (self.rhs[rest] + more)[:, None] - (g + more) @ each - (gj + more) * mine if n else np.zeros((0, len(options)))
+        low, high = bound[w[bound] <= 0], bound[w[bound] >= self.high]
+        fine = (curve > 1e-9 * (gjj + more)) & (mine <= self.high) & (each[at] >= 0).all(0) & (each[at] <= self.high).all(0)
+        fine &= (drawn[low] <= least).all(0) & (drawn[high] >= -least).all(0)
+        square = (each * (g @ each)).sum(0) + 2 * mine * (each * gj).sum(0) + mine**2 * gjj - 2 * (self.rhs[rest] @ each + rj * mine) + self.tt if n else mine**2 * gjj - 2 * rj * mine + self.tt
+        out = np.sqrt(np.maximum(0.0, square))
+        start = np.append(w, 0.0)
+        for k in np.flatnonzero(~fine).tolist():
+            out[k] = self([*rest, int(options[k])], start if n else None)[1]
+        return out
+
 
 def select_weighted(blocks: Blocks, a: np.ndarray, t: np.ndarray, k: int, high: float | None = None, weighted: bool = True, refine: bool = True, screen: int = SCREEN) -> tuple[list[int], np.ndarray, float]:
     """Chosen blocks, weights that sum to one, and the distance before they were made to."""
@@ -153,14 +207,31 @@ def select_weighted(blocks: Blocks, a: np.ndarray, t: np.ndarray, k: int, high:
         order = np.argsort(-(a.T @ missing), kind="stable")
         return order[blocks.free(rest)[order]][:screen].tolist()
 
-    def cost(rest: list[int], options: list[int]) -> np.ndarray:
-        return np.array([fit([*rest, j])[1] for j in options])
-
-    chosen = forward_and_swap(k, candidates, cost, refine)
+    chosen = forward_and_swap(k, candidates, fit.with_each, refine)
     w, d = fit(chosen)
     return chosen, w / w.sum(), d
 
 
+def search_all(spark: SparkSession, made: dict[int, tuple[Blocks, np.ndarray, np.ndarray]], held: np.ndarray, jobs: list[dict]) -> DataFrame:
+    """job, distance, held_out (to another record's target), ess of independent searches, a task each.
+
+    made: design matrices by length, shared with the workers (257 numbers a block); a job: length, k, high, groups (weights), weighted.
+    """
+    ship(spark)
+    shared = spark.sparkContext.broadcast((made, held, jobs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrices, test, every = shared.value
+        for n in (int(n) for x in batches for n in x["id"]):
+            job = every[n]
+            blocks, a, t = matrices[job["length"]]
+            a, t, away = (reweighted(x, job["groups"]) for x in (a, t, test))
+            chosen, w, d = select_weighted(blocks, a, t, job["k"], job["high"], weighted=job["weighted"])
+            yield pd.DataFrame([(n, round(d, 6), round(float(np.sqrt(((a[:, chosen] @ w - away) ** 2).sum())), 6), round(float(1 / (w**2).sum()), 6))], columns=["job", "distance", "held_out", "ess"])
+
+    return spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(run, "job int, distance double, held_out double, ess double")
+
+
 def forward_and_swap(k: int, candidates: Callable, cost: Callable, refine: bool = True, chosen: list[int] | None = None) -> list[int]:
     """Adds the cheapest candidate until k are chosen, then exchanges one at a time while that lowers the cost."""
     chosen = list(chosen or [])

@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import campaign as C
 from ..operators import selection as S
 from .q_aggs import BINNED
 from .registry import query, r
@@ -126,19 +125,26 @@ def _(i):
     return i.spark.createDataFrame(rows, "seed int, distance double")
 
 
+GEOMETRIES = ((1, 40), (2, 20), (3, 14), (5, 8), (1, 60), (2, 30), (3, 20))
+REWEIGHTED = (("baseline", {}), ("dir_stab 3", {"dir_stab": 3.0}), ("dir_stab 3, dir_spd 5", {"dir_spd": 5.0, "dir_stab": 3.0}))
+SPINUPS, BUDGET, LAST_TRAINING_YEAR = (0.25, 0.5), 50.0, 1998
+#: sweep, label, days of a block, blocks, bound (over the number of blocks), weights of groups, fitted weights.
+SWEEPS = [("bound", str(b), 1, 40, b, {}, True) for b in (1.5, 3.0, 6.0, 20.0)]
+SWEEPS += [("groups", label, 1, 40, 3.0, groups, True) for label, groups in REWEIGHTED]
+SWEEPS += [("geometry", "fitted" if fitted else "equal", length, k, 3.0, {}, fitted) for length, k in GEOMETRIES for fitted in (False, True)]
+SWEEPS += [("cost", f"{spinup * 24:.0f} h", length, k, 6.0, {}, True) for spinup in SPINUPS for length in (1, 2, 3, 5) if (k := int(BUDGET // (length + spinup))) >= 4]
+
+
 @query("sel13_sweeps")
 def _(i):
-    """Distance by geometry at a fixed budget of day equivalents, and by the bound of the weights."""
-    rows = []
-    for length in (1, 2, 3, 5):
-        k = int(50 // (length + C.SPINUP_DAYS))
-        if k < 4:
-            continue
-        blocks, a, t = S.design_matrix(i.forcing_v, length)
-        for bound in (1.5, 3.0, 6.0, 20.0):
-            _, w, d = S.select_weighted(blocks, a, t, k, bound / k)
-            rows.append((length, k, bound, round(d, 6), round(float(1 / (w**2).sum()), 6)))
-    return i.spark.createDataFrame(rows, "days int, blocks int, bound double, distance double, ess double")
+    """Chosen on the earlier years: by the bound of the weights, by the weights of the groups, by geometry with equal and with fitted
+    weights, and by geometry at a fixed budget of day equivalents; each with its distance to the later years. A task a search."""
+    early, late = (i.forcing_v.where(cond) for cond in (F.year("time") <= LAST_TRAINING_YEAR, F.year("time") > LAST_TRAINING_YEAR))
+    made = {length: S.design_matrix(early, length) for length in sorted({s[2] for s in SWEEPS})}
+    jobs = [{"length": length, "k": k, "high": bound / k, "groups": groups, "weighted": fitted} for _, _, length, k, bound, groups, fitted in SWEEPS]
+    found = S.search_all(i.spark, made, S.target(late), jobs)
+    names = i.spark.createDataFrame([(n, *s[:5]) for n, s in enumerate(SWEEPS)], "job int, sweep string, label string, days int, blocks int, bound double")
+    return names.join(found, "job").drop("job")
 
 
 @query("sel15_final_selection")
