@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, pieces_of, ship
 
-RINGS, BLOCK, QUERY_BLOCK = 16, 2048, 256
+RINGS, BLOCK, QUERY_BLOCK = 8, 2048, 256
 #: Blocks of an annulus that meet their queries in one task.
 TASK_BLOCKS = 8
 
@@ -57,6 +57,21 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int, least: float) -> np.ndarra
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of best() of every row, for thresholds of its own."""
+    n = scores.shape[1]
+    if n > k and not np.isfinite(least).all():
+        least = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+    row, at = np.nonzero(scores >= np.maximum(least, -1e300)[:, None])
+    many = np.bincount(row, minlength=len(scores)) > k
+    if many.any():  # ties at the threshold, or a block of many good ones
+        few = ~many[row]
+        found = [(i, best(scores[i], ids, k, least[i])) for i in np.flatnonzero(many).tolist()]
+        row = np.concatenate([row[few], *[np.full(len(a), i) for i, a in found]])
+        at = np.concatenate([at[few], *[a for _, a in found]])
+    return row, at
+
+
 def finite(vector_col: str) -> Column:
     """Whether a vector is there and holds neither nulls nor NaN nor infinities."""
     return F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -166,9 +181,7 @@ class Index:
                     ids, qids, leasts = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8"), np.frombuffer(leasts, "<f8")
                     s = np.frombuffer(qs, "<f8").reshape(-1, dim) @ np.frombuffer(vs, "<f8").reshape(-1, dim).T
                     s[qids[:, None] == ids[None, :]] = -np.inf
-                    out = [(i, best(row, ids, k, max(least, -1e300))) for i, (row, least) in enumerate(zip(s, leasts, strict=True))]
-                    q = np.repeat([i for i, _ in out], [len(at) for _, at in out]).astype(int)
-                    at = np.concatenate([at for _, at in out]).astype(int)
+                    q, at = best_of_rows(s, ids, k, leasts)
                     yield pd.DataFrame({"query_id": qids[q], "vec_id": ids[at], "score": s[q, at]})
 
         return opened.select("ids", "vs", "qids", "qs", "leasts").mapInPandas(score, "query_id long, vec_id long, score double")
