@@ -8,8 +8,12 @@ pairs; entries whose pair has changed are stale and skipped. The cost is
 n log n for a pre-token of n bytes, so very long ones are safe.
 
 Distinct pre-tokens are encoded once per worker, in a cache of a fixed size.
-Nulls: a null text is an empty one, with no tokens. Rows keep their other
-columns out of the way: only the id and text columns are read.
+Ranks may be of any size: the bitmap's upper level grows as far as they do.
+
+Nulls: a null text is an empty one, with no tokens; a null doc_id is returned as it
+is. Repeated rows are encoded once each. Ties: of equal ranks the leftmost pair
+goes first. Texts of any length are encoded whole, each in one task. Only the columns
+doc_id and text are read, so others can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +30,6 @@ from .common import ship
 
 #: Ranks of a bitmap's word: 256.
 WORD_SHIFT, WORD_MASK = 8, 255
-#: Ranks lie below this.
-MAX_RANK = 1 << 16
 BIT = [1 << k for k in range(1 << WORD_SHIFT)]
 #: Distinct pre-tokens that a worker remembers, of at most 64 characters each.
 CACHE = 1_500_000
@@ -54,7 +56,8 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     pair = [get(piece[i : i + 2]) for i in range(n)]  # the rank of the pair that starts here, None for none
     pair[-1] = None
     buckets: dict[int, int | list[int]] = {}
-    words, top = [0] * (MAX_RANK >> WORD_SHIFT), 0
+    words: dict[int, int] = {}
+    top = 0
     new = list(zip(pair, range(n), strict=True))
     while True:
         for rank, i in new:
@@ -69,8 +72,8 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             else:
                 buckets[rank] = i
                 word = rank >> WORD_SHIFT
-                words[word] |= bit[rank & WORD_MASK]
-                top |= bit[word]
+                words[word] = words.get(word, 0) | bit[rank & WORD_MASK]
+                top |= 1 << word
         if not top:
             break
         word = (top & -top).bit_length() - 1  # find-first-set, on both levels

@@ -10,8 +10,11 @@ after its first character; reading takes one away, so both ways are exact.
 
 Nulls: a null text or role is an empty one; a null turn sorts first. Rows of one
 conversation are ordered by turn, role, text; repeated rows are turns of their
-own. A conversation is one output row and so is gathered, whatever its length.
-Other columns are ignored.
+own. Ties: turns that are equal in all three are alike. Empty texts are turns without
+text; very long ones are formatted whole. A conversation is one output row and so is
+gathered, whatever its length; rows without a conv_id are one conversation. Only
+conv_id, turn, role and text are read, so other columns can't clash. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
