@@ -17,7 +17,7 @@ from windgrid import scratch
 from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, quantiles, selection, spectra, timeline, weibull
 from windgrid.plans import q_select
 from windgrid.plans.catalogue import QUERIES
-from windgrid.sources import config, files, modellog, netcdf, wps, wrg
+from windgrid.sources import config, files, modellog, netcdf, tiles, wps, wrg
 from windgrid.streaming import windows
 
 
@@ -131,6 +131,20 @@ def test_netcdf_records():
     assert h.values("a").tolist() == [[1, 2, 3], [4, 5, 6]] and h.values("b").tolist() == [[10, 20, 30], [40, 50, 60]]
 
 
+def test_terrain_tiles(spark, tmp_path):
+    rows = [(i, j, v) for i in range(7) for j in range(5) for v in [(None if (i, j) == (1, 1) else float("nan") if (i, j) == (2, 2) else 1e6 if i == 6 else 2.5 + i)]]
+    made = tiles.contents(spark.createDataFrame(rows, "i int, j int, v double"), "v", 4, 1)
+    assert {r["path"]: len(r["content"]) for r in made.collect()} == {tiles.name(a, b, 4): 72 for a in (0, 1) for b in (0, 1)}
+    tiles.write(made, f"{tmp_path}/piece")
+    back = spark.read.format("binaryFile").load(f"{tmp_path}/piece")
+    cells = {(r["path"].rsplit("/", 1)[1], r["i"], r["j"]): r["value"] for r in tiles.parse(back, 4, 1).collect()}
+    first = tiles.name(0, 0, 4)
+    assert cells[first, 0, 0] == 2 and cells[first, 1, 0] == 4 and cells[first, 4, 4] == 6 and cells[first, 1, 1] is None and cells[first, 2, 2] is None and cells[first, -1, 0] is None
+    assert cells[tiles.name(1, 1, 4), 6, 4] == 32767 and cells[tiles.name(1, 1, 4), 7, 4] is None
+    text = tiles.index_text(0.1, 0.1, 30.0, -110.0, "piece 0001")
+    assert "known_lat = 30.050000000000\n" in text and "tile_bdr = 3\n" in text and text.endswith('description = "piece 0001"\n')
+
+
 def test_cube_scans_one_lane(spark, tmp_path):
     rows = [(dt.datetime(2001, 1, 1, h), p, z, float(p + h)) for h in range(3) for p in range(60) for z in (80, 100)]
     df = spark.createDataFrame(rows, "time timestamp_ntz, pixel int, height int, ws double")

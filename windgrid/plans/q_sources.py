@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import campaign as OC
-from ..sources import config, files, modellog, namelist, netcdf, wps, wrg
+from ..sources import config, files, modellog, namelist, netcdf, tiles, wps, wrg
 from ..streaming import windows as SW
 from .q_aggs import LOG
 from .registry import count, query, r
@@ -164,6 +164,20 @@ def _(i):
     return modellog.parse(i.modellog_v)
 
 
+TILES = """WITH v AS (SELECT i, j, hgt FROM raster_v WHERE (i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10)),
+    t AS (SELECT DISTINCT i // 10 AS tx, j // 10 AS ty FROM v),
+    c AS (SELECT tx, ty, tx * 10 + a AS i, ty * 10 + b AS j FROM t, (SELECT unnest(range(-2, 12)) AS a), (SELECT unnest(range(-2, 12)) AS b))
+    SELECT format('{:05d}-{:05d}.{:05d}-{:05d}', tx * 10 + 1, tx * 10 + 10, ty * 10 + 1, ty * 10 + 10) AS path, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round_even(hgt, 0) + 0.0 AS value FROM c LEFT JOIN v USING (i, j)"""
+
+
+@query("src17_terrain_tiles", TILES)
+def _(i):
+    """Tiles of ten by ten cells with a border of two, as bytes and read back; one tile holds nothing and isn't made."""
+    known = i.raster_v.where("(i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10)")
+    made = tiles.contents(known, "hgt", 10, 2)
+    return tiles.parse(made, 10, 2)
+
+
 @query("src18_tile_names", "SELECT CAST(s_suppkey % 60 - 30 AS INT) AS lat, CAST(-(s_suppkey * 7 % 180) AS INT) AS lon, s_suppkey AS id FROM supplier")
 def _(i):
     lat, lon = c("s_suppkey") % 60 - 30, c("s_suppkey") * 7 % 180
