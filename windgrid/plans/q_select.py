@@ -43,6 +43,23 @@ def _(i):
     return _table(i, blocks, zip(index, w, strict=True))
 
 
+EVEN = f"""WITH d AS (SELECT CAST(time AS DATE) AS start FROM forcing_v GROUP BY 1 HAVING count(*) >= 6), n AS (SELECT start, row_number() OVER (ORDER BY start) - 1 AS k, count(*) OVER () AS all_ FROM d)
+    SELECT start, true AS bounded, true AS least FROM n WHERE k % greatest(1, all_ // 40) = 0 AND k // greatest(1, all_ // 40) < 40"""
+
+
+@query("sel2_conditions", EVEN)
+def _(i):
+    """Whether each weight of sel2 lies within its bounds and meets its condition of the minimum: no pull inside, none outward at a bound."""
+    blocks, a, t = S.design_matrix(i.forcing_v, 1)
+    index = list(range(0, len(blocks.start), max(1, len(blocks.start) // 40)))[:40]
+    high = 6 / len(index)
+    w, _ = S.Fitter(a, t, high)(index)
+    pull = a[:, index].T @ (t - a[:, index] @ w) + S.SUM_WEIGHT**2 * (1 - w.sum())
+    least = [(x <= 0 and p <= 1e-6) or (x >= high and p >= -1e-6) or abs(p) <= 1e-6 for x, p in zip(w, pull, strict=True)]
+    rows = [(dt.date.fromordinal(int(blocks.start[j])), bool(0 <= x <= high), bool(ok)) for j, x, ok in zip(index, w, least, strict=True)]
+    return i.spark.createDataFrame(rows, "start date, bounded boolean, least boolean")
+
+
 @query("sel3_greedy_swap")
 def _(i):
     blocks, a, t = S.design_matrix(i.forcing_v, 2)
@@ -66,7 +83,24 @@ def _(i):
     return _table(i, blocks, zip(best, w / w.sum(), strict=True)).withColumn("distance", F.lit(round(d, 6)))
 
 
-@query("sel6_greedy_v1")
+def _greedy_sql(steps: int) -> str:
+    """The greedy choice by the four-histogram distance, a step at a time."""
+    text = f"""WITH {BINNED}, day_n AS MATERIALIZED (SELECT CAST(time AS DATE) AS day, count(*) AS n FROM binned GROUP BY 1),
+        valid AS MATERIALIZED (SELECT a.day AS start FROM day_n a JOIN day_n b ON b.day = a.day + 1 WHERE a.n + b.n >= 40),
+        ls AS MATERIALIZED (SELECT CAST(time AS DATE) AS day, unnest([{{'g': 'freq', 'b': sect * 6 + spd, 'v': 1.0::DOUBLE}}, {{'g': 'energy', 'b': sect * 6 + spd, 'v': ws3}}, {{'g': 'month', 'b': month0, 'v': 1.0}}, {{'g': 'hour', 'b': CAST(hour(time) // 6 AS INT), 'v': 1.0}}], recursive := true) FROM binned),
+        s AS MATERIALIZED (SELECT start, g, b, sum(v) AS v FROM valid JOIN ls ON ls.day = start OR ls.day = start + 1 GROUP BY ALL), sn AS MATERIALIZED (SELECT start, g, sum(v) AS n FROM s GROUP BY ALL),
+        t AS MATERIALIZED (SELECT g, b, v / sum(v) OVER (PARTITION BY g) AS share FROM (SELECT g, b, sum(v) AS v FROM ls GROUP BY 1, 2)),
+        w AS (SELECT * FROM (VALUES ('freq', 1.0::DOUBLE), ('energy', 1.0), ('month', 0.3), ('hour', 0.3)) w(g, w)), p0 AS MATERIALIZED (SELECT start FROM valid WHERE false)"""
+    for k in range(1, steps + 1):
+        text += f""", b{k} AS MATERIALIZED (SELECT t.g, t.b, t.share, coalesce(sum(x.v), 0) AS v FROM t LEFT JOIN (SELECT g, b, v FROM s SEMI JOIN p{k - 1} USING (start)) x ON x.g = t.g AND x.b = t.b GROUP BY ALL),
+        n{k} AS MATERIALIZED (SELECT g, sum(v) AS n FROM b{k} GROUP BY 1), c{k} AS MATERIALIZED (SELECT start FROM valid WHERE NOT EXISTS (SELECT 1 FROM p{k - 1} p WHERE abs(valid.start - p.start) < 2)),
+        d{k} AS MATERIALIZED (SELECT sn.start, sum(w.w * abs((b.v + coalesce(s.v, 0)) / (n.n + sn.n) - b.share)) AS d FROM c{k} SEMI JOIN valid USING (start) JOIN sn USING (start) JOIN b{k} b ON b.g = sn.g JOIN n{k} n ON n.g = sn.g JOIN w ON w.g = sn.g
+            LEFT JOIN s ON s.start = sn.start AND s.g = b.g AND s.b = b.b GROUP BY 1),
+        p{k} AS MATERIALIZED (SELECT start FROM p{k - 1} UNION ALL (SELECT start FROM d{k} ORDER BY round(d, 12), start LIMIT 1))"""
+    return f"{text} SELECT start, CAST(2 AS INT) AS days, round(1 / {steps}::DOUBLE, 5) AS weight FROM p{steps}"
+
+
+@query("sel6_greedy_v1", _greedy_sql(7))
 def _(i):
     blocks, target = S.additive_statistics(i.forcing_v, 2, 20)
     target = {g: target[g] for g in ("freq", "energy", "month", "hour")}
