@@ -380,6 +380,7 @@ def _deal(buckets: int, splits: int, size: int):
             pages = chunk.save()
             yield pa.RecordBatch.from_pylist([{"kind": PAGES, "bucket": k, "chunk": number, "keys": p} for k, p in enumerate(pages)], schema=PARTS)
             del pages
+            release()
             for kind in (GRAMS, WORDS):
                 keys, at, doc = chunk.of(kind)
                 counts = np.add.reduceat(~chunk.held[doc], at, dtype=np.uint32) if len(at) else np.zeros(0, np.uint32)
@@ -394,7 +395,7 @@ def _deal(buckets: int, splits: int, size: int):
                     rows.append({"kind": kind, "bucket": int(to[a]), "chunk": number, "keys": _pack_keys(keys[own]), "counts": _pack(counts[own]), "n": b - a})
                 yield pa.RecordBatch.from_pylist(rows, schema=PARTS)
                 del keys, counts, to, order, rows
-            release()
+                release()
 
     return run
 
@@ -521,6 +522,8 @@ def _finish(buckets: int, splits: int, n: int, v: int):
                 got["base_score"] = np.bincount(doc, weights=np.log10((values + 1) / (n + v + 1)), minlength=docs)
                 got["n_tokens"] = np.bincount(doc, minlength=docs)
                 got["n_known"] = np.bincount(doc, weights=values > 0, minlength=docs).astype(np.int64)
+            del values, doc, at
+            release()
         ids = pd.array(chunk.ids, dtype="Int64")
         ids[chunk.nulls] = pd.NA
         out = pd.DataFrame({"row": chunk.row, "doc_id": ids, "held_out": chunk.held, "n_bytes": np.diff(chunk.offsets), "train_tokens": n, **got})
