@@ -55,6 +55,15 @@ def test_projections(spark):
     assert x == pytest.approx(0, abs=1e-6) and y == pytest.approx(0, abs=1e-6)
 
 
+def test_projections_at_published_coordinates(spark):
+    """The CN Tower's UTM coordinates (17T 630084 4833438), and Snyder's worked example of the spherical Lambert conformal conic."""
+    row = spark.createDataFrame([(43.642567, -79.387139, 35.0, -75.0)], "la double, lo double, sla double, slo double")
+    e, n = row.select(*S.utm_forward(F.col("la"), F.col("lo"), 17)).first()
+    assert abs(e - 630_084) < 1 and abs(n - 4_833_438) < 1
+    x, y = row.select(*S.lcc_forward(F.col("sla"), F.col("slo"), 23.0, -96.0, 33.0, 45.0, 1.0)).first()
+    assert x == pytest.approx(0.2966785, abs=1e-6) and y == pytest.approx(0.2462112, abs=1e-6)
+
+
 def test_block_window_at_the_end_of_a_month(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2001-01-31 00:00:00' AS t, 1 AS d")
     begin, end, last = df.select(*C.block_window(F.col("t"), F.col("d"))).first()

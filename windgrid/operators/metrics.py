@@ -83,18 +83,34 @@ def field_difference(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def wasserstein(sub: DataFrame, whole: DataFrame, keys: list[str], of: str, value: str) -> DataFrame:
     """keys, of, distance: first Wasserstein distance between each group's sub-sample (keys, of) and its whole (keys).
 
-    The integral of the distance of the two distribution functions, over the whole's distinct values
-    (a sub-sample holds no other ones). Values are counted first, so a window holds distinct values.
+    The integral of the distance of the two quantile functions. A sub-sample's is constant on each of its steps, where the
+    whole's lies below it up to the value's own rank and above it from there on; so a step needs the integral of the whole's
+    quantile function up to three ranks. That of the value's rank comes by a join on the value (a sub-sample holds no other
+    ones than the whole), those of the step's ends by one pass over the whole's steps and all sub-samples' together. Values
+    are counted first, so what is ordered are distinct values, once each and not once a sub-sample.
     """
-    n = whole.groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    m = sub.groupBy(*keys, of, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_m"))
-    ids = m.select(*keys, of).distinct()
-    every = ids.join(n, keys).join(m, [*keys, of, "_x"], "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    x = F.col(value).cast("double")
+    n = whole.groupBy(*keys, x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    all_ = Window.partitionBy(*keys)
+    upto = all_.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    # _r, _s: the share of rows and the integral up to and with this value
+    n = n.withColumns({"_t": F.sum("_n").over(all_), "_r": F.sum("_n").over(upto), "_s": F.sum(F.col("_x") * F.col("_n")).over(upto)})
+    steps = n.select(*keys, "_x", (F.col("_r") / F.col("_t")).alias("_r"), (F.col("_s") / F.col("_t")).alias("_s"), (F.col("_n") / F.col("_t")).alias("_w"))
+    m = sub.groupBy(*keys, of, x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_m"))
     own = Window.partitionBy(*keys, of)
-    run = own.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("_n").over(run) / F.sum("_n").over(own) - F.sum("_m").over(run) / F.sum("_m").over(own))
-    steps = every.withColumn("_d", gap * (F.lead("_x").over(own.orderBy("_x")) - F.col("_x")))
-    return steps.groupBy(*keys, of).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("distance"))
+    m = m.select(*keys, of, "_x", (F.sum("_m").over(own.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_m").over(own)).alias("_u"))
+    begins = steps.select(*keys, F.lit(None).cast(dict(m.dtypes)[of]).alias(of), F.lit(None).cast("double").alias("_v"), (F.col("_r") - F.col("_w")).alias("_u"), F.struct((F.col("_r") - F.col("_w")).alias("r"), (F.col("_s") - F.col("_w") * F.col("_x")).alias("s"), F.col("_x").alias("x")).alias("_b"))
+    ends = m.select(*keys, of, F.col("_x").alias("_v"), "_u", F.lit(None).cast(dict(begins.dtypes)["_b"]).alias("_b"))
+    along = all_.orderBy("_u", F.col("_b").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = begins.unionByName(ends).withColumn("_b", F.last("_b", True).over(along)).where("_v IS NOT NULL")
+    ends = ends.select(*keys, of, F.col("_v").alias("_x"), "_u", (F.col("_b.s") + F.col("_b.x") * (F.col("_u") - F.col("_b.r"))).alias("_p"))
+    both = ends.join(steps.drop("_w"), [*keys, "_x"])
+    before = lambda c: F.coalesce(F.lag(c).over(own.orderBy("_x")), F.lit(0.0))
+    both = both.withColumns({"_u0": before("_u"), "_p0": before("_p")})
+    at = F.least(F.greatest("_r", "_u0"), F.col("_u"))
+    whole_at = F.when(F.col("_r") <= F.col("_u0"), F.col("_p0")).when(F.col("_r") >= F.col("_u"), F.col("_p")).otherwise(F.col("_s"))
+    step = F.col("_x") * (2 * at - F.col("_u0") - F.col("_u")) + F.col("_p0") + F.col("_p") - 2 * whole_at
+    return both.groupBy(*keys, of).agg(F.sum(step).alias("distance"))
 
 
 def random_draws(rows: DataFrame, length: int, blocks: int, draws: int = 40) -> DataFrame:
