@@ -267,6 +267,19 @@ def test_weights_by_day(spark):
     assert joins.unmatched_steps(steps, runs.where("run = 'b001'")).count() == 24
 
 
+def test_nearest_node_of_far_points_equals_brute_force(spark):
+    """Points among the nodes, in a hole, and far out on all sides; nodes in two clusters, some at equal distances."""
+    rng = random.Random(14)
+    nodes = [(k, 10 * (k % 2) + rng.uniform(0, 2), -7 + rng.uniform(0, 2)) for k in range(300)] + [(300, 5.0, 5.0), (301, -5.0, 5.0), (302, 5.0, 5.0)]
+    points = [(k, rng.uniform(-3, 14), rng.uniform(-9, 8)) for k in range(60)] + [(100, 0.0, 5.0), (101, 500.0, 0.0), (102, -900.0, 731.5), (103, 0.0, -77.0), (104, 6.0, 1000.0)]
+    out = joins.nearest_node(spark.createDataFrame(points, "p int, x double, y double"), spark.createDataFrame(nodes, "id int, x double, y double"), "p", ["id"], 0.5).collect()
+    want = {p: min(((a - x) ** 2 + (b - y) ** 2, k) for k, x, y in nodes) for p, a, b in points}
+    assert {r["p"]: r["id"] for r in out} == {p: k for p, (_, k) in want.items()}
+    assert all(r["dist"] == pytest.approx(math.sqrt(want[r["p"]][0])) for r in out)
+    empty = spark.createDataFrame([], "id int, x double, y double")
+    assert joins.nearest_node(spark.createDataFrame(points, "p int, x double, y double"), empty, "p", ["id"], 0.5).count() == 0
+
+
 def test_nearest_node_distance_limit(spark):
     points = spark.createDataFrame([(1, 501.0, 0.0)], "p int, x double, y double")
     nodes = spark.createDataFrame([(7, 0.0, 0.0)], "id int, x double, y double")

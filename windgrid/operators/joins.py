@@ -36,37 +36,59 @@ def files_per_run(manifest: DataFrame, steps: DataFrame, expected: int) -> DataF
     return both.select("run", n.alias("files"), (n == expected).alias("complete"))
 
 
+def _within(todo: DataFrame, sites: DataFrame, point_id: str, node_key: list[str]) -> DataFrame:
+    """point_id, b (d2, node_key): the nearest of the sites that share a cell with a point's probes. Both: _cx, _cy."""
+    d2 = (F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2
+    return todo.join(sites, ["_cx", "_cy"]).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), *node_key)).alias("b"))
+
+
+def _cell(v: str, width: float) -> Column:
+    return F.floor(F.col(v) / F.lit(width)).cast("long")
+
+
+def _descend(todo: DataFrame, nodes: DataFrame, point_id: str, node_key: list[str], cell: float, width: float) -> DataFrame:
+    """_within() for points far from all nodes: from the cells of the widest level down, a point keeps those cells that may hold its
+    nearest node, as their nearest corner is no further than the furthest corner of some other one. A level's cells are half as wide."""
+    cells = nodes.select(_cell("x", width).alias("_cx"), _cell("y", width).alias("_cy")).distinct()
+    kept = todo.select(point_id, "x", "y").crossJoin(F.broadcast(cells))  # width exceeds all distances: at most 2 by 2 cells
+    while True:
+        edge = lambda v, c: (F.col(c) * F.lit(width) - F.col(v), F.col(v) - (F.col(c) + 1) * F.lit(width))  # noqa: E731, B023
+        near = sum(F.pow(F.greatest(F.lit(0.0), *edge(v, c)), F.lit(2.0)) for v, c in (("x", "_cx"), ("y", "_cy")))
+        far = sum(F.pow(F.greatest(*[F.abs(e) for e in edge(v, c)]), F.lit(2.0)) for v, c in (("x", "_cx"), ("y", "_cy")))
+        kept = kept.withColumns({"_near": near, "_far": far})
+        most = kept.groupBy(point_id).agg((F.min("_far") * (1 + 1e-9)).alias("_most"))
+        kept = durable(kept.join(most, point_id).where(F.col("_near") <= F.col("_most")).select(point_id, "x", "y", "_cx", "_cy"))
+        if width <= cell:
+            sites = nodes.select(*node_key, F.col("x").alias("_x"), F.col("y").alias("_y"), _cell("x", width).alias("_cx"), _cell("y", width).alias("_cy"))
+            return _within(kept, sites, point_id, node_key)
+        width /= 2
+        four = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+        kept = kept.select(point_id, "x", "y", "_cx", "_cy", F.inline(four)).select(point_id, "x", "y", (F.col("_cx") * 2 + F.col("i")).alias("_cx"), (F.col("_cy") * 2 + F.col("j")).alias("_cy"))
+        held = nodes.select(_cell("x", width).alias("_cx"), _cell("y", width).alias("_cy")).distinct()
+        kept = kept.join(held, ["_cx", "_cy"], "left_semi").select(point_id, "x", "y", "_cx", "_cy")
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, point_id: str, node_key: list[str], cell: float, max_dist: float | None = None) -> DataFrame:
     """point_id, node_key, dist: the nearest node (x, y) of each point (x, y), ties to the smaller key.
 
-    Nodes are looked up in square cells around the point, 3 by 3 first; points that find none
-    within a cell's width look in cells four times as wide, and so on. With max_dist, a point whose nearest
-    node lies further away fails the query.
+    Nodes are looked up in square cells around the point, 3 by 3; points that find none within a cell's width descend
+    from wide cells to narrow ones. With max_dist, a point whose nearest node lies further away fails the query.
     """
-    todo, found, width = points.select(point_id, "x", "y"), None, cell
-    box = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    out_x, out_y = (F.greatest(F.abs(F.col(v) - F.col(f"{v}0")), F.abs(F.col(v) - F.col(f"{v}1"))) for v in ("x", "y"))
-    far = points.crossJoin(box).agg(F.max(out_x + out_y)).first()[0] or 0.0  # no node is further from any point
-    at = lambda v, w: F.floor(F.col(v) / F.lit(w)).cast("long")
+    todo = points.select(point_id, "x", "y")
     around = F.array(*map(F.lit, (-1, 0, 1)))
-    while True:
-        sites = nodes.select(*node_key, F.col("x").alias("_x"), F.col("y").alias("_y"), at("x", width).alias("_cx"), at("y", width).alias("_cy"))
-        probes = todo.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        probes = probes.withColumn("_cx", at("x", width) + F.col("_dx")).withColumn("_cy", at("y", width) + F.col("_dy"))
-        d2 = (F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2
-        best = probes.join(sites, ["_cx", "_cy"]).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), *node_key)).alias("b"))
-        last = width > far
-        sure = best if last else best.where(F.col("b.d2") <= width * width)
-        part = sure.select(point_id, *[F.col(f"b.{k}").alias(k) for k in node_key], F.sqrt("b.d2").alias("dist"))
-        if not last:
-            part = durable(part)  # read by the result and by what is left to do
-        found = part if found is None else found.unionByName(part)
-        if last:
-            break
-        todo = durable(todo.join(part, point_id, "left_anti"))
-        if todo.isEmpty():
-            break
-        width *= 4
+    sites = nodes.select(*node_key, F.col("x").alias("_x"), F.col("y").alias("_y"), _cell("x", cell).alias("_cx"), _cell("y", cell).alias("_cy"))
+    probes = todo.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+    probes = probes.withColumns({"_cx": _cell("x", cell) + F.col("_dx"), "_cy": _cell("y", cell) + F.col("_dy")})
+    taken = lambda best: best.select(point_id, *[F.col(f"b.{k}").alias(k) for k in node_key], F.sqrt("b.d2").alias("dist"))
+    found = durable(taken(_within(probes, sites, point_id, node_key).where(F.col("b.d2") <= cell * cell)))
+    left = durable(todo.join(found, point_id, "left_anti"))
+    if not left.isEmpty():
+        box = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if box[0] is not None:
+            width = cell
+            while width < max(*map(abs, box), cell):  # then all nodes lie in the 2 by 2 cells around the origin
+                width *= 2
+            found = found.unionByName(taken(_descend(left, nodes, point_id, node_key, cell, width)))
     if max_dist is not None:
         ok = F.assert_true(F.col("dist") <= max_dist, F.concat(F.lit("nearest node too far from point "), F.col(point_id).cast("string")))
         found = found.where(ok.isNull())
