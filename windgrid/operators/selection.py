@@ -349,7 +349,9 @@ def supervised_cost(sample: dict, target: dict, direction: float = 0.0) -> np.nd
 
 
 def select_additive(blocks: Blocks, target: dict, k: int, cost: Callable, refine: bool = True, restarts: int = 1, seed: int = 0) -> tuple[list[int], float]:
-    """Chosen blocks and their cost, the best of several starts; the first start is empty, later ones hold a random block."""
+    """Chosen blocks and their cost, the best of several starts; the first start is empty, later ones hold a random block. Without blocks: none, at an infinite cost."""
+    if not len(blocks.start):
+        return [], float("inf")
     stats = {g: blocks.stats[g] for g in target}
     rng = np.random.default_rng(seed)
 
