@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, ctw, neardup, packing, quality, sharding, topk, toxicity, winnow
+from . import bpe, chat, ctw, mixing, neardup, packing, quality, sharding, topk, toxicity, whitening, winnow
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_winnow": winnow.query,
         "op9_bpe": bpe.query,
         "op10_topk": topk.query,
+        "op11_whitening": whitening.query,
+        "op12_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_neardup": neardup.SQL, "op6_chat": chat.SQL, "op10_topk": topk.SQL}
+    return {"op4_neardup": neardup.SQL, "op6_chat": chat.SQL, "op10_topk": topk.SQL, "op12_mixing": mixing.SQL}
