@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from windgrid.llm import bpe, chat, ctw, graph, neardup, packing, quality, sharding, topk, toxicity, winnow
+from windgrid.llm import bpe, chat, ctw, graph, mixing, neardup, packing, quality, sharding, topk, toxicity, whitening, winnow
 from windgrid.llm.words import shingle_sets, word_hashes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -840,3 +840,187 @@ def test_queries_equal_sql(spark, name):
     place = {d[0]: k for k, d in enumerate(cursor.description)}
     want = sorted(tuple(r[place[n]] for n in names) for r in cursor.fetchall())
     assert sorted(tuple(r[n] for n in names) for r in registry.queries()[name](spark, str(sf)).collect()) == want
+
+
+# ids beside a null
+
+
+BIG = [(1 << 60) + 1, None, (1 << 60) + 3]
+
+
+def test_ids_stay_exact_beside_null(spark):
+    docs = spark.createDataFrame([(i, f"text number {k}") for k, i in enumerate(BIG)], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    for out in (
+        bpe.digest_documents(docs, path, public_tokenizers.PATTERN),
+        bpe.encode_documents(docs, path, public_tokenizers.PATTERN),
+        packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")),
+        packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True),
+    ):
+        assert {r["doc_id"] for r in out.collect()} == set(BIG)
+
+
+def test_pack_keeps_other_columns(spark):
+    rows = [(i, 700, None if k % 2 else i, [i], "s") for k, i in enumerate(range((1 << 60) + 1, (1 << 60) + 40))]
+    items = spark.createDataFrame(rows, "a long, length long, b long, c array<long>, offset string").coalesce(1)
+    out = packing.pack(items, local_items=10, group_bins=10)
+    assert sorted(map(tuple, out.select("a", "length", "b", "c").collect()), key=str) == sorted((r[:4] for r in rows), key=str)
+    full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r["n"] == r["end"] <= 2048 for r in full) and len(full) <= 21
+
+
+def test_emptiest_of_equal_fills(spark):
+    bins = spark.createDataFrame([(k, 1500 if k < 3000 else 1100) for k in range(4000)], "sequence_id long, _p_fill long")
+    for n in (0, 500, 1000, 1001, 2000, 4000, 9000):
+        got = packing._emptiest(bins, n).collect()
+        assert abs(len(got) - min(n, 4000)) < 200
+        assert n < 1000 or sum(r["_p_fill"] == 1100 for r in got) == 1000
+
+
+# whitening
+
+
+def brute_whitening(vectors: list, dim: int, k: int = 8):
+    kept = [v for v in vectors if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    x = np.array([[int(np.floor(1024 * float(c))) + 100_000 for c in [*v, *[0.0] * (dim - len(v))]] for v in kept], dtype=object)
+    n, total = len(x), x.sum(0)
+    centred = np.array((n * x - total).tolist(), dtype=np.float64) / n
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    return n, ((n * x - total) ** 2).sum(1).tolist(), centred @ axes[:, :k] / np.sqrt(values[:k]), values
+
+
+def test_jacobi_small_eigenvalues():
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    values = np.array([10.0**-k for k in range(12)])
+    got, found = whitening.jacobi(axes @ np.diag(values) @ axes.T)
+    assert np.allclose(got[:8], values[:8], rtol=1e-6) and np.allclose(found.T @ found, np.eye(12), atol=1e-13)
+    scaled = np.diag(10.0 ** np.arange(0, -12, -2)) @ (np.eye(6) + 0.1) @ np.diag(10.0 ** np.arange(0, -12, -2))
+    got, found = whitening.jacobi(scaled)  # graded: small ones keep their relative accuracy
+    assert np.abs(scaled @ found - found * got).max() < 1e-15 and got[-1] > 0
+    assert np.isclose(np.prod(got), np.linalg.det(np.eye(6) + 0.1) * 10.0 ** (-4 * 15), rtol=1e-9)
+    for trivial in (np.zeros((3, 3)), np.eye(2), np.ones((4, 4))):
+        got, found = whitening.jacobi(trivial)
+        assert np.allclose(found * got @ found.T, trivial)
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(9)
+    mixing_matrix = rng.normal(size=(10, 10)) * 10.0 ** -np.arange(10)[:, None].clip(0, 2)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(300, 10)) @ mixing_matrix + 40)]
+    rows += [((1 << 60) + 1, rows[0][1]), (None, rows[1][1]), (5, rows[5][1]), (5, rows[5][1])]
+    return rows + [(900, None), (901, [1.0, None] + [0.0] * 8), (902, [float("nan")] * 10), (903, [1.0] * 9 + [float("inf")]), (904, [1e300] * 10), (905, rows[2][1][:7]), (906, [])]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_whitening_is_brute_force(spark, vectors, parts):
+    schema = "vec_id long, embedding array<double>, n int, component string, deviation int"
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in vectors], schema).repartition(parts)
+    out = whitening.whiten(df, "vec_id", "embedding")
+    assert out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    got = out.collect()
+    kept = [(i, v) for i, v in vectors if i not in (900, 901, 902, 903, 904)]
+    n, deviations, white, values = brute_whitening([v for _, v in kept], 10)
+    assert len(got) == 8 * n and {r["n"] for r in got} == {n} and len({r["identity_error"] for r in got}) == 1
+    assert got[0]["identity_error"] < 1e-9
+    rows = {c: sorted(((str(r["vec_id"]), r["deviation"], r["whitened"], r["explained"]) for r in got if r["component"] == c)) for c in range(1, 9)}
+    for c in range(1, 9):
+        want = sorted((str(i), d, w) for (i, _), d, w in zip(kept, deviations, white[:, c - 1], strict=True))
+        assert [r[:2] for r in rows[c]] == [w[:2] for w in want]
+        a, b = (np.array([r[2] for r in x]) for x in (rows[c], want))
+        assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-6
+        assert np.isclose(rows[c][0][3], values[c - 1] / values.sum(), rtol=1e-9)
+
+
+def test_whitening_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>"
+    for rows in ([], [(1, None)], [(1, [])]):
+        assert whitening.whiten(spark.createDataFrame(rows, schema), "vec_id", "embedding").collect() == []
+    one = whitening.whiten(spark.createDataFrame([(1, [0.5, 2.0])], schema), "vec_id", "embedding").collect()
+    assert [(r["component"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in one] == [(1, 0, None, None, 0.0), (2, 0, None, None, 0.0)]
+    flat = whitening.whiten(spark.createDataFrame([(k, [float(k), 3.0]) for k in range(20)], schema), "vec_id", "embedding").collect()
+    assert all((r["whitened"] is None) == (r["component"] == 2) for r in flat) and flat[0]["identity_error"] < 1e-12
+
+
+def test_exact_deviations_beyond_a_double():
+    near = np.array([[3_000_000_001, -1], [5, 7]], dtype=np.int64)
+    for n, rest in ((1, [0, 0]), (2, [1, 1]), (10**6, [3, 4])):
+        want = [sum((n * v - r) ** 2 for v, r in zip(row, rest, strict=True)) for row in near.tolist()]
+        assert whitening.exact_deviations(near, n, rest).to_pylist() == [w if w < 2**63 else None for w in want]
+
+
+# mixing
+
+
+def brute_mix(rows: list[tuple], share: float = 1.5, most: int = 2) -> list[tuple]:
+    """(doc_id, text, source) rows: sorted (doc_id, size, source_size, target, taken)."""
+    by: dict = {}
+    for doc, text, source in rows:
+        digest = hashlib.md5(f"{'' if doc is None else doc}|{text or ''}".encode()).hexdigest()
+        by.setdefault(source, []).append((digest, doc, len(WORD.findall(text or ""))))
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(x[2] for x in by[s]) for s in names}
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    target = dict.fromkeys(names, 0.0)
+    while True:
+        free = [s for s in names if target[s] < size[s] * most]
+        held = sum(target[s] for s in names if s not in free)
+        rate = (sum(size.values()) * share - held) / sum(weight[s] for s in free) if free else 0
+        over = [s for s in free if weight[s] * rate > size[s] * most]
+        for s in over or free:
+            target[s] = float(size[s] * most) if over else weight[s] * rate
+        if not over:
+            break
+    out = []
+    for s in names:
+        goal, start = int(target[s] + 0.5), 0
+        for _, doc, n in sorted(by[s], key=lambda x: x[0]):
+            out.append((doc, n, size[s], target[s], sum(min(n, max(0, goal - start - e * size[s])) for e in range(most))))
+            start += n
+    return sorted(out, key=str)
+
+
+def test_mix_is_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_ROWS", 8)  # parts of a few rows, and a repeated row beyond them
+    every = [(r[0], r[1], r[3]) for r in rows] + [(7, "the same row again", "s2")] * 60 + [(None, None, None)] * 50 + [(k, prose(random.Random(k), k), "é" if k % 2 else "Z") for k in range(30)]
+    df = spark.createDataFrame([(*r, 1, 2, 3.0) for r in every], "doc_id long, text string, source string, number int, schedule int, target double").repartition(5)
+    out = mixing.mix_documents(df)
+    got = out.collect()
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got), key=str) == brute_mix(every)
+    at = [r["position"] for r in got if r["position"] is not None]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
+    assert all(sum(t["words"] for t in r["takes"]) == r["taken"] <= 2 * r["size"] for r in got)
+    again = mixing.mix_documents(df.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    taken: Counter = Counter()
+    for r in mixing.stream(out).collect():
+        taken[r["source"]] += r["words"]
+    for r in got:
+        assert abs(taken[r["source"]] - r["target"]) <= 0.5
+
+
+def test_mix_keeps_columns_and_follows_schedules(spark):
+    rows = [(k, "ab"[k % 2], 10, f"{k * 7919 % 65536:04x}" * 8, "x", 5) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size int, digest string, number string, taken int")
+    knots = lambda *w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(x)).alias("weight")) for t, x in w])
+    early, late = knots((0.0, 1), (0.5, 1), (0.5, 0), (1.0, 0)), knots((0.0, 0), (1.0, 2))
+    out = mixing.mix(df, "source", "size", "digest", lambda number: F.when(number == 0, early).otherwise(late), share=0.8)
+    got = out.collect()
+    assert out.columns == ["doc_id", "source", "size", "digest", "number", "source_size", "target", "takes", "position", "taken"]
+    assert {r["number"] for r in got} == {"x"} and {r["size"] for r in got} == {10}
+    a = sorted((r["digest"], r["position"]) for r in got if r["source"] == "a" and r["taken"])
+    b = sorted((r["digest"], r["position"]) for r in got if r["source"] == "b" and r["taken"])
+    assert max(p for _, p in a) <= 0.5 and [p for _, p in a] == sorted(p for _, p in a)  # the early source ends at the middle
+    target = 4000 * 0.8 / 1.5  # integrals of 1 to a half; a weight 2t has the integral t^2
+    assert np.allclose([p for _, p in b], [(10 * k / target) ** 0.5 for k in range(len(b))], atol=1e-12)
+
+
+def test_mix_odd_tables(spark):
+    schema = "doc_id long, text string, source string"
+    assert mixing.mix_documents(spark.createDataFrame([], schema)).collect() == []
+    got = mixing.mix_documents(spark.createDataFrame([(1, None, None), (2, "", "a")], schema)).collect()
+    assert sorted((r["doc_id"], r["target"], r["taken"]) for r in got) == [(1, 0.0, 0), (2, 0.0, 0)]
+    got = mixing.mix_documents(spark.createDataFrame([(1, "a b c", None)], schema)).collect()
+    assert [(r["target"], r["taken"], [t["words"] for t in r["takes"]]) for r in got] == [(4.5, 5, [3, 2])]

@@ -23,8 +23,9 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ship
 
@@ -172,36 +173,42 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in batch.column(1).to_pylist()]
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (binary: the bytes the ids stand for)."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for x in batches:
-            ids = [c.encode(t or "") for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": ids, "decoded": [c.decode(i) for i in ids]})
+            ids = [c.encode(t) for t in _texts(x)]
+            made = [pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([x.column(0), *made], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256: encode_documents without moving the ids."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         known = c.known.__getitem__
         for x in batches:
             n, ids_hex, decoded_hex = [], [], []
-            for t in x["text"]:
-                names = ",".join(map(known, c.find(t or "")))
+            for t in _texts(x):
+                names = ",".join(map(known, c.find(t)))
                 n.append(names.count(",") + 1 if names else 0)
                 ids_hex.append(hashlib.sha256(names.encode()).hexdigest())
                 decoded_hex.append(hashlib.sha256(c.decode_text(names)).hexdigest())
-            yield pd.DataFrame({"doc_id": x["doc_id"], "n_tokens": n, "ids_sha256": ids_hex, "decoded_sha256": decoded_hex})
+            made = [pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
+            yield pa.RecordBatch.from_arrays([x.column(0), *made], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -250,7 +249,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: boo
             release()
 
     names = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, names)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, names)
 
 
 def best_fit(fills: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -279,32 +278,46 @@ def best_fit(fills: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return np.array(bins, dtype=np.int64), np.array(places, dtype=np.int64), n
 
 
-def _round(level: int, capacity: int):
-    """Best-fits one group: single items at level 0, later the bins that the rows already lie in."""
+def _round(level: int, capacity: int, names: list[str]):
+    """Best-fits one group: single items at level 0, later the bins that the rows already lie in. Columns of the items pass as they are."""
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.reset_index(drop=True)
+    def run(x: pa.Table) -> pa.Table:
+        fill = x["_p_fill"].to_numpy()
         if level == 0:
-            item, fills = np.arange(len(x)), x["_p_fill"].to_numpy()
+            item, fills = np.arange(len(fill)), fill
         else:
             _, first, item = np.unique(x["sequence_id"].to_numpy(), return_index=True, return_inverse=True)
-            fills = x["_p_fill"].to_numpy()[first]
+            fills = fill[first]
         bins, places, n = best_fit(fills, capacity)
-        fill = np.bincount(bins, weights=fills, minlength=n).astype(np.int64)
-        x["sequence_id"] = (np.int64(level) << 56) + (x["_p_group"].to_numpy() << 28) + bins[item]
-        x["offset"] = x["offset"] + places[item]
-        x["_p_fill"] = fill[bins[item]]
-        return x.drop(columns="_p_group")
+        full = np.bincount(bins, weights=fills, minlength=n).astype(np.int64)
+        made = {
+            "sequence_id": (np.int64(level) << 56) + (x["_p_group"].to_numpy() << 28) + bins[item],
+            "offset": x["offset"].to_numpy() + places[item],
+            "_p_fill": full[bins[item]],
+        }
+        return pa.table([pa.array(made[c]) if c in made else x[c] for c in names], names=names)
 
     return run
 
 
+def _emptiest(bins: DataFrame, n: int) -> DataFrame:
+    """About n of the bins with the least fill (of those with the last fill that is needed a share by hash)."""
+    last, before, at = 0, 0, 0
+    for fill, count in sorted((r["_p_fill"], r["count"]) for r in bins.groupBy("_p_fill").count().collect()):  # at most capacity rows
+        last, before, at = fill, at, at + count
+        if at >= n:
+            break
+    share = -(-(min(n, at) - before) * (1 << 20) // max(1, at - before))
+    return bins.where((F.col("_p_fill") < last) | ((F.col("_p_fill") == last) & (F.pmod(F.xxhash64("sequence_id"), F.lit(1 << 20)) < share)))
+
+
 def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, local_items: int = 25_000, group_bins: int = 100_000) -> DataFrame:
     """items (with a long column length, at most capacity) with sequence_id (long) and offset (long, gapless from 0)."""
     ship(items.sparkSession)
     items = items.drop("sequence_id", "offset")
     columns = items.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in items.dtypes] + ["sequence_id long", "offset long", "_p_fill long"])
+    results = [*columns, "sequence_id", "offset", "_p_fill"]
     rows = items.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long"), "_p_fill": F.col("length"), "_p_key": F.xxhash64(*columns), "_p_row": F.monotonically_increasing_id()})
     done, level = None, 0
     rows = durable(rows)
@@ -317,14 +330,14 @@ def pack(items: DataFrame, capacity: int = 2048, slack: int = 2, local_items: in
     while True:
         groups = pieces_of(bins, each)
         key = F.pmod(first if level == 0 else F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)).cast("long")
-        out = durable(rows.withColumn("_p_group", key).drop("_p_row", "_p_key", "_p_often").groupBy("_p_group").applyInPandas(_round(level, capacity), schema))
+        out = durable(rows.withColumn("_p_group", key).drop("_p_row", "_p_key", "_p_often").groupBy("_p_group").applyInArrow(_round(level, capacity, results), schema))
         if groups == 1:
             done = out if done is None else done.unionByName(out)
             break
         under = out.where((F.col("_p_fill") < capacity - slack) & (F.col("offset") == 0)).select("sequence_id", "_p_fill").distinct()
         roomy = F.col("_p_fill") * 2 <= capacity
         few = under.where(roomy).count()
-        more = under.where(~roomy).orderBy("_p_fill", "sequence_id").limit(few)
+        more = _emptiest(under.where(~roomy), few)
         open_bins = durable(under.where(roomy).unionByName(more).select("sequence_id"))
         part = out.join(open_bins, "sequence_id", "left_anti")
         done = part if done is None else done.unionByName(part)
