@@ -823,7 +823,7 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, a), (2, b), (None, d), (5, e), (6, None), (6, ""), (7, ""), (None, ""), (None, "")])
 
 
-@pytest.mark.parametrize("name", ["op4_neardup", "op6_chat", "op10_topk"])
+@pytest.mark.parametrize("name", ["op4_neardup", "op6_chat", "op10_topk", "op12_mixing"])
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from tests.conftest import DATA
@@ -1024,3 +1024,39 @@ def test_mix_odd_tables(spark):
     assert sorted((r["doc_id"], r["target"], r["taken"]) for r in got) == [(1, 0.0, 0), (2, 0.0, 0)]
     got = mixing.mix_documents(spark.createDataFrame([(1, "a b c", None)], schema)).collect()
     assert [(r["target"], r["taken"], [t["words"] for t in r["takes"]]) for r in got] == [(4.5, 5, [3, 2])]
+
+
+def test_toxicity_grades_of_the_given_labels(spark):
+    """Labels of toxic and quality have three grades: clean, toxic, toxic and poor."""
+    from tests.conftest import DATA
+
+    sf = DATA / "sf0.01"
+    if not sf.exists():
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(str(sf / f"{t}.parquet")) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert len(model.cuts) == 2 and model.cuts[0] < model.cuts[1]
+    out = toxicity.score(docs, model).select("doc_id", "severity", F.col("toxic").alias("found")).join(labels, "doc_id").toPandas()
+    by = out.groupby(["toxic", "quality"]).severity.mean()
+    assert by[0, 1] < 0.2 and 0.7 < by[1, 1] < 1.2 < by[1, 0]
+    assert (out.found == (out.toxic == 1)).mean() > 0.98
+    assert len(toxicity.fit(docs, labels.drop("quality")).cuts) == 1
+    rows = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0), (1, None), (3, 1), (3, 0), (None, 0)], "toxic int, quality int")
+    assert [r[0] for r in rows.select(toxicity.graded(rows)).collect()] == [0, 0, 1, 2, 1, 5, 6, None]
+
+
+def test_pipeline_packs_the_plain_ids(spark, sf, docs):
+    """Pieces that the pipeline packs hold the plain tokenizer's ids, and ids of documents are exact."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [((1 << 60) + 1, "a first text of its own"), (None, "another one without an id"), ((1 << 60) + 3, "third text, other words at all")]
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(sf)).collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in rows}
+    crc = lambda text: zlib.crc32(np.array([*plain.encode(text, add_special_tokens=False).ids, 0], dtype="<u4").tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in packed} == {i: crc(t) for i, t in rows}
+    whole = corpus_pipeline.run(spark, sf).where("piece = 0 AND length < 2048 AND doc_id IS NOT NULL").collect()
+    texts: dict = {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], set()).add(crc(r["text"] or ""))
+    assert whole and all(r["ids_crc32"] in texts[r["doc_id"]] for r in whole)

@@ -3,9 +3,11 @@
 P(grade <= k) = sigmoid(cut_k - w.x): one weight vector for all ordered cuts.
 x counts the chosen words and word beginnings of a document (sparse). They are
 chosen by their association with the label over a bounded sample of labelled documents, in which
-near-copies count once. Grades are the labels' own: 0 is clean, and each greater label
-that the sample holds is a grade of severity, in order. (Labels of 0 and 1 alone have two grades and
-one cut; no grades are made up of the features that are to predict them.)
+near-copies count once. Grades come from the labels alone: 0 is clean, and each greater value
+that the sample holds is a grade of severity, in order. By default (graded) a toxic document
+that is also labelled as poor is a grade worse than one that is not: labels of 0 and 1
+for toxic and quality have three grades, and so two cuts. Without a label of quality the grades
+are those of toxic.
 A document is rejected if its score w.x reaches the value that parts toxic from
 clean documents of the sample with the least sum of both error rates.
 
@@ -28,7 +30,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,10 +183,18 @@ def fit_sample(texts: list[str], label: np.ndarray, long: int = LONG) -> Ordinal
     return Ordinal(vocabulary, weights, cuts, least_error(x @ weights, toxic), long)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, long: int = LONG) -> Ordinal | None:
-    """The model, from at most `sample` labelled documents. One task fits it on that bounded sample; the driver gets its numbers alone."""
+def graded(labels: DataFrame) -> Column:
+    """Severity grade of a row of labels: 0 for clean; a toxic document of poor quality stands above one of the same label that isn't poor."""
+    toxic = F.col("toxic").cast("int")
+    if "quality" not in labels.columns:
+        return toxic
+    return F.when(toxic > 0, 2 * toxic - F.when(F.col("quality") == 0, 0).otherwise(1)).otherwise(toxic)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, long: int = LONG, grade: Column | None = None) -> Ordinal | None:
+    """The model, from at most `sample` labelled documents. One task fits it on that bounded sample; the driver gets its numbers alone. grade: of a row of labels; graded() if none."""
     ship(docs.sparkSession)
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(graded(labels) if grade is None else grade).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
