@@ -62,7 +62,8 @@ def _first_of_copies(docs: DataFrame) -> DataFrame:
     group = [F.when(~bare | F.col("doc_id").isNull(), F.col("component_id")), F.when(bare, F.col("doc_id")), F.when(bare, F.col("hash"))]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
     kept = found.groupBy(*[g.alias(f"g{k}") for k, g in enumerate(group)]).agg(first.alias("_row"))
-    return rows.join(kept.select("_row"), "_row", "left_semi")
+    copies = durable(found.select("_row").join(kept.select("_row"), "_row", "left_anti"))  # fewer than what stays, and of a known size
+    return rows.join(copies, "_row", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
