@@ -62,13 +62,13 @@ def header(lines: DataFrame, column: str = "line") -> DataFrame:
     return five.select(*[F.get("v", i).cast("int").alias(n) for i, n in enumerate(("nx", "ny"))], *[F.get("v", i + 2).alias(n) for i, n in enumerate(("x0", "y0", "dx"))])
 
 
-def format_rows(grid: DataFrame, label: str | None = LABEL) -> DataFrame:
-    """line: rows of the text form; null sector values are written as 0."""
+def format_rows(grid: DataFrame, label: str | None = LABEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """line: rows of the text form, and the columns to keep beside it; null sector values are written as 0."""
     num = lambda x, d: F.format_string(f"%.{d}f", F.coalesce(x, F.lit(0.0)))
     sect = F.flatten(F.transform("sectors", lambda s: F.array(num(s["freq"] * 1000, 3), num(s["a"] * 10, 4), num(s["k"] * 100, 4))))
     head = [num(F.col(c), 4) for c in ("e", "n", "elev", "height", "a", "k", "pd")]
     parts = [F.lit(label)] * bool(label) + [*head, F.size("sectors").cast("string"), F.array_join(sect, " ")]
-    return grid.select(F.concat_ws(" ", *parts).alias("line"))
+    return grid.select(F.concat_ws(" ", *parts).alias("line"), *keep)
 
 
 def read(spark: SparkSession, path: str, dialect: str = "any") -> DataFrame:
