@@ -17,7 +17,7 @@ from windgrid import scratch
 from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, quantiles, selection, spectra, timeline, weibull
 from windgrid.plans import q_select
 from windgrid.plans.catalogue import QUERIES
-from windgrid.sources import config, files, modellog, netcdf, tiles, wps, wrg
+from windgrid.sources import config, files, folder, gridded, modellog, netcdf, tiles, wps, wrg
 from windgrid.streaming import windows
 
 
@@ -135,7 +135,7 @@ def test_terrain_tiles(spark, tmp_path):
     rows = [(i, j, v) for i in range(7) for j in range(5) for v in [(None if (i, j) == (1, 1) else float("nan") if (i, j) == (2, 2) else 1e6 if i == 6 else 2.5 + i)]]
     made = tiles.contents(spark.createDataFrame(rows, "i int, j int, v double"), "v", 4, 1)
     assert {r["path"]: len(r["content"]) for r in made.collect()} == {tiles.name(a, b, 4): 72 for a in (0, 1) for b in (0, 1)}
-    tiles.write(made, f"{tmp_path}/piece")
+    folder.write(made, f"{tmp_path}/piece")
     back = spark.read.format("binaryFile").load(f"{tmp_path}/piece")
     cells = {(r["path"].rsplit("/", 1)[1], r["i"], r["j"]): r["value"] for r in tiles.parse(back, 4, 1).collect()}
     first = tiles.name(0, 0, 4)

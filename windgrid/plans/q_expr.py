@@ -174,9 +174,11 @@ def _(i):
     return i.points_v.select("point_id", r(x, 3).alias("x"), r(y, 3).alias("y"))
 
 
-@query("fn3_power_curve_table", f"SELECT CAST(u AS INT) AS half_steps, round({cf('(u / 2.0::DOUBLE)')}, 6) AS cf FROM range(0, 90) t(u)")
+@query("fn3_power_curve_table", f"SELECT CAST(floor(ws * 2) AS BIGINT) AS half_steps, count(*) AS n, round({cf('(floor(ws * 2) / 2.0::DOUBLE)')}, 6) AS cf FROM (SELECT ws FROM forcing_v UNION ALL SELECT ws FROM obs_v) GROUP BY 1, 3")
 def _(i):
-    return i.spark.range(90).select(c("id").cast("int").alias("half_steps"), r(P.power_curve(c("id") / 2)).alias("cf"))
+    """The table of the curve at the half steps of speed that the records hold."""
+    speeds = i.forcing_v.select("ws").unionByName(i.obs_v.select("ws")).groupBy(F.floor(c("ws") * 2).alias("half_steps")).agg(count().alias("n"))
+    return speeds.select("half_steps", "n", r(P.power_curve(c("half_steps") / 2)).alias("cf"))
 
 
 @query("fn4_sector_counts", f"SELECT {SECTOR12} AS sector12, {SECTOR16} AS sector16, count(*) AS n FROM forcing_v GROUP BY 1, 2")
@@ -189,10 +191,13 @@ def _(i):
     return i.obs_v.select("event_id", B.stability_class(P.richardson(280 + c("ws"), 280 + c("wd") / 100, c("ws"))).alias("ri_class"))
 
 
-@query("fn6_day_cost", "SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS length, round(k * (l + 0.25::DOUBLE), 6) AS cost, CASE WHEN floor(k / (l + 0.25::DOUBLE)) >= 4 THEN CAST(floor(k / (l + 0.25::DOUBLE)) AS BIGINT) END AS blocks FROM range(1, 61) a(k), range(1, 6) b(l)")
+@query("fn6_day_cost", """WITH m AS (SELECT strftime(day, '%Y') AS year, count(*) AS days FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem) GROUP BY 1)
+    SELECT year, CAST(l AS INT) AS length, days // l AS k, round((days // l) * (l + 0.25::DOUBLE), 6) AS cost, CASE WHEN floor(days / (l + 0.25::DOUBLE)) >= 4 THEN CAST(floor(days / (l + 0.25::DOUBLE)) AS BIGINT) END AS blocks FROM m, range(1, 6) b(l)""")
 def _(i):
-    grid = i.spark.range(1, 61).select(c("id").cast("int").alias("k")).withColumn("length", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return grid.select("k", "length", r(C.day_cost(c("k"), c("length"))).alias("cost"), C.blocks_for(c("k"), c("length")).alias("blocks"))
+    """Of each year of the record: what it costs to run all its blocks of a length, and how many blocks its days pay for."""
+    days = i.lineitem.select(F.to_date("l_shipdate").alias("day")).distinct().groupBy(F.date_format("day", "yyyy").alias("year")).agg(count().alias("days"))
+    grid = days.withColumn("length", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("k", F.floor(c("days") / c("length")))
+    return grid.select("year", "length", "k", r(C.day_cost(c("k"), c("length"))).alias("cost"), C.blocks_for(c("days"), c("length")).alias("blocks"))
 
 
 WINDOW = "sample_start::TIMESTAMP - INTERVAL 6 HOURS AS begin_, sample_start::TIMESTAMP + to_days(days) AS end_"

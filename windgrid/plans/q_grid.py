@@ -99,9 +99,12 @@ def _(i):
     return nests.design(boxes, "box").withColumn("gap_cells", r(c("gap_cells")))
 
 
-@query("grd10_tiles", "SELECT tx, ty, tx * 1200 - 3 AS x0, tx * 1200 + 1202 AS x1, ty * 1200 - 3 AS y0, ty * 1200 + 1202 AS y1, format('{:05d}-{:05d}.{:05d}-{:05d}', tx * 1200 + 1, tx * 1200 + 1200, ty * 1200 + 1, ty * 1200 + 1200) AS name FROM (SELECT CAST(a AS INT) AS tx, CAST(b AS INT) AS ty FROM range(0, 60) a(a), range(0, 60) b(b))")
+@query("grd10_tiles", """SELECT tx, ty, tx * 8 - 3 AS x0, tx * 8 + 10 AS x1, ty * 8 - 3 AS y0, ty * 8 + 10 AS y1, format('{:05d}-{:05d}.{:05d}-{:05d}', tx * 8 + 1, tx * 8 + 8, ty * 8 + 1, ty * 8 + 8) AS name, cells
+    FROM (SELECT i // 8 AS tx, j // 8 AS ty, count(*) AS cells FROM raster_v GROUP BY 1, 2)""")
 def _(i):
-    return G.tile_windows(G.tiles(i.spark, 60, 60))
+    """The raster's tiles of eight cells, each with its window and name."""
+    held = i.raster_v.groupBy(F.floor(c("i") / 8).cast("int").alias("tx"), F.floor(c("j") / 8).cast("int").alias("ty")).agg(F.count("*").alias("cells"))
+    return G.tile_windows(held.drop("cells"), 8).join(held, ["tx", "ty"])
 
 
 @query("grd11_containment", "SELECT lu, min(least(i, j, 39 - i)) AS gap, min(least(i, j, 39 - i)) >= 3 AS ok FROM raster_v WHERE j < 40 AND i BETWEEN lu % 5 AND 39 - lu % 5 AND j >= lu % 5 GROUP BY 1")

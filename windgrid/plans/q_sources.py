@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import campaign as OC
-from ..sources import config, files, modellog, namelist, netcdf, tiles, wps, wrg
+from ..sources import config, files, folder, gridded, modellog, namelist, netcdf, tiles, wps, wrg
 from ..streaming import windows as SW
 from .q_aggs import LOG
 from .registry import count, query, r
@@ -17,42 +17,92 @@ from .registry import count, query, r
 c = F.col
 
 
-def _wps_files(i):
-    """Two binary files made of the raster: heights and land use at one level each."""
+_FOLDERS: dict[tuple, str] = {}
+
+
+def _forcing_folder(i) -> str:
+    """A folder of binary files, written once a session and scale: a file a day with the points' mean speed and largest direction on an 8 by 8 grid; every 50th day's stands there once more, cut short."""
+    key = i.spark.sparkContext.applicationId, i.sf_dir
+    if key in _FOLDERS:
+        return _FOLDERS[key]
     from ..deploy import ship
 
     ship(i.spark)
 
+    def files_of(day, pixel: np.ndarray, values: np.ndarray) -> list[tuple[str, bytes]]:
+        grids = np.full((2, 64), -1, dtype=np.float32)
+        grids[:, pixel] = values
+        stamp = f"{day:%Y-%m-%d}_00"
+        content = b"".join(wps.encode(stamp, name, level, g.reshape(8, 8), 30.0, -110.0, 0.25, 0.5) for name, level, g in zip(("SPEED", "DIR"), (100.0, 10.0), grids, strict=True))
+        cut = [(f"{day:%Y}/CUT.{stamp}", content[:520])] if day.toordinal() % 50 == 0 else []
+        return [(f"{day:%Y}/FORCING.{stamp}", content), *cut]
+
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        values = np.zeros((x["j"].max() + 1, 40), dtype=np.float32)
-        values[x["j"], x["i"]] = x["v"]
-        content = wps.encode("1998-01-01_00", key[0], float(key[1]), values, 30.0, -110.0, 0.5, 0.25)
-        return pd.DataFrame([(f"/{key[0]}:1998-01-01_00", content)], columns=["path", "content"])
+        x = x.sort_values("day", kind="stable")
+        pixel, values = x["pixel"].to_numpy(), x[["speed", "dir"]].to_numpy().T
+        days, first = np.unique(x["day"].to_numpy(), return_index=True)
+        ends = [*first[1:], len(x)]
+        made = [f for day, a, b in zip(days, first, ends, strict=True) for f in files_of(day, pixel[a:b], values[:, a:b])]
+        return pd.DataFrame(made, columns=["path", "content"])
+
+    days = i.forcing_v.groupBy(F.to_date("time").alias("day"), "pixel").agg(F.avg("ws").cast("double").alias("speed"), F.max("wd").alias("dir"))
+    to = scratch.path(i.spark)
+    folder.write(days.groupBy(F.trunc("day", "month")).applyInPandas(run, "path string, content binary"), to)
+    _FOLDERS[key] = to
+    return to
+
+
+DAYS = """cells AS (SELECT CAST(time AS DATE) AS day, pixel, avg(ws) AS speed, max(wd) AS dir FROM forcing_v GROUP BY 1, 2), days AS (SELECT DISTINCT day, day - DATE '0001-01-01' + 1 AS n FROM cells),
+    every AS (SELECT day, CAST(p AS INT) AS pixel FROM days CROSS JOIN range(0, 64) t(p)),
+    grid AS (SELECT strftime(day, '%Y-%m-%d_00') AS date, pixel % 8 AS i, pixel // 8 AS j, coalesce(speed::FLOAT, -1)::DOUBLE AS speed, coalesce(dir::FLOAT, -1)::DOUBLE AS dir FROM every LEFT JOIN cells USING (day, pixel))"""
+
 
-    each = F.inline(F.array(F.struct(F.lit("HGT").alias("f"), F.lit(100).alias("level"), c("hgt").alias("v")), F.struct(F.lit("LU").alias("f"), F.lit(1).alias("level"), c("lu").cast("double").alias("v"))))
-    return i.raster_v.select("i", "j", each).groupBy("f", "level").applyInPandas(run, "path string, content binary")
+@query("src1_wps_fields", f"WITH {DAYS} SELECT date, 'SPEED' AS field, 100.0::DOUBLE AS level, i, j, round(speed, 6) AS value FROM grid")
+def _(i):
+    """One field of every file of a folder; the filter goes into the reader."""
+    cells = gridded.read(i.spark, _forcing_folder(i)).where("field = 'SPEED' AND level = 100").where("path NOT LIKE '%/CUT.%'")
+    return cells.select("date", "field", "level", "i", "j", r(c("value")).alias("value"))
+
+
+@query("src1_wps_point", f"WITH {DAYS} SELECT date, CASE k WHEN 1 THEN 'SPEED' ELSE 'DIR' END AS field, i, j, round(CASE k WHEN 1 THEN speed ELSE dir END, 6) AS value FROM grid, (VALUES (1), (2)) t(k) WHERE i = 5 AND j = 6")
+def _(i):
+    """Both fields at the cell nearest to a point."""
+    cells = gridded.read(i.spark, _forcing_folder(i), lat=31.55, lon=-107.4).where("error IS NULL AND path NOT LIKE '%/CUT.%'")
+    return cells.select("date", "field", "i", "j", r(c("value")).alias("value"))
 
 
-@query("src1_wps_fields", "SELECT 'HGT' AS field, 100.0::DOUBLE AS level, i, j, round(hgt::FLOAT::DOUBLE, 6) AS value FROM raster_v")
+@query("src1_wps_cells", f"WITH {DAYS} SELECT date, i, j, round(speed, 6) AS value FROM grid WHERE i IN (1, 6) AND j = 2 AND date IN ('1996-02-29_00', '1997-07-01_00', '1998-12-24_00')")
 def _(i):
-    return wps.parse(_wps_files(i), ["HGT"]).select("field", "level", "i", "j", r(c("value")).alias("value"))
+    """Some cells of some days, by pushed filters alone."""
+    cells = gridded.read(i.spark, _forcing_folder(i)).where("field = 'SPEED' AND i IN (1, 6) AND j = 2 AND date IN ('1996-02-29_00', '1997-07-01_00', '1998-12-24_00')")
+    return cells.where("path NOT LIKE '%/CUT.%'").select("date", "i", "j", r(c("value")).alias("value"))
 
 
-@query("src1_wps_point", "SELECT CASE k WHEN 1 THEN 'HGT' ELSE 'LU' END AS field, i, j, round(CASE k WHEN 1 THEN hgt::FLOAT::DOUBLE ELSE lu::DOUBLE END, 6) AS value FROM raster_v, (VALUES (1), (2)) t(k) WHERE i = 17 AND j = 3")
+@query("src1_bytes_read", f"WITH {DAYS} SELECT strftime(day, '%Y-%m-%d_00') AS date, CAST(2 * (10 * 4 + 4 + 156 + 28 + 4 + 256) AS BIGINT) AS bytes, CAST(10 * 4 + 2 * 156 + 16 + 4 AS BIGINT) AS bytes_read FROM days")
 def _(i):
-    return wps.parse(_wps_files(i), None, (31.6, -105.8)).select("field", "i", "j", r(c("value")).alias("value"))
+    """What a file holds, and what is read of it for one field at a point: ten record lengths, two headers, one grid and one number."""
+    found = gridded.read(i.spark, _forcing_folder(i), rows="files", fields="SPEED", lat=31.55, lon=-107.4).where("path NOT LIKE '%/CUT.%'")
+    return found.select(F.substring_index("path", ".", -1).alias("date"), "bytes", "bytes_read")
 
 
-@query("src2_records", "SELECT f || ':1998-01-01_00' AS name, CAST(k AS INT) AS record, CAST(CASE k WHEN 0 THEN 4 WHEN 1 THEN 156 WHEN 2 THEN 28 WHEN 3 THEN 4 ELSE 40 * rows * 4 END AS BIGINT) AS bytes FROM (SELECT max(j) + 1 AS rows FROM raster_v), (VALUES ('HGT'), ('LU')) f(f), (VALUES (0), (1), (2), (3), (4)) k(k)")
+def _contents(i):
+    """path (name of the file), content."""
+    return i.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_forcing_folder(i)).select(F.substring_index("path", "/", -1).alias("path"), "content")
+
+
+@query("src2_records", f"""WITH {DAYS} SELECT kind || strftime(day, '%Y-%m-%d_00') AS name, CAST(k AS INT) AS record, CAST(CASE WHEN kind = 'CUT.' AND k = 6 THEN NULL WHEN k % 5 = 0 THEN 4 WHEN k % 5 = 1 THEN 156 WHEN k % 5 = 2 THEN 28 WHEN k % 5 = 3 THEN 4 ELSE 256 END AS BIGINT) AS bytes
+    FROM days, (VALUES ('FORCING.'), ('CUT.')) f(kind), range(0, 10) t(k) WHERE kind = 'FORCING.' OR n % 50 = 0 AND k < 7""")
 def _(i):
-    return wps.record_lengths(_wps_files(i)).select(F.substring("path", 2, 100).alias("name"), "record", "bytes")
+    return wps.record_lengths(_contents(i)).select(c("path").alias("name"), "record", "bytes")
 
 
-@query("src3_failures_counted", "SELECT 3 AS files, CAST(1 AS BIGINT) AS failed")
+@query("src3_failures_counted", f"WITH {DAYS} SELECT strftime(day, '%Y') AS year, count(*) + count(*) FILTER (WHERE n % 50 = 0) AS files, count(*) FILTER (WHERE n % 50 = 0) AS failed FROM days GROUP BY 1")
 def _(i):
-    cut = _wps_files(i).where("path LIKE '/HGT%'").select(F.lit("/cut:1998-01-01_00").alias("path"), F.expr("substring(content, 1, 500)").alias("content"))
-    got = wps.parse(_wps_files(i).unionByName(cut), None, (31.6, -105.8))
-    return got.agg(F.countDistinct("path").cast("int").alias("files"), F.count("error").alias("failed"))
+    """Files and failures by folder; only lengths and headers are read for it."""
+    found = gridded.read(i.spark, _forcing_folder(i), rows="files", fields="none")
+    failed = gridded.read(i.spark, _forcing_folder(i)).where("error IS NOT NULL").groupBy("path").agg(count().alias("n"))
+    both = found.drop("error").join(failed, "path", "left")
+    return both.groupBy(F.element_at(F.split("path", "/"), -2).alias("year")).agg(count().alias("files"), F.count("n").cast("long").alias("failed"))
 
 
 @query("src4_time_of_name", "SELECT DISTINCT l_shipdate AS time FROM lineitem")
@@ -85,10 +135,10 @@ def _cube(i) -> str:
     return to
 
 
-@query("src8_npz", "SELECT event_type AS name, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INT) AS place, round(ws::FLOAT::DOUBLE, 6) AS ws, round(wd::FLOAT::DOUBLE, 6) AS wd FROM obs_v")
+@query("src8_npz", "SELECT strftime(time, '%Y-%m-%d_%H') AS name, CAST(row_number() OVER (PARTITION BY date_trunc('hour', time) ORDER BY event_id) - 1 AS INT) AS place, round(ws::FLOAT::DOUBLE, 6) AS ws, round(wd::FLOAT::DOUBLE, 6) AS wd FROM obs_v")
 def _(i):
-    """A file of arrays for each event type, read back as 32-bit floats."""
-    made = files.npz_contents(i.obs_v, "event_type", "event_id", ["ws", "wd"])
+    """A file of arrays for each time step of an hour, read back as 32-bit floats."""
+    made = files.npz_contents(i.obs_v.withColumn("step", F.date_format("time", "yyyy-MM-dd_HH")), "step", "event_id", ["ws", "wd"])
     rows = files.parse_npz(made, ["ws", "wd"]).select(c("path").alias("name"), F.posexplode(F.arrays_zip("ws", "wd")).alias("place", "v"))
     return rows.select("name", "place", r(c("v.ws").cast("double")).alias("ws"), r(c("v.wd").cast("double")).alias("wd"))
 
@@ -107,22 +157,24 @@ def _(i):
 
 @query("src11_netcdf", "SELECT v AS variable, i, j, CASE v WHEN 'HGT_M' THEN round(hgt, 6) ELSE lu::DOUBLE END AS value, '100.0' AS dx FROM raster_v, (VALUES ('HGT_M'), ('LU_INDEX')) v(v)")
 def _(i):
-    """The raster as a netCDF classic file, its variables and an attribute read back."""
+    """The raster as netCDF classic files, one for each ten rows with its first row as an attribute; variables and attributes read back."""
     from ..deploy import ship
 
     ship(i.spark)
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        grids = {}
+        grids, first = {}, int(key[0]) * 10
         for name, column, dtype in (("HGT_M", "hgt", ">f8"), ("LU_INDEX", "lu", ">i4")):
-            values = np.zeros((x["j"].max() + 1, x["i"].max() + 1), dtype)
-            values[x["j"], x["i"]] = x[column]
+            values = np.zeros((x["j"].max() + 1 - first, x["i"].max() + 1), dtype)
+            values[x["j"] - first, x["i"]] = x[column]
             grids[name] = (["south_north", "west_east"], values)
-        return pd.DataFrame({"path": ["/geo.nc"], "content": [netcdf.encode(grids, {"TITLE": "raster", "DX": 100.0})]})
+        return pd.DataFrame({"path": [f"geo.{key[0]:05d}.nc"], "content": [netcdf.encode(grids, {"TITLE": "raster", "DX": 100.0, "FIRST_ROW": float(first)})]})
 
-    made = i.raster_v.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "path string, content binary")
-    dx = netcdf.attributes(made).where("name = 'DX'").select("path", c("value").alias("dx"))
-    return netcdf.parse(made, ["HGT_M", "LU_INDEX"]).join(dx, "path").select("variable", "i", "j", r(c("value")).alias("value"), "dx")
+    to = scratch.path(i.spark)
+    folder.write(i.raster_v.groupBy(F.floor(c("j") / 10).alias("block")).applyInPandas(run, "path string, content binary"), to)
+    made = i.spark.read.format("binaryFile").load(to).select("path", "content")
+    said = netcdf.attributes(made).groupBy("path").agg(F.max(F.when(c("name") == "DX", c("value"))).alias("dx"), F.max(F.when(c("name") == "FIRST_ROW", c("value").cast("double").cast("int"))).alias("first"))
+    return netcdf.parse(made, ["HGT_M", "LU_INDEX"]).join(said, "path").select("variable", "i", (c("j") + c("first")).alias("j"), r(c("value")).alias("value"), "dx")
 
 
 WRG = """WITH p AS (SELECT regexp_split_to_array(trim(line), '\\s+') AS t FROM wrg_text_v), q AS (SELECT CASE WHEN t[1] = 'GridPoint' THEN t[2:] ELSE t END AS t FROM p), s AS (SELECT t FROM q WHERE len(t) >= 14),
@@ -172,9 +224,11 @@ TILES = """WITH v AS (SELECT i, j, hgt FROM raster_v WHERE (i + j) % 7 <> 0 AND
 
 @query("src17_terrain_tiles", TILES)
 def _(i):
-    """Tiles of ten by ten cells with a border of two, as bytes and read back; one tile holds nothing and isn't made."""
+    """Tiles of ten by ten cells with a border of two, as files and read back; one tile holds nothing and isn't made."""
     known = i.raster_v.where("(i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10)")
-    made = tiles.contents(known, "hgt", 10, 2)
+    to = scratch.path(i.spark)
+    folder.write(tiles.contents(known, "hgt", 10, 2), to)
+    made = i.spark.read.format("binaryFile").load(to).select(F.substring_index("path", "/", -1).alias("path"), "content")
     return tiles.parse(made, 10, 2)
 
 

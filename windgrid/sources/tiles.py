@@ -69,19 +69,3 @@ def parse(files: DataFrame, size: int = SIZE, border: int = BORDER, no_data: int
 
     rows = files.select("path", "content").mapInPandas(run, "path string, i int, j int, value double")
     return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-
-
-def write(files: DataFrame, folder: str) -> None:
-    """Writes contents (path, content) as files of a folder, from the workers; the folder's file system is one that they can open."""
-    ship(files.sparkSession)
-
-    def put(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        store, inside = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        store.create_dir(inside)
-        for row in rows:
-            with store.open_output_stream(f"{inside}/{row['path']}") as f:
-                f.write(bytes(row["content"]))
-
-    files.select("path", "content").foreachPartition(put)
