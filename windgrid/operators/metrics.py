@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import physics as P
 from ..functions.special import gamma_fn
 from .quantiles import literals
+from .scan import running
 from .weibull import MOMENTS_POWER
 
 
@@ -80,6 +81,15 @@ def field_difference(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return d.agg(F.avg("d").alias("bias"), F.sqrt(F.avg(F.col("d") ** 2)).alias("rms"), *literals(d, F.abs("d"), {"p99": 0.99}), F.max(F.abs("d")).alias("largest"))
 
 
+def _beside(df: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the sums of its keys."""
+    named = sums.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= df[k].eqNullSafe(F.col(f"_of_{k}"))
+    return df.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def wasserstein(sub: DataFrame, whole: DataFrame, keys: list[str], of: str, value: str) -> DataFrame:
     """keys, of, distance: first Wasserstein distance between each group's sub-sample (keys, of) and its whole (keys).
 
@@ -87,26 +97,29 @@ def wasserstein(sub: DataFrame, whole: DataFrame, keys: list[str], of: str, valu
     whole's lies below it up to the value's own rank and above it from there on; so a step needs the integral of the whole's
     quantile function up to three ranks. That of the value's rank comes by a join on the value (a sub-sample holds no other
     ones than the whole), those of the step's ends by one pass over the whole's steps and all sub-samples' together. Values
-    are counted first, so what is ordered are distinct values, once each and not once a sub-sample.
+    are counted first, so what is ordered are distinct values, once each and not once a sub-sample. All running sums are
+    scans over ranges, so a key with any number of distinct values is many tasks.
     """
     x = F.col(value).cast("double")
     n = whole.groupBy(*keys, x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    all_ = Window.partitionBy(*keys)
-    upto = all_.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    n = running(n, keys, ["_x"], sums={"_r": F.col("_n"), "_s": F.col("_x") * F.col("_n")})
     # _r, _s: the share of rows and the integral up to and with this value
-    n = n.withColumns({"_t": F.sum("_n").over(all_), "_r": F.sum("_n").over(upto), "_s": F.sum(F.col("_x") * F.col("_n")).over(upto)})
+    n = _beside(n, n.groupBy(*keys).agg(F.sum("_n").alias("_t")), keys)
     steps = n.select(*keys, "_x", (F.col("_r") / F.col("_t")).alias("_r"), (F.col("_s") / F.col("_t")).alias("_s"), (F.col("_n") / F.col("_t")).alias("_w"))
     m = sub.groupBy(*keys, of, x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_m"))
-    own = Window.partitionBy(*keys, of)
-    m = m.select(*keys, of, "_x", (F.sum("_m").over(own.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_m").over(own)).alias("_u"))
-    begins = steps.select(*keys, F.lit(None).cast(dict(m.dtypes)[of]).alias(of), F.lit(None).cast("double").alias("_v"), (F.col("_r") - F.col("_w")).alias("_u"), F.struct((F.col("_r") - F.col("_w")).alias("r"), (F.col("_s") - F.col("_w") * F.col("_x")).alias("s"), F.col("_x").alias("x")).alias("_b"))
-    ends = m.select(*keys, of, F.col("_x").alias("_v"), "_u", F.lit(None).cast(dict(begins.dtypes)["_b"]).alias("_b"))
-    along = all_.orderBy("_u", F.col("_b").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ends = begins.unionByName(ends).withColumn("_b", F.last("_b", True).over(along)).where("_v IS NOT NULL")
-    ends = ends.select(*keys, of, F.col("_v").alias("_x"), "_u", (F.col("_b.s") + F.col("_b.x") * (F.col("_u") - F.col("_b.r"))).alias("_p"))
+    m = running(m, [*keys, of], ["_x"], sums={"_u": F.col("_m")})
+    m = _beside(m, m.groupBy(*keys, of).agg(F.sum("_m").alias("_all")), [*keys, of])
+    # of a step of the sub-sample, both ends
+    m = m.select(*keys, of, F.col("_x").alias("_v"), F.posexplode(F.array((F.col("_u") - F.col("_m")) / F.col("_all"), F.col("_u") / F.col("_all"))).alias("_at", "_u"))
+    kinds = dict(m.dtypes)
+    none = [F.lit(None).cast(kinds[k]).alias(k) for k in (of, "_v", "_at")]
+    begins = steps.select(*keys, *none, (F.col("_r") - F.col("_w")).alias("_u"), F.struct((F.col("_r") - F.col("_w")).alias("r"), (F.col("_s") - F.col("_w") * F.col("_x")).alias("s"), F.col("_x").alias("x")).alias("_b"))
+    along = begins.unionByName(m.withColumn("_b", F.lit(None).cast(dict(begins.dtypes)["_b"]))).withColumn("_end", F.col("_at").isNotNull())
+    ends = running(along, keys, ["_u", "_end", "_v", "_at", of], lasts={"_b": F.col("_b")}).where("_end")
+    p = F.col("_b.s") + F.col("_b.x") * (F.col("_u") - F.col("_b.r"))
+    of_end = lambda k, v: F.max(F.when(F.col("_at") == k, v))
+    ends = ends.groupBy(*keys, of, F.col("_v").alias("_x")).agg(of_end(0, F.col("_u")).alias("_u0"), of_end(1, F.col("_u")).alias("_u"), of_end(0, p).alias("_p0"), of_end(1, p).alias("_p"))
     both = ends.join(steps.drop("_w"), [*keys, "_x"])
-    before = lambda c: F.coalesce(F.lag(c).over(own.orderBy("_x")), F.lit(0.0))
-    both = both.withColumns({"_u0": before("_u"), "_p0": before("_p")})
     at = F.least(F.greatest("_r", "_u0"), F.col("_u"))
     whole_at = F.when(F.col("_r") <= F.col("_u0"), F.col("_p0")).when(F.col("_r") >= F.col("_u"), F.col("_p")).otherwise(F.col("_s"))
     step = F.col("_x") * (2 * at - F.col("_u0") - F.col("_u")) + F.col("_p0") + F.col("_p") - 2 * whole_at

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running, with_halo
+
 
 def decimate(df: DataFrame, step: int, order: list[str], by: list[str]) -> DataFrame:
     """Every step-th row in order, the first included."""
@@ -31,22 +33,39 @@ def contiguous_blocks(rows: DataFrame, length: int, least_per_day: int = 6, time
     return kept.select("start", F.date_add("start", length - 1).alias("end"), "rows")
 
 
-def segments(df: DataFrame, by: list[str], time: str, gap_seconds: float, tiebreak: list[str], exact: bool = False) -> DataFrame:
-    """df with segment (int from 0 within `by`): a new one begins after a longer gap, or, with exact, after any other gap."""
-    w = Window.partitionBy(*by).orderBy(time, *tiebreak)
+def segments(df: DataFrame, by: list[str], time: str, gap_seconds: float, tiebreak: list[str], exact: bool = False, ranges: int | None = None) -> DataFrame:
+    """df with segment (int from 0 within `by`): a new one begins after a longer gap, or, with exact, after any other gap.
+
+    A series may be of any length: the time before a row and the number of cuts come from scans over ranges of time.
+    """
     t = F.unix_micros(F.col(time).cast("timestamp"))
-    gap = (t - F.lag(t).over(w)) / 1_000_000
+    rows = running(df, by, [time, *tiebreak], lags={"_before": t}, ranges=ranges)
+    gap = (t - F.col("_before")) / 1_000_000
     cut = F.when(gap != gap_seconds if exact else gap > gap_seconds, 1).otherwise(0)
-    return df.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_cut")
+    rows = running(rows.withColumn("_cut", cut), by, [time, *tiebreak], sums={"segment": F.col("_cut")}, ranges=ranges)
+    return rows.select(*df.columns, F.col("segment").cast("int").alias("segment"))
+
 
+#: Rows of a series that one task of the autocorrelation holds, without the halo of its longest lag.
+BLOCK_ROWS = 50_000
 
-def autocorrelation(df: DataFrame, by: list[str], order: list[str], value: str, lags: list[int]) -> DataFrame:
-    """lag, rho: pooled over groups, the mean of each group taken off."""
-    whole = Window.partitionBy(*by)
-    dev = df.withColumn("_x", F.col(value) - F.avg(value).over(whole))
-    w = whole.orderBy(*order)
-    products = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("_x") * F.lead("_x", k).over(w)).alias("p"), F.when(F.lead("_x", k).over(w).isNotNull(), F.col("_x") * F.col("_x")).alias("s")) for k in lags])
-    pairs = dev.select(products.alias("a")).select(F.inline("a")).where("p IS NOT NULL")
+
+def autocorrelation(df: DataFrame, by: list[str], order: list[str], value: str, lags: list[int], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """lag, rho: pooled over groups, the mean of each group taken off.
+
+    Rows are numbered by a scan and cut into blocks, each with as many rows of the next one as the longest lag reaches.
+    """
+    reach = max(lags)
+    mean = df.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(by)]).agg(F.avg(value).alias("_mean"))
+    same = F.lit(True)
+    for n, k in enumerate(by):
+        same &= df[k].eqNullSafe(F.col(f"_k{n}"))
+    dev = df.join(mean, same).select(*by, *order, (F.col(value) - F.col("_mean")).alias("_x"))
+    dev = running(dev, by, order, sums={"_at": F.lit(1)}).withColumn("_at", F.col("_at").cast("long") - 1)
+    w = Window.partitionBy(*by, "block").orderBy("_at")
+    ahead = {k: F.lead("_x", k).over(w) for k in lags}
+    products = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("_x") * a).alias("p"), F.when(a.isNotNull(), F.col("_x") * F.col("_x")).alias("s")) for k, a in ahead.items()])
+    pairs = with_halo(dev, by, "_at", reach, max(block_rows, reach + 1)).select("own", products.alias("a")).where("own").select(F.inline("a")).where("p IS NOT NULL")
     return pairs.groupBy("lag").agg((F.sum("p") / F.sum("s")).alias("rho"))
 
 

@@ -354,12 +354,10 @@ MONTHS = f"f AS (SELECT CAST(month(time) AS INT) AS m, CAST(year(time) AS INT) A
 def month_distances(i):
     f = i.forcing_v.select(F.month("time").alias("m"), F.year("time").alias("y"), "ws", "wd", F.round("ri_b", 3).alias("temp"))
     enough = f.groupBy("m", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 600").select("m", "y")
-    out = None
-    for v in ("ws", "wd", "temp"):
-        sd = f.groupBy("m").agg(F.stddev_samp(v).alias("sd"))
-        d = M.wasserstein(f, f, ["m"], "y", v).join(sd, "m").select("m", "y", (c("distance") / c("sd")).alias("d"))
-        out = d if out is None else out.unionByName(d)
-    return out.join(enough, ["m", "y"]).groupBy("m", "y").agg(F.sum("d").alias("d"))
+    each = f.select("m", "y", F.inline(F.array(*[F.struct(F.lit(v).alias("of"), c(v).alias("x")) for v in ("ws", "wd", "temp")])))
+    sd = each.groupBy("m", "of").agg(F.stddev_samp("x").alias("sd"))
+    d = M.wasserstein(each, each, ["m", "of"], "y", "x").join(sd, ["m", "of"]).join(enough, ["m", "y"])
+    return d.groupBy("m", "y").agg(F.sum(c("distance") / c("sd")).alias("d"))
 
 
 @query("agg33_wasserstein", f"WITH {MONTHS} SELECT m, y, round(d, 6) AS d FROM dist")
