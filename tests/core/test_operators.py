@@ -417,20 +417,6 @@ def test_candidates_are_evaluated_side_by_side():
             assert np.allclose(fit.with_each(rest, options), [fit([*rest, j])[1] for j in options], atol=1e-8)
 
 
-def test_supervised_queries_take_all_points_and_restarts(spark, monkeypatch):
-    """Every point of forcing_v reaches the search, and the best of six starts comes back, which is a later one than the third here."""
-    rng, taken = np.random.default_rng(3), []
-    stats = {"sws": rng.gamma(2, 4, (60, 6)) * 48, "scf": rng.gamma(2, 0.2, (60, 6)) * 48, "n": np.full((60, 1), 48.0)}
-    stats |= {g: rng.gamma(1, 1, (60, 6 * 12)) for g in ("rose", "rose_e")}
-    target, blocks = {g: s.sum(0) for g, s in stats.items()}, selection.Blocks(730_000 + np.arange(60), 2, stats)
-    monkeypatch.setattr(selection, "point_statistics", lambda rows, *_: (taken.append(rows.select("pixel").distinct().count()), (blocks, target))[1])
-    got = {name: QUERIES[name](spark, str(DATA / "sf0.001")).collect() for name in ("sel8_supervised", "sel9_directional", "sel10_hold_out")}
-    assert taken == [64] * 3
-    search = lambda restarts: selection.select_additive(blocks, {g: target[g] for g in ("sws", "scf", "n")}, 7, selection.supervised_cost, restarts=restarts)
-    assert search(6)[1] < search(3)[1]
-    assert [r["start"].toordinal() for r in got["sel8_supervised"]] == sorted(blocks.start[search(6)[0]])
-
-
 def test_additive_selectors(record):
     blocks, target = selection.additive_statistics(record, 3, 6)
     whole = {g: target[g][None] for g in target}
@@ -438,10 +424,6 @@ def test_additive_selectors(record):
     chosen, d = selection.select_additive(blocks, target, 4, selection.distance_v2)
     _, greedy = selection.select_additive(blocks, target, 4, selection.distance_v2, refine=False)
     assert d <= greedy and len(chosen) == 4
-    blocks, target = selection.point_statistics(record, 3, 6)
-    assert selection.supervised_cost({g: target[g][None] for g in target}, target, 1.0)[0] == pytest.approx(0)
-    out = selection.hold_out(blocks, target, 4)
-    assert set(out) == {"train", "held_out"}
 
 
 def test_campaign(spark):

@@ -333,21 +333,6 @@ def distance_v2(sample: dict, target: dict) -> np.ndarray:
     return out
 
 
-def supervised_cost(sample: dict, target: dict, direction: float = 0.0) -> np.ndarray:
-    """Level errors of mean speed and capacity factor, twice the pattern error, and with `direction` the points' rose distances. Stats: sws, scf (a column a point), n, and rose, rose_e (point by sector, flattened)."""
-    mean, cf = sample["sws"] / sample["n"], sample["scf"] / sample["n"]
-    full, full_cf = target["sws"] / target["n"], target["scf"] / target["n"]
-    rms = lambda x, y: np.sqrt((((x / x.mean(-1, keepdims=True)) / (y / y.mean()) - 1) ** 2).mean(-1))
-    out = np.abs(mean.mean(-1) / full.mean() - 1) + np.abs(cf.mean(-1) / full_cf.mean() - 1) + PATTERN_WEIGHT * rms(mean, full)
-    if not direction:
-        return out + PATTERN_WEIGHT * rms(cf, full_cf)
-    points = full.shape[-1]
-    for g in ("rose", "rose_e"):
-        part = _shares(sample[g].reshape(*sample[g].shape[:-1], points, -1)) - _shares(target[g].reshape(points, -1))
-        out = out + direction * 0.5 * np.abs(part).sum(-1).mean(-1)
-    return out
-
-
 def select_additive(blocks: Blocks, target: dict, k: int, cost: Callable, refine: bool = True, restarts: int = 1, seed: int = 0) -> tuple[list[int], float]:
     """Chosen blocks and their cost, the best of several starts; the first start is empty, later ones hold a random block. Without blocks: none, at an infinite cost."""
     if not len(blocks.start):
@@ -370,50 +355,3 @@ def select_additive(blocks: Blocks, target: dict, k: int, cost: Callable, refine
         if best is None or value < best[1]:
             best = chosen, value
     return best
-
-
-def point_statistics(rows: DataFrame, length: int, least_per_day: int, sectors: int = B.SELECTION_SECTORS, most_numbers: int = 500_000_000) -> tuple[Blocks, dict]:
-    """Blocks with stats of every point (pixel): sws, scf, n, rose, rose_e; and the whole record's.
-
-    The search's matrices are on the driver: blocks x points x (2 + 2 x sectors) numbers, an error beyond
-    `most_numbers`. A field's points are thinned before (the cube's strided scan), not here.
-    """
-    pixels = np.array([r[0] for r in rows.select("pixel").distinct().orderBy("pixel").limit(most_numbers).collect()])
-    binned = rows.withColumns({"day": F.to_date("time"), "sect": B.sector_left(F.col("wd"), sectors), "ws3": P.cube(F.col("ws")), "cf": P.power_curve(F.col("ws"))})
-    names = ["sws", "scf", "n", "e"]
-    days = binned.groupBy("day", "pixel", "sect").agg(F.sum("ws").alias("sws"), F.sum("cf").alias("scf"), F.count(F.lit(1)).cast("double").alias("n"), F.sum("ws3").alias("e"))
-    valid = T.contiguous_blocks(rows, length, least_per_day)
-    days_of = np.array(sorted(r["start"] for r in valid.select("start").collect()))
-    size = {"sws": len(pixels), "scf": len(pixels), "n": 1, "rose": len(pixels) * sectors, "rose_e": len(pixels) * sectors}
-    if len(days_of) * sum(size.values()) > most_numbers:
-        raise ValueError(f"{len(days_of)} blocks of {len(pixels)} points are more than {most_numbers} numbers: thin the points first")
-
-    def dense(sums: DataFrame, at: np.ndarray | None, n: int) -> dict[str, np.ndarray]:
-        """sums (start, where at is given; pixel, sect, names) as matrices of a row a block."""
-        got = sums.toArrow()
-        row = np.searchsorted(at, np.array(got["start"].to_pylist())) if at is not None else np.zeros(got.num_rows, int)
-        p, sect = np.searchsorted(pixels, got["pixel"].to_numpy()), got["sect"].to_numpy()
-        v = {c: got[c].to_numpy() for c in names}
-        of = lambda place, width, values: np.bincount(row * width + place, weights=values, minlength=n * width).reshape(n, width)
-        flat, wide = p * sectors + sect, len(pixels) * sectors
-        return {"sws": of(p, len(pixels), v["sws"]), "scf": of(p, len(pixels), v["scf"]), "n": of(0 * p, 1, v["n"]) / max(1, len(pixels)), "rose": of(flat, wide, v["n"]), "rose_e": of(flat, wide, v["e"])}
-
-    stats = dense(add_days(days, valid, length, ["pixel", "sect"], names), days_of, len(days_of))
-    whole = dense(days.groupBy("pixel", "sect").agg(*[F.sum(c).alias(c) for c in names]), None, 1)
-    return Blocks(np.array([d.toordinal() for d in days_of]), length, stats), {g: x[0] for g, x in whole.items()}
-
-
-def hold_out(blocks: Blocks, target: dict, k: int, seed: int = 7) -> dict[str, float]:
-    """Pattern error, in percent, of blocks chosen on a random half of the points, on that half and on the other."""
-    points = len(target["sws"])
-    train = np.zeros(points, dtype=bool)
-    train[np.random.default_rng(seed).permutation(points)[: points // 2]] = True
-    pick = lambda d, m: {"sws": d["sws"][..., m], "scf": d["scf"][..., m], "n": d["n"]}
-    half = Blocks(blocks.start, blocks.length, pick(blocks.stats, train))
-    chosen, _ = select_additive(half, pick(target, train), k, supervised_cost)
-    out = {}
-    for name, m in (("train", train), ("held_out", ~train)):
-        s, t = pick({g: blocks.stats[g][chosen].sum(0) for g in ("sws", "scf", "n")}, m), pick(target, m)
-        a, b = s["sws"] / s["n"], t["sws"] / t["n"]
-        out[name] = float(100 * np.sqrt((((a / a.mean()) / (b / b.mean()) - 1) ** 2).mean()))
-    return out

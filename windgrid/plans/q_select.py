@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import points as PT
 from ..operators import selection as S
 from .q_aggs import BINNED
 from .registry import query, r
@@ -116,27 +118,60 @@ def _(i):
 
 
 def _points(i):
-    return S.point_statistics(i.forcing_v, 2, 20)
+    return PT.point_sums(i.forcing_v, 2, 20)
 
 
 @query("sel8_supervised")
 def _(i):
-    blocks, target = _points(i)
-    chosen, _ = S.select_additive(blocks, {g: target[g] for g in ("sws", "scf", "n")}, 7, S.supervised_cost, restarts=6)
-    return _table(i, blocks, _even(chosen))
+    table = _points(i)
+    chosen, _ = PT.select(table, 7, restarts=6)
+    return _table(i, table.blocks, _even(chosen))
+
+
+# Every block alone against the whole record, at every point; a point without rows in a block has the mean 0.
+ALONE = f"""WITH {BINNED}, days AS (SELECT CAST(time AS DATE) AS day, pixel, sect, count(*) AS n, sum(ws) AS s, sum(cf) AS c, sum(ws3) AS e FROM binned GROUP BY ALL),
+    day_n AS (SELECT day, sum(n) AS n FROM days GROUP BY 1), valid AS (SELECT a.day AS start FROM day_n a JOIN day_n b ON b.day = a.day + 1 WHERE a.n + b.n >= 40),
+    own AS (SELECT start, pixel, sect, sum(n) AS n, sum(s) AS s, sum(c) AS c, sum(e) AS e FROM valid JOIN days ON days.day = start OR days.day = start + 1 GROUP BY ALL),
+    whole AS (SELECT pixel, sum(s) / sum(n) AS f, sum(c) / sum(n) AS g FROM days GROUP BY 1),
+    m AS (SELECT v.start, w.pixel, f, g, coalesce(sum(s) / sum(n), 0) AS m, coalesce(sum(c) / sum(n), 0) AS a FROM valid v CROSS JOIN whole w LEFT JOIN own o ON o.start = v.start AND o.pixel = w.pixel GROUP BY ALL),
+    z AS (SELECT *, avg(m) OVER b AS mm, avg(a) OVER b AS aa, avg(f) OVER b AS ff, avg(g) OVER b AS gg FROM m WINDOW b AS (PARTITION BY start)),
+    level AS (SELECT start, any_value(abs(mm / ff - 1) + abs(aa / gg - 1)) AS level, sqrt(avg(power((m / mm) / (f / ff) - 1, 2))) AS pattern, sqrt(avg(power((a / aa) / (g / gg) - 1, 2))) AS pattern_cf FROM z GROUP BY 1),
+    r AS (SELECT pixel, sect, sum(n) / sum(sum(n)) OVER w AS p, sum(e) / sum(sum(e)) OVER w AS q FROM days GROUP BY pixel, sect WINDOW w AS (PARTITION BY pixel)),
+    x AS (SELECT start, pixel, sect, n / sum(n) OVER w AS p, e / sum(e) OVER w AS q FROM own WINDOW w AS (PARTITION BY start, pixel)),
+    rose AS (SELECT v.start, 0.5 * sum(abs(coalesce(x.p, 0) - r.p)) / (SELECT count(*) FROM whole) AS rose, 0.5 * sum(abs(coalesce(x.q, 0) - r.q)) / (SELECT count(*) FROM whole) AS rose_energy
+        FROM valid v CROSS JOIN r LEFT JOIN x ON x.start = v.start AND x.pixel = r.pixel AND x.sect = r.sect GROUP BY 1)"""
+
+
+@query("sel8_candidate_costs", f"{ALONE} SELECT start, round(level + 2 * pattern + 2 * pattern_cf, 6) AS cost FROM level")
+def _(i):
+    """What the first step of the supervised search sees: the cost of every block by itself."""
+    return _costs(i, _points(i), 0.0)
+
+
+@query("sel9_candidate_costs", f"{ALONE} SELECT start, round(level + 2 * pattern + rose + rose_energy, 6) AS cost FROM level JOIN rose USING (start)")
+def _(i):
+    return _costs(i, _points(i), 1.0)
+
+
+def _costs(i, table: PT.PointSums, direction: float):
+    every = np.arange(len(table.blocks.start))
+    cost = table.cost(table.evaluate([([], every)])[0], direction) if len(every) else every
+    rows = [(dt.date.fromordinal(int(d)), round(float(v), 6)) for d, v in zip(table.blocks.start, cost, strict=True)]
+    return i.spark.createDataFrame(rows, "start date, cost double")
 
 
 @query("sel9_directional")
 def _(i):
-    blocks, target = _points(i)
-    chosen, _ = S.select_additive(blocks, target, 7, lambda s, t: S.supervised_cost(s, t, 1.0))
-    return _table(i, blocks, _even(chosen))
+    table = _points(i)
+    chosen, _ = PT.select(table, 7, 1.0)
+    return _table(i, table.blocks, _even(chosen))
 
 
 @query("sel10_hold_out")
 def _(i):
-    blocks, target = _points(i)
-    return i.spark.createDataFrame([(k, round(v, 6)) for k, v in S.hold_out(blocks, target, 7).items()], "half string, pattern_rms double")
+    found = PT.hold_out(i.forcing_v, 2, 20, 7)
+    rows = [(half, *[round(e[c], 6) for c in ("speed", "cf", "speed_pattern", "cf_pattern")]) for half, e in found.items()]
+    return i.spark.createDataFrame(rows, "half string, mean_error double, aep_error double, pattern_rms double, aep_pattern_rms double")
 
 
 @query("sel11_domain_series")
