@@ -63,3 +63,15 @@ def fetch_log(attempts: DataFrame, key: str) -> DataFrame:
     failed = F.col("error").isNotNull() | (F.coalesce("bytes", F.lit(0)) <= 0)
     outcome = F.when(F.col("error").isNotNull(), F.col("error")).when(failed, "empty").otherwise("ok")
     return attempts.groupBy(key).agg(F.count(F.lit(1)).alias("tries"), F.count_if(failed).alias("failures"), F.max_by(outcome, "at").alias("last"))
+
+
+def run_tree(plan: DataFrame, settings: Column, inputs: Column, fields: str) -> DataFrame:
+    """path, content of every file of the runs that a plan (run, action) stages: the settings, the list of inputs to link, the list of output fields.
+
+    settings: the run's namelist text. inputs: array of the names of its input files; they stay where they are, and the list names each with
+    its place relative to the run.
+    """
+    links = F.array_join(F.transform(inputs, lambda f: F.concat(f, F.lit(" -> ../../met/"), F.col("run"), F.lit("/"), f)), "\n")
+    made = {"namelist.input": settings, "links.txt": F.concat(links, F.lit("\n")), "fields.txt": F.lit(fields)}
+    each = F.array(*[F.struct(F.lit(name).alias("name"), text.alias("text")) for name, text in made.items()])
+    return plan.where("action = 'stage'").select("run", F.inline(each)).select(F.concat_ws("/", "run", "name").alias("path"), F.encode("text", "UTF-8").alias("content"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import campaign as OC
-from ..sources import config, files, folder, gridded, modellog, namelist, netcdf, tiles, wps, wrg
+from ..sources import config, files, folder, gridded, maps, modellog, namelist, netcdf, tiles, windows, wps, wrg
 from ..streaming import windows as SW
 from .q_aggs import LOG
 from .registry import count, query, r
@@ -222,16 +222,44 @@ TILES = """WITH v AS (SELECT i, j, hgt FROM raster_v WHERE (i + j) % 7 <> 0 AND
     SELECT format('{:05d}-{:05d}.{:05d}-{:05d}', tx * 10 + 1, tx * 10 + 10, ty * 10 + 1, ty * 10 + 10) AS path, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round_even(hgt, 0) + 0.0 AS value FROM c LEFT JOIN v USING (i, j)"""
 
 
+def _known(i):
+    return i.raster_v.where("(i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10)")
+
+
+def _tile_folder(i) -> str:
+    """Tiles of ten by ten cells with a border of two; one holds nothing and isn't made."""
+    to = scratch.path(i.spark)
+    folder.write(tiles.contents(_known(i), "hgt", 10, 2), to)
+    return to
+
+
 @query("src17_terrain_tiles", TILES)
 def _(i):
-    """Tiles of ten by ten cells with a border of two, as files and read back; one tile holds nothing and isn't made."""
-    known = i.raster_v.where("(i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10)")
-    to = scratch.path(i.spark)
-    folder.write(tiles.contents(known, "hgt", 10, 2), to)
-    made = i.spark.read.format("binaryFile").load(to).select(F.substring_index("path", "/", -1).alias("path"), "content")
+    """Tiles as files and read back, with their borders."""
+    made = i.spark.read.format("binaryFile").load(_tile_folder(i)).select(F.substring_index("path", "/", -1).alias("path"), "content")
     return tiles.parse(made, 10, 2)
 
 
+@query("src16_windows", """WITH w AS (SELECT s_suppkey AS win, CAST((s_suppkey * 7) % 50 - 8 AS INT) AS x0, CAST((s_suppkey * 3) % 40 - 6 AS INT) AS y0 FROM supplier),
+    x AS (SELECT win, x0 + CAST(a AS INT) AS i, y0 FROM w, range(0, 13) a(a)), c AS (SELECT win, i, y0 + CAST(b AS INT) AS j FROM x, range(0, 9) b(b))
+    SELECT c.win, c.i, c.j, round_even(hgt, 0) + 0.0 AS value FROM c LEFT JOIN (SELECT * FROM raster_v WHERE (i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10)) r ON r.i = c.i AND r.j = c.j""")
+def _(i):
+    """Windows of 13 by 9 cells over tiles of ten, across their edges and beyond the raster; one tile was never made."""
+    x0, y0 = (c("s_suppkey") * 7 % 50 - 8), (c("s_suppkey") * 3 % 40 - 6)
+    asked = i.supplier.select(c("s_suppkey").alias("window"), x0.alias("x0"), y0.alias("y0"), (x0 + 12).alias("x1"), (y0 + 8).alias("y1"))
+    made = i.spark.read.format("binaryFile").load(_tile_folder(i)).select("path")
+    return windows.read(asked, made, 10, 2).withColumnRenamed("window", "win")
+
+
+@query("src19_map_pyramid", """WITH p AS (SELECT l.level, i // (1 << l.level) AS i, j // (1 << l.level) AS j, hgt FROM raster_v, (VALUES (0), (1), (2), (3)) l(level) WHERE (i + j) % 7 <> 0 AND NOT (i < 10 AND j < 10))
+    SELECT CAST(level AS INT) AS level, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(floor(greatest(0, least(1, (avg(hgt) - 900) / 1200)) * 255 + 0.5) AS INT) AS grey FROM p GROUP BY 1, 2, 3""")
+def _(i):
+    """Four levels of images of 16 by 16 cells, as files and read back."""
+    to = scratch.path(i.spark)
+    folder.write(maps.images(maps.levels(_known(i), "hgt", 4), 900.0, 2100.0, 16), to)
+    return maps.parse(i.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(to), 16)
+
+
 @query("src18_tile_names", "SELECT CAST(s_suppkey % 60 - 30 AS INT) AS lat, CAST(-(s_suppkey * 7 % 180) AS INT) AS lon, s_suppkey AS id FROM supplier")
 def _(i):
     lat, lon = c("s_suppkey") % 60 - 30, c("s_suppkey") * 7 % 180
@@ -348,6 +376,30 @@ def _(i):
     return out
 
 
+TREE = """WITH m AS (SELECT run, sample_start::TIMESTAMP - INTERVAL 6 HOURS AS begin_, sample_start::TIMESTAMP + to_days(days) AS end_, chr(10) AS nl, chr(39) AS q FROM manifest_v WHERE day(sample_start) % 3 = 0),
+    t AS (SELECT run, nl, unnest(generate_series(begin_, end_, INTERVAL 3 HOURS)) AS t FROM m),
+    l AS (SELECT run, string_agg('met_em.' || strftime(t, '%Y-%m-%d_%H') || ' -> ../../met/' || run || '/met_em.' || strftime(t, '%Y-%m-%d_%H') || nl, '' ORDER BY t) AS text FROM t GROUP BY 1),
+    f AS (SELECT run || '/links.txt' AS path, text FROM l UNION ALL SELECT run || '/fields.txt', 'ws wd' || nl FROM m
+        UNION ALL SELECT run || '/namelist.input', '&share' || nl || ' start_date = ' || q || strftime(begin_, '%Y-%m-%d_%H:%M:%S') || q || ',' || nl || ' end_date = ' || q || strftime(end_, '%Y-%m-%d_%H:%M:%S') || q || ',' || nl || '/' || nl FROM m)
+    SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM f"""
+
+
+@query("ops7_run_tree", TREE)
+def _(i):
+    """The folders of the runs to stage, written by tasks and read back; written twice, as after a failure."""
+    from ..functions import campaign as C
+
+    plan = OC.stage_plan(i.manifest_v, i.manifest_v.select("run", (F.day("sample_start") % 3).alias("frames")))
+    text = namelist.text({"share": {"start_date": namelist.stamp(c("begin").cast("timestamp")), "end_date": namelist.stamp(c("end").cast("timestamp"))}})
+    inputs = F.transform(C.forcing_times(c("begin"), c("end")), lambda t: F.concat(F.lit("met_em."), F.date_format(t, "yyyy-MM-dd_HH")))
+    staged = OC.run_tree(plan.withColumns({"_text": text, "_inputs": inputs}), c("_text"), c("_inputs"), "ws wd\n")
+    to = scratch.path(i.spark)
+    for _ in range(2):
+        folder.write(staged, to)
+    back = i.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(to)
+    return back.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("path"), c("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("stream_windowed_rose", "SELECT date_trunc('hour', time) AS begin, CAST(floor(((wd + 15) % 360) / 30) AS INT) AS sector, count(*) AS n, round(sum(ws * ws * ws), 5) AS energy FROM obs_v GROUP BY 1, 2")
 def _(i):
     obs = i.obs_v.withColumn("time", c("time").cast("timestamp"))
