@@ -110,6 +110,39 @@ def _(i):
     return _table(i, blocks, _even(chosen))
 
 
+_LONG_OF = "unnest([{'grp': 'dir_spd', 'bin': sect * 6 + spd, 'v': 1.0::DOUBLE}, {'grp': 'dir_spd_e', 'bin': sect * 6 + spd, 'v': ws3}, {'grp': 'dir_stab', 'bin': sect * 5 + stab, 'v': 1.0}, {'grp': 'spd_stab', 'bin': spd * 5 + stab, 'v': 1.0}, {'grp': 'month', 'bin': month0, 'v': 1.0}, {'grp': 'slot', 'bin': slot, 'v': 1.0}, {'grp': 'scalar', 'bin': 0, 'v': ws}, {'grp': 'scalar', 'bin': 1, 'v': ws3}, {'grp': 'scalar', 'bin': 2, 'v': cf}], recursive := true)"
+_HEAD, _, _LAST = FEATURES.rpartition("\n    SELECT start, grp, bin, ")
+_FIRST = f"""{_HEAD}, fx AS (SELECT start, grp, bin, {_LAST.replace("round(", "(", 1).replace(", 6) AS value", ") AS value")}), tl AS (SELECT {_LONG_OF} FROM binned),
+    tn AS (SELECT grp, bin, sum(v) AS v FROM tl GROUP BY 1, 2), tt AS (SELECT grp, bin, sqrt(w) * CASE WHEN grp = 'scalar' THEN 1 ELSE v / sum(v) OVER (PARTITION BY grp) END AS t FROM tn JOIN w USING (grp)),
+    s AS (SELECT start, sum(value * value) AS g, sum(value * t) AS r FROM fx JOIN tt USING (grp, bin) GROUP BY 1), q AS (SELECT sum(t * t) AS tt FROM tt)
+    SELECT start, round(w, 6) AS weight, round(sqrt(greatest(0, w * w * g - 2 * w * r + tt)), 6) AS distance FROM (SELECT *, least(0.15::DOUBLE, greatest(0, (r + 2500) / (g + 2500))) AS w FROM s), q"""
+
+
+@query("sel15_candidate_distances", _FIRST)
+def _(i):
+    """What the first step of the final selection sees: every day's best weight by itself, and its distance to the whole record."""
+    blocks, a, t = S.design_matrix(i.forcing_v, 1)
+    fit, every = S.Fitter(a, t, 6 / 40), np.arange(len(blocks.start))
+    more = S.SUM_WEIGHT**2
+    weight = np.clip((fit.rhs + more) / (np.diag(fit.gram) + more), 0, fit.high)
+    rows = [(dt.date.fromordinal(int(d)), round(float(w), 6), round(float(v), 6)) for d, w, v in zip(blocks.start, weight, fit.with_each([], every), strict=True)]
+    return i.spark.createDataFrame(rows, "start date, weight double, distance double")
+
+
+@query("sel7_candidate_costs", f"""WITH {BINNED}, day_n AS (SELECT CAST(time AS DATE) AS day, count(*) AS n FROM binned GROUP BY 1), valid AS (SELECT a.day AS start FROM day_n a JOIN day_n b ON b.day = a.day + 1 WHERE a.n + b.n >= 40),
+    ls AS (SELECT CAST(time AS DATE) AS day, unnest([{{'g': 'freq', 'b': sect * 6 + spd, 'v': 1.0::DOUBLE}}, {{'g': 'energy', 'b': sect * 6 + spd, 'v': ws3}}, {{'g': 'month', 'b': month0, 'v': 1.0}}, {{'g': 'hour', 'b': CAST(hour(time) // 6 AS INT), 'v': 1.0}}], recursive := true) FROM binned),
+    s AS (SELECT start, g, b, sum(v) AS v FROM valid JOIN ls ON ls.day = start OR ls.day = start + 1 GROUP BY ALL), sn AS (SELECT start, g, sum(v) AS n FROM s GROUP BY ALL),
+    t AS (SELECT g, b, v / sum(v) OVER (PARTITION BY g) AS share FROM (SELECT g, b, sum(v) AS v FROM ls GROUP BY 1, 2)), w AS (SELECT * FROM (VALUES ('freq', 1.0::DOUBLE), ('energy', 1.0), ('month', 0.3), ('hour', 0.3)) w(g, w)),
+    d AS (SELECT sn.start, sum(w.w * abs(coalesce(s.v, 0) / sn.n - t.share)) AS d FROM sn JOIN t USING (g) JOIN w USING (g) LEFT JOIN s ON s.start = sn.start AND s.g = t.g AND s.b = t.b GROUP BY 1),
+    m AS (SELECT start, avg(ws) AS ws, avg(ws3) AS ws3, avg(cf) AS cf FROM valid JOIN binned ON CAST(time AS DATE) = start OR CAST(time AS DATE) = start + 1 GROUP BY 1), f AS (SELECT avg(ws) AS fws, avg(ws3) AS fws3, avg(cf) AS fcf FROM binned)
+    SELECT start, round(d + 3 * abs(ws / fws - 1) + 3 * abs(ws3 / fws3 - 1) + 4 * abs(cf / fcf - 1), 6) AS cost FROM d JOIN m USING (start), f""")
+def _(i):
+    """The same of the selection with level terms: the cost of every block by itself."""
+    blocks, target = S.additive_statistics(i.forcing_v, 2, 20)
+    cost = S.distance_v2({g: blocks.stats[g] for g in target}, target) if len(blocks.start) else []
+    return i.spark.createDataFrame([(dt.date.fromordinal(int(d)), round(float(v), 6)) for d, v in zip(blocks.start, cost, strict=True)], "start date, cost double")
+
+
 @query("sel7_greedy_v2")
 def _(i):
     blocks, target = S.additive_statistics(i.forcing_v, 2, 20)
