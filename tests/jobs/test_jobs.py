@@ -177,3 +177,22 @@ def test_command_line(spark, tmp_path):
         assert got.returncode == 0, got.stderr[-2000:]
         assert f"read {documents} new documents" in got.stderr
     assert {r["bin"] for r in spark.read.parquet(str(tmp_path / "out")).where("feature = 'words'").collect()} <= {"0", "1", "2"}
+
+
+@pytest.mark.parametrize("name", sorted(jobs.QUERIES))
+def test_registered_runs_equal_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tests.conftest import DATA
+
+    sf = DATA / "sf0.001"
+    if not sf.exists():
+        pytest.skip("no test tables")
+    c = duckdb.connect()
+    for p in sf.glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    cursor = c.execute(jobs.SQL[name])
+    place = {d[0]: k for k, d in enumerate(cursor.description)}
+    df = jobs.QUERIES[name](spark, str(sf))
+    assert sorted(df.columns) == sorted(place)
+    want = sorted(str(tuple(r[place[n]] for n in df.columns)) for r in cursor.fetchall())
+    assert want and sorted(str(tuple(r)) for r in df.collect()) == want
