@@ -1060,3 +1060,23 @@ def test_pipeline_packs_the_plain_ids(spark, sf, docs):
     for r in docs.collect():
         texts.setdefault(r["doc_id"], set()).add(crc(r["text"] or ""))
     assert whole and all(r["ids_crc32"] in texts[r["doc_id"]] for r in whole)
+
+
+def test_whitening_query_on_the_given_table(spark):
+    from tests.conftest import DATA
+
+    sf = DATA / "sf0.001"
+    if not sf.exists():
+        pytest.skip("no test tables")
+    given = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(str(sf / "embeddings.parquet")).collect()]
+    kept = [(i, v) for i, v in given if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    n, deviations, white, values = brute_whitening([v for _, v in kept], max(len(v) for _, v in kept))
+    got = whitening.query(spark, str(sf)).collect()
+    assert len(got) == 8 * n and {r["n"] for r in got} == {n} and {r["identity_error"] for r in got} == {got[0]["identity_error"]}
+    assert got[0]["identity_error"] < 1e-9
+    at = {(r["vec_id"], r["component"]): r for r in got}
+    for c in range(1, 9):
+        a = np.array([at[i, c]["whitened"] for i, _ in kept])
+        assert min(np.abs(a - white[:, c - 1]).max(), np.abs(a + white[:, c - 1]).max()) < 1e-6
+        assert [at[i, c]["deviation"] for i, _ in kept] == deviations
+        assert np.isclose(at[kept[0][0], c]["explained"], values[c - 1] / values.sum(), rtol=1e-9)
