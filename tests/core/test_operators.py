@@ -173,6 +173,15 @@ def test_settings_and_fetches(spark):
     assert {tuple(r) for r in campaign.to_fetch(spark.range(1, 4).select(F.col("id").cast("int").alias("k")), have, "k").collect()} == {(2, "empty"), (3, "missing")}
 
 
+def test_quantiles_leave_out_what_is_not_finite(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (None, float("nan"), inf, -inf, inf, 1.0, 2.0, 4.0, 8.0, 1e308, -1e308)], "v double")
+    x = [1.0, 2.0, 4.0, 8.0, 1e308, -1e308]
+    for few in (1, 2, 100):
+        assert quantiles.quantiles(df, F.col("v"), [0.0, 0.2, 0.4, 0.6, 1.0], few) == sorted(x)[:4] + [max(x)]
+    assert quantiles.quantiles(df.where("v = double('inf')"), F.col("v"), [0.5]) == [None]
+
+
 def test_quantiles_narrow_ranges(spark):
     rng = np.random.default_rng(8)
     for x in (rng.normal(size=3000), np.repeat([1.0, 5.0], 1500), np.concatenate([rng.exponential(size=2900), [1e9] * 100]), np.array([3.0]), np.array([-1e308, 1e308, 0.0])):

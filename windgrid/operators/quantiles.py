@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.physics import finite
+
 #: Bins of a histogram, and rows that are few enough to be sorted by one task.
 BINS, FEW = 4096, 100_000
 
@@ -33,11 +35,11 @@ def _at_ranks(values: DataFrame, n: int, low: float, high: float, ranks: list[in
 
 
 def quantiles(df: DataFrame, value: Column, shares: list[float], few: int = FEW) -> list[float | None]:
-    """The quantiles at these shares, interpolated linearly between neighbours; null without values. Nulls and NaN are left out, values are finite.
+    """The quantiles at these shares, interpolated linearly between neighbours; null without values. Nulls, NaN and infinities are left out.
 
     A pass over df counts BINS bins; only those that hold a wanted rank are passed over again, until at most `few` rows are sorted by one task.
     """
-    values = df.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    values = df.select(value.cast("double").alias("v")).where(finite(F.col("v")))
     n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
     if not n:
         return [None] * len(shares)
@@ -48,5 +50,5 @@ def quantiles(df: DataFrame, value: Column, shares: list[float], few: int = FEW)
 
 
 def literals(df: DataFrame, value: Column, named: dict[str, float]) -> list[Column]:
-    """quantiles() as named literal columns."""
+    """quantiles() as named literal columns. They are computed by some jobs when this is called, while the caller's plan is built, and not when that plan runs."""
     return [F.lit(q).cast("double").alias(name) for name, q in zip(named, quantiles(df, value, list(named.values())), strict=True)]
