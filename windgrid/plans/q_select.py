@@ -1,4 +1,4 @@
-"""Selection of representative blocks. Searches are iterative, so they are checked by invariants (tests) and rows."""
+"""Selection of representative blocks. Searches are iterative; where SQL can walk the same steps it does, the others are checked by invariants (tests) and rows."""
 
 from __future__ import annotations
 
@@ -26,6 +26,58 @@ def _(i):
     return S.scaled(S.features(i.forcing_v, 1)).select("start", "grp", "bin", r(c("value")).alias("value"))
 
 
+_LONG_OF = "unnest([{'grp': 'dir_spd', 'bin': sect * 6 + spd, 'v': 1.0::DOUBLE}, {'grp': 'dir_spd_e', 'bin': sect * 6 + spd, 'v': ws3}, {'grp': 'dir_stab', 'bin': sect * 5 + stab, 'v': 1.0}, {'grp': 'spd_stab', 'bin': spd * 5 + stab, 'v': 1.0}, {'grp': 'month', 'bin': month0, 'v': 1.0}, {'grp': 'slot', 'bin': slot, 'v': 1.0}, {'grp': 'scalar', 'bin': 0, 'v': ws}, {'grp': 'scalar', 'bin': 1, 'v': ws3}, {'grp': 'scalar', 'bin': 2, 'v': cf}], recursive := true)"
+_HEAD, _, _LAST = FEATURES.rpartition("\n    SELECT start, grp, bin, ")
+_SCALED = f"""{_HEAD}, fx AS (SELECT start, grp, bin, {_LAST.replace("round(", "(", 1).replace(", 6) AS value", ") AS value")}), tl AS (SELECT {_LONG_OF} FROM binned),
+    tn AS (SELECT grp, bin, sum(v) AS v FROM tl GROUP BY 1, 2), tt AS (SELECT grp, bin, sqrt(w) * CASE WHEN grp = 'scalar' THEN 1 ELSE v / sum(v) OVER (PARTITION BY grp) END AS t FROM tn JOIN w USING (grp))"""
+_FIRST = f"""{_SCALED},
+    s AS (SELECT start, sum(value * value) AS g, sum(value * t) AS r FROM fx JOIN tt USING (grp, bin) GROUP BY 1), q AS (SELECT sum(t * t) AS tt FROM tt)
+    SELECT start, round(w, 6) AS weight, round(sqrt(greatest(0, w * w * g - 2 * w * r + tt)), 6) AS distance FROM (SELECT *, least(0.15::DOUBLE, greatest(0, (r + 2500) / (g + 2500))) AS w FROM s), q"""
+
+
+def _walk(k: int, length: int, base: str, score: str, cost: str) -> str:
+    """Forward steps, then exchanges, as a recursion over one row: the chosen starts, the sum of their vectors, the place whose turn it is (0: growing).
+
+    Needs cand (start, v: the block's vector, and what cost uses of it) and goal (one row). m blocks with the sum b stay; base are columns made of them, score
+    orders the candidates that are costed (the highest 250; a constant: all in order of their start), cost is that of a candidate beside them.
+    """
+    sums = lambda sign, x, y: f"list_transform(list_zip({x}, {y}), lambda p: p[1] {sign} p[2])"
+    few = "QUALIFY row_number() OVER (ORDER BY score DESC, start) <= 250" if score else ""
+    return f"""walk AS (SELECT CAST([] AS DATE[]) AS chosen, (SELECT list_transform(any_value(v), lambda x: 0.0::DOUBLE) FROM cand) AS acc, {k} AS k, 0 AS place, false AS better, NOT EXISTS (SELECT 1 FROM cand) AS done
+        UNION ALL (WITH o AS (SELECT walk.*, g.start AS gone, len(chosen) - CASE WHEN place > 0 THEN 1 ELSE 0 END AS m, CASE WHEN place > 0 THEN {sums("-", "acc", "g.v")} ELSE acc END AS b
+                FROM walk LEFT JOIN cand g ON place > 0 AND g.start = chosen[place] WHERE NOT done),
+            w AS (SELECT o.*, {base} FROM o, goal),
+            x AS (SELECT cand.start, cand.v, {score or "0"} AS score, {cost} AS c FROM w JOIN cand ON len(list_filter(chosen, lambda x: x IS DISTINCT FROM gone AND abs(cand.start - x) < {length})) = 0, goal),
+            y AS (SELECT * FROM x {few}), best AS (SELECT start, v, c FROM y ORDER BY round(c, 12), start LIMIT 1), now AS (SELECT x.c AS now FROM x JOIN o ON x.start = o.gone),
+            z AS (SELECT o.*, start, v, place > 0 AND coalesce(c < now - 1e-12, false) AS swaps, place = 0 AND start IS NOT NULL AS grows FROM o LEFT JOIN best ON true LEFT JOIN now ON true)
+            SELECT CASE WHEN grows THEN list_append(chosen, start) WHEN swaps THEN list_transform(chosen, lambda x: CASE WHEN x = gone THEN start ELSE x END) ELSE chosen END,
+                CASE WHEN grows OR swaps THEN {sums("+", "b", "v")} ELSE acc END, CASE WHEN place = 0 AND NOT grows THEN len(chosen) ELSE k END,
+                CASE WHEN place = 0 THEN CASE WHEN grows AND len(chosen) + 1 < k THEN 0 ELSE 1 END WHEN place < k THEN place + 1 ELSE 1 END,
+                place > 0 AND place < k AND (better OR swaps), place > 0 AND place >= k AND NOT (better OR swaps) FROM z))"""
+
+
+_EQUAL = f"""{_SCALED.replace("WITH ", "WITH RECURSIVE ", 1)}, tp AS (SELECT grp, bin, t, row_number() OVER (ORDER BY grp, bin) AS p FROM tt), goal AS MATERIALIZED (SELECT list(t ORDER BY p) AS t, sum(t * t) AS tt FROM tp),
+    cand AS MATERIALIZED (SELECT e.*, list_inner_product(v, v) AS vv, list_inner_product(v, goal.t) AS vt FROM (SELECT s.start, list(coalesce(value, 0) ORDER BY p) AS v FROM (SELECT DISTINCT start FROM fx) s CROSS JOIN tp LEFT JOIN fx ON fx.start = s.start AND fx.grp = tp.grp AND fx.bin = tp.bin GROUP BY 1) e, goal),
+    {_walk(8, 1, "list_inner_product(b, b) AS bb, list_inner_product(b, goal.t) AS bt", "vt - CASE WHEN m > 0 THEN list_inner_product(b, cand.v) / m ELSE 0 END", "sqrt(greatest(0, (bb + 2 * list_inner_product(b, cand.v) + vv) / (m + 1) ** 2 - 2 * (bt + vt) / (m + 1) + tt))")}
+    SELECT unnest(chosen) AS start, CAST(1 AS INT) AS days, round(1 / len(chosen)::DOUBLE, 5) AS weight FROM walk WHERE done"""
+
+
+def _additive_sql(k: int, least: int, record: str = "") -> str:
+    """The choice of k two-day blocks by four histograms and three levels, from first step to last exchange. record: what stands for forcing_v."""
+    rows = BINNED.replace("FROM forcing_v", f"FROM {record or 'forcing_v'}")
+    share = lambda part, n: f"list_sum(list_transform(list_zip(b[{part}], cand.v[{part}], goal.t[{part}]), lambda p: abs((p[1] + p[2]) / {n} - p[3])))"
+    n, e, level = "(b[161] + cand.v[161])", "(b[162] + cand.v[162])", lambda at, weight: f"{weight} * abs((b[{at}] + cand.v[{at}]) / (b[161] + cand.v[161]) / goal.t[{at}] - 1)"
+    return f"""{rows}, day_n AS (SELECT CAST(time AS DATE) AS day, count(*) AS n FROM binned GROUP BY 1), valid AS (SELECT a.day AS start FROM day_n a JOIN day_n b ON b.day = a.day + 1 WHERE a.n + b.n >= {2 * least}),
+    ls AS (SELECT CAST(time AS DATE) AS day, unnest([{{'p': 1 + sect * 6 + spd, 'v': 1.0::DOUBLE}}, {{'p': 73 + month0, 'v': 0.3}}, {{'p': 85 + CAST(hour(time) // 6 AS INT), 'v': 0.3}}, {{'p': 89 + sect * 6 + spd, 'v': ws3}},
+        {{'p': 161, 'v': 1.0}}, {{'p': 162, 'v': ws3}}, {{'p': 163, 'v': ws}}, {{'p': 164, 'v': cf}}], recursive := true) FROM binned),
+    spine AS (SELECT unnest(range(1, 165)) AS p), whole AS (SELECT p, coalesce(sum(v), 0) AS v FROM spine LEFT JOIN ls USING (p) GROUP BY 1), wn AS (SELECT max(v) FILTER (WHERE p = 161) AS n, max(v) FILTER (WHERE p = 162) AS e FROM whole),
+    goal AS MATERIALIZED (SELECT list(v / CASE WHEN p BETWEEN 89 AND 160 THEN e ELSE n END ORDER BY p) AS t FROM whole, wn), sums AS (SELECT start, p, sum(v) AS v FROM valid JOIN ls ON day = start OR day = start + 1 GROUP BY 1, 2),
+    cand AS MATERIALIZED (SELECT valid.start, list(coalesce(v, 0) ORDER BY p) AS v FROM valid CROSS JOIN spine LEFT JOIN sums USING (start, p) GROUP BY 1),
+    {_walk(k, 2, "0 AS nothing", "", f"{share('1:88', n)} + {share('89:160', e)} + {level(163, 3)} + {level(162, 3)} + {level(164, 4)}")}
+    SELECT unnest(chosen) AS start, CAST(2 AS INT) AS days, round(1 / len(chosen)::DOUBLE, 5) AS weight FROM walk WHERE done"""
+
+
+
 def _table(i, blocks, rows):
     """start, days, weight."""
     out = [(dt.date.fromordinal(int(blocks.start[j])), blocks.length, round(float(w), 5)) for j, w in rows]
@@ -69,7 +121,7 @@ def _(i):
     return _table(i, blocks, zip(chosen, w, strict=True))
 
 
-@query("sel4_equal_weights")
+@query("sel4_equal_weights", _EQUAL)
 def _(i):
     blocks, a, t = S.design_matrix(i.forcing_v, 1)
     chosen, w, _ = S.select_weighted(blocks, a, t, 8, weighted=False)
@@ -110,14 +162,6 @@ def _(i):
     return _table(i, blocks, _even(chosen))
 
 
-_LONG_OF = "unnest([{'grp': 'dir_spd', 'bin': sect * 6 + spd, 'v': 1.0::DOUBLE}, {'grp': 'dir_spd_e', 'bin': sect * 6 + spd, 'v': ws3}, {'grp': 'dir_stab', 'bin': sect * 5 + stab, 'v': 1.0}, {'grp': 'spd_stab', 'bin': spd * 5 + stab, 'v': 1.0}, {'grp': 'month', 'bin': month0, 'v': 1.0}, {'grp': 'slot', 'bin': slot, 'v': 1.0}, {'grp': 'scalar', 'bin': 0, 'v': ws}, {'grp': 'scalar', 'bin': 1, 'v': ws3}, {'grp': 'scalar', 'bin': 2, 'v': cf}], recursive := true)"
-_HEAD, _, _LAST = FEATURES.rpartition("\n    SELECT start, grp, bin, ")
-_FIRST = f"""{_HEAD}, fx AS (SELECT start, grp, bin, {_LAST.replace("round(", "(", 1).replace(", 6) AS value", ") AS value")}), tl AS (SELECT {_LONG_OF} FROM binned),
-    tn AS (SELECT grp, bin, sum(v) AS v FROM tl GROUP BY 1, 2), tt AS (SELECT grp, bin, sqrt(w) * CASE WHEN grp = 'scalar' THEN 1 ELSE v / sum(v) OVER (PARTITION BY grp) END AS t FROM tn JOIN w USING (grp)),
-    s AS (SELECT start, sum(value * value) AS g, sum(value * t) AS r FROM fx JOIN tt USING (grp, bin) GROUP BY 1), q AS (SELECT sum(t * t) AS tt FROM tt)
-    SELECT start, round(w, 6) AS weight, round(sqrt(greatest(0, w * w * g - 2 * w * r + tt)), 6) AS distance FROM (SELECT *, least(0.15::DOUBLE, greatest(0, (r + 2500) / (g + 2500))) AS w FROM s), q"""
-
-
 @query("sel15_candidate_distances", _FIRST)
 def _(i):
     """What the first step of the final selection sees: every day's best weight by itself, and its distance to the whole record."""
@@ -143,7 +187,7 @@ def _(i):
     return i.spark.createDataFrame([(dt.date.fromordinal(int(d)), round(float(v), 6)) for d, v in zip(blocks.start, cost, strict=True)], "start date, cost double")
 
 
-@query("sel7_greedy_v2")
+@query("sel7_greedy_v2", f"WITH RECURSIVE {_additive_sql(7, 20)}")
 def _(i):
     blocks, target = S.additive_statistics(i.forcing_v, 2, 20)
     chosen, _ = S.select_additive(blocks, target, 7, S.distance_v2)
@@ -207,7 +251,11 @@ def _(i):
     return i.spark.createDataFrame(rows, "half string, mean_error double, aep_error double, pattern_rms double, aep_pattern_rms double")
 
 
-@query("sel11_domain_series")
+_SERIES = f"""WITH RECURSIVE series AS (SELECT time, ws, ri_b, (degrees(atan2(-u, -v)) + 720) % 360 AS wd FROM (SELECT time, avg(ws) AS ws, avg(ri_b) AS ri_b, avg(-ws * sin(radians(wd))) AS u, avg(-ws * cos(radians(wd))) AS v FROM forcing_v GROUP BY 1)),
+    {_additive_sql(5, 4, "series")}"""
+
+
+@query("sel11_domain_series", _SERIES)
 def _(i):
     """The v2 selector on the mean over all points."""
     u = F.avg(-c("ws") * F.sin(F.radians("wd")))
