@@ -156,6 +156,58 @@ def test_cube_scans_one_lane(spark, tmp_path):
     assert files.read_cube(spark, f"{tmp_path}/cube").select("time", "pixel", "height", "ws").exceptAll(df.select("time", "pixel", "height", "ws")).count() == 0
 
 
+def _scanned(df):
+    """Rows that the scan of df hands on: those of the row groups and pages that its filters leave."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        stack += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName().startswith("Scan"):
+            found.append(node.metrics().apply("numOutputRows").value())
+    return sum(found)
+
+
+def test_cube_along_the_curve_skips_by_pixel_and_by_time(spark, tmp_path):
+    n = 128
+    df = spark.range(n * n).selectExpr("CAST(id % 128 AS INT) AS pixel", "TIMESTAMP_NTZ '2001-01-01 00:00:00' + make_dt_interval(0, CAST(id DIV 128 AS INT)) AS time", "80 AS height", "CAST(id AS DOUBLE) AS ws")
+    files.write_curve_cube(df, f"{tmp_path}/curve", lanes=1, files=64)
+    cube = files.read_cube(spark, f"{tmp_path}/curve")
+    assert cube.select(df.columns).exceptAll(df).count() == 0 and cube.count() == n * n
+    at = dt.datetime(2001, 1, 2, 10)
+    hour = {"since": at, "before": at + dt.timedelta(hours=1)}
+    history, moment = cube.where("pixel = 40"), files.read_cube(spark, f"{tmp_path}/curve", [80], **hour)
+    assert history.count() == moment.count() == n
+    # a file is about 16 pixels by 16 times: 8 of 64 hold a pixel, 8 a time; the bounds of files come from a sample, hence the room
+    assert _scanned(history) <= n * n // 3 and _scanned(moment) <= n * n // 3
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        files.write_cube(df, f"{tmp_path}/pixels", lanes=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by_pixel = files.read_cube(spark, f"{tmp_path}/pixels", **hour)
+    assert by_pixel.count() == n and _scanned(by_pixel) == n * n  # what the order of pixels can't skip
+
+
+def test_curve_cube_of_odd_tables(spark, tmp_path):
+    schema = "time timestamp_ntz, pixel int, height int, ws double, lane_name string"
+    rows = [(None, 3, 80, 1.0, "a"), (dt.datetime(2001, 1, 1), None, 80, 2.0, "b"), (dt.datetime(2001, 1, 1), 3, 80, 3.0, None), (dt.datetime(2001, 1, 1), 3, 80, 3.0, None)]
+    for name, some in (("some", rows), ("one", rows[2:3]), ("none", [])):
+        df = spark.createDataFrame(some, schema)
+        files.write_curve_cube(df, f"{tmp_path}/{name}")
+        got = [] if not some else files.read_cube(spark, f"{tmp_path}/{name}").select(df.columns).collect()
+        assert sorted(map(str, got)) == sorted(map(str, df.collect()))
+
+
+def test_curve_takes_bits_in_turns(spark):
+    from windgrid.functions import curve
+
+    got = spark.range(64).selectExpr("id % 8 AS x", "id DIV 8 AS y").withColumn("z", curve.interleaved(F.col("x"), F.col("y"), 3)).collect()
+    assert sorted(r["z"] for r in got) == list(range(64))
+    assert all(r["z"] == int("".join(a + b for a, b in zip(f"{r['y']:03b}", f"{r['x']:03b}")), 2) for r in got)
+
+
 def test_vectors_and_arrays_round_trip(spark):
     df = spark.createDataFrame([("m1", k, k / 7, -k / 3) for k in range(20)] + [("m2", 0, 5.0, 6.0)], "name string, at int, a double, b double")
     back = files.parse_npy(files.npy_contents(df, "name", "at", "a")).collect()

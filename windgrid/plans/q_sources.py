@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -155,6 +157,21 @@ def _(i):
     return files.read_cube(i.spark, _cube(i), [100], 0).select("event_id", "pixel", "time")
 
 
+_DAY = "time >= TIMESTAMP '2024-01-03 00:00:00' AND time < TIMESTAMP '2024-01-03 12:00:00'"
+_FEW = "pixel BETWEEN 20 AND 24"
+_SCANS = " UNION ALL ".join(f"SELECT '{name}' AS scan, 'lane ' || (pixel % 24) AS lane, count(*) AS n, count(DISTINCT pixel) AS pixels, round(sum(ws), 6) AS ws FROM obs_v WHERE {where} GROUP BY ALL" for name, where in (("pixels", _FEW), ("half a day", _DAY)))
+
+
+@query("src10_curve_scans", _SCANS)
+def _(i):
+    """A few pixels' whole history and all pixels' half day, from one cube along the curve: both skip most of its row groups."""
+    to = scratch.path(i.spark)
+    files.write_curve_cube(i.obs_v.withColumn("height", F.lit(100)), to)
+    found = [("pixels", files.read_cube(i.spark, to).where(_FEW)), ("half a day", files.read_cube(i.spark, to, since=dt.datetime(2024, 1, 3), before=dt.datetime(2024, 1, 3, 12)))]
+    one, two = (cube.groupBy(F.format_string("lane %d", F.pmod("pixel", F.lit(24))).alias("lane")).agg(count().alias("n"), F.count_distinct("pixel").alias("pixels"), r(F.sum("ws")).alias("ws")).withColumn("scan", F.lit(name)) for name, cube in found)
+    return one.unionByName(two)
+
+
 @query("src11_netcdf", "SELECT v AS variable, i, j, CASE v WHEN 'HGT_M' THEN round(hgt, 6) ELSE lu::DOUBLE END AS value, '100.0' AS dx FROM raster_v, (VALUES ('HGT_M'), ('LU_INDEX')) v(v)")
 def _(i):
     """The raster as netCDF classic files, one for each ten rows with its first row as an attribute; variables and attributes read back."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import curve
+
 SITE = "time TIMESTAMP_NTZ, t2 DOUBLE, tskin DOUBLE, u10 DOUBLE, v10 DOUBLE, psfc DOUBLE, snow DOUBLE, u10s DOUBLE, dT DOUBLE, ri_b DOUBLE"
 HUB = "time TIMESTAMP_NTZ, ws DOUBLE, wd DOUBLE, t2_h DOUBLE, psfc_h DOUBLE"
 SELECTION = "start DATE, days INT, weight DOUBLE"
@@ -49,14 +52,47 @@ def write_cube(df: DataFrame, path: str, lanes: int = LANES) -> None:
     laid.repartitionByRange("height", "lane", "pixel").sortWithinPartitions("height", "lane", "pixel", "time").write.partitionBy("height", "lane").parquet(path)
 
 
-def read_cube(spark: SparkSession, path: str, heights: list[int] | None = None, lane: int | None = None) -> DataFrame:
-    """A cube's rows; with heights or a lane, only those folders."""
+def _micros(time: Column) -> Column:
+    """Microseconds from 1970 on of a time without a zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), time.cast("timestamp_ntz"))
+
+
+#: Cells of the curve: 2^CURVE_BITS ranges of pixels by as many of times.
+CURVE_BITS = 12
+
+
+def write_curve_cube(df: DataFrame, path: str, lanes: int = LANES, files: int | None = None) -> None:
+    """The same folders with rows along a curve through pixels and times, so that files and row groups are small ranges of both and
+    a scan of a few pixels, or of a short time, skips most of them; a cube in order of pixels serves the first alone.
+
+    Ranges of equal width are laid between the least and greatest pixel and time (four numbers, one pass); files are ranges of the
+    curve with about equal numbers of rows, so a pixel or a time that holds many rows has many files. Null pixels and times lie at
+    the start. The reader takes no filters on times without a zone, so time_us repeats them as microseconds; read_cube filters by it.
+    """
+    micros = _micros(F.col("time"))
+    ends = df.agg(F.min("pixel").alias("p0"), F.max("pixel").alias("p1"), F.min(micros).alias("t0"), F.max(micros).alias("t1")).first()
+    laid = df.withColumns({
+        "time_us": micros, "lane": F.pmod(F.col("pixel"), F.lit(lanes)).cast("int"), "_x": curve.cell(F.col("pixel"), ends["p0"], ends["p1"], CURVE_BITS),
+        "_y": curve.cell(micros, ends["t0"], ends["t1"], CURVE_BITS),
+    })
+    laid = laid.withColumn("_z", curve.interleaved(F.col("_x"), F.col("_y"), CURVE_BITS)).drop("_x", "_y")
+    ranges = [*([files] if files else []), "height", "lane", "_z", "pixel", "time"]
+    laid.repartitionByRange(*ranges).sortWithinPartitions("height", "lane", "_z", "pixel", "time").drop("_z").write.partitionBy("height", "lane").parquet(path)
+
+
+def read_cube(spark: SparkSession, path: str, heights: list[int] | None = None, lane: int | None = None, since: dt.datetime | None = None, before: dt.datetime | None = None) -> DataFrame:
+    """A cube's rows; with heights or a lane, only those folders; of a cube along the curve, with since or before, only the row groups that hold such times."""
     cube = spark.read.parquet(path)
     if heights is not None:
         cube = cube.where(F.col("height").isin(heights))
     if lane is not None:
         cube = cube.where(F.col("lane") == lane)
-    return cube.drop("lane")
+    time = "time_us" if "time_us" in cube.columns else "time"
+    for end, holds in ((since, lambda t, e: t >= e), (before, lambda t, e: t < e)):
+        if end is not None:
+            exact = (end - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+            cube = cube.where(holds(F.col(time), F.lit(exact) if time == "time_us" else F.lit(end).cast("timestamp_ntz")))
+    return cube.drop("lane", "time_us")
 
 
 def _with_numpy(files: DataFrame, schema: str, open_) -> DataFrame:
