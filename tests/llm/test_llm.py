@@ -556,6 +556,17 @@ def test_toxicity_finds_planted_words(spark):
     assert all((np.diff(p) <= 1e-12).all() for p in out.p_grade)
 
 
+def test_toxicity_counts_by_one_rule_of_length():
+    """A text repeated m times: each number grows with every repeat, evenly and without a bend, towards LONG times its rate."""
+    text, vocabulary = "vile words and more " * 10, pa.array(["vile", "wor*"])
+    x = toxicity.counts(pa.array([(text * m).strip() for m in range(1, 200)]), vocabulary)
+    n = 40 * np.arange(1, 200)
+    for column, rate in ((0, 1 / 4), (1, 1 / 4), (2, 1 / toxicity.UNIT)):
+        assert np.allclose(x[:, column], rate * n * toxicity.LONG / (toxicity.LONG + n))
+    assert (np.diff(x, axis=0) > 0).all() and (np.diff(x, 2, axis=0) < 0).all() and (x[:, 0] < toxicity.LONG / 4).all()
+    assert toxicity.counts(pa.array(["", None]), vocabulary).tolist() == [[0.0] * 3] * 2
+
+
 def test_toxicity_edges(docs, rows, labels, empty, spark):
     out = toxicity.score(docs, toxicity.fit(docs, labels))
     assert out.count() == len(rows) and out.where("toxic IS NULL").count() == 0
@@ -720,6 +731,7 @@ def test_ordinal_likelihood_and_probabilities(spark):
                 if f in place:
                     x[k, place[f]] += 1
         x[k, -1] = len(found) / toxicity.UNIT
+        x[k] *= toxicity.LONG / (toxicity.LONG + len(found))  # the same rule at every length
     p = 1 / (1 + np.exp(model.cuts[None, :] - (x @ model.weights)[:, None]))
     assert np.allclose(np.stack(out.p_grade), p, atol=1e-9) and np.allclose(out.severity, p.sum(1)) and (out.toxic == (x @ model.weights >= model.reject)).all()
     grade = np.array([r[2] for r in rows])

@@ -39,7 +39,7 @@ from .words import shingle_sets
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»„“”…–—"
 SAMPLE, FEATURES = 4000, 256
-#: Words in a unit of length; words to which the counts of longer texts are scaled down (a parameter of fit: all words are counted whatever it is).
+#: Words in a unit of length; words at which a count weighs half (a parameter of fit: all words are counted whatever it is).
 UNIT, LONG = 50, 1000
 
 
@@ -66,8 +66,8 @@ def word_features(found: pa.Array) -> Iterator[pa.Array]:
 def counts(texts: pa.Array, vocabulary: pa.Array, long: int = LONG) -> np.ndarray:
     """How often each feature of the vocabulary stands in each text, and last the number of its words / UNIT.
 
-    The counts of texts of more than `long` words are scaled down to as many: what tells is the
-    rate there, while short texts tell by their count.
+    Every number of a text of n words is multiplied by long / (long + n): in short texts it stays nearly the
+    count, in long ones it nears `long` times the rate, by one rule at all lengths.
     """
     found, offsets = words(texts)
     n = len(vocabulary)
@@ -80,7 +80,7 @@ def counts(texts: pa.Array, vocabulary: pa.Array, long: int = LONG) -> np.ndarra
         out += np.bincount(row * n + code, minlength=len(out))
     size = np.diff(offsets)
     out = np.column_stack([out.reshape(len(texts), n), size / UNIT])
-    return out * np.minimum(1, long / np.maximum(size, 1))[:, None]
+    return out * (long / (long + size))[:, None]
 
 
 @dataclass
