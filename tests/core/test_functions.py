@@ -73,3 +73,9 @@ def test_block_window_at_the_end_of_a_month(spark):
 def test_cold_restart_rule(spark):
     df = spark.createDataFrame([(10, 60), (11, 60), (5, 0)], "r long, t long")
     assert [r[0] for r in df.select(C.restarts_cold(F.col("r"), F.col("t"))).collect()] == [False, True, False]
+
+
+def test_direction_of_calms_follows_the_signs_of_zeros(spark):
+    calm = [P.direction(*P.components(F.lit(0.0) * F.col("x"), F.col("x"))), P.direction(*P.components(F.lit(5.0), F.col("x")))]
+    assert values(spark, calm[0], [0.0, 45.0, 135.0, 225.0, 315.0, None]) == [0, 0, 180, 180, 0, None]
+    assert values(spark, F.round(calm[1], 9), [0.0, 90.0, 135.0, 180.0, 225.0]) == [0, 90, 135, 180, 225]
