@@ -16,7 +16,7 @@ from tests.conftest import DATA
 from windgrid import scratch
 from windgrid.operators import campaign, grid, histograms, joins, metrics, nests, quantiles, selection, spectra, timeline, weibull
 from windgrid.plans import q_select
-from windgrid.plans.catalogue import QUERIES
+from windgrid.plans.catalogue import QUERIES, SQL
 from windgrid.sources import config, files, folder, gridded, modellog, netcdf, tiles, wps, wrg
 from windgrid.streaming import windows
 
@@ -512,3 +512,13 @@ def test_namelist():
 
     text = namelist.render({"domains": {"max_dom": 2, "dx": [900.0, 300.0], "nest": [False, True], "name": "x"}})
     assert text == "&domains\n max_dom = 2,\n dx = 900.0, 300.0,\n nest = .false., .true.,\n name = 'x',\n/\n"
+
+
+def test_rose_fidelity_beside_a_sector_of_calms(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(n, dt.datetime(2024, 1, 1), 1, "a", 0.0 if n % 2 else 5.0 + n, '{"k": 1}' if n % 2 else '{"k": 30}') for n in range(9)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want, got = con.execute(SQL["agg15_rose_fidelity"]).fetchall(), [tuple(r) for r in QUERIES["agg15_rose_fidelity"](spark, str(tmp_path)).collect()]
+    assert repr(got) == repr(want) and math.isnan(got[0][-1])

@@ -43,12 +43,14 @@ def rose(df: DataFrame, by: list[str], sector: Column, sectors: int, weight: Col
 
 
 def rose_fidelity(sample: DataFrame, full: DataFrame, key: str) -> DataFrame:
-    """One row: mean and largest share error (percentage points), total variation averaged over points, and the error of sectors' cube-root speed where the full record has over 1 % in it."""
+    """One row: mean and largest share error (percentage points), total variation averaged over points, and the error of sectors' cube-root speed where the full record has over 1 % in it (NaN if such a sector holds calms alone)."""
     a = sample.select(key, "sector", *[F.col(c).alias(f"s_{c}") for c in ("n", "energy", "share", "energy_share")])
     b = full.select(key, "sector", *[F.col(c).alias(f"f_{c}") for c in ("n", "energy", "share", "energy_share")])
     x = b.join(a, [key, "sector"])
     speed = lambda p: F.pow(P.ratio(F.col(f"{p}_energy"), F.col(f"{p}_n").cast("double")), F.lit(1 / 3))
-    err = F.when(F.col("f_share") > 0.01, 100 * F.abs(speed("s") / speed("f") - 1))
+    # a sector of calms alone has no speed to compare: 0 / 0
+    over = F.when(speed("f") > 0, F.try_divide(speed("s"), speed("f"))).when(speed("s") > 0, float("inf")).otherwise(float("nan"))
+    err = F.when(F.col("f_share") > 0.01, 100 * F.abs(over - 1))
     d, e = F.abs(F.col("s_share") - F.col("f_share")), F.abs(F.col("s_energy_share") - F.col("f_energy_share"))
     per = x.groupBy(key).agg(F.sum(d).alias("sd"), F.max(d).alias("md"), F.sum(e).alias("se"), F.max(e).alias("me"), F.count(F.lit(1)).alias("n"), F.sum(err).alias("sw"), F.count(err).alias("nw"))
     return per.agg(
@@ -58,7 +60,7 @@ def rose_fidelity(sample: DataFrame, full: DataFrame, key: str) -> DataFrame:
         (100 * F.max("me")).alias("sec_e_max"),
         (50 * F.avg("sd")).alias("rose_tv"),
         (50 * F.avg("se")).alias("rose_tv_e"),
-        (F.sum("sw") / F.sum("nw")).alias("sec_ws"),
+        F.try_divide(F.sum("sw"), F.sum("nw")).alias("sec_ws"),
     )
 
 
