@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from windgrid.operators import weibull
+from windgrid.operators import metrics, weibull
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,14 @@ def test_grid_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, ws double, wd double")
     assert weibull.resource_grid(empty, ["g"]).collect() == []
     assert weibull.fit_speeds(weibull.distinct_speeds(empty, ["g"], "ws", None), ["g"]).collect() == []
+
+
+def test_upper_median_of_a_large_group_is_many_tasks(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.integers(0, 40, 3001).tolist(), "b": rng.integers(0, 9, 4).tolist(), None: [7, 7, 1], "one": [3]}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, x double")
+    got = metrics.upper_median(df, ["g"], "x")
+    assert {r["g"]: r["median"] for r in got.collect()} == {g: float(sorted(xs)[len(xs) // 2]) for g, xs in groups.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [line for line in plan.splitlines() if "Window [" in line and "_x" in line]
+    assert ordered and all("_r_part" in line for line in ordered)  # no window orders a whole group's values

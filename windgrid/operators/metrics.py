@@ -184,7 +184,12 @@ def exclusive_cost(log: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The value at place n div 2 of the sorted group: the upper one of two middles."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
+    """The value at place n div 2 of the sorted group: the upper one of two middles.
+
+    Values are counted first, and what is ordered are distinct values in ranges, so a group of any size is many tasks.
+    """
+    n = df.groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    n = running(n, by, ["_x"], sums={"_r": F.col("_n")})
+    n = _beside(n, n.groupBy(*by).agg(F.sum("_n").alias("_t")), by)
+    place = F.floor(F.col("_t") / 2)
+    return n.where((F.col("_r") - F.col("_n") <= place) & (place < F.col("_r"))).select(*by, F.col("_x").alias("median"))
