@@ -1093,3 +1093,12 @@ def test_whitening_query_on_the_given_table(spark):
         assert min(np.abs(a - white[:, c - 1]).max(), np.abs(a + white[:, c - 1]).max()) < 1e-6
         assert [at[i, c]["deviation"] for i, _ in kept] == deviations
         assert np.isclose(at[kept[0][0], c]["explained"], values[c - 1] / values.sum(), rtol=1e-9)
+
+
+def test_topk_broadcasts_no_vectors(spark):
+    """Copies compress to nearly nothing, so what tells sizes as written would send them through the driver."""
+    rows = [(n, [float(n % 7), 1.0, float(n % 3)]) for n in range(400)]
+    index = topk.Index(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v", F.col("vec_id") % 50 == 0)
+    opened = index._opened(index.asked, 5, False)
+    assert opened.count() > 0
+    assert "Broadcast" not in opened._jdf.queryExecution().executedPlan().toString()

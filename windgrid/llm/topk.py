@@ -168,9 +168,9 @@ class Index:
         return run
 
     def _opened(self, queries: DataFrame, k: int, with_least: bool) -> DataFrame:
-        """Blocks beside the queries that open them."""
+        """Blocks beside the queries that open them. Never a broadcast: sizes are told as compressed, and copies of vectors compress to nearly nothing, so the driver would get far more than it was told."""
         to = queries.groupBy("group").applyInPandas(self._visits(k, with_least), "annulus long, task long, qids binary, qs binary, leasts binary, asking long")
-        return self.blocks.drop("top", "low", "high").join(to, ["annulus", "task"])
+        return self.blocks.drop("top", "low", "high").join(to.hint("merge"), ["annulus", "task"])
 
     def _scored(self, opened: DataFrame, k: int) -> DataFrame:
         dim = self.dim
