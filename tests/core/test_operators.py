@@ -522,3 +522,30 @@ def test_rose_fidelity_beside_a_sector_of_calms(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want, got = con.execute(SQL["agg15_rose_fidelity"]).fetchall(), [tuple(r) for r in QUERIES["agg15_rose_fidelity"](spark, str(tmp_path)).collect()]
     assert repr(got) == repr(want) and math.isnan(got[0][-1])
+
+
+def test_exchanges_end_beside_costs_that_waver():
+    """A cost that comes out lower beside other options, by more than the tolerance: a block is as good as itself, and two sets as good as each other."""
+    asked = []
+
+    def cost(rest, options):
+        asked.append(len(options))
+        assert len(asked) < 200, "goes on for ever"
+        return np.array([1.0 - (0.1 * (o in (3, 4))) - 1e-11 * (len(options) > 1) for o in options])
+
+    assert len(selection.forward_and_swap(2, lambda rest: [o for o in range(9) if o not in rest], cost)) == 2
+    made = selection.forward_and_swap(1, lambda rest: [o for o in range(9) if o not in rest], cost, chosen=[7])
+    assert made == [3] or made == [4]
+    assert selection.forward_and_swap(1, lambda rest: [5], cost, chosen=[5]) == [5]
+
+
+def test_days_once_are_the_record(spark, record, monkeypatch):
+    """Matrices of a record, of its days and of a part of them; the observations are read once for all."""
+    days = selection.by_day(record)
+    for part, own in ((record, days), (record.where("year(time) < 2001"), days.where("year(day) < 2001"))):
+        (b1, a1, t1), (b2, a2, t2) = selection.design_matrix(part, 2), selection.design_matrix(own, 2)
+        assert b1.start.tolist() == b2.start.tolist() and np.allclose(a1, a2, atol=1e-12) and np.allclose(t1, t2, atol=1e-12)
+    made = []
+    monkeypatch.setattr(selection.H, "with_bins", lambda df: made.append(df))
+    selection.design_matrix(days, 1)
+    assert not made
