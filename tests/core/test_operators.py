@@ -549,3 +549,10 @@ def test_days_once_are_the_record(spark, record, monkeypatch):
     monkeypatch.setattr(selection.H, "with_bins", lambda df: made.append(df))
     selection.design_matrix(days, 1)
     assert not made
+
+
+def test_grid_lines_are_cut_once(spark):
+    lines = spark.createDataFrame([("GridPoint 100 200 30 100 6.5 2.1 300 1 500 60 210",), ("1 2 3",)], "line string")
+    grid = wrg.parse(lines)
+    assert [(r["e"], r["nsect"], r["sectors"][0]["k"]) for r in grid.collect()] == [(100.0, 1, 2.1)]
+    assert grid._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import gamma_fn
+from .modellog import once
 
 LABEL = "GridPoint"
 # Fixed values that define results: the row of a cell without data.
@@ -23,12 +24,12 @@ def parse(lines: DataFrame, column: str = "line", dialect: str = "any") -> DataF
     dialect "any": a first token that isn't a number is dropped. "labelled": only LABEL is dropped, and
     cells without data have null values. Rows that are short or hold other text are skipped.
     """
-    t = F.split(F.trim(column), r"\s+")
+    t = F.col("t")
     first = F.try_element_at(t, F.lit(1))
     drop = first.try_cast("double").isNull() if dialect == "any" else first == LABEL
-    rows = lines.select(F.when(drop, F.slice(t, F.lit(2), F.size(t))).otherwise(t).alias("t"))
-    v = F.transform("t", lambda x: x.try_cast("double"))
-    rows = rows.select(v.alias("v")).where(F.size("v") >= 8).withColumn("ns", F.get("v", 7).cast("int"))
+    rows = once(lines, t=F.split(F.trim(column), r"\s+"))
+    rows = once(rows, v=F.transform(F.when(drop, F.slice(t, F.lit(2), F.size(t))).otherwise(t), lambda x: x.try_cast("double")))
+    rows = rows.where(F.size("v") >= 8).withColumn("ns", F.get("v", 7).cast("int"))
     rows = rows.where((F.size("v") >= 8 + 3 * F.col("ns")) & F.col("ns").isNotNull() & (F.col("ns") >= 0))
     rows = rows.where(F.forall(F.slice("v", F.lit(1), 8 + 3 * F.col("ns")), lambda x: x.isNotNull()))
     at = lambda s, k: F.get("v", 8 + 3 * s + k)
