@@ -556,3 +556,12 @@ def test_grid_lines_are_cut_once(spark):
     grid = wrg.parse(lines)
     assert [(r["e"], r["nsect"], r["sectors"][0]["k"]) for r in grid.collect()] == [(100.0, 1, 2.1)]
     assert grid._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_attributes_stand_beside_cells_without_a_join(spark):
+    nc = netcdf.encode({"A": (["y", "x"], np.arange(6, dtype=">f8").reshape(2, 3))}, {"TITLE": "t", "DX": 100.0})
+    made = spark.createDataFrame([("a.nc", nc), ("bad.nc", b"no")], "path string, content binary")
+    got = netcdf.parse(made, ["A"], ("DX", "NONE"))
+    assert {(r["value"], r["DX"], r["NONE"]) for r in got.where("error IS NULL").collect()} == {(float(n), "100.0", None) for n in range(6)}
+    assert got.where("error IS NOT NULL").count() == 1
+    assert "Join" not in QUERIES["src11_netcdf"](spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()

@@ -190,8 +190,8 @@ def _(i):
     to = scratch.path(i.spark)
     folder.write(i.raster_v.groupBy(F.floor(c("j") / 10).alias("block")).applyInPandas(run, "path string, content binary"), to)
     made = i.spark.read.format("binaryFile").load(to).select("path", "content")
-    said = netcdf.attributes(made).groupBy("path").agg(F.max(F.when(c("name") == "DX", c("value"))).alias("dx"), F.max(F.when(c("name") == "FIRST_ROW", c("value").cast("double").cast("int"))).alias("first"))
-    return netcdf.parse(made, ["HGT_M", "LU_INDEX"]).join(said, "path").select("variable", "i", (c("j") + c("first")).alias("j"), r(c("value")).alias("value"), "dx")
+    first = c("FIRST_ROW").cast("double").cast("int")
+    return netcdf.parse(made, ["HGT_M", "LU_INDEX"], ("DX", "FIRST_ROW")).select("variable", "i", (c("j") + first).alias("j"), r(c("value")).alias("value"), c("DX").alias("dx"))
 
 
 WRG = """WITH p AS (SELECT regexp_split_to_array(trim(line), '\\s+') AS t FROM wrg_text_v), q AS (SELECT CASE WHEN t[1] = 'GridPoint' THEN t[2:] ELSE t END AS t FROM p), s AS (SELECT t FROM q WHERE len(t) >= 14),
